@@ -107,18 +107,25 @@ def must_have_filter(df: DataFrame) -> DataFrame:
     return df.dropna("any", subset=must_have_columns(df.columns))
 
 
-def clean_market_data(df: DataFrame, order_col: str | None = None) -> DataFrame:
+def clean_market_data(df: DataFrame, order_col: str | None = None, stop: str | None = None) -> DataFrame:
     """Whole cleaning stage, in the reference's order; returns one row per ``ts``
-    (order is carried by ``ts``, no global sort)."""
+    (order is carried by ``ts``, no global sort).  ``stop`` ('parsed',
+    'collapse', 'must_have') returns an intermediate stage."""
     df = dedup_rows(df)
     df = parse_market_time(df)
     df = add_clock_parts(df)
+    if stop == "parsed":
+        return df
     df = collapse_duplicate_ts(df, order_col=order_col)
     if order_col and order_col in df.columns:
         df = df.drop(order_col)
+    if stop == "collapse":
+        return df
     df = clip_negative(df)
     df = normalise_missing(df)
     df = fill_and_cascade(df)
     df = must_have_filter(df)
+    if stop == "must_have":
+        return df
     df = window_repair(df)
     return df.drop("Time") if "Time" in df.columns else df

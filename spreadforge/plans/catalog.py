@@ -99,3 +99,131 @@ _TRADE_DBL = ["conf_thresh", "hit_rate", "eur_per_mwh", "total_pnl_eur", "sharpe
     "SELECT * FROM trading", dbl=_TRADE_DBL, ints=["n_trades", "test_size"], rest=["transition"])))
 def q_trading_table(spark, d):
     return finalize(BT.trading_table(scored_rows(spark, d), _CFG))
+
+
+# --------------------------------------------------------------------------- cleaning
+from spreadforge.operators import clean as CL  # noqa: E402
+from spreadforge.operators import quality as QA  # noqa: E402
+from spreadforge.functions.calendar import add_calendar, add_cyclical  # noqa: E402
+from spreadforge.plans.oracle import clean_sql, raw_panel_sql, spreads_sql  # noqa: E402
+from spreadforge.sources.fixtures import dirty_panel, event_bins  # noqa: E402
+from spreadforge.sources.market import table_profile  # noqa: E402
+
+
+def _stage(spark, d, stop, dirty=False):
+    src = dirty_panel(spark, d) if dirty else market_panel(spark, d)
+    return CL.clean_market_data(src, order_col="seq" if dirty else None, stop=stop)
+
+
+def _stage_sql(stop, dirty=False, out="st"):
+    return raw_panel_sql(dirty) + clean_sql("panel_dirty" if dirty else "panel_raw", out,
+                                            seq="seq" if dirty else None, stop=stop)
+
+
+@register("parse_ts", with_ctes(_stage_sql("parsed"), final(
+    "SELECT ts, TradeDate, Time, StartDateTime, hour, minute, hod FROM st",
+    dbl=["hod"], ints=["hour", "minute"], rest=["ts", "TradeDate", "Time", "StartDateTime"])))
+def q_parse_ts(spark, d):
+    return finalize(_stage(spark, d, "parsed").select("ts", "TradeDate", "Time", "StartDateTime", "hour", "minute", "hod"))
+
+
+_CAL = ["dow", "month", "is_weekend", "is_winter", "is_peak"]
+
+
+@register("calendar_flags", with_ctes(panel_ctes(), final(
+    "SELECT ts, isodow(ts) - 1 AS dow, month(ts) AS month, CAST(isodow(ts) - 1 >= 5 AS INTEGER) AS is_weekend, "
+    "CAST(month(ts) IN (11, 12, 1, 2, 3) AS INTEGER) AS is_winter, CAST(hod BETWEEN 7 AND 21 AS INTEGER) AS is_peak "
+    "FROM panel", ints=_CAL, rest=["ts"])))
+def q_calendar_flags(spark, d):
+    return finalize(add_calendar(panel(spark, d)).select("ts", *_CAL))
+
+
+_CYC = ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos"]
+
+
+@register("cyclical", with_ctes(panel_ctes(), final(
+    "SELECT ts, sin(2 * pi() * hod / 24e0) AS hour_sin, cos(2 * pi() * hod / 24e0) AS hour_cos, "
+    "sin(2 * pi() * (isodow(ts) - 1) / 7e0) AS dow_sin, cos(2 * pi() * (isodow(ts) - 1) / 7e0) AS dow_cos, "
+    "sin(2 * pi() * month(ts) / 12e0) AS month_sin, cos(2 * pi() * month(ts) / 12e0) AS month_cos FROM panel",
+    dbl=_CYC, rest=["ts"])))
+def q_cyclical(spark, d):
+    return finalize(add_cyclical(add_calendar(panel(spark, d))).select("ts", *_CYC))
+
+
+_RAW_NUM = [c for c, _, _ in __import__("spreadforge.sources.fixtures", fromlist=["panel_spec"]).panel_spec()]
+
+
+@register("normalise_missing", with_ctes(raw_panel_sql(), final(
+    "SELECT * FROM panel_raw", dbl=_RAW_NUM, rest=["TradeDate", "Time", "StartDateTime"])))
+def q_normalise_missing(spark, d):
+    from spreadforge.functions.scalar import normalise_missing
+    return finalize(normalise_missing(market_panel(spark, d)))
+
+
+_FILL = ["EirgridActualWind", "ISEMSOLAR_DAM", "ISEMSOLAR_IDA1", "EirGridWindFc_DAM", "EirGridWindFc_IDA1"]
+
+
+@register("clip_fill_cascade", with_ctes(_stage_sql("must_have"), final(
+    f"SELECT ts, {', '.join(_FILL)} FROM st", dbl=_FILL, rest=["ts"])))
+def q_clip_fill_cascade(spark, d):
+    return finalize(_stage(spark, d, "must_have").select("ts", *_FILL))
+
+
+_REP = ["ISEMSOLAR_IDA2", "ISEMSOLAR_IDA3", "EirGridWindFc_IDA2", "EirGridWindFc_IDA3"]
+
+
+@register("window_repair", with_ctes(panel_ctes(), final(
+    f"SELECT ts, hod, {', '.join(_REP)} FROM panel", dbl=["hod"] + _REP, rest=["ts"])))
+def q_window_repair(spark, d):
+    return finalize(panel(spark, d).select("ts", "hod", *_REP))
+
+
+@register("must_have_filter", with_ctes(_stage_sql("must_have"), final(
+    "SELECT ts, hod, PriceDAM FROM st", dbl=["hod", "PriceDAM"], rest=["ts"])))
+def q_must_have_filter(spark, d):
+    return finalize(_stage(spark, d, "must_have").select("ts", "hod", "PriceDAM"))
+
+
+@register("dedup_rows", with_ctes(raw_panel_sql(True), final(
+    "SELECT DISTINCT * FROM panel_dirty", dbl=_RAW_NUM, ints=["seq"], rest=["TradeDate", "Time", "StartDateTime"])))
+def q_dedup_rows(spark, d):
+    return finalize(CL.dedup_rows(dirty_panel(spark, d)))
+
+
+_COLL = ["PredictedICFlow", "PriceDAM", "PriceIDA2", "hod"]
+
+
+@register("collapse_duplicate_ts", with_ctes(_stage_sql("collapse", dirty=True), final(
+    f"SELECT ts, TradeDate, hour, {', '.join(_COLL)} FROM st", dbl=_COLL, ints=["hour"], rest=["ts", "TradeDate"])))
+def q_collapse_duplicate_ts(spark, d):
+    return finalize(_stage(spark, d, "collapse", dirty=True).select("ts", "TradeDate", "hour", *_COLL))
+
+
+@register("collapse_via_join", with_ctes(_stage_sql("collapse", dirty=True), final(
+    f"SELECT ts, TradeDate, hour, {', '.join(_COLL)} FROM st", dbl=_COLL, ints=["hour"], rest=["ts", "TradeDate"])))
+def q_collapse_via_join(spark, d):
+    parsed = _stage(spark, d, "parsed", dirty=True)
+    return finalize(CL.collapse_via_join(parsed, order_col="seq").select("ts", "TradeDate", "hour", *_COLL))
+
+
+@register("colliding_ts", with_ctes(_stage_sql("parsed", dirty=True), final(
+    "SELECT ts, seq, PredictedICFlow FROM st WHERE ts IN (SELECT ts FROM st GROUP BY ts HAVING count(*) > 1)",
+    dbl=["PredictedICFlow"], ints=["seq"], rest=["ts"])))
+def q_colliding_ts(spark, d):
+    return finalize(QA.colliding_ts(_stage(spark, d, "parsed", dirty=True)).select("ts", "seq", "PredictedICFlow"))
+
+
+@register("negative_rows", with_ctes(_stage_sql("parsed"), final(
+    "SELECT ts, EirgridActualWind FROM st WHERE EirgridActualWind < 0 ORDER BY EirgridActualWind, ts LIMIT 10",
+    dbl=["EirgridActualWind"], rest=["ts"])))
+def q_negative_rows(spark, d):
+    return finalize(QA.negative_rows(_stage(spark, d, "parsed")))
+
+
+@register("dup_counts", with_ctes(_stage_sql("parsed", dirty=True), final(
+    "SELECT (SELECT count(*) FROM st) AS n_rows, "
+    "(SELECT count(*) FROM st) - (SELECT count(*) FROM (SELECT DISTINCT * FROM st)) AS dup_rows, "
+    "(SELECT count(*) FROM st) - (SELECT count(*) FROM (SELECT DISTINCT ts FROM st)) AS dup_ts",
+    ints=["n_rows", "dup_rows", "dup_ts"])))
+def q_dup_counts(spark, d):
+    return finalize(QA.dup_counts(_stage(spark, d, "parsed", dirty=True)))

@@ -48,6 +48,8 @@ def clean_sql(src: str = "panel_raw", out: str = "panel_clean", seq: str | None
         (f"{p}_g", f"SELECT ts, {', '.join(first(c) for c in base_cols)}, avg(PredictedICFlow) AS PredictedICFlow "
                    f"FROM {p}_c WHERE ts IS NOT NULL GROUP BY ts"),
     ]
+    if stop == "parsed":
+        return ctes[:-1] + [(out, f"SELECT * FROM {p}_c")]
     if stop == "collapse":
         return ctes + [(out, f"SELECT * FROM {p}_g")]
     fills = ["CASE WHEN EirgridActualWind < 0 THEN 0e0 ELSE EirgridActualWind END AS EirgridActualWind",
@@ -102,5 +104,6 @@ def with_ctes(ctes: list[tuple[str, str]], body: str) -> str:
 def final(inner: str, dbl=(), ints=(), rest=(), digits: int = 6) -> str:
     """Outer projection: doubles rounded, integers as BIGINT (same on the Spark side)."""
     cols = [q(c) for c in rest] + [f"CAST({q(c)} AS BIGINT) AS {q(c)}" for c in ints] + \
-           [f"round(CAST({q(c)} AS DOUBLE), {digits}) AS {q(c)}" for c in dbl]
+           [f"CASE WHEN abs({q(c)}) < 1e12 THEN floor(CAST({q(c)} AS DOUBLE) * 1e{digits} + 0.5e0) / 1e{digits} "
+            f"ELSE CAST({q(c)} AS DOUBLE) END AS {q(c)}" for c in dbl]
     return f"SELECT {', '.join(cols)} FROM ({inner}) AS fin"
