@@ -227,3 +227,142 @@ def q_negative_rows(spark, d):
     ints=["n_rows", "dup_rows", "dup_ts"])))
 def q_dup_counts(spark, d):
     return finalize(QA.dup_counts(_stage(spark, d, "parsed", dirty=True)))
+
+
+# --------------------------------------------------------------------------- quality reports
+def _validity_cols():
+    from spreadforge.config import VALIDITY_EXCLUDE, VALIDITY_INCLUDE
+    cols = _RAW_NUM + ["hour", "minute", "hod"]
+    return [c for c in cols if any(k in c.upper() for k in VALIDITY_INCLUDE)
+            and not any(x in c.upper() for x in VALIDITY_EXCLUDE)]
+
+
+def _long_union(src: str, cols: list[str], exprs: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", " + ", ".join(f"{e.format(c=q(c))} AS {n}" for n, e in exprs.items())
+        + f" FROM {src}" for c in cols)
+
+
+@register("validity_report", with_ctes(_stage_sql("parsed") + [("v", _long_union(
+    "st", _validity_cols(), {"non_missing_values": "count({c})", "negative_values": "count(*) FILTER (WHERE {c} < 0)"}))],
+    final("SELECT \"column\", non_missing_values, negative_values, "
+          "round_even(CAST(negative_values AS DOUBLE) / NULLIF(non_missing_values, 0), 6) AS proportion_negative FROM v",
+          dbl=["proportion_negative"], ints=["non_missing_values", "negative_values"], rest=["column"])))
+def q_validity_report(spark, d):
+    return finalize(QA.validity_report(_stage(spark, d, "parsed")))
+
+
+_PARSED_COLS = ["TradeDate", "Time", "StartDateTime"] + _RAW_NUM + ["ts", "hour", "minute", "hod"]
+
+
+@register("missing_report", with_ctes(_stage_sql("parsed") + [("v", _long_union(
+    "st", _PARSED_COLS, {"missing_count": "count(*) FILTER (WHERE {c} IS NULL)", "n": "count(*)"}))],
+    final("SELECT \"column\", missing_count, round_even(missing_count * 100e0 / n, 2) AS missing_pct FROM v "
+          "ORDER BY missing_count DESC, \"column\" LIMIT 20",
+          dbl=["missing_pct"], ints=["missing_count"], rest=["column"])))
+def q_missing_report(spark, d):
+    return finalize(QA.missing_report(_stage(spark, d, "parsed")))
+
+
+def _mh_cols():
+    from spreadforge.config import MUST_HAVE, MUST_HAVE_PRICES
+    return list(MUST_HAVE) + list(MUST_HAVE_PRICES)
+
+
+@register("must_have_missing", with_ctes(_stage_sql("collapse") + [("v", _long_union(
+    "st", _mh_cols(), {"missing_count": "count(*) FILTER (WHERE {c} IS NULL)"}))],
+    final("SELECT * FROM v WHERE missing_count > 0", ints=["missing_count"], rest=["column"])))
+def q_must_have_missing(spark, d):
+    return finalize(QA.must_have_missing(_stage(spark, d, "collapse")))
+
+
+def _structural_sql():
+    win = {"all": "TRUE", "ida2": "hod >= 11 AND hod < 23", "ida3": "hod >= 17 AND hod < 23"}
+    parts = []
+    for c, w in QA.STRUCTURAL_PAIRS:
+        ins = win[w]
+        parts.append(
+            f"SELECT '{c}' AS \"column\", '{w}' AS \"window\", count(*) FILTER (WHERE {ins}) AS inside_total, "
+            f"count(*) FILTER (WHERE ({ins}) AND {c} IS NULL) AS inside_missing, "
+            f"count(*) FILTER (WHERE NOT ({ins})) AS outside_total, "
+            f"count(*) FILTER (WHERE NOT ({ins}) AND {c} IS NULL) AS outside_missing FROM st")
+    return " UNION ALL ".join(parts)
+
+
+@register("structural_check", with_ctes(_stage_sql("must_have") + [("v", _structural_sql())], final(
+    "SELECT *, CAST(inside_missing AS DOUBLE) / NULLIF(inside_total, 0) AS inside_rate, "
+    "CAST(outside_missing AS DOUBLE) / NULLIF(outside_total, 0) AS outside_rate, "
+    "outside_total - outside_missing AS outside_nonmissing FROM v",
+    dbl=["inside_rate", "outside_rate"],
+    ints=["inside_total", "inside_missing", "outside_total", "outside_missing", "outside_nonmissing"],
+    rest=["column", "window"])))
+def q_structural_check(spark, d):
+    return finalize(QA.structural_check(_stage(spark, d, "must_have")))
+
+
+def _outlier_sql():
+    parts = []
+    for c in QA.OUTLIER_COLUMNS:
+        parts.append(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM panel WHERE {c} IS NOT NULL")
+    lf = " UNION ALL ".join(parts)
+    return [("lf", lf),
+            ("b", "SELECT \"column\", min(value) AS minimum, max(value) AS maximum, skewness(value) AS skewness, "
+                  "count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM lf GROUP BY 1"),
+            ("b2", "SELECT *, q1 - 3e0 * (q3 - q1) AS lower_bound, q3 + 3e0 * (q3 - q1) AS upper_bound FROM b")]
+
+
+@register("outlier_report", with_ctes(panel_ctes() + _outlier_sql(), final(
+    "SELECT b2.\"column\", minimum, maximum, skewness, lower_bound, upper_bound, "
+    "count(*) FILTER (WHERE value < lower_bound OR value > upper_bound) AS outlier_count, "
+    "count(*) FILTER (WHERE value < lower_bound OR value > upper_bound) * 100e0 / n AS outlier_pct "
+    "FROM b2 JOIN lf USING (\"column\") GROUP BY b2.\"column\", minimum, maximum, skewness, lower_bound, upper_bound, n",
+    dbl=["minimum", "maximum", "skewness", "lower_bound", "upper_bound", "outlier_pct"], ints=["outlier_count"],
+    rest=["column"])))
+def q_outlier_report(spark, d):
+    return finalize(QA.outlier_report(panel(spark, d)))
+
+
+def _panel_doubles():
+    return _RAW_NUM + ["hod"] + SPR + _ND
+
+
+@register("inf_count", with_ctes(panel_ctes() + [("v", _long_union(
+    "panel", _panel_doubles(), {"n_inf": "count(*) FILTER (WHERE abs({c}) = 'infinity'::DOUBLE)"}))],
+    final("SELECT * FROM v", ints=["n_inf"], rest=["column"])))
+def q_inf_count(spark, d):
+    p = panel(spark, d)
+    return finalize(QA.inf_count(p.select(*[F.col(f"`{c}`") for c in _panel_doubles()])))
+
+
+_EVB = ("SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS ts, count(*) AS n_events"
+        + "".join(f", avg(value) FILTER (WHERE event_type = '{t}') AS {t}_mean"
+                  for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1")
+
+
+@register("missing_intervals", with_ctes([("eb", _EVB)], final(
+    "SELECT ts FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM eb) "
+    "WHERE ts NOT IN (SELECT ts FROM eb)", rest=["ts"])))
+def q_missing_intervals(spark, d):
+    return finalize(QA.missing_intervals(event_bins(spark, d)))
+
+
+@register("panel_gaps", with_ctes(panel_ctes(), final(
+    "SELECT count(*) AS n_missing FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts "
+    "FROM panel) WHERE ts NOT IN (SELECT ts FROM panel)", ints=["n_missing"])))
+def q_panel_gaps(spark, d):
+    return finalize(QA.missing_intervals(panel(spark, d)).agg(F.count(F.lit(1)).alias("n_missing")))
+
+
+@register("order_check", final(
+    "SELECT count(*) FILTER (WHERE ts < prev) AS negative_steps FROM "
+    "(SELECT ts, lag(ts) OVER (ORDER BY event_id) AS prev FROM events)", ints=["negative_steps"]))
+def q_order_check(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    return finalize(QA.order_check(ev, "ts", "event_id"))
+
+
+@register("load_profile", with_ctes(panel_ctes(), final(
+    "SELECT count(*) AS n_rows, min(ts) AS ts_min, max(ts) AS ts_max FROM panel",
+    ints=["n_rows"], rest=["ts_min", "ts_max"])))
+def q_load_profile(spark, d):
+    return finalize(table_profile(panel(spark, d)).select("n_rows", "ts_min", "ts_max"))
