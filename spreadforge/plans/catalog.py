@@ -26,9 +26,9 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
 
 def unpivot_sql(src: str, keep: list[str], cols: list[str], name: str = "spread") -> str:
     k = ", ".join(keep)
-    return (f"SELECT {k + ', ' if k else ''}{name}, value FROM (UNPIVOT (SELECT {k + ', ' if k else ''}"
+    return (f"SELECT {k + ', ' if k else ''}{q(name)}, value FROM (UNPIVOT (SELECT {k + ', ' if k else ''}"
             f"{', '.join(f'CAST({q(c)} AS DOUBLE) AS {q(c)}' for c in cols)} FROM {src}) "
-            f"ON {', '.join(q(c) for c in cols)} INTO NAME {name} VALUE value)")
+            f"ON {', '.join(q(c) for c in cols)} INTO NAME {q(name)} VALUE value)")
 
 
 # --------------------------------------------------------------------------- spreads
@@ -366,3 +366,178 @@ def q_order_check(spark, d):
     ints=["n_rows"], rest=["ts_min", "ts_max"])))
 def q_load_profile(spark, d):
     return finalize(table_profile(panel(spark, d)).select("n_rows", "ts_min", "ts_max"))
+
+
+# --------------------------------------------------------------------------- exploration
+_PRICES = ["PriceDAM", "PriceIDA1", "PriceIDA2", "PriceIDA3", "PriceImbalance"]
+_DESC_COLS = _PRICES + SPR
+
+
+@register("describe", with_ctes(panel_ctes() + [("lf", unpivot_sql("panel", [], _DESC_COLS, "column"))], final(
+    "SELECT \"column\", count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, "
+    "max(value) AS max, quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.05) AS p05, "
+    "quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, "
+    "quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM lf GROUP BY 1",
+    dbl=["mean", "std", "min", "max", "p01", "p05", "p25", "p50", "p75", "p95", "p99"], ints=["count"],
+    rest=["column"])))
+def q_describe(spark, d):
+    return finalize(EX.describe(panel(spark, d), _DESC_COLS))
+
+
+_CORR_COLS = ["spr_IDA1_DAM", "spr_BM_DAM", "spr_BM_IDA1", "NetDemand_DAM", "EirgridActualWind", "PriceDAM"]
+
+
+def _corr_sql():
+    parts = []
+    for i, a in enumerate(_CORR_COLS):
+        for j, b in enumerate(_CORR_COLS):
+            if i == j:
+                parts.append(f"SELECT '{a}' AS x, '{a}' AS y, CASE WHEN count({a}) > 1 THEN 1e0 END AS r FROM panel")
+            else:
+                parts.append(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM panel")
+    return " UNION ALL ".join(parts)
+
+
+@register("correlations", with_ctes(panel_ctes() + [("c", _corr_sql())], final(
+    "SELECT * FROM c", dbl=["r"], rest=["x", "y"])))
+def q_correlations(spark, d):
+    return finalize(EX.correlations(panel(spark, d), _CORR_COLS))
+
+
+_HIST_COLS = ["spr_IDA1_DAM", "spr_BM_DAM", "spr_BM_IDA1"]
+
+
+@register("histogram", with_ctes(panel_ctes() + [
+    ("lf", unpivot_sql("panel", [], _HIST_COLS, "column")),
+    ("rg", "SELECT \"column\", min(value) AS lo, max(value) AS hi FROM lf GROUP BY 1"),
+    ("bb", "SELECT \"column\", CAST(CASE WHEN hi - lo > 0 THEN least(floor((value - lo) / (hi - lo) * 80e0), 79) "
+           "ELSE 0 END AS BIGINT) AS bin, lo, hi FROM lf JOIN rg USING (\"column\")")], final(
+    "SELECT \"column\", bin, lo + (hi - lo) * bin / 80e0 AS bin_lo, lo + (hi - lo) * (bin + 1) / 80e0 AS bin_hi, "
+    "count(*) AS count FROM bb GROUP BY \"column\", bin, lo, hi",
+    dbl=["bin_lo", "bin_hi"], ints=["bin", "count"], rest=["column"])))
+def q_histogram(spark, d):
+    return finalize(EX.histogram(panel(spark, d), _HIST_COLS, 80))
+
+
+@register("monthly_stats", with_ctes(panel_ctes() + [
+    ("lf", unpivot_sql("(SELECT *, strftime(ts, '%Y-%m') AS month_label FROM panel)", ["month_label"], SPR))], final(
+    "SELECT month_label, spread, avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n "
+    "FROM lf GROUP BY 1, 2", dbl=["mean", "std"], ints=["n"], rest=["month_label", "spread"])))
+def q_monthly_stats(spark, d):
+    return finalize(EX.monthly_stats(panel(spark, d)))
+
+
+@register("direction_balance", with_ctes(panel_ctes() + [
+    ("lf", unpivot_sql("panel", [], ["dir_" + s for s in SPR], "column"))], final(
+    "SELECT replace(\"column\", 'dir_', '') AS spread, avg(CAST(value < 0 AS DOUBLE)) AS neg_share, "
+    "avg(CAST(value = 0 AS DOUBLE)) AS zero_share, avg(CAST(value > 0 AS DOUBLE)) AS pos_share, count(value) AS n "
+    "FROM lf GROUP BY 1", dbl=["neg_share", "zero_share", "pos_share"], ints=["n"], rest=["spread"])))
+def q_direction_balance(spark, d):
+    return finalize(EX.direction_balance(panel(spark, d), on="dir"))
+
+
+@register("spread_balance", with_ctes(panel_ctes() + [("lf", unpivot_sql("panel", [], SPR))], final(
+    "SELECT spread, avg(CAST(value < 0 AS DOUBLE)) AS neg_share, avg(CAST(value = 0 AS DOUBLE)) AS zero_share, "
+    "avg(CAST(value > 0 AS DOUBLE)) AS pos_share, count(value) AS n FROM lf GROUP BY 1",
+    dbl=["neg_share", "zero_share", "pos_share"], ints=["n"], rest=["spread"])))
+def q_spread_balance(spark, d):
+    return finalize(EX.direction_balance(panel(spark, d), on="spread"))
+
+
+def _bounds_ctes(keep=()):
+    k = list(keep)
+    return panel_ctes() + [
+        ("lf", unpivot_sql("(SELECT *, strftime(ts, '%Y-%m') AS month_label FROM panel)", k, SPR)),
+        ("bd", "SELECT spread, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.99) AS q99 FROM lf GROUP BY 1"),
+        ("lb", "SELECT * FROM lf JOIN bd USING (spread)")]
+
+
+@register("extremes", with_ctes(_bounds_ctes(), final(
+    "SELECT spread, q01, q99, count(*) FILTER (WHERE value <= q01) AS n_extreme_low, "
+    "count(*) FILTER (WHERE value >= q99) AS n_extreme_high, "
+    "round_even(avg(CAST(value <= q01 OR value >= q99 AS DOUBLE)), 4) AS pct_extreme_total FROM lb GROUP BY 1, 2, 3",
+    dbl=["q01", "q99", "pct_extreme_total"], ints=["n_extreme_low", "n_extreme_high"], rest=["spread"])))
+def q_extremes(spark, d):
+    return finalize(EX.extremes(panel(spark, d)))
+
+
+@register("extremes_by_hod", with_ctes(_bounds_ctes(["hod"]), final(
+    "SELECT spread, hod, count(*) AS n_events FROM lb WHERE value <= q01 OR value >= q99 GROUP BY 1, 2",
+    dbl=["hod"], ints=["n_events"], rest=["spread"])))
+def q_extremes_by_hod(spark, d):
+    return finalize(EX.extremes_by(panel(spark, d), "hod", side="both"))
+
+
+@register("extremes_by_month", with_ctes(_bounds_ctes(["month_label"]), final(
+    "SELECT spread, month_label, count(*) AS n_events FROM lb WHERE value >= q99 GROUP BY 1, 2",
+    ints=["n_events"], rest=["spread", "month_label"])))
+def q_extremes_by_month(spark, d):
+    p = panel(spark, d).withColumn("month_label", F.date_format("ts", "yyyy-MM"))
+    return finalize(EX.extremes_by(p, "month_label", side="high"))
+
+
+_QCUT = (("EirgridActualWind", ["spr_IDA1_DAM", "spr_BM_IDA1", "spr_BM_DAM"]),
+         ("NetDemand_DAM", ["spr_IDA1_DAM", "spr_BM_DAM"]),
+         ("NetDemand_IDA1", ["spr_BM_IDA1"]))
+
+
+def _qcut_sql():
+    parts = []
+    for x, spreads in _QCUT:
+        edges = f"list_sort(list_distinct(quantile_cont({x}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])))"
+        inner = f"(SELECT list_slice(e, 2, len(e) - 1) AS inner_e FROM (SELECT {edges} AS e FROM panel))"
+        binned = (f"(SELECT *, len(list_filter(inner_e, lambda v: v < {x})) AS bin FROM panel, {inner} "
+                  f"WHERE {x} IS NOT NULL)")
+        for s in spreads:
+            parts.append(f"SELECT '{x}' AS driver, bin, '{s}' AS spread, avg({s}) AS mean, count({s}) AS n "
+                         f"FROM {binned} GROUP BY bin")
+    return " UNION ALL ".join(parts)
+
+
+@register("qcut_means", with_ctes(panel_ctes() + [("qm", _qcut_sql())], final(
+    "SELECT * FROM qm", dbl=["mean"], ints=["bin", "n"], rest=["driver", "spread"])))
+def q_qcut_means(spark, d):
+    p = panel(spark, d)
+    out = None
+    for x, spreads in _QCUT:
+        r = EX.qcut_means(p, x, spreads)
+        out = r if out is None else out.unionByName(r)
+    return finalize(out)
+
+
+_FIT = (("NetDemand_DAM", "spr_IDA1_DAM"), ("NetDemand_DAM", "spr_BM_DAM"), ("NetDemand_IDA1", "spr_BM_IDA1"),
+        ("EirgridActualWind", "spr_IDA1_DAM"), ("EirgridActualWind", "spr_BM_DAM"), ("PriceDAM", "spr_BM_DAM"),
+        ("EirGridWindFc_DAM", "spr_IDA1_DAM"), ("wind_revision_IDA1_DAM", "spr_IDA1_DAM"))
+
+
+def _fit_sql():
+    return " UNION ALL ".join(
+        f"SELECT '{x}' AS x, '{y}' AS y, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, "
+        f"regr_count({y}, {x}) AS n FROM (SELECT *, EirGridWindFc_DAM - EirGridWindFc_IDA1 AS wind_revision_IDA1_DAM "
+        f"FROM panel)" for x, y in _FIT)
+
+
+@register("line_fit", with_ctes(panel_ctes() + [("lfit", _fit_sql())], final(
+    "SELECT * FROM lfit", dbl=["slope", "intercept"], ints=["n"], rest=["x", "y"])))
+def q_line_fit(spark, d):
+    from spreadforge.operators.features import disagreement_and_revisions
+    return finalize(EX.line_fit(disagreement_and_revisions(panel(spark, d)), _FIT))
+
+
+@register("price_summary", with_ctes(panel_ctes() + [("lf", unpivot_sql(
+    "(SELECT PriceDAM AS DAM, PriceIDA1 AS IDA1, PriceIDA2 AS IDA2, PriceIDA3 AS IDA3, PriceImbalance AS BM FROM panel)",
+    [], ["DAM", "IDA1", "IDA2", "IDA3", "BM"], "market"))], final(
+    "SELECT market, avg(value) AS mean_eur_mwh, stddev_samp(value) AS std_eur_mwh, "
+    "quantile_cont(value, 0.5) AS median_eur_mwh, min(value) AS min_eur_mwh, max(value) AS max_eur_mwh, "
+    "count(value) AS observations FROM lf GROUP BY 1",
+    dbl=["mean_eur_mwh", "std_eur_mwh", "median_eur_mwh", "min_eur_mwh", "max_eur_mwh"], ints=["observations"],
+    rest=["market"])))
+def q_price_summary(spark, d):
+    return finalize(EX.price_summary(panel(spark, d)))
+
+
+@register("spread_summary", with_ctes(_bounds_ctes(), final(
+    "SELECT spread, avg(value) AS mean, stddev_samp(value) AS std, avg(abs(value)) AS mean_abs, q01, q99 "
+    "FROM lb GROUP BY spread, q01, q99", dbl=["mean", "std", "mean_abs", "q01", "q99"], rest=["spread"])))
+def q_spread_summary(spark, d):
+    return finalize(EX.spread_summary(panel(spark, d)).drop("n"))
