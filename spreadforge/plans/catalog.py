@@ -541,3 +541,138 @@ def q_price_summary(spark, d):
     "FROM lb GROUP BY spread, q01, q99", dbl=["mean", "std", "mean_abs", "q01", "q99"], rest=["spread"])))
 def q_spread_summary(spark, d):
     return finalize(EX.spread_summary(panel(spark, d)).drop("n"))
+
+
+# --------------------------------------------------------------------------- features
+from spreadforge.config import GB_PRICES, HORIZONS, LAG_BASES, LAG_FEATURES, REVISIONS, WIND_PROVIDERS  # noqa: E402
+from spreadforge.operators import features as FE  # noqa: E402
+from spreadforge.operators.ordered import halo_windows, lag_expr, row_index, shifted_rolling  # noqa: E402
+from spreadforge.sources.fixtures import supplier_daily  # noqa: E402
+
+
+def features(spark, d):
+    return FE.engineer_features(panel(spark, d))
+
+
+def _ens_sql():
+    out = []
+    for s in HORIZONS:
+        cs = [p.format(s=s) for p in WIND_PROVIDERS]
+        n = " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in cs)
+        tot = " + ".join(f"coalesce({c}, 0e0)" for c in cs)
+        m = f"(CASE WHEN ({n}) > 0 THEN ({tot}) / ({n}) END)"
+        ss = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN ({c} - {m}) * ({c} - {m}) ELSE 0e0 END" for c in cs)
+        out += [f"{m} AS wind_consensus_{s}",
+                f"CASE WHEN ({n}) >= 2 THEN sqrt(({ss}) / (({n}) - 1)) END AS wind_uncertainty_{s}",
+                f"greatest({', '.join(cs)}) - least({', '.join(cs)}) AS wind_range_{s}",
+                f"EirGridWindFc_{s} - {m} AS wind_eirg_dev_{s}"]
+    return out
+
+
+_ENS = [f"{k}_{s}" for s in HORIZONS for k in ("wind_consensus", "wind_uncertainty", "wind_range", "wind_eirg_dev")]
+
+
+@register("ensemble_stats", with_ctes(panel_ctes(), final(
+    f"SELECT ts, {', '.join(_ens_sql())} FROM panel", dbl=_ENS, rest=["ts"])))
+def q_ensemble_stats(spark, d):
+    return finalize(FE.ensemble_features(panel(spark, d)).select("ts", *_ENS))
+
+
+_REV = [f"demand_disagreement_{s}" for s in HORIZONS] + [n for n, _, _ in REVISIONS]
+
+
+@register("revisions", with_ctes(panel_ctes(), final(
+    "SELECT ts, " + ", ".join([f"Meteo_ISEMDEMAND_{s} - EirGridDemandFc_{s} AS demand_disagreement_{s}" for s in HORIZONS]
+                              + [f"{a} - {b} AS {n}" for n, a, b in REVISIONS]) + " FROM panel",
+    dbl=_REV, rest=["ts"])))
+def q_revisions(spark, d):
+    return finalize(FE.disagreement_and_revisions(panel(spark, d)).select("ts", *_REV))
+
+
+_REN = [f"ren_pct_{s}" for s in HORIZONS] + [f"GB_vs_IRL_{g.replace(' ', '_')}" for g in GB_PRICES]
+
+
+@register("renewables_cross_border", with_ctes(panel_ctes(), final(
+    "SELECT ts, " + ", ".join(
+        [f"(EirGridWindFc_{s} + ISEMSOLAR_{s}) / (EirGridDemandFc_{s} + 1e0) AS ren_pct_{s}" for s in HORIZONS]
+        + [f"{q(g)} - PriceDAM AS GB_vs_IRL_{g.replace(' ', '_')}" for g in GB_PRICES]) + " FROM panel",
+    dbl=_REN, rest=["ts"])))
+def q_renewables_cross_border(spark, d):
+    return finalize(FE.renewables_cross_border(panel(spark, d)).select("ts", *_REN))
+
+
+def _lag_sql(kinds):
+    out = []
+    for b in LAG_BASES:
+        for sfx, shift, kind, rows, minp in LAG_FEATURES:
+            if kind not in kinds:
+                continue
+            if kind == "lag":
+                out.append(f"lag({b}, {shift}) OVER w AS {b}{sfx}")
+            else:
+                fr = f"(ORDER BY ts ROWS BETWEEN {shift + rows - 1} PRECEDING AND {shift} PRECEDING)"
+                fn = "avg" if kind == "mean" else "stddev_samp"
+                out.append(f"CASE WHEN count({b}) OVER {fr} >= {minp} THEN {fn}({b}) OVER {fr} END AS {b}{sfx}")
+    return out
+
+
+def _lag_names(kinds):
+    return [f"{b}{sfx}" for b in LAG_BASES for sfx, _, kind, _, _ in LAG_FEATURES if kind in kinds]
+
+
+@register("lags", with_ctes(panel_ctes(), final(
+    f"SELECT ts, row_number() OVER w - 1 AS idx, {', '.join(_lag_sql(['lag']))} FROM panel WINDOW w AS (ORDER BY ts)",
+    dbl=_lag_names(["lag"]), ints=["idx"], rest=["ts"])))
+def q_lags(spark, d):
+    return finalize(features(spark, d).select("ts", "idx", *_lag_names(["lag"])))
+
+
+@register("rolling_mean", with_ctes(panel_ctes(), final(
+    f"SELECT ts, {', '.join(_lag_sql(['mean']))} FROM panel", dbl=_lag_names(["mean"]), rest=["ts"], digits=4)))
+def q_rolling_mean(spark, d):
+    return finalize(features(spark, d).select("ts", *_lag_names(["mean"])), 4)
+
+
+@register("rolling_std", with_ctes(panel_ctes(), final(
+    f"SELECT ts, {', '.join(_lag_sql(['std']))} FROM panel", dbl=_lag_names(["std"]), rest=["ts"], digits=4)))
+def q_rolling_std(spark, d):
+    return finalize(features(spark, d).select("ts", *_lag_names(["std"])), 4)
+
+
+_SUP = ("SELECT l_suppkey, l_shipdate, sum(l_quantity) AS qty, "
+        "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue, count(*) AS n_lines "
+        "FROM lineitem GROUP BY 1, 2")
+
+
+@register("row_index", with_ctes([("sd", _SUP)], final(
+    "SELECT l_suppkey, l_shipdate, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) - 1 AS idx FROM sd",
+    ints=["l_suppkey", "idx"], rest=["l_shipdate"])))
+def q_row_index(spark, d):
+    return finalize(row_index(supplier_daily(spark, d), "l_shipdate", by="l_suppkey").select("l_suppkey", "l_shipdate", "idx"))
+
+
+def _series_windows():
+    return {"qty_lag1": lag_expr("qty", 1),
+            "qty_ma7": shifted_rolling("qty", 1, 7, 3, "mean"),
+            "qty_std7": shifted_rolling("qty", 1, 7, 3, "std"),
+            "revenue_ma28": shifted_rolling("revenue", 1, 28, 7, "mean")}
+
+
+def rolling_by_series_df(spark, d, chunk: int = 20_000):
+    sd = row_index(supplier_daily(spark, d), "l_shipdate", by="l_suppkey")
+    return halo_windows(sd, "idx", _series_windows(), reach=28, by="l_suppkey", chunk=chunk)
+
+
+@register("rolling_by_series", with_ctes([("sd", _SUP)], final(
+    "SELECT l_suppkey, l_shipdate, qty, lag(qty, 1) OVER w AS qty_lag1, "
+    "CASE WHEN count(qty) OVER w7 >= 3 THEN avg(qty) OVER w7 END AS qty_ma7, "
+    "CASE WHEN count(qty) OVER w7 >= 3 THEN stddev_samp(qty) OVER w7 END AS qty_std7, "
+    "CASE WHEN count(revenue) OVER w28 >= 7 THEN avg(revenue) OVER w28 END AS revenue_ma28 FROM sd "
+    "WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate), "
+    "w7 AS (PARTITION BY l_suppkey ORDER BY l_shipdate ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), "
+    "w28 AS (PARTITION BY l_suppkey ORDER BY l_shipdate ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)",
+    dbl=["qty", "qty_lag1", "qty_ma7", "qty_std7", "revenue_ma28"], ints=["l_suppkey"], rest=["l_shipdate"],
+    digits=4)))
+def q_rolling_by_series(spark, d):
+    return finalize(rolling_by_series_df(spark, d).select(
+        "l_suppkey", "l_shipdate", "qty", "qty_lag1", "qty_ma7", "qty_std7", "revenue_ma28"), 4)
