@@ -5,6 +5,9 @@ from typing import Iterable
 
 from spreadforge.config import ALWAYS_EXCLUDE, TARGET_PREFIXES, TIME_FEATURES
 
+# helper columns of this engine (row position, series keys) are never features
+ENGINE_COLUMNS = ("idx",)
+
 
 def build_xcols(columns: Iterable[str], tokens: Iterable[str],
                 always: Iterable[str] = (), strict_gate_horizon: str | None = None) -> list[str]:
@@ -20,7 +23,7 @@ def build_xcols(columns: Iterable[str], tokens: Iterable[str],
     always = set(always)
     keep = set()
     for c in columns:
-        if c in ALWAYS_EXCLUDE or c.startswith(TARGET_PREFIXES):
+        if c in ALWAYS_EXCLUDE or c in ENGINE_COLUMNS or c.startswith(TARGET_PREFIXES):
             continue
         if c in TIME_FEATURES or c in always or any(t in c.upper() for t in toks):
             keep.add(c)

@@ -676,3 +676,119 @@ def rolling_by_series_df(spark, d, chunk: int = 20_000):
 def q_rolling_by_series(spark, d):
     return finalize(rolling_by_series_df(spark, d).select(
         "l_suppkey", "l_shipdate", "qty", "qty_lag1", "qty_ma7", "qty_std7", "revenue_ma28"), 4)
+
+
+# --------------------------------------------------------------------------- data sets
+from spreadforge.config import LAG_BURNIN, TRANSITIONS, TIME_FEATURES, ALWAYS_EXCLUDE, TARGET_PREFIXES  # noqa: E402
+from spreadforge.operators import dataset as DS  # noqa: E402
+
+
+def indexed_panel(spark, d):
+    return row_index(panel(spark, d), "ts")
+
+
+def long_ds(spark, d):
+    return DS.long_dataset(indexed_panel(spark, d))
+
+
+def _ds_sql():
+    parts = []
+    for t in TRANSITIONS:
+        w = f" AND ({t.window})" if t.window else ""
+        parts.append(f"SELECT '{t.name}' AS transition, idx, ts, CAST(sign({t.spread}) AS INTEGER) AS y_dir, "
+                     f"{t.spread} AS y_mag FROM ip WHERE idx >= {LAG_BURNIN} AND {t.spread} IS NOT NULL "
+                     f"AND sign({t.spread}) <> 0{w}")
+    return [("ip", "SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx FROM panel"),
+            ("ds", " UNION ALL ".join(parts)),
+            ("dsp", "SELECT *, row_number() OVER (PARTITION BY transition ORDER BY idx) - 1 AS rn0, "
+                    "count(*) OVER (PARTITION BY transition) AS n FROM ds"),
+            ("split", "SELECT *, CASE WHEN rn0 < floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS split FROM dsp")]
+
+
+@register("transition_guard", with_ctes(panel_ctes(), final(
+    " UNION ALL ".join(f"SELECT '{t.name}' AS transition, '{t.spread}' AS spread, count({t.spread}) AS n_non_missing, "
+                       f"count({t.spread}) >= 500 AS usable FROM panel" for t in TRANSITIONS),
+    ints=["n_non_missing"], rest=["transition", "spread", "usable"])))
+def q_transition_guard(spark, d):
+    return finalize(DS.transition_guard(panel(spark, d)))
+
+
+@register("usable_targets", with_ctes(panel_ctes() + _ds_sql(), final(
+    "SELECT transition, count(*) AS n_rows, min(idx) AS idx_min, sum(CAST(y_dir = 1 AS INTEGER)) AS n_up, "
+    "sum(y_mag) AS y_sum FROM ds GROUP BY 1", dbl=["y_sum"], ints=["n_rows", "idx_min", "n_up"], rest=["transition"],
+    digits=4)))
+def q_usable_targets(spark, d):
+    return finalize(long_ds(spark, d).groupBy("transition").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("idx").alias("idx_min"),
+        F.sum((F.col("y_dir") == 1).cast("int")).alias("n_up"), F.sum("y_mag").alias("y_sum")), 4)
+
+
+@register("long_dataset", with_ctes(panel_ctes() + _ds_sql(), final(
+    "SELECT * FROM ds", dbl=["y_mag"], ints=["idx", "y_dir"], rest=["transition", "ts"])))
+def q_long_dataset(spark, d):
+    return finalize(long_ds(spark, d))
+
+
+@register("temporal_split", with_ctes(panel_ctes() + _ds_sql(), final(
+    "SELECT transition, idx, ts, y_dir, rn0, n, split FROM split", ints=["idx", "y_dir", "rn0", "n"],
+    rest=["transition", "ts", "split"])))
+def q_temporal_split(spark, d):
+    return finalize(DS.temporal_split(long_ds(spark, d)).select("transition", "idx", "ts", "y_dir", "rn0", "n", "split"))
+
+
+def _folds_sql():
+    parts = []
+    for k in range(5):
+        start = f"(n - {5 - k} * (n // 6))"
+        parts.append(f"SELECT transition, {k} AS fold, CASE WHEN rn0 < {start} THEN 'train' WHEN rn0 < {start} + n // 6 "
+                     f"THEN 'test' END AS role, idx FROM dsp")
+    return " UNION ALL ".join(parts)
+
+
+@register("walk_forward_folds", with_ctes(panel_ctes() + _ds_sql() + [("fo", _folds_sql())], final(
+    "SELECT transition, fold, role, count(*) AS rows, min(idx) AS idx_min, max(idx) AS idx_max FROM fo "
+    "WHERE role IS NOT NULL GROUP BY 1, 2, 3", ints=["fold", "rows", "idx_min", "idx_max"],
+    rest=["transition", "role"])))
+def q_walk_forward_folds(spark, d):
+    return finalize(DS.fold_summary(DS.walk_forward_roles(long_ds(spark, d))))
+
+
+@register("class_balance", with_ctes(panel_ctes() + _ds_sql(), final(
+    "SELECT transition, count(*) FILTER (WHERE y_dir = 1) AS n_up, count(*) FILTER (WHERE y_dir = -1) AS n_down, "
+    "avg(CAST(y_dir = 1 AS DOUBLE)) AS up_share FROM split WHERE split = 'train' GROUP BY 1",
+    dbl=["up_share"], ints=["n_up", "n_down"], rest=["transition"])))
+def q_class_balance(spark, d):
+    return finalize(DS.class_balance(DS.temporal_split(long_ds(spark, d))))
+
+
+def feature_panel_columns() -> list[str]:
+    """Column names of the engineered feature table (static mirror, checked by
+    the ``feature_names`` query against the live schema)."""
+    base = (["ts"] + ["TradeDate", "StartDateTime"] + [c for c in _RAW_NUM if c != "PredictedICFlow"]
+            + ["hour", "minute", "hod", "PredictedICFlow"] + SPR + ["dir_" + s for s in SPR] + _ND
+            + _CAL + _CYC + _ENS + _REV + ["idx"] + _lag_names(["lag", "mean", "std"]) + _REN)
+    return base
+
+
+def _feature_sql():
+    names = ", ".join("('" + c.replace("'", "''") + "')" for c in feature_panel_columns())
+    parts = []
+    for t in TRANSITIONS:
+        toks = ", ".join("'" + x.upper() + "'" for x in t.tokens)
+        always = ", ".join("'" + x + "'" for x in t.always)
+        tf = ", ".join("'" + x + "'" for x in TIME_FEATURES)
+        excl = ", ".join("'" + x + "'" for x in ALWAYS_EXCLUDE + ("idx",))
+        pref = " AND ".join(f"NOT starts_with(c, '{p}')" for p in TARGET_PREFIXES)
+        parts.append(
+            f"SELECT '{t.name}' AS transition, c AS feature FROM cols WHERE c NOT IN ({excl}) AND {pref} AND "
+            f"(c IN ({tf}) OR c IN ({always}) OR len(list_filter([{toks}], lambda k: contains(upper(c), k))) > 0)")
+    return [("cols", f"SELECT * FROM (VALUES {names}) v(c)"), ("fx", " UNION ALL ".join(parts))]
+
+
+@register("feature_names", with_ctes(_feature_sql(), final(
+    "SELECT transition, feature, count(*) OVER (PARTITION BY transition) AS n_features FROM fx",
+    ints=["n_features"], rest=["transition", "feature"])))
+def q_feature_names(spark, d):
+    from pyspark.sql import Window
+    ft = DS.feature_table(spark, features(spark, d).columns)
+    return finalize(ft.withColumn("n_features", F.count(F.lit(1)).over(Window.partitionBy("transition"))))
