@@ -110,9 +110,16 @@ def pnl_series(scored: DataFrame, cfg: BacktestConfig = BacktestConfig(), thresh
     cumulative P&L, running maximum and drawdown, by a prefix scan."""
     t = cfg.best_threshold if threshold is None else threshold
     d = sized if sized is not None else add_sizing(scored, cfg)
-    per_ts = row_pnl(d, t, spread).groupBy(KEY, "ts").agg(F.sum("pnl").alias("pnl"))
+    per_ts = row_pnl(d, t, spread).groupBy(KEY, "ts").agg(F.sum(money(F.col("pnl"))).alias("pnl"))
     rs = running_sum_max(per_ts, "pnl", "ts", by=KEY, cum="cum_pnl", cum_max="cum_max")
-    return rs.withColumn("drawdown", F.col("cum_pnl") - F.col("cum_max"))
+    rs = rs.withColumn("drawdown", F.col("cum_pnl") - F.col("cum_max"))
+    return rs.select(KEY, "ts", *[F.col(c).cast("double").alias(c) for c in ("pnl", "cum_pnl", "cum_max", "drawdown")])
+
+
+def money(c: Column) -> Column:
+    """EUR amount rounded to micro-euros as DECIMAL(38,6): sums of it are exact,
+    so cumulative P&L does not depend on partitioning or summation order."""
+    return F.when(F.abs(c) < 1e12, F.floor(c * 1e6 + 0.5) / 1e6).cast("decimal(38,6)")
 
 
 def max_drawdown(series: DataFrame) -> DataFrame:

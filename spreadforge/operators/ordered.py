@@ -111,7 +111,7 @@ def running_sum_max(df: DataFrame, value: str, order: Sequence[str] | str, by=No
     local = local.withColumn("__lm", F.max("__ls").over(wl))
     tot = local.groupBy(*by, "__bkt").agg(F.sum(col(value)).alias("__tot"), F.max("__ls").alias("__mx"))
     wp = Window.partitionBy(*by).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("__off", F.coalesce(F.sum("__tot").over(wp), F.lit(0.0)))
+    tot = tot.withColumn("__off", F.coalesce(F.sum("__tot").over(wp), F.lit(0)))
     tot = tot.withColumn("__prev", F.max(F.col("__off") + F.col("__mx")).over(wp))
     j = local.join(tot.select(*by, "__bkt", "__off", "__prev"), [*by, "__bkt"])
     return (j.withColumn(cum, F.col("__ls") + F.col("__off"))

@@ -792,3 +792,183 @@ def q_feature_names(spark, d):
     from pyspark.sql import Window
     ft = DS.feature_table(spark, features(spark, d).columns)
     return finalize(ft.withColumn("n_features", F.count(F.lit(1)).over(Window.partitionBy("transition"))))
+
+
+# --------------------------------------------------------------------------- metrics (on scored rows)
+from spreadforge.operators import metrics as MT  # noqa: E402
+
+
+def scored_eval(spark, d):
+    """Scored rows with true / predicted direction and magnitude."""
+    return scored_rows(spark, d).withColumns({
+        "y": F.signum("spread").cast("int"),
+        "pred": F.when(F.col("p_up") > 0.5, F.lit(1)).otherwise(F.lit(-1)),
+        "y_mag": F.col("spread")})
+
+
+def _eval_sql():
+    return scored_sql() + [("ev", "SELECT *, CAST(sign(spread) AS INTEGER) AS y, "
+                                  "CASE WHEN p_up > 0.5e0 THEN 1 ELSE -1 END AS pred, spread AS y_mag FROM scored")]
+
+
+_AUC_SQL = [("sg", "SELECT transition, p_up AS score, CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE) AS pos, "
+                   "CAST(count(*) FILTER (WHERE y <> 1) AS DOUBLE) AS neg FROM ev GROUP BY 1, 2"),
+            ("sc", "SELECT *, sum(neg) OVER (PARTITION BY transition ORDER BY score ROWS UNBOUNDED PRECEDING) - neg "
+                   "AS neg_below FROM sg"),
+            ("auc", "SELECT transition, sum(pos * (neg_below + neg / 2e0)) / NULLIF(sum(pos) * sum(neg), 0) AS roc_auc "
+                    "FROM sc GROUP BY 1"),
+            ("acc", "SELECT transition, avg(CAST(pred = y AS DOUBLE)) AS accuracy, count(*) AS n FROM ev GROUP BY 1")]
+
+
+@register("accuracy_auc", with_ctes(_eval_sql() + _AUC_SQL, final(
+    "SELECT transition, accuracy, n, roc_auc FROM acc JOIN auc USING (transition)",
+    dbl=["accuracy", "roc_auc"], ints=["n"], rest=["transition"])))
+def q_accuracy_auc(spark, d):
+    s = scored_eval(spark, d)
+    return finalize(MT.accuracy(s).join(MT.roc_auc(s), "transition"))
+
+
+_REG_SQL = ("SELECT transition, avg(abs(pred_mag - y_mag)) AS reg_mae, "
+            "1 - sum((pred_mag - y_mag) * (pred_mag - y_mag)) / NULLIF(var_pop(y_mag) * count(y_mag), 0) AS reg_r2 "
+            "FROM ev GROUP BY 1")
+
+
+@register("regression_metrics", with_ctes(_eval_sql(), final(_REG_SQL, dbl=["reg_mae", "reg_r2"], rest=["transition"])))
+def q_regression_metrics(spark, d):
+    return finalize(MT.regression_metrics(scored_eval(spark, d)))
+
+
+_CNT_SQL = ("cm", "SELECT transition, count(*) FILTER (WHERE y = -1 AND pred = -1) AS nn, "
+                  "count(*) FILTER (WHERE y = -1 AND pred = 1) AS np, count(*) FILTER (WHERE y = 1 AND pred = -1) AS pn, "
+                  "count(*) FILTER (WHERE y = 1 AND pred = 1) AS pp FROM ev GROUP BY 1")
+
+
+def _report_sql():
+    z = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / NULLIF({b}, 0), 0e0)"
+    f1 = lambda p, r: f"coalesce(2 * ({p}) * ({r}) / NULLIF(({p}) + ({r}), 0), 0e0)"
+    pn_, rn_ = z("nn", "nn + pn"), z("nn", "nn + np")
+    pp_, rp_ = z("pp", "pp + np"), z("pp", "pp + pn")
+    w = lambda a, b: f"coalesce((({a}) * (nn + np) + ({b}) * (pn + pp)) / NULLIF(nn + np + pn + pp, 0), 0e0)"
+    rows = [("-1", pn_, rn_, f1(pn_, rn_), "nn + np"), ("1", pp_, rp_, f1(pp_, rp_), "pn + pp"),
+            ("accuracy", "NULL", "NULL", z("nn + pp", "nn + np + pn + pp"), "nn + np + pn + pp"),
+            ("macro avg", f"({pn_} + {pp_}) / 2", f"({rn_} + {rp_}) / 2", f"({f1(pn_, rn_)} + {f1(pp_, rp_)}) / 2",
+             "nn + np + pn + pp"),
+            ("weighted avg", w(pn_, pp_), w(rn_, rp_), w(f1(pn_, rn_), f1(pp_, rp_)), "nn + np + pn + pp")]
+    return " UNION ALL ".join(
+        f"SELECT transition, '{lbl}' AS label, round_even(CAST({p} AS DOUBLE), 4) AS precision, "
+        f"round_even(CAST({r} AS DOUBLE), 4) AS recall, round_even({f}, 4) AS f1, {s} AS support FROM cm"
+        for lbl, p, r, f, s in rows)
+
+
+@register("class_report", with_ctes(_eval_sql() + [_CNT_SQL], final(
+    _report_sql(), dbl=["precision", "recall", "f1"], ints=["support"], rest=["transition", "label"])))
+def q_class_report(spark, d):
+    return finalize(MT.class_report(scored_eval(spark, d)))
+
+
+@register("confusion", with_ctes(_eval_sql() + [_CNT_SQL], final(
+    " UNION ALL ".join(
+        f"SELECT transition, {a} AS actual, {b} AS predicted, {k} AS count, "
+        f"CAST({k} AS DOUBLE) / NULLIF(nn + np + pn + pp, 0) AS total_share, CAST({k} AS DOUBLE) / NULLIF({r}, 0) AS row_share FROM cm"
+        for a, b, k, r in ((-1, -1, "nn", "nn + np"), (-1, 1, "np", "nn + np"), (1, -1, "pn", "pn + pp"),
+                           (1, 1, "pp", "pn + pp"))),
+    dbl=["total_share", "row_share"], ints=["actual", "predicted", "count"], rest=["transition"])))
+def q_confusion(spark, d):
+    return finalize(MT.confusion(scored_eval(spark, d)))
+
+
+# --------------------------------------------------------------------------- backtest rows & series
+@register("signals", with_ctes(_sized_sql(), final(
+    "SELECT transition, ts, spread, p_up, conf, CASE WHEN conf <= 0.2e0 THEN 0 ELSE dir END AS signal FROM sized",
+    dbl=["spread", "p_up", "conf"], ints=["signal"], rest=["transition", "ts"])))
+def q_signals(spark, d):
+    s = scored_rows(spark, d)
+    return finalize(s.select("transition", "ts", "spread", "p_up", BT.confidence(F.col("p_up")).alias("conf"),
+                             BT.signal(F.col("p_up"), 0.2).alias("signal")))
+
+
+@register("sizing", with_ctes(_sized_sql(), final(
+    "SELECT transition, ts, pred_mag, size_base, volume FROM sized JOIN size_base USING (transition)",
+    dbl=["pred_mag", "size_base", "volume"], rest=["transition", "ts"])))
+def q_sizing(spark, d):
+    return finalize(BT.add_sizing(scored_rows(spark, d), _CFG).select("transition", "ts", "pred_mag", "size_base", "volume"))
+
+
+_ROWPNL = ("rp", "SELECT transition, ts, spread, CASE WHEN conf <= 0.2e0 THEN 0 ELSE dir END AS signal, "
+                 "CASE WHEN conf <= 0.2e0 THEN 0e0 ELSE pnl END AS pnl FROM sized_pnl")
+
+
+@register("row_pnl", with_ctes(_sized_sql() + [_ROWPNL], final(
+    "SELECT * FROM rp", dbl=["spread", "pnl"], ints=["signal"], rest=["transition", "ts"])))
+def q_row_pnl(spark, d):
+    r = BT.row_pnl(BT.add_sizing(scored_rows(spark, d), _CFG), 0.2)
+    return finalize(r.select("transition", "ts", "spread", "signal", "pnl"))
+
+
+_SERIES = [("ps", "SELECT transition, ts, sum(CAST(floor(pnl * 1e6 + 0.5e0) / 1e6 AS DECIMAL(38, 6))) AS pnl "
+                  "FROM rp GROUP BY 1, 2"),
+           ("pc", "SELECT *, sum(pnl) OVER w AS cum_pnl FROM ps WINDOW w AS (PARTITION BY transition ORDER BY ts "
+                  "ROWS UNBOUNDED PRECEDING)"),
+           ("pm", "SELECT *, max(cum_pnl) OVER (PARTITION BY transition ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum_max "
+                  "FROM pc"),
+           ("pd", "SELECT transition, ts, CAST(pnl AS DOUBLE) AS pnl, CAST(cum_pnl AS DOUBLE) AS cum_pnl, "
+                  "CAST(cum_max AS DOUBLE) AS cum_max, CAST(cum_pnl - cum_max AS DOUBLE) AS drawdown FROM pm")]
+
+
+@register("pnl_series", with_ctes(_sized_sql() + [_ROWPNL] + _SERIES, final(
+    "SELECT * FROM pd", dbl=["pnl", "cum_pnl", "cum_max", "drawdown"], rest=["transition", "ts"], digits=3)))
+def q_pnl_series(spark, d):
+    return finalize(BT.pnl_series(scored_rows(spark, d), _CFG), 3)
+
+
+@register("max_drawdown", with_ctes(_sized_sql() + [_ROWPNL] + _SERIES, final(
+    "SELECT transition, min(drawdown) AS max_drawdown, arg_max(cum_pnl, ts) AS final_pnl FROM pd GROUP BY 1",
+    dbl=["max_drawdown", "final_pnl"], rest=["transition"], digits=3)))
+def q_max_drawdown(spark, d):
+    return finalize(BT.max_drawdown(BT.pnl_series(scored_rows(spark, d), _CFG)), 3)
+
+
+@register("threshold_sensitivity", with_ctes(_sized_sql() + [("trading", _trading_sql())], final(
+    "SELECT transition, conf_thresh, eur_per_mwh, n_trades FROM trading", dbl=["conf_thresh", "eur_per_mwh"],
+    ints=["n_trades"], rest=["transition"])))
+def q_threshold_sensitivity(spark, d):
+    return finalize(BT.threshold_sensitivity(BT.trading_table(scored_rows(spark, d), _CFG)))
+
+
+@register("pct_traded", with_ctes(_sized_sql() + [("trading", _trading_sql())], final(
+    "SELECT transition, conf_thresh, n_trades, test_size, pct_traded FROM trading",
+    dbl=["conf_thresh", "pct_traded"], ints=["n_trades", "test_size"], rest=["transition"])))
+def q_pct_traded(spark, d):
+    return finalize(BT.trading_table(scored_rows(spark, d), _CFG).select(
+        "transition", "conf_thresh", "n_trades", "test_size", "pct_traded"))
+
+
+_BOARD = [("trading", _trading_sql()),
+          ("best", "SELECT * EXCLUDE (rk, test_size, pct_traded) FROM (SELECT *, row_number() OVER (PARTITION BY transition "
+                   "ORDER BY eur_per_mwh DESC NULLS LAST, conf_thresh) AS rk FROM trading) WHERE rk = 1"),
+          ("met", "SELECT transition, round_even(accuracy, 4) AS test_accuracy, round_even(roc_auc, 4) AS roc_auc, "
+                  "CAST(NULL AS DOUBLE) AS cv_accuracy, CAST(NULL AS DOUBLE) AS cv_std, round_even(reg_r2, 4) AS reg_r2, "
+                  "round_even(reg_mae, 4) AS reg_mae FROM acc JOIN auc USING (transition) JOIN (" + _REG_SQL
+                  + ") USING (transition)"),
+          ("board", "SELECT * FROM best JOIN met USING (transition)")]
+_BOARD_DBL = ["conf_thresh", "hit_rate", "eur_per_mwh", "total_pnl_eur", "sharpe_proxy", "test_accuracy", "roc_auc",
+              "cv_accuracy", "cv_std", "reg_r2", "reg_mae"]
+
+
+def leaderboard_df(spark, d):
+    s = scored_eval(spark, d)
+    return BT.leaderboard(BT.trading_table(s, _CFG), MT.model_metrics(s))
+
+
+@register("leaderboard", with_ctes(_sized_sql() + _eval_sql() + _AUC_SQL + _BOARD, final(
+    "SELECT * FROM board", dbl=_BOARD_DBL, ints=["n_trades"], rest=["transition"])))
+def q_leaderboard(spark, d):
+    return finalize(leaderboard_df(spark, d))
+
+
+@register("top_rows", with_ctes(_sized_sql() + _eval_sql() + _AUC_SQL + _BOARD, final(
+    "SELECT 'best_profit' AS kind, * FROM (SELECT * FROM board ORDER BY total_pnl_eur DESC, transition DESC LIMIT 1) "
+    "UNION ALL SELECT 'best_accuracy' AS kind, * FROM (SELECT * FROM board ORDER BY test_accuracy DESC, transition DESC "
+    "LIMIT 1)", dbl=_BOARD_DBL, ints=["n_trades"], rest=["kind", "transition"])))
+def q_top_rows(spark, d):
+    return finalize(BT.top_rows(leaderboard_df(spark, d)))
