@@ -972,3 +972,114 @@ def q_leaderboard(spark, d):
     "LIMIT 1)", dbl=_BOARD_DBL, ints=["n_trades"], rest=["kind", "transition"])))
 def q_top_rows(spark, d):
     return finalize(BT.top_rows(leaderboard_df(spark, d)))
+
+
+# --------------------------------------------------------------------------- models, job, IO
+from spreadforge.config import ModelConfig, TRANSITION_BY_NAME  # noqa: E402
+from spreadforge.operators import models as MD  # noqa: E402
+from spreadforge.session import scratch_dir  # noqa: E402
+
+QUERY_MODEL = ModelConfig(max_iter=5)
+QUERY_CV = ModelConfig(max_iter=3)
+
+
+def _feature_ctes():
+    cal = ["isodow(ts) - 1 AS dow", "month(ts) AS month", "CAST(isodow(ts) - 1 >= 5 AS INTEGER) AS is_weekend",
+           "CAST(month(ts) IN (11, 12, 1, 2, 3) AS INTEGER) AS is_winter",
+           "CAST(hod BETWEEN 7 AND 21 AS INTEGER) AS is_peak",
+           "sin(2 * pi() * hod / 24e0) AS hour_sin", "cos(2 * pi() * hod / 24e0) AS hour_cos",
+           "sin(2 * pi() * (isodow(ts) - 1) / 7e0) AS dow_sin", "cos(2 * pi() * (isodow(ts) - 1) / 7e0) AS dow_cos",
+           "sin(2 * pi() * month(ts) / 12e0) AS month_sin", "cos(2 * pi() * month(ts) / 12e0) AS month_cos"]
+    rev = ([f"Meteo_ISEMDEMAND_{s} - EirGridDemandFc_{s} AS demand_disagreement_{s}" for s in HORIZONS]
+           + [f"{a} - {b} AS {n}" for n, a, b in REVISIONS])
+    ren = ([f"(EirGridWindFc_{s} + ISEMSOLAR_{s}) / (EirGridDemandFc_{s} + 1e0) AS ren_pct_{s}" for s in HORIZONS]
+           + [f"{q(g)} - PriceDAM AS GB_vs_IRL_{g.replace(' ', '_')}" for g in GB_PRICES])
+    body = ", ".join(cal + _ens_sql() + rev + ["row_number() OVER w - 1 AS idx"] + _lag_sql(["lag", "mean", "std"]) + ren)
+    return panel_ctes() + [("fp", f"SELECT *, {body} FROM panel WINDOW w AS (ORDER BY ts)")]
+
+
+def _impute_cols():
+    from spreadforge.functions.selection import build_xcols
+    t = TRANSITION_BY_NAME["DAM→IDA1"]
+    return build_xcols(feature_panel_columns(), t.tokens, t.always)
+
+
+def _impute_sql():
+    t = TRANSITION_BY_NAME["DAM→IDA1"]
+    cols = _impute_cols()
+    ds = (f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS rn0, count(*) OVER () AS n FROM fp "
+          f"WHERE idx >= {LAG_BURNIN} AND {t.spread} IS NOT NULL AND sign({t.spread}) <> 0) "
+          "WHERE rn0 < floor(n * 0.8e0)")
+    lf = (f"SELECT feature, value FROM (SELECT {', '.join(f'CAST({q(c)} AS DOUBLE) AS {q(c)}' for c in cols)} "
+          f"FROM tr) AS t UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(q(c) for c in cols)}))")
+    return [("tr", ds), ("lfi", lf),
+            ("md", "SELECT feature, quantile_cont(value, 0.5) AS median FROM lfi GROUP BY 1"),
+            ("im", "SELECT feature, median, coalesce(value, median) AS v FROM lfi JOIN md USING (feature) "
+                   "WHERE median IS NOT NULL")]
+
+
+@register("impute_scale", with_ctes(_feature_ctes() + _impute_sql(), final(
+    "SELECT feature, median, avg(v) AS mean, stddev_samp(v) AS std, count(*) AS n FROM im GROUP BY 1, 2",
+    dbl=["median", "mean", "std"], ints=["n"], rest=["feature"], digits=4)))
+def q_impute_scale(spark, d):
+    from spreadforge.operators.explore import long_form
+    t = TRANSITION_BY_NAME["DAM→IDA1"]
+    wide = features(spark, d)
+    ds = wide.where(DS.usable_target(t.spread, t.window)).withColumn("transition", F.lit(t.name))
+    split = DS.temporal_split(ds.select("transition", "idx")).select("idx", "split")
+    tr = ds.join(split, "idx").where("split = 'train'")
+    cols = _impute_cols()
+    meds = MD.column_medians(tr, cols)
+    lf = long_form(MD.impute(tr, meds).select(*[F.col(f"`{c}`") for c in meds]), list(meds), name="feature")
+    stats = lf.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                                      F.count(F.lit(1)).alias("n"))
+    med_df = spark.createDataFrame(list(meds.items()), "feature string, median double")
+    return finalize(stats.join(F.broadcast(med_df), "feature"), 4)
+
+
+def _wide_ckpt(spark, d):
+    from spreadforge.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return features(spark, d).checkpoint(eager=True)
+
+
+@register("fit_score", None)
+def q_fit_score(spark, d):
+    fits = MD.run_models(_wide_ckpt(spark, d), QUERY_MODEL)
+    return MD.scored_union(fits).select("transition", "idx", "ts", "spread", "p_up", "pred", "pred_mag")
+
+
+@register("walk_forward_cv", None)
+def q_walk_forward_cv(spark, d):
+    folds = MD.walk_forward_cv(_wide_ckpt(spark, d), TRANSITION_BY_NAME["DAM→IDA1"], QUERY_CV)
+    return folds.join(MD.cv_summary(folds), "transition")
+
+
+@register("importances", None)
+def q_importances(spark, d):
+    wide = _wide_ckpt(spark, d)
+    fits = MD.run_models(wide, QUERY_MODEL, names=[t.name for t in TRANSITIONS[:4]])
+    return MD.importances(spark, fits)
+
+
+@register("pipeline_job", None)
+def q_pipeline_job(spark, d):
+    from spreadforge.config import JobConfig
+    from spreadforge.plans.job import run
+    out = run(spark, market_panel(spark, d), scratch_dir(spark, "pipeline_job_out"), JobConfig(model=QUERY_MODEL))
+    return out["leaderboard"]
+
+
+@register("csv_roundtrip", with_ctes(panel_ctes(), final(
+    f"SELECT ts, {', '.join(SPR)} FROM panel", dbl=SPR, rest=["ts"])))
+def q_csv_roundtrip(spark, d):
+    from spreadforge.sources.market import csv_roundtrip
+    back = csv_roundtrip(spark, market_panel(spark, d), scratch_dir(spark, "csv_roundtrip/market.csv"))
+    return finalize(add_spreads_and_fundamentals(CL.clean_market_data(back)).select("ts", *SPR))
+
+
+@register("synthetic_panel", None)
+def q_synthetic_panel(spark, d):
+    from spreadforge.sources.synthetic import make_sample
+    syn = make_sample(panel(spark, d).select("ts"), seed=42)
+    return EX.hod_profile(add_spreads_and_fundamentals(CL.clean_market_data(syn)))

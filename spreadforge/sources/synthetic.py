@@ -1,0 +1,98 @@
+"""Synthetic half-hourly market table with the published generator's
+formulas (daily sine, evening bump, weekly wind cycle, solar half-sine, price
+cascade DAM -> IDA1 -> IDA2 -> IDA3 -> imbalance, windowed nulls).
+
+Rows come from a calendar DataFrame (one row per ``ts``, e.g. derived from the
+given tables), so the work grows with the data.  Noise is a per-(seed, row,
+stream) hash turned normal by Box-Muller: reproducible on any partitioning
+(``randn`` depends on the partition layout).  Statistical, not bitwise,
+parity with the reference generator."""
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spreadforge.operators.ordered import row_index
+
+_TWO53 = float(2 ** 53)
+
+
+def _uniform(seed: int, stream: int, key: Column) -> Column:
+    h = F.xxhash64(F.lit(seed), F.lit(stream), key)
+    return (F.pmod(h, F.lit(2 ** 53)).cast("double") + 0.5) / F.lit(_TWO53)
+
+
+def normal(seed: int, stream: int, key: Column, mu: float = 0.0, sd: float = 1.0) -> Column:
+    u1, u2 = _uniform(seed, 2 * stream, key), _uniform(seed, 2 * stream + 1, key)
+    z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+    return F.lit(mu) + F.lit(sd) * z
+
+
+def make_sample(calendar: DataFrame, seed: int = 42, ts: str = "ts") -> DataFrame:
+    """Synthetic raw market rows for every ``ts`` of ``calendar``."""
+    cal = row_index(calendar.select(F.col(ts).alias("ts")).distinct(), "ts", name="__i")
+    key = F.col("__i")
+    hod = F.hour("ts") + F.minute("ts") / 60.0
+    s = iter(range(1, 200))
+    b = cal.select("ts", "__i", hod.alias("__hod")).select(
+        "*",
+        F.sin(F.lit(2 * math.pi) * F.col("__hod") / 24.0).alias("__daily"),
+        F.exp(-F.pow((F.col("__hod") - 18.0) / 3.0, 2)).alias("__evening"),
+        F.greatest(F.lit(50.0), F.lit(1500.0) + F.lit(550.0) * F.sin(F.lit(2 * math.pi) * key / F.lit(48.0 * 7))
+                   + normal(seed, next(s), key, 0, 180)).alias("__wind"),
+        F.greatest(F.lit(0.0), F.lit(550.0) * F.sin(F.lit(math.pi) * (F.col("__hod") - 6.0) / 14.0)).alias("__solar"))
+    b = b.withColumn("__demand", F.lit(4200.0) + 500 * F.col("__daily") + 650 * F.col("__evening")
+                     + normal(seed, next(s), key, 0, 130))
+    b = b.withColumn("__net", F.col("__demand") - F.col("__wind") - F.col("__solar"))
+    # global means: one aggregate row, a proven-size broadcast
+    means = b.agg(F.avg("__wind").alias("__wm"), F.avg("__net").alias("__nm")).withColumn("__k", F.lit(1))
+    b = b.withColumn("__k", F.lit(1)).join(F.broadcast(means), "__k")
+    dam = F.lit(90.0) + 0.028 * F.col("__net") + 8 * F.col("__evening") + normal(seed, next(s), key, 0, 12)
+    b = b.withColumn("PriceDAM", dam)
+    b = b.withColumn("PriceIDA1", F.col("PriceDAM") + normal(seed, next(s), key, 0, 18)
+                     - 0.006 * (F.col("__wind") - F.col("__wm")))
+    b = b.withColumn("__ida2", F.col("PriceIDA1") + normal(seed, next(s), key, -4, 16))
+    b = b.withColumn("__ida3", F.col("__ida2") + normal(seed, next(s), key, -5, 15))
+    b = b.withColumn("PriceImbalance", F.col("PriceDAM") + normal(seed, next(s), key, 0, 34)
+                     + 0.012 * (F.col("__net") - F.col("__nm")))
+    h = F.col("__hod")
+    w2 = (h >= 11) & (h < 23)
+    w3 = (h >= 17) & (h < 23)
+    d, dam_c = F.col("__demand"), F.col("PriceDAM")
+    cols = {
+        "TradeDate": F.date_format("ts", "yyyy-MM-dd"), "Time": F.date_format("ts", "HH:mm:ss"),
+        "StartDateTime": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        "PriceDAM": dam_c, "PriceIDA1": F.col("PriceIDA1"),
+        "PriceIDA2": F.when(w2, F.col("__ida2")), "PriceIDA3": F.when(w3, F.col("__ida3")),
+        "PriceImbalance": F.col("PriceImbalance"),
+        "EirgridActualDemand": d + normal(seed, next(s), key, 0, 45),
+        "EirgridActualWind": F.col("__wind") + normal(seed, next(s), key, 0, 45),
+        "NIV_Actual": normal(seed, next(s), key, 0, 180),
+        "TotalPN": d + normal(seed, next(s), key, 0, 80),
+        "ActualMeterData": d + normal(seed, next(s), key, 0, 75),
+        "Aggregated Forecast": d + normal(seed, next(s), key, 0, 100),
+        "AggregatedForecast": d + normal(seed, next(s), key, 0, 100),
+        "PredictedICFlow": normal(seed, next(s), key, 0, 220),
+        "PumpStorage": normal(seed, next(s), key, 30, 18),
+        "GB DAM Epex": dam_c + normal(seed, next(s), key, 3, 10),
+        "GB DAM N2EX": dam_c + normal(seed, next(s), key, 4, 11),
+        "GB DAM HH Epex": dam_c + normal(seed, next(s), key, 2, 12),
+        "PostIDA1Flow": normal(seed, next(s), key, 0, 180),
+        "PostIDA2Flow": normal(seed, next(s), key, 0, 160),
+        "LoadForecast_MW": d + normal(seed, next(s), key, 0, 90),
+    }
+    for sfx, bias in (("DAM", 0), ("IDA1", -15), ("IDA2", -25), ("IDA3", -30)):
+        win = {"IDA2": w2, "IDA3": w3}.get(sfx)
+        dem = d + bias + normal(seed, next(s), key, 0, 70)
+        wnd = F.col("__wind") + normal(seed, next(s), key, 0, 100)
+        sol = F.greatest(F.lit(0.0), F.col("__solar") + normal(seed, next(s), key, 0, 25))
+        cols[f"EirGridDemandFc_{sfx}"] = F.when(win, dem) if win is not None else dem
+        cols[f"Meteo_ISEMDEMAND_{sfx}"] = d + bias + normal(seed, next(s), key, 0, 95)
+        cols[f"EirGridWindFc_{sfx}"] = F.when(win, wnd) if win is not None else wnd
+        cols[f"Meteo_ISEMWIND_{sfx}"] = F.col("__wind") + normal(seed, next(s), key, 0, 130)
+        cols[f"EmSys_C_ISEMWIND_{sfx}"] = F.col("__wind") + normal(seed, next(s), key, 0, 115)
+        cols[f"EmSys_U_ISEMWIND_{sfx}"] = F.col("__wind") + normal(seed, next(s), key, 0, 120)
+        cols[f"ISEMSOLAR_{sfx}"] = F.when(win, sol) if win is not None else sol
+    return b.select(*[c.alias(n) for n, c in cols.items()])
