@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spreadforge.config import GB_PRICES, HORIZONS, LAG_BASES, LAG_FEATURES, REVISIONS, WIND_PROVIDERS
 from spreadforge.functions.calendar import add_calendar, add_cyclical
 from spreadforge.functions.scalar import col, row_mean, row_range, row_std, safe_div
-from spreadforge.operators.ordered import DEFAULT_CHUNK, halo_windows, lag_expr, row_index, shifted_rolling
+from spreadforge.operators.ordered import DEFAULT_CHUNK, halo_rolling, halo_windows, lag_expr, row_index, shifted_rolling
 
 LAG_REACH = max(shift + (rows or 0) - 1 if rows else shift for _, shift, _, rows, _ in LAG_FEATURES)
 
@@ -80,7 +80,14 @@ def add_lag_features(df: DataFrame, idx: str = "idx", by=None, bases: list[str]
         bases = [c for c in LAG_BASES if c in df.columns]
         if spread_lags:
             bases = [c for c in df.columns if c.startswith("spr_")] + bases
-    return halo_windows(df, idx, lag_window_exprs(bases), reach=LAG_REACH, by=by, chunk=chunk)
+    lags, rolls = {}, {}
+    for base in bases:
+        for sfx, shift, kind, rows, minp in LAG_FEATURES:
+            if kind == "lag":
+                lags[f"{base}{sfx}"] = (base, shift)
+            else:
+                rolls[f"{base}{sfx}"] = (base, shift, rows, minp, kind)
+    return halo_rolling(df, idx, lags, rolls, by=by, chunk=chunk)
 
 
 def engineer_features(df: DataFrame, by=None, ts: str = "ts", idx: str = "idx",

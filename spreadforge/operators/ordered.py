@@ -117,3 +117,59 @@ def running_sum_max(df: DataFrame, value: str, order: Sequence[str] | str, by=No
     return (j.withColumn(cum, F.col("__ls") + F.col("__off"))
             .withColumn(cum_max, F.greatest(F.col("__prev"), F.col("__lm") + F.col("__off")))
             .drop("__bkt", "__ls", "__lm", "__off", "__prev"))
+
+
+def halo_rolling(df: DataFrame, idx: str, lags: dict[str, tuple[str, int]],
+                 rolls: dict[str, tuple[str, int, int, int, str]], by=None,
+                 chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Lags and shifted rolling mean / sample std in O(1) per row.
+
+    ``lags``:  out -> (column, k)                         value k rows back
+    ``rolls``: out -> (column, shift, rows, min_periods, 'mean' | 'std')
+               statistic over the ``rows`` values ending ``shift`` rows back,
+               NULL with fewer than ``min_periods`` present values.
+
+    Sliding ROWS frames re-aggregate the whole frame for every row (O(rows)
+    per row).  Here each chunk copy (chunk-and-halo, see ``halo_windows``)
+    gets running count / sum / sum of squares of the chunk-centred values, and
+    a frame is the difference of two lagged running values.  Centring on the
+    chunk mean keeps the variance free of cancellation.
+    """
+    by = _by(by)
+    reach = max([k for _, k in lags.values()] + [s + r for _, s, r, _, _ in rolls.values()] + [1])
+    if chunk <= reach:
+        raise ValueError("chunk must be larger than the window reach")
+    home = F.floor(col(idx) / F.lit(chunk)).cast("bigint")
+    last = F.floor((col(idx) + F.lit(reach)) / F.lit(chunk)).cast("bigint")
+    rep = df.withColumn("__home", home).withColumn("__chunk", F.explode(F.sequence(home, last)))
+    w = Window.partitionBy(*by, "__chunk").orderBy(col(idx))
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*by, "__chunk")
+    bases = sorted({c for c, *_ in rolls.values()})
+    helpers = {}
+    for i, c in enumerate(bases):
+        x = col(c).cast("double")
+        cen = F.avg(x).over(whole)
+        xc = x - cen
+        helpers[f"__c{i}"] = cen
+        helpers[f"__n{i}"] = F.count(x).over(run)
+        helpers[f"__s{i}"] = F.coalesce(F.sum(xc).over(run), F.lit(0.0))
+        helpers[f"__q{i}"] = F.coalesce(F.sum(xc * xc).over(run), F.lit(0.0))
+    staged = rep.select("*", *[e.alias(n) for n, e in helpers.items()])
+    outs = {n: F.lag(col(c), k).over(w) for n, (c, k) in lags.items()}
+    for n, (c, shift, rows, minp, stat) in rolls.items():
+        i = bases.index(c)
+
+        def diff(h):
+            return (F.coalesce(F.lag(f"__{h}{i}", shift).over(w), F.lit(0))
+                    - F.coalesce(F.lag(f"__{h}{i}", shift + rows).over(w), F.lit(0)))
+        cnt, s, q = diff("n"), diff("s"), diff("q")
+        if stat == "mean":
+            v = s / cnt + F.col(f"__c{i}")
+            ok = cnt >= max(minp, 1)
+        else:
+            v = F.sqrt(F.greatest(F.lit(0.0), (q - s * s / cnt) / (cnt - 1)))
+            ok = cnt >= max(minp, 2)
+        outs[n] = F.when(ok, v)
+    out = staged.select("*", *[e.alias(n) for n, e in outs.items()])
+    return out.where(F.col("__chunk") == F.col("__home")).drop("__home", "__chunk", *helpers.keys())
