@@ -1,0 +1,2 @@
+"""Intentionally empty: the reproduced method is batch-only (no streams, state
+or watermarks).  Every operator here works on static DataFrames."""
