@@ -21,7 +21,13 @@ SPR = [s for s, _, _ in SPREADS]
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    return add_spreads_and_fundamentals(clean_market_data(market_panel(spark, d)))
+    """Cleaned panel with spreads.  It is a reduced table (one row per
+    half-hour) reused by every later stage, so it is checkpointed into the
+    shared checkpoint folder: one ``lineitem`` scan, and short lineage for the
+    many stages built on it."""
+    from spreadforge.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return add_spreads_and_fundamentals(clean_market_data(market_panel(spark, d))).checkpoint(eager=True)
 
 
 def unpivot_sql(src: str, keep: list[str], cols: list[str], name: str = "spread") -> str:
@@ -551,7 +557,8 @@ from spreadforge.sources.fixtures import supplier_daily  # noqa: E402
 
 
 def features(spark, d):
-    return FE.engineer_features(panel(spark, d))
+    """Engineered feature table (checkpointed, as the job does)."""
+    return FE.engineer_features(panel(spark, d)).checkpoint(eager=True)
 
 
 def _ens_sql():
@@ -785,13 +792,12 @@ def _feature_sql():
     return [("cols", f"SELECT * FROM (VALUES {names}) v(c)"), ("fx", " UNION ALL ".join(parts))]
 
 
-@register("feature_names", with_ctes(_feature_sql(), final(
-    "SELECT transition, feature, count(*) OVER (PARTITION BY transition) AS n_features FROM fx",
-    ints=["n_features"], rest=["transition", "feature"])))
-def q_feature_names(spark, d):
-    from pyspark.sql import Window
-    ft = DS.feature_table(spark, features(spark, d).columns)
-    return finalize(ft.withColumn("n_features", F.count(F.lit(1)).over(Window.partitionBy("transition"))))
+def _nonmissing_sql():
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, count({q(c)}) AS non_missing FROM fp"
+                              for c in feature_panel_columns())
+
+
+
 
 
 # --------------------------------------------------------------------------- metrics (on scored rows)
@@ -1038,9 +1044,7 @@ def q_impute_scale(spark, d):
 
 
 def _wide_ckpt(spark, d):
-    from spreadforge.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return features(spark, d).checkpoint(eager=True)
+    return features(spark, d)
 
 
 @register("fit_score", None)
@@ -1083,3 +1087,19 @@ def q_synthetic_panel(spark, d):
     from spreadforge.sources.synthetic import make_sample
     syn = make_sample(panel(spark, d).select("ts"), seed=42)
     return EX.hod_profile(add_spreads_and_fundamentals(CL.clean_market_data(syn)))
+
+
+@register("feature_names", with_ctes(_feature_ctes() + _feature_sql()[:1] + [_feature_sql()[1], ("nm", _nonmissing_sql())],
+                                     final("SELECT transition, feature, count(*) OVER (PARTITION BY transition) AS n_features, "
+                                           "non_missing FROM fx JOIN nm USING (feature)",
+                                           ints=["n_features", "non_missing"], rest=["transition", "feature"])))
+def q_feature_names(spark, d):
+    """P23 per transition with the number of non-missing values of each
+    selected feature over the whole engineered table."""
+    from pyspark.sql import Window
+    from spreadforge.operators.quality import _long_counts
+    wide = features(spark, d)
+    ft = DS.feature_table(spark, wide.columns)
+    nm = _long_counts(wide, wide.columns, {"non_missing": lambda c: F.count(c)}).withColumnRenamed("column", "feature")
+    out = ft.join(nm, "feature").withColumn("n_features", F.count(F.lit(1)).over(Window.partitionBy("transition")))
+    return finalize(out.select("transition", "feature", "n_features", "non_missing"))
