@@ -25,9 +25,17 @@ def panel(spark: SparkSession, d: str) -> DataFrame:
     half-hour) reused by every later stage, so it is checkpointed into the
     shared checkpoint folder: one ``lineitem`` scan, and short lineage for the
     many stages built on it."""
-    from spreadforge.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return add_spreads_and_fundamentals(clean_market_data(market_panel(spark, d))).checkpoint(eager=True)
+    from spreadforge.session import materialize
+    return materialize(add_spreads_and_fundamentals(clean_market_data(raw_panel(spark, d))))
+
+
+def raw_panel(spark: SparkSession, d: str, dirty: bool = False) -> DataFrame:
+    """The raw market table derived from ``lineitem`` (one row per day),
+    materialised once: it stands in for a stored raw table, and the cleaning
+    stage then runs on a scan instead of being fused into the aggregation."""
+    from spreadforge.session import materialize
+    from spreadforge.sources.fixtures import dirty_panel
+    return materialize(dirty_panel(spark, d) if dirty else market_panel(spark, d))
 
 
 def unpivot_sql(src: str, keep: list[str], cols: list[str], name: str = "spread") -> str:
@@ -117,7 +125,7 @@ from spreadforge.sources.market import table_profile  # noqa: E402
 
 
 def _stage(spark, d, stop, dirty=False):
-    src = dirty_panel(spark, d) if dirty else market_panel(spark, d)
+    src = raw_panel(spark, d, dirty)
     return CL.clean_market_data(src, order_col="seq" if dirty else None, stop=stop)
 
 
@@ -558,7 +566,8 @@ from spreadforge.sources.fixtures import supplier_daily  # noqa: E402
 
 def features(spark, d):
     """Engineered feature table (checkpointed, as the job does)."""
-    return FE.engineer_features(panel(spark, d)).checkpoint(eager=True)
+    from spreadforge.session import materialize
+    return materialize(FE.engineer_features(panel(spark, d)))
 
 
 def _ens_sql():

@@ -15,7 +15,7 @@ from spreadforge.operators import models as M
 from spreadforge.operators.clean import clean_market_data
 from spreadforge.operators.features import engineer_features
 from spreadforge.operators.spreads import add_spreads_and_fundamentals
-from spreadforge.session import ensure_checkpoint_dir
+from spreadforge.session import ensure_checkpoint_dir, materialize
 from spreadforge.sources.market import load_market_data, write_table
 
 
@@ -30,9 +30,9 @@ def run(spark: SparkSession, raw: DataFrame | str, out_dir: str | None = None,
     ensure_checkpoint_dir(spark)
     if isinstance(raw, str):
         raw = load_market_data(spark, raw)
-    wide = build_features(raw).checkpoint(eager=True)
+    wide = materialize(build_features(raw))
     fits = M.run_models(wide, cfg.model, names=cfg.transitions, strict_gate=cfg.strict_gate)
-    scored = M.scored_union(fits).checkpoint(eager=True)
+    scored = materialize(M.scored_union(fits))
     cv = None
     if cfg.model.walk_forward:
         cvs = [M.walk_forward_cv(wide, f.spec, cfg.model) for f in fits]

@@ -11,7 +11,7 @@ def q(name: str) -> str:
 
 
 def raw_panel_sql(dirty: bool = False) -> list[tuple[str, str]]:
-    spec = panel_spec()
+    spec = panel_spec(decimal=True)
     aggs = ", ".join(f"{sql} AS {q(n)}" for n, sql, _ in spec)
     outs = ", ".join((f"CASE WHEN {WINDOWS[w]} THEN {q(n)} END AS {q(n)}" if w else q(n)) for n, _, w in spec)
     daily = (f"SELECT day, TIMESTAMP '2022-01-01 00:00:00' + to_minutes(CAST(day * 30 AS BIGINT)) AS ts, {aggs} "

@@ -25,6 +25,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.codegen.maxFields", "400")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # generated methods above the JIT's 8 kB limit would run interpreted
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,3 +52,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables, inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Reliable checkpoint (to the shared checkpoint folder) computed once:
+    persist, checkpoint, release the cache.  Cuts lineage so a lost executor
+    re-reads the checkpoint instead of recomputing upstream stages."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
