@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -26,6 +27,7 @@ from spreadforge.functions.selection import build_xcols
 from spreadforge.operators import dataset as DS
 from spreadforge.operators import metrics as MT
 from spreadforge.operators.quantiles import exact_percentiles
+from spreadforge.session import materialize
 
 KEY = "transition"
 
@@ -78,6 +80,8 @@ def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mod
         col(spec.spread).cast("double").alias("y_mag"), *[col(c) for c in xcols])
     split = DS.temporal_split(ds.select(KEY, "idx"), cfg.test_fraction).select("idx", "split")
     ds = ds.join(split, "idx").withColumn("__label", (F.col("y_dir") == 1).cast("double"))
+    # medians, scaler and both boosters read the same rows: keep them once
+    ds = ds.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = ds.where("split = 'train'"), ds.where("split = 'test'")
     meds = column_medians(train, xcols)
     feats = [c for c in xcols if c in meds]
@@ -89,6 +93,8 @@ def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mod
                                       F.when(F.col("__cls") == 1.0, 1).otherwise(-1).alias("pred"), *feats)
     sc = reg.transform(sc).select("idx", "ts", KEY, F.col("y_mag").alias("spread"), F.col("y_dir").alias("y"),
                                   "pred", "p_up", "pred_mag", F.col("y_mag"))
+    sc = materialize(sc)          # test rows only; releases the training cache
+    ds.unpersist()
     return FittedTransition(spec, feats, meds, clf, reg, sc, 0)
 
 
@@ -119,6 +125,7 @@ def walk_forward_cv(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mo
         "idx", F.lit(spec.name).alias(KEY), F.signum(col(spec.spread)).cast("int").alias("y_dir"),
         col(spec.spread).cast("double").alias("y_mag"), *[col(c) for c in xcols])
     roles = DS.walk_forward_roles(ds.select(KEY, "idx"), cfg.cv_splits).select("idx", "fold", "role")
+    ds = ds.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     spark = wide.sparkSession
     for k in range(cfg.cv_splits):
@@ -130,7 +137,9 @@ def walk_forward_cv(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mo
         m = Pipeline(stages=_stages(feats, cfg, "clf")).fit(impute(tr, meds))
         acc = m.transform(impute(te, meds)).select(
             F.avg((F.when(F.col("__cls") == 1.0, 1).otherwise(-1) == F.col("y_dir")).cast("double")).alias("a"))
-        rows.append(acc.select(F.lit(spec.name).alias(KEY), F.lit(k).alias("fold"), F.col("a").alias("accuracy")))
+        rows.append(materialize(acc.select(F.lit(spec.name).alias(KEY), F.lit(k).alias("fold"),
+                                           F.col("a").alias("accuracy"))))
+    ds.unpersist()
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
