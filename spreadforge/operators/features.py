@@ -91,8 +91,15 @@ def add_lag_features(df: DataFrame, idx: str = "idx", by=None, bases: list[str]
 
 
 def engineer_features(df: DataFrame, by=None, ts: str = "ts", idx: str = "idx",
-                      spread_lags: bool = False, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Whole feature stage.  Adds ``idx`` (row position per series) when absent."""
+                      spread_lags: bool = False, chunk: int = DEFAULT_CHUNK, regularise: bool = False) -> DataFrame:
+    """Whole feature stage.  Adds ``idx`` (row position per series) when absent.
+    Lags are by row position (as published); ``regularise=True`` first fills
+    the half-hour calendar so that 48 rows are always 24 hours."""
+    if regularise:
+        from spreadforge.operators.ordered import regular_calendar
+        df = regular_calendar(df, ts, by=by)
+        if "hod" in df.columns:
+            df = df.withColumn("hod", F.hour(col(ts)) + F.minute(col(ts)) / F.lit(60.0))
     df = add_cyclical(add_calendar(df, ts=ts))
     df = ensemble_features(df)
     df = disagreement_and_revisions(df)

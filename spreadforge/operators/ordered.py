@@ -173,3 +173,15 @@ def halo_rolling(df: DataFrame, idx: str, lags: dict[str, tuple[str, int]],
         outs[n] = F.when(ok, v)
     out = staged.select("*", *[e.alias(n) for n, e in outs.items()])
     return out.where(F.col("__chunk") == F.col("__home")).drop("__home", "__chunk", *helpers.keys())
+
+
+def regular_calendar(df: DataFrame, ts: str = "ts", by=None, step_minutes: int = 30) -> DataFrame:
+    """Left-join every series onto its complete ``step_minutes`` calendar
+    (min..max ``ts`` per series) so that position-based lags equal clock lags;
+    missing slots become all-NULL rows.  The calendar grows with the time span
+    of each series, not with the number of rows."""
+    by = _by(by)
+    rng = df.groupBy(*by).agg(F.min(col(ts)).alias("__lo"), F.max(col(ts)).alias("__hi"))
+    cal = rng.select(*by, F.explode(F.sequence("__lo", "__hi", F.expr(f"INTERVAL {int(step_minutes)} MINUTES")))
+                     .alias(ts))
+    return cal.join(df, [*by, ts], "left")

@@ -1112,3 +1112,17 @@ def q_feature_names(spark, d):
     nm = _long_counts(wide, wide.columns, {"non_missing": lambda c: F.count(c)}).withColumnRenamed("column", "feature")
     out = ft.join(nm, "feature").withColumn("n_features", F.count(F.lit(1)).over(Window.partitionBy("transition")))
     return finalize(out.select("transition", "feature", "n_features", "non_missing"))
+
+
+@register("scatter_sample", None)
+def q_scatter_sample(spark, d):
+    """A19 extract: at most 8 000 pairwise-complete (NetDemand_DAM, spr_BM_DAM)
+    rows chosen by a seeded hash (a sampling operator: the limit is the feature)."""
+    return EX.scatter_sample(panel(spark, d), "NetDemand_DAM", "spr_BM_DAM", n=8000, seed=42)
+
+
+@register("regularised_lags", None)
+def q_regularised_lags(spark, d):
+    """W1 on the regularised half-hour calendar (gaps filled with NULL rows)."""
+    f = FE.engineer_features(panel(spark, d), regularise=True)
+    return f.select("ts", "idx", "PriceDAM", "PriceDAM_lag1d", "PriceDAM_lag7d", "PriceDAM_ma7d")

@@ -6,7 +6,8 @@ def test_registry_consistent():
     assert set(s) <= set(q)
     assert len(q) >= 60
     rows_only = set(q) - set(s)
-    assert rows_only == {"fit_score", "walk_forward_cv", "importances", "pipeline_job", "synthetic_panel"}
+    assert rows_only == {"fit_score", "walk_forward_cv", "importances", "pipeline_job", "synthetic_panel",
+                         "scatter_sample", "regularised_lags"}
 
 
 def test_entry_smoke(spark):

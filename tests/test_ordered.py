@@ -59,3 +59,11 @@ def test_row_index_and_prefix_scan(spark):
         g = g.sort_values("ts")
         np.testing.assert_allclose(g["cum"], g["x"].cumsum(), atol=1e-9)
         np.testing.assert_allclose(g["cum_max"], g["x"].cumsum().cummax(), atol=1e-9)
+
+
+def test_regular_calendar_fills_gaps(spark):
+    from spreadforge.operators.ordered import regular_calendar
+    df = spark.createDataFrame([("2024-01-01 00:00:00", 1.0), ("2024-01-01 02:00:00", 2.0)], "t string, v double") \
+        .select(F.col("t").cast("timestamp_ntz").alias("ts"), "v")
+    out = regular_calendar(df).orderBy("ts").collect()
+    assert len(out) == 5 and [r["v"] for r in out] == [1.0, None, None, None, 2.0]
