@@ -153,10 +153,10 @@ def qcut_bins(df: DataFrame, x: str, q: int = 5, label: str | None = None) -> Da
     e = exact_percentiles(df, x, probs, names=[f"e{i}" for i in range(q + 1)]).drop("n")
     edges = F.array_sort(F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(q + 1)])))
     e = e.select(F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))).alias("__inner"))
-    # ``e`` is one global aggregate row: a proven-size broadcast
-    j = df.withColumn("__k", F.lit(1)).join(F.broadcast(e.withColumn("__k", F.lit(1))), "__k")
+    # ``e`` is one global aggregate row: a scalar subquery, no join
+    j = df.withColumn("__inner", e.scalar())
     lab = F.when(col(x).isNotNull(), F.size(F.filter("__inner", lambda v: v < col(x))))
-    return j.withColumn(label, lab.cast("bigint")).drop("__inner", "__k")
+    return j.withColumn(label, lab.cast("bigint")).drop("__inner")
 
 
 def qcut_means(df: DataFrame, x: str, spreads: Sequence[str], q: int = 5) -> DataFrame:

@@ -29,8 +29,8 @@ def dup_counts(df: DataFrame, ts: str = "ts") -> DataFrame:
     if ts in df.columns:
         t = df.groupBy(col(ts)).agg(F.count(F.lit(1)).alias("c")) \
             .agg((F.sum("c") - F.count(F.lit(1))).alias("dup_ts"))
-        # both sides are single global-aggregate rows
-        out = out.withColumn("__k", F.lit(1)).join(F.broadcast(t.withColumn("__k", F.lit(1))), "__k").drop("__k")
+        # both sides are single global-aggregate rows: scalar subquery, no join
+        out = out.withColumn("dup_ts", t.scalar())
     return out
 
 

@@ -29,6 +29,19 @@ from spreadforge.functions.scalar import col
 DEFAULT_ACCURACY = 100_000
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the columns of ``stats`` (one row per key) to ``df``.  Without keys
+    ``stats`` is a single global-aggregate row: it becomes one scalar subquery
+    (evaluated once, no join); with keys it is an equi-join whose small side
+    AQE sizes at run time."""
+    if keys:
+        return df.join(stats, keys)
+    cols = stats.columns
+    sc = stats.select(F.struct(*[F.col(c) for c in cols]).alias("__st")).scalar()
+    out = df.withColumn("__st", sc)
+    return out.select(*[F.col(c) for c in df.columns], *[F.col("__st").getField(c).alias(c) for c in cols])
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by=None,
                       names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
                       small: int | None = None) -> DataFrame:
@@ -40,11 +53,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by=None
     small = 4 * accuracy if small is None else small
     eps = 4.0 / accuracy
     P = len(probs)
-    keys = by or ["__g"]
+    keys = by
     base = df.select(*[col(c).alias(c) for c in by], col(value).cast("double").alias("__x")) \
         .where(F.col("__x").isNotNull())
-    if not by:
-        base = base.withColumn("__g", F.lit(0))
     lo_p = [max(p - eps, 0.0) for p in probs]
     hi_p = [min(p + eps, 1.0) for p in probs]
     stats = base.groupBy(*keys).agg(F.count("__x").alias("__n"),
@@ -61,7 +72,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by=None
             (F.when((n > small) & F.lit(hi_p[i] < 1.0), F.col("__b")[P + i])).alias(f"__hi{i}"),
         ]
     stats = stats.select(*sel)
-    j = base.join(stats, keys)
+    j = attach(base, stats, keys)
     inb = [((F.col(f"__lo{i}").isNull() | (F.col("__x") >= F.col(f"__lo{i}"))) &
             (F.col(f"__hi{i}").isNull() | (F.col("__x") <= F.col(f"__hi{i}")))) for i in range(P)]
     below = j.groupBy(*keys).agg(*[
@@ -69,7 +80,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by=None
     cand = j.where(_any(inb))
     w = Window.partitionBy(*keys).orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cand = cand.select("*", *[F.sum(inb[i].cast("int")).over(w).alias(f"__r{i}") for i in range(P)])
-    cand = cand.join(below, keys)
+    cand = attach(cand, below, keys)
     picks = []
     for i in range(P):
         rank = F.col(f"__below{i}") + F.col(f"__r{i}") - 1

@@ -46,9 +46,9 @@ def make_sample(calendar: DataFrame, seed: int = 42, ts: str = "ts") -> DataFram
     b = b.withColumn("__demand", F.lit(4200.0) + 500 * F.col("__daily") + 650 * F.col("__evening")
                      + normal(seed, next(s), key, 0, 130))
     b = b.withColumn("__net", F.col("__demand") - F.col("__wind") - F.col("__solar"))
-    # global means: one aggregate row, a proven-size broadcast
-    means = b.agg(F.avg("__wind").alias("__wm"), F.avg("__net").alias("__nm")).withColumn("__k", F.lit(1))
-    b = b.withColumn("__k", F.lit(1)).join(F.broadcast(means), "__k")
+    # global means: one aggregate row, attached as a scalar subquery
+    means = b.agg(F.struct(F.avg("__wind").alias("wm"), F.avg("__net").alias("nm")).alias("m")).scalar()
+    b = b.withColumn("__m", means).withColumn("__wm", F.col("__m.wm")).withColumn("__nm", F.col("__m.nm"))
     dam = F.lit(90.0) + 0.028 * F.col("__net") + 8 * F.col("__evening") + normal(seed, next(s), key, 0, 12)
     b = b.withColumn("PriceDAM", dam)
     b = b.withColumn("PriceIDA1", F.col("PriceDAM") + normal(seed, next(s), key, 0, 18)
