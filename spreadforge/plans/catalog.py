@@ -1126,3 +1126,15 @@ def q_regularised_lags(spark, d):
     """W1 on the regularised half-hour calendar (gaps filled with NULL rows)."""
     f = FE.engineer_features(panel(spark, d), regularise=True)
     return f.select("ts", "idx", "PriceDAM", "PriceDAM_lag1d", "PriceDAM_lag7d", "PriceDAM_ma7d")
+
+
+@register("parquet_roundtrip", with_ctes(panel_ctes(), final(
+    f"SELECT ts, {', '.join(SPR)} FROM panel", dbl=SPR, rest=["ts"])))
+def q_parquet_roundtrip(spark, d):
+    """S1 parquet branch: the raw table written as parquet, read back through
+    the suffix-dispatching loader, cleaned, spreads derived."""
+    from spreadforge.sources.market import load_market_data, write_table
+    path = scratch_dir(spark, "parquet_roundtrip/market.parquet")
+    write_table(market_panel(spark, d), path, "parquet")
+    back = load_market_data(spark, path)
+    return finalize(add_spreads_and_fundamentals(CL.clean_market_data(back)).select("ts", *SPR))

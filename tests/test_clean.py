@@ -76,3 +76,15 @@ def test_must_have_and_clip(spark):
     df = spark.createDataFrame([(-2.0, 1.0), (3.0, None)], "EirgridActualWind double, TotalPN double")
     assert [r[0] for r in CL.clip_negative(df).collect()] == [0.0, 3.0]
     assert CL.must_have_filter(df).count() == 1
+
+
+def test_csv_index_column_dropped(spark, tmp_path):
+    import pandas as pd
+    pdf = pd.DataFrame({"TradeDate": ["2025-01-01"], "Time": ["00:30:00"], "StartDateTime": ["2025-01-01 00:30:00"],
+                        "PriceDAM": [" "], "TotalPN": ["12.5"]})
+    path = str(tmp_path / "m.csv")
+    pdf.to_csv(path, index=True)          # leading unnamed index column
+    df = load_market_data(spark, path)
+    assert df.columns == ["TradeDate", "Time", "StartDateTime", "PriceDAM", "TotalPN"]
+    r = df.first()
+    assert r["PriceDAM"] is None and r["TotalPN"] == 12.5
