@@ -1121,11 +1121,21 @@ def q_scatter_sample(spark, d):
     return EX.scatter_sample(panel(spark, d), "NetDemand_DAM", "spr_BM_DAM", n=8000, seed=42)
 
 
-@register("regularised_lags", None)
+_REG_LAG = ["PriceDAM", "PriceDAM_lag1d", "PriceDAM_lag7d", "PriceDAM_ma7d"]
+
+
+@register("regularised_lags", with_ctes(panel_ctes() + [
+    ("cal", "SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM panel"),
+    ("rp", "SELECT cal.ts, p.PriceDAM FROM cal LEFT JOIN panel p USING (ts)")], final(
+    "SELECT ts, row_number() OVER w - 1 AS idx, PriceDAM, lag(PriceDAM, 48) OVER w AS PriceDAM_lag1d, "
+    "lag(PriceDAM, 336) OVER w AS PriceDAM_lag7d, "
+    "CASE WHEN count(PriceDAM) OVER fr >= 24 THEN avg(PriceDAM) OVER fr END AS PriceDAM_ma7d FROM rp "
+    "WINDOW w AS (ORDER BY ts), fr AS (ORDER BY ts ROWS BETWEEN 383 PRECEDING AND 48 PRECEDING)",
+    dbl=_REG_LAG, ints=["idx"], rest=["ts"], digits=4)))
 def q_regularised_lags(spark, d):
     """W1 on the regularised half-hour calendar (gaps filled with NULL rows)."""
     f = FE.engineer_features(panel(spark, d), regularise=True)
-    return f.select("ts", "idx", "PriceDAM", "PriceDAM_lag1d", "PriceDAM_lag7d", "PriceDAM_ma7d")
+    return finalize(f.select("ts", "idx", *_REG_LAG), 4)
 
 
 @register("parquet_roundtrip", with_ctes(panel_ctes(), final(

@@ -7,7 +7,7 @@ def test_registry_consistent():
     assert len(q) >= 60
     rows_only = set(q) - set(s)
     assert rows_only == {"fit_score", "walk_forward_cv", "importances", "pipeline_job", "synthetic_panel",
-                         "scatter_sample", "regularised_lags"}
+                         "scatter_sample"}
 
 
 def test_entry_smoke(spark):
