@@ -65,14 +65,15 @@ class FittedTransition:
     features: list[str]
     medians: dict[str, float]
     clf: PipelineModel
-    reg: PipelineModel
+    reg: PipelineModel | None
     scored: DataFrame
     test_size: int
 
 
 def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = ModelConfig(),
-                   strict_gate: bool = False) -> FittedTransition:
-    """Fit and score one transition on the engineered table ``wide`` (with ``idx``)."""
+                   strict_gate: bool = False, regressor: bool = True) -> FittedTransition:
+    """Fit and score one transition on the engineered table ``wide`` (with ``idx``);
+    ``regressor=False`` fits the direction classifier only (``pred_mag`` NULL)."""
     horizon = spec.name.split("→")[0] if strict_gate else None
     xcols = build_xcols(wide.columns, spec.tokens, spec.always, strict_gate_horizon=horizon)
     ds = wide.where(DS.usable_target(spec.spread, spec.window, "idx", cfg.burn_in)).select(
@@ -87,12 +88,13 @@ def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mod
     feats = [c for c in xcols if c in meds]
     train_i, test_i = impute(train, meds), impute(test, meds)
     clf = Pipeline(stages=_stages(feats, cfg, "clf")).fit(train_i)
-    reg = Pipeline(stages=_stages(feats, cfg, "reg")).fit(train_i)
+    reg = Pipeline(stages=_stages(feats, cfg, "reg")).fit(train_i) if regressor else None
     sc = clf.transform(test_i).select("idx", "ts", KEY, "y_dir", "y_mag",
                                       vector_to_array("__prob")[1].alias("p_up"),
                                       F.when(F.col("__cls") == 1.0, 1).otherwise(-1).alias("pred"), *feats)
-    sc = reg.transform(sc).select("idx", "ts", KEY, F.col("y_mag").alias("spread"), F.col("y_dir").alias("y"),
-                                  "pred", "p_up", "pred_mag", F.col("y_mag"))
+    sc = reg.transform(sc) if reg is not None else sc.withColumn("pred_mag", F.lit(None).cast("double"))
+    sc = sc.select("idx", "ts", KEY, F.col("y_mag").alias("spread"), F.col("y_dir").alias("y"),
+                   "pred", "p_up", "pred_mag", F.col("y_mag"))
     sc = materialize(sc)          # test rows only; releases the training cache
     ds.unpersist()
     return FittedTransition(spec, feats, meds, clf, reg, sc, 0)
@@ -105,9 +107,10 @@ def usable_transitions(wide: DataFrame, names: Sequence[str] | None = None, min_
 
 
 def run_models(wide: DataFrame, cfg: ModelConfig = ModelConfig(), names: Sequence[str] | None = None,
-               strict_gate: bool = False) -> list[FittedTransition]:
+               strict_gate: bool = False, regressor: bool = True) -> list[FittedTransition]:
     """M7: fit every usable transition."""
-    return [fit_transition(wide, t, cfg, strict_gate) for t in usable_transitions(wide, names, cfg.min_rows)]
+    return [fit_transition(wide, t, cfg, strict_gate, regressor)
+            for t in usable_transitions(wide, names, cfg.min_rows)]
 
 
 def scored_union(fits: Sequence[FittedTransition]) -> DataFrame:

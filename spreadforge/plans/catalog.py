@@ -1071,7 +1071,7 @@ def q_walk_forward_cv(spark, d):
 @register("importances", None)
 def q_importances(spark, d):
     wide = _wide_ckpt(spark, d)
-    fits = MD.run_models(wide, QUERY_MODEL, names=[t.name for t in TRANSITIONS[:4]])
+    fits = MD.run_models(wide, QUERY_MODEL, names=[t.name for t in TRANSITIONS[:4]], regressor=False)
     return MD.importances(spark, fits)
 
 
