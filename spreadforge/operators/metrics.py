@@ -94,3 +94,11 @@ def model_metrics(scored: DataFrame) -> DataFrame:
     return m.select(KEY, F.bround("accuracy", 4).alias("test_accuracy"), F.bround("roc_auc", 4).alias("roc_auc"),
                     F.lit(None).cast("double").alias("cv_accuracy"), F.lit(None).cast("double").alias("cv_std"),
                     F.bround("reg_r2", 4).alias("reg_r2"), F.bround("reg_mae", 4).alias("reg_mae"))
+
+
+def best_accuracy_confusion(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+    """A28 as published: the confusion matrix of the transition with the highest
+    test accuracy (ties: larger transition name), with recalls per direction."""
+    acc = accuracy(scored, y, pred)
+    best = acc.agg(F.max_by(KEY, F.struct("accuracy", KEY)).alias(KEY))
+    return confusion(scored, y, pred).join(best, KEY, "left_semi")

@@ -44,12 +44,18 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by=None,
                       names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
-                      small: int | None = None) -> DataFrame:
+                      small: int | None = None, exact: bool = True) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` (non-missing count) and one
-    column per probability (default names ``q_<p>``)."""
+    column per probability (default names ``q_<p>``).  ``exact=False`` returns
+    the one-pass sketch values (``percentile_approx``) instead."""
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q_{p:g}" for p in probs]
+    if not exact:
+        a = df.where(col(value).isNotNull()).groupBy(*by).agg(
+            F.count(col(value)).alias("n"),
+            F.percentile_approx(col(value).cast("double"), probs, accuracy).alias("__q"))
+        return a.select(*by, "n", *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
     small = 4 * accuracy if small is None else small
     eps = 4.0 / accuracy
     P = len(probs)

@@ -892,6 +892,18 @@ def q_confusion(spark, d):
     return finalize(MT.confusion(scored_eval(spark, d)))
 
 
+@register("best_confusion", with_ctes(_eval_sql() + [_CNT_SQL] + _AUC_SQL[3:], final(
+    " UNION ALL ".join(
+        f"SELECT transition, {a} AS actual, {b} AS predicted, {k} AS count, "
+        f"CAST({k} AS DOUBLE) / NULLIF(nn + np + pn + pp, 0) AS total_share, CAST({k} AS DOUBLE) / NULLIF({r}, 0) AS row_share "
+        f"FROM cm WHERE transition = (SELECT transition FROM acc ORDER BY accuracy DESC, transition DESC LIMIT 1)"
+        for a, b, k, r in ((-1, -1, "nn", "nn + np"), (-1, 1, "np", "nn + np"), (1, -1, "pn", "pn + pp"),
+                           (1, 1, "pp", "pn + pp"))),
+    dbl=["total_share", "row_share"], ints=["actual", "predicted", "count"], rest=["transition"])))
+def q_best_confusion(spark, d):
+    return finalize(MT.best_accuracy_confusion(scored_eval(spark, d)))
+
+
 # --------------------------------------------------------------------------- backtest rows & series
 @register("signals", with_ctes(_sized_sql(), final(
     "SELECT transition, ts, spread, p_up, conf, CASE WHEN conf <= 0.2e0 THEN 0 ELSE dir END AS signal FROM sized",

@@ -36,3 +36,9 @@ def test_qcut_matches_pandas(spark):
     got = qcut_bins(spark.createDataFrame(pdf), "x", 5, "b").toPandas()
     want = pd.qcut(got["x"], q=5, labels=False, duplicates="drop")
     assert (got["b"].to_numpy() == want.to_numpy()).all()
+
+
+def test_approximate_switch(spark):
+    pdf = pd.DataFrame({"x": np.arange(1000, dtype=float)})
+    got = exact_percentiles(spark.createDataFrame(pdf), "x", [0.5], exact=False).first()
+    assert got["n"] == 1000 and abs(got["q_0.5"] - 499.5) <= 1.0
