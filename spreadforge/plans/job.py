@@ -1,10 +1,10 @@
 """The end-to-end batch job (load -> clean -> spreads -> features ->
 models -> backtest -> result tables), as one function for ``spark-submit``.
 
-The engineered feature table and the scored rows are materialised with
-``checkpoint()`` into the cluster's shared ``spark.checkpoint.dir`` (set only
-when missing, e.g. in tests), which cuts the lineage of the windowed feature
-stage: a lost executor re-reads the checkpoint instead of recomputing it."""
+The engineered feature table and the scored rows are written as tables into
+the cluster's shared ``spark.checkpoint.dir`` (set only when missing, e.g. in
+tests) and read back, which cuts the lineage of the windowed feature stage: a
+lost executor re-reads the table instead of recomputing it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
