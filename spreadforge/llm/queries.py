@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spreadforge.llm import decontaminate, lines, mix
+from spreadforge.llm import decontaminate, lines, mix, simhash
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -115,3 +115,11 @@ FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id
 @query("op9_line_dedup", SQL_LINES)
 def op9(spark, sf_dir):
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op6
+
+@query("op6_simhash")
+def op6(spark, sf_dir):
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
