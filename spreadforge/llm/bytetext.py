@@ -109,3 +109,67 @@ def group_slices(values: np.ndarray) -> np.ndarray:
     if len(values) == 0:
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+
+
+def sequence_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hash of each range of a sequence of 64-bit values."""
+    size = 1 << max(10, int(len(values)).bit_length())
+    pre = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(values * _U(base | 1)) * _powers(size, base | 1)[:len(values)], out=pre[1:])
+    inv = _powers(size, pow(base | 1, -1, 1 << 64))
+    return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
+    """``op`` (minimum, maximum) over every full window of ``width`` values."""
+    if len(x) < width:
+        return x[:0]
+    have = 1
+    while have * 2 <= width:
+        x = op(x[:-have], x[have:])
+        have *= 2
+    if have < width:
+        x = op(x[:-(width - have)], x[width - have:])
+    return x
+
+
+def minimizers(key: np.ndarray, width: int) -> np.ndarray:
+    """Positions that are the first smallest of some window of ``width``
+    positions.  Equal windows choose equal positions, and every window has
+    one, so equal stretches of two texts share their choice."""
+    low = sliding(key, width, np.minimum)
+    if len(low) == 0:
+        return np.empty(0, np.int64)
+    n = len(low)
+    pad = np.zeros(width - 1, np.uint64)
+    high = sliding(np.concatenate([pad, low, pad]), width, np.maximum)
+    cand = np.flatnonzero(high[:len(key)] == key)
+    # a candidate counts if no equal value stands before it in some window that it is smallest of
+    value = key[cand]
+    prev = np.full(len(cand), -1, np.int64)                    # the nearest earlier position of the same value
+    by = np.lexsort((cand, value))
+    same = value[by][1:] == value[by][:-1]
+    prev[by[1:][same]] = cand[by[:-1][same]]
+    first = np.maximum(np.maximum(prev + 1, cand - width + 1), 0)   # windows starting here or later see it first
+    stop = np.minimum(cand, n - 1)
+    ok = first <= stop
+    cand, first, stop, value = cand[ok], first[ok], stop[ok], value[ok]
+    # some window in first..stop has it as its smallest: the largest of their minima is its value
+    hit = _range_max(low, first, stop) == value
+    return cand[hit]
+
+
+def _range_max(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Maximum of ``x[first..last]`` for many short ranges (sparse table)."""
+    if len(first) == 0:
+        return x[:0]
+    level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+    out = np.zeros(len(first), x.dtype)
+    table, have = x, 0
+    for k in range(int(level.max()) + 1):
+        if k:
+            table = np.maximum(table[:-(1 << (k - 1))], table[1 << (k - 1):])
+        at = level == k
+        if at.any():
+            out[at] = np.maximum(table[first[at]], table[last[at] - (1 << k) + 1])
+    return out

@@ -45,11 +45,17 @@ INDEX_SCHEMA = ("segment string, terms binary, starts binary, positions binary,
 MATCH_SCHEMA = "segment string, doc bigint, doc_id bigint, n_words bigint, hits binary, items array<bigint>, near array<bigint>"
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word of a run of texts."""
+def tokens_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash, first byte, end and text number of every word of a run of texts."""
     low = B.lower_ascii(data)
     start, end, text = B.runs(_WORD[low], offsets)
-    return B.range_hash(low, start, end), text
+    return B.range_hash(low, start, end), start, end, text
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word of a run of texts."""
+    h, _, _, text = tokens_at(data, offsets)
+    return h, text
 
 
 def _segment(hashes: list[np.ndarray], ids: list, counts: list[int]) -> dict:

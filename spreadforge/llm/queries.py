@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spreadforge.llm import decontaminate, lines, mix, simhash
+from spreadforge.llm import decontaminate, lines, mix, paragraphs, simhash, suffixes
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -19,6 +19,30 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+# ---------------------------------------------------------------- op1
+
+SQL_SUFFIXES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT rid, p, md5(substr(h, 2 * p - 1, 400)) AS m
+      FROM (SELECT rid, h, unnest(range(1, length(h) // 2 - 198)) AS p FROM d WHERE length(h) >= 400)),
+st AS (SELECT rid, p FROM s WHERE m IN (SELECT m FROM s GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT rid, p, sum(n) OVER (PARTITION BY rid ORDER BY p) AS island
+      FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 0 ELSE 1 END AS n FROM st)),
+r AS (SELECT rid, min(p) AS lo, max(p) + 200 AS hi FROM g GROUP BY rid, island),
+k AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 1) AS before FROM r),
+a AS (SELECT rid, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS tail FROM k GROUP BY rid),
+t AS (SELECT k.rid, string_agg(substr(h, 2 * before - 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM k JOIN d USING (rid) GROUP BY k.rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN a USING (rid) LEFT JOIN t USING (rid)
+"""
+
+
+@query("op1_suffix_dedup", SQL_SUFFIXES)
+def op1(spark, sf_dir):
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- op2
 
 SQL_DECONTAMINATION = r"""
@@ -123,3 +147,10 @@ def op9(spark, sf_dir):
 def op6(spark, sf_dir):
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- op10
+
+@query("op10_paragraph_dedup")
+def op10(spark, sf_dir):
+    return paragraphs.report(table(spark, sf_dir, "documents"))
