@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadforge.llm.tables import materialize
+from spreadforge.llm.tables import materialize, shuffled
 
 
 def _star(both: DataFrame, keep) -> DataFrame:
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where(keep)
+    return both.join(shuffled(low), "u").where(keep)
 
 
 def components(links: DataFrame, u: str, v: str, max_rounds: int = 100) -> DataFrame:

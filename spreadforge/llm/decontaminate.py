@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadforge.llm import bytetext as B
-from spreadforge.llm.tables import fresh, materialize
+from spreadforge.llm.tables import fresh, materialize, shuffled
 
 WINDOW = 10
 SEGMENT_TOKENS = 1_000_000
@@ -308,4 +308,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     keyed = docs.withColumn(key, F.xxhash64("text", F.length("text")))
     texts = keyed.select(F.col(key).alias("doc_id"), "text")
     bad = materialize(contamination(texts, benchmark, **options).where("contaminated").select(F.col("doc_id").alias(key)).distinct())
-    return keyed.join(bad, key, "left_anti").select(*docs.columns)
+    return keyed.join(shuffled(bad), key, "left_anti").select(*docs.columns)

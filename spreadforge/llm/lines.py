@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadforge.llm.tables import fresh, materialize, row_id
+from spreadforge.llm.tables import fresh, materialize, row_id, shuffled
 
 WINDOW = 3
 
@@ -49,7 +49,7 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     every = occurrences(docs, window)
     repeated = (every.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
                 .where("first != last").select("w1", "w2", "first"))
-    later = every.join(repeated, ["w1", "w2"]).where("at != first")
+    later = every.join(shuffled(repeated), ["w1", "w2"]).where("at != first")
     inside = F.col("at.row") == F.col("first.row")
     lo = F.when(inside, F.greatest(F.col("at.line"), F.col("first.line") + window)).otherwise(F.col("at.line"))
     return (later.select(F.col("at.row").alias("row"), F.struct(lo.alias("lo"), (F.col("at.line") + window - 1).alias("hi")).alias("s"))
@@ -64,7 +64,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = materialize(covered(docs.select("doc_id", "text"), window)
                         .select(F.col("row.a").alias(a), F.col("row.b").alias(b), F.col("spans").alias(sp)))
     row = row_id("doc_id", "text")
-    joined = docs.withColumn(a, row["a"]).withColumn(b, row["b"]).join(spans, [a, b], "left").select(*docs.columns, sp)
+    joined = docs.withColumn(a, row["a"]).withColumn(b, row["b"]).join(shuffled(spans), [a, b], "left").select(*docs.columns, sp)
     text_at, span_at = docs.columns.index("text"), len(docs.columns)
 
     def cut(batches):

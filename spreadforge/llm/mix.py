@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadforge.llm.tables import fresh, materialize, row_id
+from spreadforge.llm.tables import fresh, materialize, row_id, shuffled
 
 #: fixed values: weights by position in the order of sources, repeating
 WEIGHTS = (5, 2, 1)
@@ -109,5 +109,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     keyed = (docs.withColumn(key, row_id("doc_id", "source", "text"))
              .withColumn(key + "_a", F.col(key + ".a")).withColumn(key + "_b", F.col(key + ".b")).drop(key))
     keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key + "_a", key + "_b").orderBy(F.lit(1))))
-    return (keyed.join(drawn, [key + "_a", key + "_b", nth])
+    return (keyed.join(shuffled(drawn), [key + "_a", key + "_b", nth])
             .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int"))).alias(copy)))

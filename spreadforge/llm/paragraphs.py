@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from spreadforge.llm import bytetext as B
 from spreadforge.llm.components import components
 from spreadforge.llm.decontaminate import tokens_at
-from spreadforge.llm.tables import fresh, materialize, row_id
+from spreadforge.llm.tables import fresh, materialize, row_id, shuffled
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -212,15 +212,15 @@ def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY
     """Links between the contents of similar lines."""
     hit = lines.select(F.explode("bands").alias("band"), "ca")
     shared = hit.groupBy("band").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x != y").select("band")
-    member = materialize(hit.join(shared, "band", "left_semi").distinct())
+    member = materialize(hit.join(shuffled(shared), "band", "left_semi").distinct())
     size = member.groupBy("band").count().withColumn("n", F.ceil(F.col("count") / block).cast("int")).select("band", "n")
     own = F.pmod(F.col("ca"), F.col("n")).cast("int")
-    dealt = member.join(size, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = member.join(shuffled(size), "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(F.when(F.col("n") == 1, F.col("band")).otherwise(
         F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))).alias("g"), "ca")
     wanted = member.select("ca").distinct()
-    sets = materialize(_line_sets(docs, min_words).join(wanted, "ca", "left_semi").dropDuplicates(["ca", "cb"]))
-    return _verified(dealt.join(sets, "ca"), similarity)
+    sets = materialize(_line_sets(docs, min_words).join(shuffled(wanted), "ca", "left_semi").dropDuplicates(["ca", "cb"]))
+    return _verified(dealt.join(shuffled(sets), "ca"), similarity)
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, **opt) -> DataFrame:
@@ -234,11 +234,11 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK
     root = components(node, "u", "v")
     at = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "lo")
     root = materialize(root.select(F.col("node.a").alias("ca"), F.col("node.b").alias("cb"), F.col("root.a").alias("ra"), F.col("root.b").alias("rb")))
-    named = lines.drop("bands").join(root, ["ca", "cb"], "left").select(
+    named = lines.drop("bands").join(shuffled(root), ["ca", "cb"], "left").select(
         F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"), "doc_id", "row", "lo", "hi")
     every = named.unionByName(occurrences(docs, "piece", **opt))
     first = every.groupBy("ca", "cb").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f != l").select("ca", "cb", "f")
-    return (every.withColumn("at", at).join(first, ["ca", "cb"]).where("at != f")
+    return (every.withColumn("at", at).join(shuffled(first), ["ca", "cb"]).where("at != f")
             .select("doc_id", "row", "lo", "hi", F.col("f.doc_id").alias("kept_in")))
 
 
@@ -251,7 +251,7 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
     gone = materialize(removals(docs, **opt).groupBy(F.coalesce("doc_id", F.lit(0)).alias(d), F.col("row").alias(r)).agg(
         F.collect_list(F.struct("lo", "hi")).alias(sp), F.sort_array(F.collect_set("kept_in")).alias(src)))
     keyed = docs.withColumn(d, F.coalesce("doc_id", F.lit(0))).withColumn(r, row_id("doc_id", "text")["a"])
-    joined = keyed.join(gone, [d, r], "left").select(*docs.columns, sp, src)
+    joined = keyed.join(shuffled(gone), [d, r], "left").select(*docs.columns, sp, src)
     text_at, span_at = docs.columns.index("text"), len(docs.columns)
     min_words = opt.get("min_words", MIN_WORDS)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spreadforge.llm import bytetext as B
 from spreadforge.llm.components import components
-from spreadforge.llm.tables import fresh, materialize
+from spreadforge.llm.tables import fresh, materialize, row_id, shuffled
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -221,13 +221,13 @@ def links(entries: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> Dat
         if depth == 7 or hot.isEmpty():
             leaves = level if leaves is None else leaves.unionByName(level)
             break
-        cold = level.join(hot, "g", "left_anti")
+        cold = level.join(shuffled(hot), "g", "left_anti")
         leaves = cold if leaves is None else leaves.unionByName(cold)
         # the next eight bits behind the shared segment, cyclic
         end = F.array(*[F.lit(e) for e in edges[1:]])[F.col("r")]
         shift = F.pmod(end + 8 * depth, F.lit(64))
         byte = F.expr("shiftrightunsigned(fp, sh)").bitwiseOR(F.expr("CASE WHEN sh = 0 THEN 0L ELSE shiftleft(fp, 64 - sh) END")).bitwiseAND(255)
-        split = level.join(hot, "g", "left_semi").withColumn("sh", shift.cast("int")).withColumn("node", byte.cast("int")).drop("sh")
+        split = level.join(shuffled(hot), "g", "left_semi").withColumn("sh", shift.cast("int")).withColumn("node", byte.cast("int")).drop("sh")
         nodes = split.groupBy("g", "used", "side", "node").count()
         two = nodes.groupBy("g").agg(F.max("side").alias("two")).where("two = 1").select(F.col("g").alias("g2"))
         x = nodes.select("g", "used", F.col("side").alias("s1"), F.col("node").alias("n1"))
@@ -241,7 +241,7 @@ def links(entries: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> Dat
                                      .otherwise(F.array(F.struct(F.col("s1").alias("s"), F.col("n1").alias("n"), F.lit(0).alias("t")),
                                                         F.struct(F.col("s2").alias("s"), F.col("n2").alias("n"), F.lit(1).alias("t"))))).alias("e"))
         pair = pair.select("g", F.col("e.s").alias("side"), F.col("e.n").alias("node"), F.col("e.t").alias("t"), "child", "now")
-        level = split.join(pair, ["g", "side", "node"]).select(
+        level = split.join(shuffled(pair), ["g", "side", "node"]).select(
             F.col("child").alias("g"), "r", F.col("t").alias("side"), F.col("now").alias("used"), "fp")
     return _leaves(leaves, max_bits)
 
@@ -289,12 +289,12 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, le
     entries = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     entries = materialize(entries)
     root = components(links(entries, max_bits, leaf), "u", "v")
-    named = entries.join(root, entries["fp"] == root["node"], "left").select(
+    named = entries.join(shuffled(root), entries["fp"] == root["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialize(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(shuffled(least), "root").select("fp", "component_id")
+    return rows.join(shuffled(by_fp), "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -304,13 +304,12 @@ def fingerprint_hex(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
     """The documents with one of each group: the row with the smallest id (of
     equal ids one; a group without ids keeps one row)."""
-    from spreadforge.llm.tables import row_id
     a, b, key = fresh(docs, "row_a"), fresh(docs, "row_b"), row_id(*docs.columns)
     src = docs.select("doc_id", "text", key["a"].alias(a), key["b"].alias(b))
     rows = materialize(fingerprints(src, shingle, ("doc_id", a, b)))
     entries = materialize(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", a, b)).alias("least")))
     root = components(links(entries, max_bits, leaf), "u", "v")
-    named = entries.join(root, entries["fp"] == root["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    named = entries.join(shuffled(root), entries["fp"] == root["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
     kept = materialize(named.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k." + a).alias(a), F.col("k." + b).alias(b)))
-    keyed = docs.withColumn(a, key["a"]).withColumn(b, key["b"]).join(kept, [a, b], "left_semi")
+    keyed = docs.withColumn(a, key["a"]).withColumn(b, key["b"]).join(shuffled(kept), [a, b], "left_semi")
     return keyed.dropDuplicates([a, b]).select(*docs.columns)

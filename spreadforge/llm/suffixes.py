@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadforge.llm import bytetext as B
-from spreadforge.llm.tables import fresh, materialize, row_id
+from spreadforge.llm.tables import fresh, materialize, row_id, shuffled
 
 LENGTH = 200
 STRETCH = 40
@@ -186,12 +186,12 @@ def _starts(texts: DataFrame, length: int) -> DataFrame:
 def _texts_with_hits(docs: DataFrame, length: int) -> DataFrame:
     """All rows with ``d, r, hits``: the sampled positions whose name repeats."""
     samples = _samples(docs, length)
-    hits = (samples.join(_repeated(samples, "name"), "name", "left_semi")
+    hits = (samples.join(shuffled(_repeated(samples, "name")), "name", "left_semi")
             .groupBy("d", "r").agg(F.collect_set("at").alias("hits")))
     d, r, h = (fresh(docs, x) for x in ("key_d", "key_r", "key_hits"))
     keyed = docs.withColumn(d, F.coalesce("doc_id", F.lit(0))).withColumn(r, row_id("doc_id", "text")["a"])
     hits = hits.select(F.col("d").alias(d), F.col("r").alias(r), F.col("hits").alias(h))
-    return keyed.join(hits, [d, r], "left")
+    return keyed.join(shuffled(hits), [d, r], "left")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> DataFrame:
@@ -202,16 +202,16 @@ def repeats(texts: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> D
     entry = materialize(every.groupBy("core", "e1", "e2").agg(F.count("*").alias("copies"), F.min(at).alias("at")))
     mixed = entry.groupBy("core").agg(F.count("*").alias("m"), F.min("copies").alias("least")).where("m > 1 and least = 1").select("core")
     # one entry of each extent of the mixed cores, resolved start by start
-    parts = (entry.join(mixed, "core", "left_semi").groupBy("at.d", "at.r")
+    parts = (entry.join(shuffled(mixed), "core", "left_semi").groupBy("at.d", "at.r")
              .agg(F.collect_list(F.struct("e1", "e2", "at.lo", "at.n")).alias("parts")))
-    wanted = texts.select("d", "r", "text").dropDuplicates(["d", "r"]).join(parts, ["d", "r"])
+    wanted = texts.select("d", "r", "text").dropDuplicates(["d", "r"]).join(shuffled(parts), ["d", "r"])
     starts = materialize(_starts(wanted, length))
-    again = (starts.join(_repeated(starts, "w1", "w2"), ["w1", "w2"], "left_semi")
+    again = (starts.join(shuffled(_repeated(starts, "w1", "w2")), ["w1", "w2"], "left_semi")
              .groupBy("e1", "e2").agg(F.collect_set("i").alias("i")))
     whole = entry.where("copies > 1").select("e1", "e2", F.lit(None).cast("array<int>").alias("i"))
-    some = again.join(whole.select("e1", "e2"), ["e1", "e2"], "left_anti")
+    some = again.join(shuffled(whole.select("e1", "e2")), ["e1", "e2"], "left_anti")
     found = materialize(whole.unionByName(some.select("e1", "e2", "i")))
-    hit = every.select("e1", "e2", "d", "r", "lo", "n").join(found, ["e1", "e2"])
+    hit = every.select("e1", "e2", "d", "r", "lo", "n").join(shuffled(found), ["e1", "e2"])
     start = F.explode(F.coalesce(F.transform("i", lambda i: F.struct((F.col("lo") + i).alias("lo"), (F.col("lo") + i + length).alias("hi"))),
                                  F.array(F.struct(F.col("lo").alias("lo"), (F.col("lo") + F.col("n") - 1 + length).alias("hi")))))
     return hit.select("d", "r", start.alias("s")).groupBy("d", "r").agg(F.collect_set("s").alias("spans"))
@@ -227,7 +227,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, stretch: int = STRET
     s = fresh(all_rows, "key_spans")
     spans = materialize(repeats(texts, length, stretch)).select(F.col("d").alias(d), F.col("r").alias(r), F.col("spans").alias(s))
     plain = all_rows.where(F.col(h).isNull()).select(*docs.columns, F.lit(None).cast(spans.schema[s].dataType).alias(s))
-    hit = all_rows.where(F.col(h).isNotNull()).join(spans, [d, r], "left").select(*docs.columns, s)
+    hit = all_rows.where(F.col(h).isNotNull()).join(shuffled(spans), [d, r], "left").select(*docs.columns, s)
     return _cut(docs, plain, s).unionByName(_cut(docs, hit, s))
 
 

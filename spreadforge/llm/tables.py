@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spreadforge.session import materialize
 
-__all__ = ["fresh", "materialize", "row_id", "table"]
+__all__ = ["fresh", "materialize", "row_id", "table", "shuffled"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """This side of a join grows with the data, so it is never broadcast: the
+    join is planned alike at every size, and a skewed key is split at run
+    time."""
+    return df.hint("merge")
+
+
 def row_id(*columns: str | Column) -> Column:
     """128 bits that stand for a row's values, null told apart from any value.
     Rows equal in all the columns share it: they are repeated rows."""
