@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spreadforge.llm import decontaminate, lines, mix, paragraphs, simhash, suffixes
+from spreadforge.llm import decontaminate, lines, mix, paragraphs, quality, simhash, suffixes
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -154,3 +154,10 @@ def op6(spark, sf_dir):
 @query("op10_paragraph_dedup")
 def op10(spark, sf_dir):
     return paragraphs.report(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op7
+
+@query("op7_quality")
+def op7(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
