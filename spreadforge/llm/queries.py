@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spreadforge.llm import decontaminate, lines, mix, paragraphs, quality, simhash, suffixes
+from spreadforge.llm import decontaminate, lines, mix, paragraphs, quality, secrets, simhash, suffixes
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -161,3 +161,10 @@ def op10(spark, sf_dir):
 @query("op7_quality")
 def op7(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# ---------------------------------------------------------------- op4
+
+@query("op4_secrets")
+def op4(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
