@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spreadforge.llm import decontaminate, lines, mix, paragraphs, quality, secrets, simhash, suffixes
+from spreadforge.llm import decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, suffixes
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -168,3 +168,10 @@ def op7(spark, sf_dir):
 @query("op4_secrets")
 def op4(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op5
+
+@query("op5_fingerprints")
+def op5(spark, sf_dir):
+    return fingerprint.report(table(spark, sf_dir, "documents"))

@@ -59,6 +59,8 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.split(text, pattern, -1)
+    # zipped once: the last gap has no match
+    rows = F.filter(F.arrays_zip(between.alias("gap"), found.alias("match"), value.alias("value")), lambda x: x["match"].isNotNull())
     empty = F.array().cast("array<struct<start:int,end:int,match:string,value:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
@@ -68,8 +70,6 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
             begin.alias("start"), end.alias("end"), x["match"].alias("match"), x["value"].alias("value")))).alias("out"))
 
-    rows = F.transform(F.sequence(F.lit(0), F.size(found) - 1),
-                       lambda i: F.struct(F.get(between, i).alias("gap"), F.get(found, i).alias("match"), F.get(value, i).alias("value")))
     every = F.aggregate(rows, start, step, lambda acc: acc["out"])
     every = F.when(F.size(found) == 0, empty).otherwise(every)
     return F.transform(F.filter(every, lambda s: F.length(s["value"]) >= least),
