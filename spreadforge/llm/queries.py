@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spreadforge.llm import decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, suffixes
+from spreadforge.llm import decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, suffixes, urls
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -175,3 +175,11 @@ def op4(spark, sf_dir):
 @query("op5_fingerprints")
 def op5(spark, sf_dir):
     return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op8
+
+@query("op8_url_filter")
+def op8(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.labelled_pages(pages, table(spark, sf_dir, "labels")))
