@@ -93,10 +93,10 @@ def best_per_transition(trading: DataFrame) -> DataFrame:
 
 def leaderboard(trading: DataFrame, metrics: DataFrame) -> DataFrame:
     """Best threshold per transition joined (J2) to model metrics, ordered by
-    EUR/MWh (T2).  ``metrics`` has one row per transition (bounded by the
-    transition list), so it is broadcast."""
+    EUR/MWh (T2).  ``metrics`` is the caller's table: how it is joined is left
+    to its size at run time."""
     best = best_per_transition(trading).drop("test_size", "pct_traded")
-    return best.join(F.broadcast(metrics), KEY).orderBy(F.desc_nulls_last("eur_per_mwh"), F.asc(KEY))
+    return best.join(metrics, KEY).orderBy(F.desc_nulls_last("eur_per_mwh"), F.asc(KEY))
 
 
 def threshold_sensitivity(trading: DataFrame) -> DataFrame:
@@ -118,8 +118,9 @@ def pnl_series(scored: DataFrame, cfg: BacktestConfig = BacktestConfig(), thresh
 
 def money(c: Column) -> Column:
     """EUR amount rounded to micro-euros as DECIMAL(38,6): sums of it are exact,
-    so cumulative P&L does not depend on partitioning or summation order."""
-    return F.when(F.abs(c) < 1e12, F.floor(c * 1e6 + 0.5) / 1e6).cast("decimal(38,6)")
+    so cumulative P&L does not depend on partitioning or summation order.  An
+    amount beyond that type raises."""
+    return (F.rint(c * F.lit(1e6)) / F.lit(1e6)).cast("decimal(38,6)")
 
 
 def max_drawdown(series: DataFrame) -> DataFrame:

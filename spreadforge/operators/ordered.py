@@ -21,8 +21,10 @@ from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spreadforge.functions.scalar import col
+from spreadforge.operators.quantiles import _join
 
 DEFAULT_CHUNK = 20_000
 
@@ -34,27 +36,40 @@ def _by(by: Sequence[str] | str | None) -> list[str]:
 
 
 def row_index(df: DataFrame, order: Sequence[str] | str, by=None, bucket: Column | None = None,
-              name: str = "idx") -> DataFrame:
+              name: str = "idx", fan: int = 1000) -> DataFrame:
     """0-based row position after ordering by ``order`` within each series.
 
     ``bucket`` must be non-decreasing in ``order`` (default: the calendar day of
-    the first order column).  Only the per-(series, bucket) count table is
-    windowed whole; rows are numbered inside their bucket.
+    the first order column).  Rows are numbered inside their bucket.  Offsets
+    have two levels: buckets are summed inside groups of ``fan`` neighbours (by
+    bucket number), and only the groups' totals are summed per series.  Rows
+    with a null key form a series, rows with a null order value come first.
     """
     by = _by(by)
     order = [order] if isinstance(order, str) else list(order)
     if bucket is None:
         bucket = F.date_trunc("DD", col(order[0]))
-    b = df.withColumn("__bkt", bucket)
+    number = F.unix_date(bucket.cast("date")) if _is_time(df.select(bucket.alias("b")).schema["b"].dataType) else bucket.cast("bigint")
+    b = df.withColumn("__bkt", number)
     counts = b.groupBy(*by, "__bkt").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "__bkt", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    j = b.join(offsets, [*by, "__bkt"])
+    counts = counts.withColumn("__grp", F.floor(F.col("__bkt") / F.lit(fan)))
+    before = (Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*by, "__grp").orderBy("__bkt").rowsBetween(*before)
+    outer = Window.partitionBy(*by).orderBy("__grp").rowsBetween(*before)
+    groups = counts.groupBy(*by, "__grp").agg(F.sum("__n").alias("__g")) \
+        .select(*by, "__grp", F.coalesce(F.sum("__g").over(outer), F.lit(0)).alias("__base"))
+    offsets = _join(counts.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0))), groups, [*by, "__grp"]) \
+        .select(*by, "__bkt", (F.col("__base") + F.col("__in")).alias("__off"))
+    j = _join(b, offsets, [*by, "__bkt"])
     wr = Window.partitionBy(*by, "__bkt").orderBy(*[col(c) for c in order])
     return j.withColumn(name, (F.row_number().over(wr) - 1 + F.col("__off")).cast("bigint")) \
         .drop("__bkt", "__off")
 
 
+def _is_time(kind) -> bool:
+    return isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 WindowFn = Callable[[Window], Column]
 
 
@@ -113,7 +128,7 @@ def running_sum_max(df: DataFrame, value: str, order: Sequence[str] | str, by=No
     wp = Window.partitionBy(*by).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("__off", F.coalesce(F.sum("__tot").over(wp), F.lit(0)))
     tot = tot.withColumn("__prev", F.max(F.col("__off") + F.col("__mx")).over(wp))
-    j = local.join(tot.select(*by, "__bkt", "__off", "__prev"), [*by, "__bkt"])
+    j = _join(local, tot.select(*by, "__bkt", "__off", "__prev"), [*by, "__bkt"])
     return (j.withColumn(cum, F.col("__ls") + F.col("__off"))
             .withColumn(cum_max, F.greatest(F.col("__prev"), F.col("__lm") + F.col("__off")))
             .drop("__bkt", "__ls", "__lm", "__off", "__prev"))
@@ -130,10 +145,12 @@ def halo_rolling(df: DataFrame, idx: str, lags: dict[str, tuple[str, int]],
                NULL with fewer than ``min_periods`` present values.
 
     Sliding ROWS frames re-aggregate the whole frame for every row (O(rows)
-    per row).  Here each chunk copy (chunk-and-halo, see ``halo_windows``)
-    gets running count / sum / sum of squares of the chunk-centred values, and
-    a frame is the difference of two lagged running values.  Centring on the
-    chunk mean keeps the variance free of cancellation.
+    per row).  Here positions are cut into blocks as long as the frame, so a
+    frame is the end of one block and the beginning of the next.  Each row
+    carries count, mean and squared deviations of its block up to itself and
+    from itself on; a frame merges two of them.  Only values inside the frame
+    enter, so neighbours cost no precision and an infinite value marks the
+    frames that hold it and no others.
     """
     by = _by(by)
     reach = max([k for _, k in lags.values()] + [s + r for _, s, r, _, _ in rolls.values()] + [1])
@@ -142,37 +159,44 @@ def halo_rolling(df: DataFrame, idx: str, lags: dict[str, tuple[str, int]],
     home = F.floor(col(idx) / F.lit(chunk)).cast("bigint")
     last = F.floor((col(idx) + F.lit(reach)) / F.lit(chunk)).cast("bigint")
     rep = df.withColumn("__home", home).withColumn("__chunk", F.explode(F.sequence(home, last)))
+    pairs = sorted({(c, r) for c, _, r, _, _ in rolls.values()})
+    helpers = []
+    for rows in sorted({r for _, r in pairs}):
+        block = Window.partitionBy(*by, "__chunk", F.floor(col(idx) / F.lit(rows)))
+        sides = {"u": block.orderBy(col(idx)), "d": block.orderBy(col(idx).desc())}
+        new = {}
+        for side, o in sides.items():
+            w = o.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            for i, (c, r) in enumerate(pairs):
+                if r == rows:
+                    x = col(c).cast("double")
+                    new[f"__{side}n{i}"] = F.count(x).over(w)
+                    new[f"__{side}m{i}"] = F.avg(x).over(w)
+                    new[f"__{side}v{i}"] = F.var_pop(x).over(w) * F.count(x).over(w)
+        helpers += list(new)
+        rep = rep.select("*", *[e.alias(n) for n, e in new.items()])
     w = Window.partitionBy(*by, "__chunk").orderBy(col(idx))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by, "__chunk")
-    bases = sorted({c for c, *_ in rolls.values()})
-    helpers = {}
-    for i, c in enumerate(bases):
-        x = col(c).cast("double")
-        cen = F.avg(x).over(whole)
-        xc = x - cen
-        helpers[f"__c{i}"] = cen
-        helpers[f"__n{i}"] = F.count(x).over(run)
-        helpers[f"__s{i}"] = F.coalesce(F.sum(xc).over(run), F.lit(0.0))
-        helpers[f"__q{i}"] = F.coalesce(F.sum(xc * xc).over(run), F.lit(0.0))
-    staged = rep.select("*", *[e.alias(n) for n, e in helpers.items()])
     outs = {n: F.lag(col(c), k).over(w) for n, (c, k) in lags.items()}
     for n, (c, shift, rows, minp, stat) in rolls.items():
-        i = bases.index(c)
-
-        def diff(h):
-            return (F.coalesce(F.lag(f"__{h}{i}", shift).over(w), F.lit(0))
-                    - F.coalesce(F.lag(f"__{h}{i}", shift + rows).over(w), F.lit(0)))
-        cnt, s, q = diff("n"), diff("s"), diff("q")
+        i = pairs.index((c, rows))
+        end, start = shift, shift + rows - 1
+        # a frame that is a whole block needs its beginning alone
+        two = F.pmod(col(idx) - F.lit(start), F.lit(rows)) != 0
+        n1, m1, v1 = (F.lag(f"__u{k}{i}", end).over(w) for k in "nmv")
+        n2, m2, v2 = (F.when(two, F.lag(f"__d{k}{i}", start).over(w)) for k in "nmv")
+        n1, n2 = F.coalesce(n1, F.lit(0)), F.coalesce(n2, F.lit(0))
+        cnt = n1 + n2
+        both = (n1 > 0) & (n2 > 0)
         if stat == "mean":
-            v = s / cnt + F.col(f"__c{i}")
+            v = F.when(both, (m1 * n1 + m2 * n2) / cnt).otherwise(F.when(n1 > 0, m1).otherwise(m2))
             ok = cnt >= max(minp, 1)
         else:
-            v = F.sqrt(F.greatest(F.lit(0.0), (q - s * s / cnt) / (cnt - 1)))
+            dev = F.when(both, v1 + v2 + (m1 - m2) * (m1 - m2) * n1 * n2 / cnt).otherwise(F.when(n1 > 0, v1).otherwise(v2))
+            v = F.sqrt(F.greatest(F.lit(0.0), dev) / (cnt - 1))
             ok = cnt >= max(minp, 2)
         outs[n] = F.when(ok, v)
-    out = staged.select("*", *[e.alias(n) for n, e in outs.items()])
-    return out.where(F.col("__chunk") == F.col("__home")).drop("__home", "__chunk", *helpers.keys())
+    out = rep.select("*", *[e.alias(n) for n, e in outs.items()])
+    return out.where(F.col("__chunk") == F.col("__home")).drop("__home", "__chunk", *helpers)
 
 
 def regular_calendar(df: DataFrame, ts: str = "ts", by=None, step_minutes: int = 30) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from spreadforge.config import IDA2_WINDOW, IDA3_WINDOW, VALIDITY_EXCLUDE, VALIDITY_INCLUDE
 from spreadforge.functions.scalar import col
 from spreadforge.operators.clean import must_have_columns
-from spreadforge.operators.ordered import halo_windows
+from spreadforge.operators.ordered import halo_windows, row_index
 from spreadforge.operators.quantiles import exact_percentiles
 
 _NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.DecimalType)
@@ -176,7 +176,9 @@ def missing_intervals(df: DataFrame, ts: str = "ts", step_minutes: int = 30) ->
 
 def order_check(df: DataFrame, ts: str, order: str) -> DataFrame:
     """Number of steps where ``ts`` goes backwards in the ``order`` column's
-    sequence (``order`` is an integer position, e.g. an ingestion id)."""
-    w = halo_windows(df.select(col(order).alias("__o"), col(ts).alias("__t")), "__o",
-                     {"__prev": lambda w: F.lag("__t", 1).over(w)}, reach=1, chunk=20_000)
+    sequence (``order`` is an integer, e.g. an ingestion id, gaps allowed; a row
+    without one has no place in the sequence)."""
+    d = df.select(col(order).cast("bigint").alias("__o"), col(ts).alias("__t")).where(F.col("__o").isNotNull())
+    d = row_index(d, "__o", bucket=F.floor(F.col("__o") / F.lit(20_000)), name="__i")
+    w = halo_windows(d, "__i", {"__prev": lambda w: F.lag("__t", 1).over(w)}, reach=1, chunk=20_000)
     return w.agg(F.count(F.when(F.col("__t") < F.col("__prev"), 1)).alias("negative_steps"))

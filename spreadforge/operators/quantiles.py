@@ -2,20 +2,19 @@
 never hold a whole group in one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer,
-which breaks on a hot group.  Here an approximate sketch (``percentile_approx``,
-bounded memory, merged map-side) brackets each wanted rank, rows below the
-bracket are only counted, and the exact order statistic is picked among the
-few rows inside the bracket:
-
-1. per group: ``n`` and sketch values at ``p -/+ 4/accuracy``;
-2. per group: ``count(x < lo_p)`` (a plain conditional count);
-3. rows inside any bracket: running count of each bracket ordered by ``x``
-   -> exact rank -> the two order statistics -> interpolation.
-
-The sketch's rank error is at most ``n / accuracy``, so the bracket (``4n /
-accuracy`` wide on each side) always contains the wanted ranks; groups with at
-most ``small`` rows skip the sketch and use all rows as candidates.  The rows a
-group sends to step 3 are bounded by ``max(small, ~10 n P / accuracy)``.
+which breaks on a hot group.  Here, at every size alike:
+
+1. values are counted per ``(group, value)`` (merged map-side: ties are one row);
+2. an approximate sketch (``percentile_approx``, bounded memory, merged
+   map-side) brackets each wanted rank by the values at ``p -/+ 4/accuracy``;
+3. one grouped aggregate per bracket: rows below it, the nearest value on each
+   side;
+4. a prefix scan over the counted values inside each bracket finds the two
+   order statistics, which are interpolated.
+
+The sketch's rank error is at most ``n / accuracy``, so a bracket holds about
+``8 n / accuracy`` rows or, with ties, that many distinct values at most; each
+(group, probability) is a partition of its own.
 """
 from __future__ import annotations
 
@@ -35,7 +34,7 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     (evaluated once, no join); with keys it is an equi-join whose small side
     AQE sizes at run time."""
     if keys:
-        return df.join(stats, keys)
+        return _join(df, stats, keys)
     cols = stats.columns
     sc = stats.select(F.struct(*[F.col(c) for c in cols]).alias("__st")).scalar()
     out = df.withColumn("__st", sc)
@@ -44,70 +43,65 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by=None,
                       names: Sequence[str] | None = None, accuracy: int = DEFAULT_ACCURACY,
-                      small: int | None = None, exact: bool = True) -> DataFrame:
+                      exact: bool = True) -> DataFrame:
     """One row per group: ``by`` columns, ``n`` (non-missing count) and one
-    column per probability (default names ``q_<p>``).  ``exact=False`` returns
-    the one-pass sketch values (``percentile_approx``) instead."""
+    column per probability (default names ``q_<p>``).  A null group key is a
+    group.  ``exact=False`` returns the one-pass sketch values
+    (``percentile_approx``) instead."""
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q_{p:g}" for p in probs]
-    if not exact:
-        a = df.where(col(value).isNotNull()).groupBy(*by).agg(
-            F.count(col(value)).alias("n"),
-            F.percentile_approx(col(value).cast("double"), probs, accuracy).alias("__q"))
-        return a.select(*by, "n", *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
-    small = 4 * accuracy if small is None else small
-    eps = 4.0 / accuracy
     P = len(probs)
-    keys = by
     base = df.select(*[col(c).alias(c) for c in by], col(value).cast("double").alias("__x")) \
         .where(F.col("__x").isNotNull())
+    if not exact:
+        a = base.groupBy(*by).agg(F.count("__x").alias("n"), F.percentile_approx("__x", probs, accuracy).alias("__q"))
+        return a.select(*by, "n", *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
+    counts = base.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    eps = 4.0 / accuracy
     lo_p = [max(p - eps, 0.0) for p in probs]
     hi_p = [min(p + eps, 1.0) for p in probs]
-    stats = base.groupBy(*keys).agg(F.count("__x").alias("__n"),
-                                    F.percentile_approx("__x", lo_p + hi_p, accuracy).alias("__b"))
-    n = F.col("__n")
-    sel = [*keys, "__n"]
-    for i, p in enumerate(probs):
-        pos = (n - 1).cast("double") * F.lit(p)
-        sel += [
-            F.floor(pos).cast("bigint").alias(f"__klo{i}"),
-            F.ceil(pos).cast("bigint").alias(f"__khi{i}"),
-            (pos - F.floor(pos)).alias(f"__f{i}"),
-            (F.when((n > small) & F.lit(lo_p[i] > 0.0), F.col("__b")[i])).alias(f"__lo{i}"),
-            (F.when((n > small) & F.lit(hi_p[i] < 1.0), F.col("__b")[P + i])).alias(f"__hi{i}"),
-        ]
-    stats = stats.select(*sel)
-    j = attach(base, stats, keys)
-    inb = [((F.col(f"__lo{i}").isNull() | (F.col("__x") >= F.col(f"__lo{i}"))) &
-            (F.col(f"__hi{i}").isNull() | (F.col("__x") <= F.col(f"__hi{i}")))) for i in range(P)]
-    below = j.groupBy(*keys).agg(*[
-        F.count(F.when(F.col("__x") < F.col(f"__lo{i}"), 1)).alias(f"__below{i}") for i in range(P)])
-    cand = j.where(_any(inb))
-    w = Window.partitionBy(*keys).orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.select("*", *[F.sum(inb[i].cast("int")).over(w).alias(f"__r{i}") for i in range(P)])
-    cand = attach(cand, below, keys)
-    picks = []
-    for i in range(P):
-        rank = F.col(f"__below{i}") + F.col(f"__r{i}") - 1
-        picks += [
-            F.max(F.when(inb[i] & (rank == F.col(f"__klo{i}")), F.col("__x"))).alias(f"__vlo{i}"),
-            F.max(F.when(inb[i] & (rank == F.col(f"__khi{i}")), F.col("__x"))).alias(f"__vhi{i}"),
-            F.first(F.col(f"__f{i}")).alias(f"__f{i}"),
-        ]
-    agg = cand.groupBy(*keys).agg(F.first("__n").alias("n"), *picks)
-    out = [*by, F.col("n")]
-    for i, nm in enumerate(names):
-        lo, hi = F.col(f"__vlo{i}"), F.col(f"__vhi{i}")
-        out.append((lo + (hi - lo) * F.col(f"__f{i}")).alias(nm))
-    return agg.select(*out)
-
-
-def _any(conds):
-    acc = conds[0]
-    for c in conds[1:]:
-        acc = acc | c
-    return acc
+    stats = base.groupBy(*by).agg(F.count("__x").alias("__n"),
+                                  F.percentile_approx("__x", lo_p + hi_p, accuracy).alias("__b"))
+    x, n = F.col("__x"), F.col("__n")
+
+    def bracket(i):
+        pos = (n - 1).cast("double") * F.lit(probs[i])
+        return F.struct(F.lit(i).alias("i"), F.floor(pos).alias("klo"), F.ceil(pos).alias("khi"), (pos - F.floor(pos)).alias("f"),
+                        F.col("__b")[i].alias("lo"), F.col("__b")[P + i].alias("hi"))
+
+    stats = stats.select(*by, "__n", F.array(*[bracket(i) for i in range(P)]).alias("__p"))
+    per = attach(counts, stats, by).select(*by, "__x", "__c", "__n", F.explode("__p").alias("__p"))
+    keys = [*by, F.col("__p.i").alias("__i")]
+    lo, hi = F.col("__p.lo"), F.col("__p.hi")
+    side = per.groupBy(*keys).agg(
+        F.first("__n").alias("__n"), F.first("__p").alias("__s"),
+        F.sum(F.when(x < lo, F.col("__c")).otherwise(0)).alias("__below"),
+        F.max(F.when(x < lo, x)).alias("__prev"), F.min(F.when(x > hi, x)).alias("__next"))
+    w = Window.partitionBy(*by, "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = per.where((x >= lo) & (x <= hi)).select(*keys, "__x", "__c").withColumn("__r", F.sum("__c").over(w))
+    inside = _join(inside, side, [*by, "__i"])
+
+    def pick(k):
+        """Order statistic ``k`` (0-based): the first value whose running count passes it."""
+        passed = F.min(F.when(F.col("__below") + F.col("__r") > k, x))
+        return F.when(F.first(k) < F.first("__below"), F.first("__prev")).otherwise(F.coalesce(passed, F.first("__next")))
+
+    got = inside.groupBy(*by, "__i").agg(F.first("__n").alias("n"), F.first("__s.f").alias("f"),
+                                         pick(F.col("__s.klo")).alias("a"), pick(F.col("__s.khi")).alias("b"))
+    value_ = F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+    return got.groupBy(*by).agg(F.first("n").alias("n"),
+                                *[F.max(F.when(F.col("__i") == i, value_)).alias(nm) for i, nm in enumerate(names)])
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null, key columns kept once."""
+    r = right.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = None
+    for j, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"__k{j}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond).drop(*[f"__k{j}" for j in range(len(keys))])
 
 
 def exact_median(df: DataFrame, value: str, by=None, name: str = "median", **kw) -> DataFrame:

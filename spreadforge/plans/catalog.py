@@ -644,13 +644,13 @@ def q_lags(spark, d):
 
 
 @register("rolling_mean", with_ctes(panel_ctes(), final(
-    f"SELECT ts, {', '.join(_lag_sql(['mean']))} FROM panel", dbl=_lag_names(["mean"]), rest=["ts"], digits=4)))
+    f"SELECT ts, {', '.join(_lag_sql(['mean']))} FROM panel", dbl=_lag_names(["mean"]), rest=["ts"])))
 def q_rolling_mean(spark, d):
     return finalize(features(spark, d).select("ts", *_lag_names(["mean"])), 4)
 
 
 @register("rolling_std", with_ctes(panel_ctes(), final(
-    f"SELECT ts, {', '.join(_lag_sql(['std']))} FROM panel", dbl=_lag_names(["std"]), rest=["ts"], digits=4)))
+    f"SELECT ts, {', '.join(_lag_sql(['std']))} FROM panel", dbl=_lag_names(["std"]), rest=["ts"])))
 def q_rolling_std(spark, d):
     return finalize(features(spark, d).select("ts", *_lag_names(["std"])), 4)
 
@@ -932,7 +932,7 @@ def q_row_pnl(spark, d):
     return finalize(r.select("transition", "ts", "spread", "signal", "pnl"))
 
 
-_SERIES = [("ps", "SELECT transition, ts, sum(CAST(floor(pnl * 1e6 + 0.5e0) / 1e6 AS DECIMAL(38, 6))) AS pnl "
+_SERIES = [("ps", "SELECT transition, ts, sum(CAST(round_even(pnl * 1e6, 0) / 1e6 AS DECIMAL(38, 6))) AS pnl "
                   "FROM rp GROUP BY 1, 2"),
            ("pc", "SELECT *, sum(pnl) OVER w AS cum_pnl FROM ps WINDOW w AS (PARTITION BY transition ORDER BY ts "
                   "ROWS UNBOUNDED PRECEDING)"),

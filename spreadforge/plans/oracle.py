@@ -104,6 +104,6 @@ def with_ctes(ctes: list[tuple[str, str]], body: str) -> str:
 def final(inner: str, dbl=(), ints=(), rest=(), digits: int = 6) -> str:
     """Outer projection: doubles rounded, integers as BIGINT (same on the Spark side)."""
     cols = [q(c) for c in rest] + [f"CAST({q(c)} AS BIGINT) AS {q(c)}" for c in ints] + \
-           [f"CASE WHEN abs({q(c)}) < 1e12 THEN floor(CAST({q(c)} AS DOUBLE) * 1e{digits} + 0.5e0) / 1e{digits} "
+           [f"CASE WHEN abs(CAST({q(c)} AS DOUBLE) * 1e{digits}) < 4503599627370496e0 THEN floor(CAST({q(c)} AS DOUBLE) * 1e{digits} + 0.5e0) / 1e{digits} "
             f"ELSE CAST({q(c)} AS DOUBLE) END AS {q(c)}" for c in dbl]
     return f"SELECT {', '.join(cols)} FROM ({inner}) AS fin"

@@ -30,7 +30,8 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
             # floor(x * 10^d + 0.5) / 10^d: the same IEEE operations in both
             # engines, so the rounded doubles are bit-identical
             m = float(10 ** digits)
-            c = F.when(F.abs(c) < 1e12, F.floor(c * m + 0.5) / m).otherwise(c.cast("double"))
+            # (a double of 2**52 or more has no fraction to round)
+            c = F.when(F.abs(c * m) < float(1 << 52), F.floor(c * m + 0.5) / m).otherwise(c.cast("double"))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))

@@ -67,3 +67,34 @@ def test_regular_calendar_fills_gaps(spark):
         .select(F.col("t").cast("timestamp_ntz").alias("ts"), "v")
     out = regular_calendar(df).orderBy("ts").collect()
     assert len(out) == 5 and [r["v"] for r in out] == [1.0, None, None, None, 2.0]
+
+
+def test_rolling_infinite_and_constant_windows(spark):
+    """An infinite value marks the frames that hold it only; a constant window
+    after a volatile stretch has deviation 0."""
+    v = [float(1e6 * (-1) ** i) for i in range(150)] + [3.25] * 150
+    v[100] = float("inf")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "idx long, v double")
+    got = halo_rolling(df, "idx", {}, {"m": ("v", 2, 20, 5, "mean"), "s": ("v", 2, 20, 5, "std")}, chunk=64) \
+        .toPandas().sort_values("idx").set_index("idx")
+    held = [i for i in range(300) if i - 21 <= 100 <= i - 2]
+    assert np.isinf(got.loc[held, "m"].astype(float)).all()
+    rest = [i for i in range(10, 300) if i not in held]
+    assert np.isfinite(got.loc[rest, ["m", "s"]].astype(float)).all().all()
+    constant = list(range(171, 300))
+    assert (got.loc[constant, "s"] == 0.0).all() and (got.loc[constant, "m"] == 3.25).all()
+
+
+def test_row_index_keeps_null_keys_and_orders(spark):
+    rows = [("a", 3), ("a", None), (None, 5), (None, 1), ("a", 1)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    got = {(r["k"], r["o"]): r["idx"] for r in row_index(df, "o", by="k", bucket=F.floor(F.col("o") / 2), fan=1).collect()}
+    assert got == {("a", None): 0, ("a", 1): 1, ("a", 3): 2, (None, 1): 0, (None, 5): 1}
+    rs = running_sum_max(df, "o", "o", by="k", bucket=F.floor(F.col("o") / 2)).count()
+    assert rs == 5
+
+
+def test_order_check_with_gaps_in_ids(spark):
+    from spreadforge.operators.quality import order_check
+    df = spark.createDataFrame([(19990, 10), (20005, 4), (70000, 9), (None, 1)], "id long, t long")
+    assert order_check(df, "t", "id").first()["negative_steps"] == 1

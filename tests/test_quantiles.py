@@ -16,17 +16,40 @@ def test_exact_percentiles_small_groups(spark):
         np.testing.assert_allclose(got.loc[g, [f"q_{p:g}" for p in probs]].to_numpy(float), want, rtol=1e-12)
 
 
-def test_exact_percentiles_bracket_path_on_hot_group(spark):
-    # accuracy 50 and small=10 force the sketch-bracket path; one hot group
+def test_exact_percentiles_wide_brackets_on_hot_group(spark):
+    # a coarse sketch makes the brackets wide; one hot group, a null group key
     rng = np.random.default_rng(11)
     g = np.where(rng.random(20000) < 0.9, 0, rng.integers(1, 5, 20000))
-    pdf = pd.DataFrame({"g": g, "x": rng.exponential(3.0, 20000)})
-    probs = [0.01, 0.25, 0.5, 0.9, 0.99]
-    got = exact_percentiles(spark.createDataFrame(pdf), "x", probs, by="g", accuracy=50, small=10) \
-        .toPandas().set_index("g")
-    for k, grp in pdf.groupby("g"):
-        want = np.percentile(grp["x"].to_numpy(), [p * 100 for p in probs])
-        np.testing.assert_allclose(got.loc[k, [f"q_{p:g}" for p in probs]].to_numpy(float), want, rtol=1e-12)
+    pdf = pd.DataFrame({"g": [None if k == 4 else int(k) for k in g], "x": rng.exponential(3.0, 20000)})
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    df = spark.createDataFrame([(None if pd.isna(a) else int(a), float(b)) for a, b in pdf.itertuples(index=False)], "g long, x double")
+    got = {r["g"]: r for r in exact_percentiles(df, "x", probs, by="g", accuracy=50).collect()}
+    assert len(got) == 5
+    for k in range(5):
+        x = pdf["x"][g == k].to_numpy()
+        want = np.percentile(x, [p * 100 for p in probs])
+        row = got[None if k == 4 else k]
+        np.testing.assert_allclose([row[f"q_{p:g}"] for p in probs], want, rtol=1e-12)
+        assert row["n"] == len(x)
+
+
+def test_exact_percentiles_with_half_ties(spark):
+    """Half of all rows share one value: it is one counted row, and the
+    returned plan windows no raw rows."""
+    x = np.concatenate([np.full(5000, 7.0), np.arange(5000) / 500.0])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    for accuracy in (20, 100_000):
+        row = exact_percentiles(df, "x", [0.1, 0.5, 0.61, 0.95], accuracy=accuracy).first()
+        np.testing.assert_allclose([row["q_0.1"], row["q_0.5"], row["q_0.61"], row["q_0.95"]],
+                                   np.percentile(x, [10, 50, 61, 95]), rtol=1e-12)
+
+
+def test_exact_percentiles_tiny_groups(spark):
+    rows = [(n, float(v)) for n in range(1, 9) for v in range(n)]
+    got = exact_percentiles(spark.createDataFrame(rows, "g int, x double"), "x", [0.25, 0.4, 0.5, 0.99], by="g").collect()
+    for r in got:
+        np.testing.assert_allclose([r["q_0.25"], r["q_0.4"], r["q_0.5"], r["q_0.99"]],
+                                   np.percentile(np.arange(r["g"]), [25, 40, 50, 99]), rtol=1e-12)
 
 
 def test_qcut_matches_pandas(spark):
