@@ -73,12 +73,16 @@ def walk_forward_roles(ds: DataFrame, splits: int = 5, idx: str = "idx") -> Data
     and trains on everything before.  Rows get (fold, role) per fold they take
     part in (explode over at most ``splits`` folds)."""
     p = add_positions(ds, idx)
-    m = (F.col("n") / F.lit(splits + 1)).cast("bigint")
     folds = F.sequence(F.lit(0), F.lit(splits - 1))
     p = p.withColumn("fold", F.explode(folds))
-    start = F.col("n") - (F.lit(splits) - F.col("fold")) * m
-    role = F.when(F.col("rn0") < start, "train").when(F.col("rn0") < start + m, "test")
-    return p.withColumn("role", role).where(F.col("role").isNotNull())
+    return p.withColumn("role", fold_role(F.col("fold"), splits)).where(F.col("role").isNotNull())
+
+
+def fold_role(fold, splits: int):
+    """'train', 'test' or NULL for a row at position ``rn0`` of ``n``."""
+    m = (F.col("n") / F.lit(splits + 1)).cast("bigint")
+    start = F.col("n") - (F.lit(splits) - fold) * m
+    return F.when(F.col("rn0") < start, "train").when(F.col("rn0") < start + m, "test")
 
 
 def fold_summary(roles: DataFrame) -> DataFrame:

@@ -183,11 +183,14 @@ def line_fit(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def scatter_sample(df: DataFrame, x: str, y: str, n: int = 8000, seed: int = 42,
-                   key: Sequence[str] = ("ts",)) -> DataFrame:
-    """A19 extract: at most ``n`` pairwise-complete rows, chosen by a seeded hash
-    of the row key (a sampling operator, so the limit is the feature)."""
+                   ts: str = "ts") -> DataFrame:
+    """A19 extract: at most ``n`` pairwise-complete rows ``(ts, x, y)``, chosen by
+    a seeded multiplicative hash of the minute (a sampling operator, so the
+    limit is the feature)."""
     d = df.where(col(x).isNotNull() & col(y).isNotNull())
-    return d.orderBy(F.xxhash64(*[col(k) for k in key], F.lit(seed))).limit(n).select(col(x), col(y))
+    minute = F.floor(F.unix_seconds(col(ts).cast("timestamp")) / 60)
+    h = (minute * F.lit(48271) + F.lit(seed)) % F.lit(2147483647)
+    return d.orderBy(h, col(ts)).limit(n).select(col(ts), col(x), col(y))
 
 
 PRICE_MARKETS = (("DAM", "PriceDAM"), ("IDA1", "PriceIDA1"), ("IDA2", "PriceIDA2"),

@@ -38,6 +38,13 @@ def raw_panel(spark: SparkSession, d: str, dirty: bool = False) -> DataFrame:
     return materialize(dirty_panel(spark, d) if dirty else market_panel(spark, d))
 
 
+def holed(spark: SparkSession, d: str) -> DataFrame:
+    """The raw table with gaps, blanks, NaN and infinities, materialised."""
+    from spreadforge.session import materialize
+    from spreadforge.sources.fixtures import holed_panel
+    return materialize(holed_panel(spark, d))
+
+
 def unpivot_sql(src: str, keep: list[str], cols: list[str], name: str = "spread") -> str:
     k = ", ".join(keep)
     return (f"SELECT {k + ', ' if k else ''}{q(name)}, value FROM (UNPIVOT (SELECT {k + ', ' if k else ''}"
@@ -119,7 +126,7 @@ def q_trading_table(spark, d):
 from spreadforge.operators import clean as CL  # noqa: E402
 from spreadforge.operators import quality as QA  # noqa: E402
 from spreadforge.functions.calendar import add_calendar, add_cyclical  # noqa: E402
-from spreadforge.plans.oracle import clean_sql, raw_panel_sql, spreads_sql  # noqa: E402
+from spreadforge.plans.oracle import clean_sql, holed_sql, raw_panel_sql, spreads_sql  # noqa: E402
 from spreadforge.sources.fixtures import dirty_panel, event_bins  # noqa: E402
 from spreadforge.sources.market import table_profile  # noqa: E402
 
@@ -167,35 +174,35 @@ def q_cyclical(spark, d):
 _RAW_NUM = [c for c, _, _ in __import__("spreadforge.sources.fixtures", fromlist=["panel_spec"]).panel_spec()]
 
 
-@register("normalise_missing", with_ctes(raw_panel_sql(), final(
-    "SELECT * FROM panel_raw", dbl=_RAW_NUM, rest=["TradeDate", "Time", "StartDateTime"])))
+@register("normalise_missing", with_ctes(holed_sql(), final(
+    "SELECT * FROM panel_holed", dbl=_RAW_NUM, rest=["TradeDate", "Time", "StartDateTime"])))
 def q_normalise_missing(spark, d):
     from spreadforge.functions.scalar import normalise_missing
-    return finalize(normalise_missing(market_panel(spark, d)))
+    return finalize(normalise_missing(holed(spark, d)))
 
 
 _FILL = ["EirgridActualWind", "ISEMSOLAR_DAM", "ISEMSOLAR_IDA1", "EirGridWindFc_DAM", "EirGridWindFc_IDA1"]
 
 
-@register("clip_fill_cascade", with_ctes(_stage_sql("must_have"), final(
+@register("clip_fill_cascade", with_ctes(holed_sql() + clean_sql("panel_holed", "st", stop="must_have"), final(
     f"SELECT ts, {', '.join(_FILL)} FROM st", dbl=_FILL, rest=["ts"])))
 def q_clip_fill_cascade(spark, d):
-    return finalize(_stage(spark, d, "must_have").select("ts", *_FILL))
+    return finalize(CL.clean_market_data(holed(spark, d), stop="must_have").select("ts", *_FILL))
 
 
 _REP = ["ISEMSOLAR_IDA2", "ISEMSOLAR_IDA3", "EirGridWindFc_IDA2", "EirGridWindFc_IDA3"]
 
 
-@register("window_repair", with_ctes(panel_ctes(), final(
-    f"SELECT ts, hod, {', '.join(_REP)} FROM panel", dbl=["hod"] + _REP, rest=["ts"])))
+@register("window_repair", with_ctes(holed_sql() + clean_sql("panel_holed", "st"), final(
+    f"SELECT ts, hod, {', '.join(_REP)} FROM st", dbl=["hod"] + _REP, rest=["ts"])))
 def q_window_repair(spark, d):
-    return finalize(panel(spark, d).select("ts", "hod", *_REP))
+    return finalize(CL.clean_market_data(holed(spark, d)).select("ts", "hod", *_REP))
 
 
-@register("must_have_filter", with_ctes(_stage_sql("must_have"), final(
+@register("must_have_filter", with_ctes(holed_sql() + clean_sql("panel_holed", "st", stop="must_have"), final(
     "SELECT ts, hod, PriceDAM FROM st", dbl=["hod", "PriceDAM"], rest=["ts"])))
 def q_must_have_filter(spark, d):
-    return finalize(_stage(spark, d, "must_have").select("ts", "hod", "PriceDAM"))
+    return finalize(CL.clean_market_data(holed(spark, d), stop="must_have").select("ts", "hod", "PriceDAM"))
 
 
 @register("dedup_rows", with_ctes(raw_panel_sql(True), final(
@@ -283,11 +290,11 @@ def _mh_cols():
     return list(MUST_HAVE) + list(MUST_HAVE_PRICES)
 
 
-@register("must_have_missing", with_ctes(_stage_sql("collapse") + [("v", _long_union(
+@register("must_have_missing", with_ctes(holed_sql() + clean_sql("panel_holed", "st", stop="collapse") + [("v", _long_union(
     "st", _mh_cols(), {"missing_count": "count(*) FILTER (WHERE {c} IS NULL)"}))],
     final("SELECT * FROM v WHERE missing_count > 0", ints=["missing_count"], rest=["column"])))
 def q_must_have_missing(spark, d):
-    return finalize(QA.must_have_missing(_stage(spark, d, "collapse")))
+    return finalize(QA.must_have_missing(CL.clean_market_data(holed(spark, d), stop="collapse")))
 
 
 def _structural_sql():
@@ -336,16 +343,11 @@ def q_outlier_report(spark, d):
     return finalize(QA.outlier_report(panel(spark, d)))
 
 
-def _panel_doubles():
-    return _RAW_NUM + ["hod"] + SPR + _ND
-
-
-@register("inf_count", with_ctes(panel_ctes() + [("v", _long_union(
-    "panel", _panel_doubles(), {"n_inf": "count(*) FILTER (WHERE abs({c}) = 'infinity'::DOUBLE)"}))],
+@register("inf_count", with_ctes(holed_sql() + [("v", _long_union(
+    "panel_holed", _RAW_NUM, {"n_inf": "count(*) FILTER (WHERE abs({c}) = 'infinity'::DOUBLE)"}))],
     final("SELECT * FROM v", ints=["n_inf"], rest=["column"])))
 def q_inf_count(spark, d):
-    p = panel(spark, d)
-    return finalize(QA.inf_count(p.select(*[F.col(f"`{c}`") for c in _panel_doubles()])))
+    return finalize(QA.inf_count(holed(spark, d)))
 
 
 _EVB = ("SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS ts, count(*) AS n_events"
@@ -360,19 +362,22 @@ def q_missing_intervals(spark, d):
     return finalize(QA.missing_intervals(event_bins(spark, d)))
 
 
-@register("panel_gaps", with_ctes(panel_ctes(), final(
+@register("panel_gaps", with_ctes(holed_sql() + clean_sql("panel_holed", "st"), final(
     "SELECT count(*) AS n_missing FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts "
-    "FROM panel) WHERE ts NOT IN (SELECT ts FROM panel)", ints=["n_missing"])))
+    "FROM st) WHERE ts NOT IN (SELECT ts FROM st)", ints=["n_missing"])))
 def q_panel_gaps(spark, d):
-    return finalize(QA.missing_intervals(panel(spark, d)).agg(F.count(F.lit(1)).alias("n_missing")))
+    return finalize(QA.missing_intervals(CL.clean_market_data(holed(spark, d))).agg(F.count(F.lit(1)).alias("n_missing")))
 
 
 @register("order_check", final(
     "SELECT count(*) FILTER (WHERE ts < prev) AS negative_steps FROM "
-    "(SELECT ts, lag(ts) OVER (ORDER BY event_id) AS prev FROM events)", ints=["negative_steps"]))
+    "(SELECT ts, lag(ts) OVER (ORDER BY event_id * 3 + CASE WHEN event_id % 7 = 0 THEN 11 ELSE 0 END) AS prev FROM events)",
+    ints=["negative_steps"]))
 def q_order_check(spark, d):
+    """Ingestion ids with gaps, every seventh event registered late."""
     ev = spark.read.parquet(f"{d}/events.parquet")
-    return finalize(QA.order_check(ev, "ts", "event_id"))
+    late = F.col("event_id") * 3 + F.when(F.col("event_id") % 7 == 0, 11).otherwise(0)
+    return finalize(QA.order_check(ev.withColumn("seen", late), "ts", "seen"))
 
 
 @register("load_profile", with_ctes(panel_ctes(), final(
@@ -384,7 +389,12 @@ def q_load_profile(spark, d):
 
 # --------------------------------------------------------------------------- exploration
 _PRICES = ["PriceDAM", "PriceIDA1", "PriceIDA2", "PriceIDA3", "PriceImbalance"]
-_DESC_COLS = _PRICES + SPR
+#: fixed values: the described columns
+_SUMMARY_COLS = ["PriceDAM", "PriceIDA1", "PriceIDA2", "PriceIDA3", "PriceImbalance",
+                 "EirGridDemandFc_DAM", "EirGridDemandFc_IDA1", "EirGridDemandFc_IDA2", "EirGridDemandFc_IDA3",
+                 "EirGridWindFc_DAM", "EirGridWindFc_IDA1", "EirGridWindFc_IDA2", "EirGridWindFc_IDA3", "NIV_Actual", "TotalPN"]
+_FUNDAMENTALS = ["EirGridDemandFc_DAM", "EirgridActualWind", "NIV_Actual", "ActualMeterData", "TotalPN"]
+_DESC_COLS = _SUMMARY_COLS + SPR
 
 
 @register("describe", with_ctes(panel_ctes() + [("lf", unpivot_sql("panel", [], _DESC_COLS, "column"))], final(
@@ -398,27 +408,32 @@ def q_describe(spark, d):
     return finalize(EX.describe(panel(spark, d), _DESC_COLS))
 
 
-_CORR_COLS = ["spr_IDA1_DAM", "spr_BM_DAM", "spr_BM_IDA1", "NetDemand_DAM", "EirgridActualWind", "PriceDAM"]
+_CORR_SETS = {"summary": _SUMMARY_COLS, "updated": _PRICES + SPR + _FUNDAMENTALS + _ND}
 
 
 def _corr_sql():
     parts = []
-    for i, a in enumerate(_CORR_COLS):
-        for j, b in enumerate(_CORR_COLS):
-            if i == j:
-                parts.append(f"SELECT '{a}' AS x, '{a}' AS y, CASE WHEN count({a}) > 1 THEN 1e0 END AS r FROM panel")
-            else:
-                parts.append(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM panel")
-    return " UNION ALL ".join(parts)
+    for name, cols in _CORR_SETS.items():
+        cells = ", ".join(f"corr({a}, {b}) AS \"{a}|{b}\"" for i, a in enumerate(cols) for b in cols[i + 1:])
+        cells += ", " + ", ".join(f"CASE WHEN count({a}) > 1 THEN 1e0 END AS \"{a}|{a}\"" for a in cols)
+        parts.append(f"SELECT '{name}' AS report, split_part(pair, '|', 1) AS a, split_part(pair, '|', 2) AS b, r "
+                     f"FROM (SELECT {cells} FROM panel) AS t UNPIVOT INCLUDE NULLS (r FOR pair IN (*))")
+    one = " UNION ALL ".join(parts)
+    return [("c1", one), ("c", "SELECT report, a AS x, b AS y, r FROM c1 UNION ALL SELECT report, b AS x, a AS y, r FROM c1 WHERE a <> b")]
 
 
-@register("correlations", with_ctes(panel_ctes() + [("c", _corr_sql())], final(
-    "SELECT * FROM c", dbl=["r"], rest=["x", "y"])))
+@register("correlations", with_ctes(panel_ctes() + _corr_sql(), final(
+    "SELECT * FROM c", dbl=["r"], rest=["report", "x", "y"])))
 def q_correlations(spark, d):
-    return finalize(EX.correlations(panel(spark, d), _CORR_COLS))
+    p = panel(spark, d)
+    out = None
+    for name, cols in _CORR_SETS.items():
+        one = EX.correlations(p, cols).withColumn("report", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return finalize(out.select("report", "x", "y", "r"))
 
 
-_HIST_COLS = ["spr_IDA1_DAM", "spr_BM_DAM", "spr_BM_IDA1"]
+_HIST_COLS = ["PriceImbalance", "PriceIDA1", "PriceDAM"] + SPR
 
 
 @register("histogram", with_ctes(panel_ctes() + [
@@ -519,23 +534,47 @@ def q_qcut_means(spark, d):
     return finalize(out)
 
 
-_FIT = (("NetDemand_DAM", "spr_IDA1_DAM"), ("NetDemand_DAM", "spr_BM_DAM"), ("NetDemand_IDA1", "spr_BM_IDA1"),
-        ("EirgridActualWind", "spr_IDA1_DAM"), ("EirgridActualWind", "spr_BM_DAM"), ("PriceDAM", "spr_BM_DAM"),
-        ("EirGridWindFc_DAM", "spr_IDA1_DAM"), ("wind_revision_IDA1_DAM", "spr_IDA1_DAM"))
+#: fixed values: drivers and targets of the scatter plots
+_FIT = tuple((x, y) for y, xs in (
+    ("spr_IDA1_DAM", ("NetDemand_DAM", "EirGridDemandFc_DAM", "EirGridWindFc_DAM", "ISEMSOLAR_DAM", "GB DAM Epex", "GB DAM N2EX", "GB DAM HH Epex")),
+    ("spr_BM_DAM", ("NetDemand_DAM", "EirGridDemandFc_DAM", "EirGridWindFc_DAM", "ISEMSOLAR_DAM", "GB DAM Epex", "GB DAM N2EX", "GB DAM HH Epex")),
+    ("spr_BM_IDA1", ("NetDemand_IDA1", "EirGridDemandFc_IDA1", "EirGridWindFc_IDA1", "ISEMSOLAR_IDA1", "PredictedICFlow", "PumpStorage")),
+) for x in xs)
+_SAMPLE = 8000
 
 
 def _fit_sql():
     return " UNION ALL ".join(
-        f"SELECT '{x}' AS x, '{y}' AS y, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept, "
-        f"regr_count({y}, {x}) AS n FROM (SELECT *, EirGridWindFc_DAM - EirGridWindFc_IDA1 AS wind_revision_IDA1_DAM "
-        f"FROM panel)" for x, y in _FIT)
+        f"SELECT '{x}' AS x, '{y}' AS y, regr_slope({y}, {q(x)}) AS slope, regr_intercept({y}, {q(x)}) AS intercept, "
+        f"regr_count({y}, {q(x)}) AS n FROM panel" for x, y in _FIT)
 
 
 @register("line_fit", with_ctes(panel_ctes() + [("lfit", _fit_sql())], final(
     "SELECT * FROM lfit", dbl=["slope", "intercept"], ints=["n"], rest=["x", "y"])))
 def q_line_fit(spark, d):
-    from spreadforge.operators.features import disagreement_and_revisions
-    return finalize(EX.line_fit(disagreement_and_revisions(panel(spark, d)), _FIT))
+    return finalize(EX.line_fit(panel(spark, d), _FIT))
+
+
+def _scatter_sql():
+    """Rows by an arithmetic hash of the minute, as many as the plot shows."""
+    return " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{x}' AS x, '{y}' AS y, ts, {q(x)} AS x_value, {y} AS y_value FROM panel "
+        f"WHERE {q(x)} IS NOT NULL AND {y} IS NOT NULL "
+        f"ORDER BY ((epoch(ts)::BIGINT // 60) * 48271 + 42) % 2147483647, ts LIMIT {_SAMPLE})" for x, y in _FIT)
+
+
+@register("scatter_sample", with_ctes(panel_ctes() + [("sc", _scatter_sql())], final(
+    "SELECT * FROM sc", dbl=["x_value", "y_value"], rest=["x", "y", "ts"])))
+def q_scatter_sample(spark, d):
+    """A19 extracts: at most 8 000 pairwise-complete rows of every pair, chosen
+    by a seeded hash (a sampling operator: the limit is the feature)."""
+    p = panel(spark, d)
+    out = None
+    for x, y in _FIT:
+        one = EX.scatter_sample(p, x, y, n=_SAMPLE, seed=42).select(
+            F.lit(x).alias("x"), F.lit(y).alias("y"), "ts", F.col(f"`{x}`").alias("x_value"), F.col(y).alias("y_value"))
+        out = one if out is None else out.unionByName(one)
+    return finalize(out)
 
 
 @register("price_summary", with_ctes(panel_ctes() + [("lf", unpivot_sql(
@@ -646,13 +685,13 @@ def q_lags(spark, d):
 @register("rolling_mean", with_ctes(panel_ctes(), final(
     f"SELECT ts, {', '.join(_lag_sql(['mean']))} FROM panel", dbl=_lag_names(["mean"]), rest=["ts"])))
 def q_rolling_mean(spark, d):
-    return finalize(features(spark, d).select("ts", *_lag_names(["mean"])), 4)
+    return finalize(features(spark, d).select("ts", *_lag_names(["mean"])))
 
 
 @register("rolling_std", with_ctes(panel_ctes(), final(
     f"SELECT ts, {', '.join(_lag_sql(['std']))} FROM panel", dbl=_lag_names(["std"]), rest=["ts"])))
 def q_rolling_std(spark, d):
-    return finalize(features(spark, d).select("ts", *_lag_names(["std"])), 4)
+    return finalize(features(spark, d).select("ts", *_lag_names(["std"])))
 
 
 _SUP = ("SELECT l_suppkey, l_shipdate, sum(l_quantity) AS qty, "
@@ -971,20 +1010,27 @@ def q_pct_traded(spark, d):
 
 
 _BOARD = [("trading", _trading_sql()),
+          ("rk", "SELECT transition, y, pred, row_number() OVER (PARTITION BY transition ORDER BY ts, spread, p_up, pred_mag) - 1 AS rn, "
+                 "count(*) OVER (PARTITION BY transition) AS n FROM ev"),
+          ("fa", "SELECT transition, (rn - (n - 5 * (n // 6))) // (n // 6) AS fold, avg(CAST(pred = y AS DOUBLE)) AS accuracy "
+                 "FROM rk WHERE rn >= n - 5 * (n // 6) GROUP BY 1, 2"),
+          ("cv", "SELECT transition, avg(accuracy) AS cv_accuracy, stddev_pop(accuracy) AS cv_std FROM fa GROUP BY 1"),
           ("best", "SELECT * EXCLUDE (rk, test_size, pct_traded) FROM (SELECT *, row_number() OVER (PARTITION BY transition "
                    "ORDER BY eur_per_mwh DESC NULLS LAST, conf_thresh) AS rk FROM trading) WHERE rk = 1"),
           ("met", "SELECT transition, round_even(accuracy, 4) AS test_accuracy, round_even(roc_auc, 4) AS roc_auc, "
-                  "CAST(NULL AS DOUBLE) AS cv_accuracy, CAST(NULL AS DOUBLE) AS cv_std, round_even(reg_r2, 4) AS reg_r2, "
+                  "round_even(cv_accuracy, 4) AS cv_accuracy, round_even(cv_std, 4) AS cv_std, round_even(reg_r2, 4) AS reg_r2, "
                   "round_even(reg_mae, 4) AS reg_mae FROM acc JOIN auc USING (transition) JOIN (" + _REG_SQL
-                  + ") USING (transition)"),
+                  + ") USING (transition) JOIN cv USING (transition)"),
           ("board", "SELECT * FROM best JOIN met USING (transition)")]
 _BOARD_DBL = ["conf_thresh", "hit_rate", "eur_per_mwh", "total_pnl_eur", "sharpe_proxy", "test_accuracy", "roc_auc",
               "cv_accuracy", "cv_std", "reg_r2", "reg_mae"]
 
 
 def leaderboard_df(spark, d):
-    s = scored_eval(spark, d)
-    return BT.leaderboard(BT.trading_table(s, _CFG), MT.model_metrics(s))
+    from spreadforge.session import materialize
+    s = materialize(scored_eval(spark, d))       # read by the trading table, the metrics and the folds
+    cv = MT.cv_summary(MT.fold_accuracy(s, order=("ts", "spread", "p_up", "pred_mag")))
+    return BT.leaderboard(BT.trading_table(s, _CFG), MT.model_metrics(s, cv))
 
 
 @register("leaderboard", with_ctes(_sized_sql() + _eval_sql() + _AUC_SQL + _BOARD, final(
@@ -1006,8 +1052,7 @@ from spreadforge.config import ModelConfig, TRANSITION_BY_NAME  # noqa: E402
 from spreadforge.operators import models as MD  # noqa: E402
 from spreadforge.session import scratch_dir  # noqa: E402
 
-QUERY_MODEL = ModelConfig(max_iter=5)
-QUERY_CV = ModelConfig(max_iter=3)
+QUERY_MODEL = ModelConfig()
 
 
 def _feature_ctes():
@@ -1103,13 +1148,6 @@ def q_csv_roundtrip(spark, d):
     return finalize(add_spreads_and_fundamentals(CL.clean_market_data(back)).select("ts", *SPR))
 
 
-@register("synthetic_panel", None)
-def q_synthetic_panel(spark, d):
-    from spreadforge.sources.synthetic import make_sample
-    syn = make_sample(panel(spark, d).select("ts"), seed=42)
-    return EX.hod_profile(add_spreads_and_fundamentals(CL.clean_market_data(syn)))
-
-
 @register("feature_names", with_ctes(_feature_ctes() + _feature_sql()[:1] + [_feature_sql()[1], ("nm", _nonmissing_sql())],
                                      final("SELECT transition, feature, count(*) OVER (PARTITION BY transition) AS n_features, "
                                            "non_missing FROM fx JOIN nm USING (feature)",
@@ -1126,13 +1164,6 @@ def q_feature_names(spark, d):
     return finalize(out.select("transition", "feature", "n_features", "non_missing"))
 
 
-@register("scatter_sample", None)
-def q_scatter_sample(spark, d):
-    """A19 extract: at most 8 000 pairwise-complete (NetDemand_DAM, spr_BM_DAM)
-    rows chosen by a seeded hash (a sampling operator: the limit is the feature)."""
-    return EX.scatter_sample(panel(spark, d), "NetDemand_DAM", "spr_BM_DAM", n=8000, seed=42)
-
-
 _REG_LAG = ["PriceDAM", "PriceDAM_lag1d", "PriceDAM_lag7d", "PriceDAM_ma7d"]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spreadforge.config import JobConfig
 from spreadforge.operators import backtest as BT
+from spreadforge.operators import metrics as MT
 from spreadforge.operators import models as M
 from spreadforge.operators.clean import clean_market_data
 from spreadforge.operators.features import engineer_features
@@ -33,19 +34,13 @@ def run(spark: SparkSession, raw: DataFrame | str, out_dir: str | None = None,
     wide = materialize(build_features(raw))
     fits = M.run_models(wide, cfg.model, names=cfg.transitions, strict_gate=cfg.strict_gate)
     scored = materialize(M.scored_union(fits))
-    cv = None
-    if cfg.model.walk_forward:
-        cvs = [M.walk_forward_cv(wide, f.spec, cfg.model) for f in fits]
-        folds = cvs[0]
-        for c in cvs[1:]:
-            folds = folds.unionByName(c)
-        cv = M.cv_summary(folds)
-    perf = M.model_performance(fits, cv)
+    cv = MT.cv_summary(M.walk_forward_all(wide, [f.spec for f in fits], cfg.model))
+    perf = materialize(M.model_performance(fits, scored, cv))
     metrics = perf.select("transition", BT.F.bround("test_accuracy", 4).alias("test_accuracy"),
                           BT.F.bround("roc_auc", 4).alias("roc_auc"), BT.F.bround("cv_accuracy", 4).alias("cv_accuracy"),
                           BT.F.bround("cv_std", 4).alias("cv_std"), BT.F.bround("reg_r2", 4).alias("reg_r2"),
                           BT.F.bround("reg_mae", 4).alias("reg_mae"))
-    trading = BT.trading_table(scored, cfg.backtest)
+    trading = materialize(BT.trading_table(scored, cfg.backtest))
     board = BT.leaderboard(trading, metrics)
     out = {"trading_results_all_thresholds": trading.drop("test_size", "pct_traded"),
            "leaderboard": board, "model_performance": perf}

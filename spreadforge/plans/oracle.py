@@ -30,6 +30,29 @@ def raw_panel_sql(dirty: bool = False) -> list[tuple[str, str]]:
     return ctes
 
 
+def holed_sql() -> list[tuple[str, str]]:
+    """The panel with holes as the operators should see it: NaN and blanks
+    already missing.  Written out, not derived from the Spark side."""
+    return raw_panel_sql() + [("panel_holed", """
+SELECT * EXCLUDE (day) REPLACE (
+  CASE WHEN day % 43 = 5 THEN NULL ELSE "PriceDAM" END AS "PriceDAM",
+  CASE WHEN day % 19 = 1 THEN 'infinity'::DOUBLE WHEN day % 47 = 9 THEN NULL ELSE "NIV_Actual" END AS "NIV_Actual",
+  CASE WHEN day % 38 = 20 THEN '-infinity'::DOUBLE ELSE "TotalPN" END AS "TotalPN",
+  CASE WHEN day % 11 IN (3, 4) THEN NULL ELSE "EirGridWindFc_DAM" END AS "EirGridWindFc_DAM",
+  CASE WHEN day % 22 = 3 THEN NULL ELSE "EmSys_U_ISEMWIND_DAM" END AS "EmSys_U_ISEMWIND_DAM",
+  CASE WHEN day % 44 = 3 THEN NULL ELSE "Meteo_ISEMWIND_DAM" END AS "Meteo_ISEMWIND_DAM",
+  CASE WHEN day % 13 = 2 THEN NULL ELSE "EirGridWindFc_IDA1" END AS "EirGridWindFc_IDA1",
+  CASE WHEN day % 26 = 2 THEN NULL ELSE "EmSys_U_ISEMWIND_IDA1" END AS "EmSys_U_ISEMWIND_IDA1",
+  CASE WHEN day % 52 = 2 THEN NULL ELSE "Meteo_ISEMWIND_IDA1" END AS "Meteo_ISEMWIND_IDA1",
+  CASE WHEN day % 7 = 1 THEN NULL ELSE "EirGridWindFc_IDA3" END AS "EirGridWindFc_IDA3",
+  CASE WHEN day % 14 = 1 THEN NULL ELSE "EmSys_U_ISEMWIND_IDA3" END AS "EmSys_U_ISEMWIND_IDA3",
+  CASE WHEN day % 28 = 1 THEN NULL ELSE "Meteo_ISEMWIND_IDA3" END AS "Meteo_ISEMWIND_IDA3",
+  CASE WHEN day % 17 = 0 THEN NULL ELSE "ISEMSOLAR_DAM" END AS "ISEMSOLAR_DAM",
+  CASE WHEN day % 17 = 1 THEN NULL ELSE "ISEMSOLAR_IDA1" END AS "ISEMSOLAR_IDA1",
+  CASE WHEN day % 23 = 6 THEN NULL ELSE StartDateTime END AS StartDateTime)
+FROM panel_raw_day WHERE day % 41 <> 7 AND day % 97 <> 50""")]
+
+
 def clean_sql(src: str = "panel_raw", out: str = "panel_clean", seq: str | None = None,
               stop: str | None = None) -> list[tuple[str, str]]:
     """The cleaning stage in SQL; ``stop`` returns early after a named step."""

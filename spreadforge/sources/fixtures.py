@@ -139,6 +139,31 @@ def dirty_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(exact).unionByName(coll).drop("day")
 
 
+#: holes by day number: (column, value in Spark SQL, every, offset)
+HOLES = (
+    ("PriceDAM", "NULL", 43, 5), ("NIV_Actual", "NULL", 47, 9),
+    ("NIV_Actual", "double('infinity')", 19, 1), ("TotalPN", "-double('infinity')", 38, 20),
+    ("EirGridWindFc_DAM", "NULL", 11, 3), ("EirGridWindFc_DAM", "double('NaN')", 11, 4), ("EmSys_U_ISEMWIND_DAM", "NULL", 22, 3),
+    ("Meteo_ISEMWIND_DAM", "NULL", 44, 3), ("EirGridWindFc_IDA1", "double('NaN')", 13, 2), ("EmSys_U_ISEMWIND_IDA1", "NULL", 26, 2),
+    ("Meteo_ISEMWIND_IDA1", "NULL", 52, 2), ("EirGridWindFc_IDA3", "NULL", 7, 1), ("EmSys_U_ISEMWIND_IDA3", "NULL", 14, 1),
+    ("Meteo_ISEMWIND_IDA3", "NULL", 28, 1), ("ISEMSOLAR_DAM", "double('NaN')", 17, 0), ("ISEMSOLAR_IDA1", "NULL", 17, 1),
+    ("StartDateTime", "' '", 23, 6),
+)
+#: rows left out: every, offset
+GAPS = ((41, 7), (97, 50))
+
+
+def holed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel with missing half-hours, missing must-haves and forecasts (NULL and
+    NaN), infinite values and blank text, each on days of one residue."""
+    p = market_panel(spark, sf_dir, with_day=True)
+    for every, at in GAPS:
+        p = p.where(F.col("day") % every != at)
+    for name, value, every, at in HOLES:
+        p = p.withColumn(name, F.when(F.col("day") % every == at, F.expr(value)).otherwise(F.col(f"`{name}`")))
+    return p.drop("day")
+
+
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored row per lineitem row: transition, ts, spread, p_up, pred_mag."""
     li = _read(spark, sf_dir, "lineitem")
