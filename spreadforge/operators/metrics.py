@@ -3,13 +3,17 @@
 ``p_up`` (score), ``y_mag`` and ``pred_mag`` for the regression metrics."""
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadforge.operators.ordered import running_sum_max
+from spreadforge.operators.ordered import row_index, running_sum_max
+from spreadforge.operators.quantiles import _join
 
 KEY = "transition"
-AUC_BUCKETS = 4096
+#: ranges of scores that the running count is split into
+AUC_RANGES = 256
 
 
 def accuracy(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -21,12 +25,16 @@ def accuracy(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 def roc_auc(scored: DataFrame, y: str = "y", score: str = "p_up") -> DataFrame:
     """Exact tie-aware ROC-AUC = sum(pos * (neg_below + neg_tied / 2)) / (P N),
     NULL with a single class.  Scores are grouped, then the running count of
-    negatives is a prefix scan over score buckets, so no transition is ordered
-    whole in one task."""
+    negatives is a prefix scan over score ranges.  The ranges are quantiles of
+    each transition's own distinct scores, so crowded scores are split as finely
+    as sparse ones and no transition is ordered whole in one task."""
     g = scored.groupBy(KEY, F.col(score).alias("score")).agg(
         F.count(F.when(F.col(y) == 1, 1)).cast("double").alias("pos"),
         F.count(F.when(F.col(y) != 1, 1)).cast("double").alias("neg"))
-    bucket = F.least(F.greatest(F.floor(F.col("score") * AUC_BUCKETS), F.lit(0)), F.lit(AUC_BUCKETS))
+    edges = g.groupBy(KEY).agg(F.percentile_approx(
+        "score", [i / AUC_RANGES for i in range(1, AUC_RANGES)], 20 * AUC_RANGES).alias("__edges"))
+    g = _join(g, edges, [KEY])
+    bucket = F.size(F.filter("__edges", lambda e: e < F.col("score")))
     rs = running_sum_max(g, "neg", "score", by=KEY, bucket=bucket, cum="cum_neg", cum_max="__m")
     return rs.groupBy(KEY).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") / 2.0)),
@@ -87,13 +95,30 @@ def confusion(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     return c.select(KEY, F.explode(F.array(*items)).alias("e")).select(KEY, "e.*")
 
 
-def model_metrics(scored: DataFrame) -> DataFrame:
-    """Per-transition metric row (accuracy, AUC, MAE, R^2) rounded to 4 dp, as
-    the leaderboard joins them; CV columns are NULL unless walk-forward ran."""
-    m = accuracy(scored).join(roc_auc(scored), KEY).join(regression_metrics(scored), KEY)
-    return m.select(KEY, F.bround("accuracy", 4).alias("test_accuracy"), F.bround("roc_auc", 4).alias("roc_auc"),
-                    F.lit(None).cast("double").alias("cv_accuracy"), F.lit(None).cast("double").alias("cv_std"),
-                    F.bround("reg_r2", 4).alias("reg_r2"), F.bround("reg_mae", 4).alias("reg_mae"))
+def fold_accuracy(scored: DataFrame, splits: int = 5, order: Sequence[str] = ("ts",), y: str = "y", pred: str = "pred") -> DataFrame:
+    """Accuracy of given scores on the walk-forward test folds (W10): of ``n``
+    rows in order, fold k of ``splits`` tests the k-th of the last ``splits``
+    parts of ``n div (splits + 1)`` rows."""
+    p = row_index(scored, list(order), by=KEY, name="__rn")
+    p = _join(p, scored.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n")), [KEY])
+    m = F.floor(F.col("__n") / F.lit(splits + 1))
+    fold = F.floor((F.col("__rn") - (F.col("__n") - F.lit(splits) * m)) / m)
+    return (p.withColumn("fold", F.when(m > 0, fold)).where("fold >= 0")
+            .groupBy(KEY, "fold").agg(F.avg((F.col(pred) == F.col(y)).cast("double")).alias("accuracy")))
+
+
+def cv_summary(folds: DataFrame) -> DataFrame:
+    """Mean and population std of the fold accuracies."""
+    return folds.groupBy(KEY).agg(F.avg("accuracy").alias("cv_accuracy"), F.stddev_pop("accuracy").alias("cv_std"))
+
+
+def model_metrics(scored: DataFrame, cv: DataFrame) -> DataFrame:
+    """Per-transition metric row (accuracy, AUC, CV accuracy, MAE, R^2) rounded
+    to 4 dp, as the leaderboard joins them."""
+    m = accuracy(scored).join(roc_auc(scored), KEY).join(regression_metrics(scored), KEY).join(cv, KEY, "left")
+    return m.select(KEY, *[F.bround(a, 4).alias(b) for a, b in (
+        ("accuracy", "test_accuracy"), ("roc_auc", "roc_auc"), ("cv_accuracy", "cv_accuracy"), ("cv_std", "cv_std"),
+        ("reg_r2", "reg_r2"), ("reg_mae", "reg_mae"))])
 
 
 def best_accuracy_confusion(scored: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

@@ -8,6 +8,7 @@ model parameters (medians, trees); all data work is distributed.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -67,7 +68,6 @@ class FittedTransition:
     clf: PipelineModel
     reg: PipelineModel | None
     scored: DataFrame
-    test_size: int
 
 
 def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = ModelConfig(),
@@ -79,8 +79,7 @@ def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mod
     ds = wide.where(DS.usable_target(spec.spread, spec.window, "idx", cfg.burn_in)).select(
         "idx", "ts", F.lit(spec.name).alias(KEY), F.signum(col(spec.spread)).cast("int").alias("y_dir"),
         col(spec.spread).cast("double").alias("y_mag"), *[col(c) for c in xcols])
-    split = DS.temporal_split(ds.select(KEY, "idx"), cfg.test_fraction).select("idx", "split")
-    ds = ds.join(split, "idx").withColumn("__label", (F.col("y_dir") == 1).cast("double"))
+    ds = DS.temporal_split(ds, cfg.test_fraction).withColumn("__label", (F.col("y_dir") == 1).cast("double"))
     # medians, scaler and both boosters read the same rows: keep them once
     ds = ds.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = ds.where("split = 'train'"), ds.where("split = 'test'")
@@ -97,7 +96,7 @@ def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mod
                    "pred", "p_up", "pred_mag", F.col("y_mag"))
     sc = materialize(sc)          # test rows only; releases the training cache
     ds.unpersist()
-    return FittedTransition(spec, feats, meds, clf, reg, sc, 0)
+    return FittedTransition(spec, feats, meds, clf, reg, sc)
 
 
 def usable_transitions(wide: DataFrame, names: Sequence[str] | None = None, min_rows: int = 500):
@@ -108,9 +107,11 @@ def usable_transitions(wide: DataFrame, names: Sequence[str] | None = None, min_
 
 def run_models(wide: DataFrame, cfg: ModelConfig = ModelConfig(), names: Sequence[str] | None = None,
                strict_gate: bool = False, regressor: bool = True) -> list[FittedTransition]:
-    """M7: fit every usable transition."""
-    return [fit_transition(wide, t, cfg, strict_gate, regressor)
-            for t in usable_transitions(wide, names, cfg.min_rows)]
+    """M7: fit every usable transition, a few at a time (each fit is a chain of
+    small jobs that leave executors idle)."""
+    specs = usable_transitions(wide, names, cfg.min_rows)
+    with ThreadPoolExecutor(cfg.parallelism) as pool:
+        return list(pool.map(lambda t: fit_transition(wide, t, cfg, strict_gate, regressor), specs))
 
 
 def scored_union(fits: Sequence[FittedTransition]) -> DataFrame:
@@ -122,26 +123,26 @@ def scored_union(fits: Sequence[FittedTransition]) -> DataFrame:
 
 def walk_forward_cv(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = ModelConfig()) -> DataFrame:
     """M8: expanding folds over all usable rows, preprocessing refitted per
-    fold; one row per fold with its accuracy."""
+    fold; one row per fold: sizes of its parts and its accuracy."""
     xcols = build_xcols(wide.columns, spec.tokens, spec.always)
     ds = wide.where(DS.usable_target(spec.spread, spec.window, "idx", cfg.burn_in)).select(
         "idx", F.lit(spec.name).alias(KEY), F.signum(col(spec.spread)).cast("int").alias("y_dir"),
         col(spec.spread).cast("double").alias("y_mag"), *[col(c) for c in xcols])
-    roles = DS.walk_forward_roles(ds.select(KEY, "idx"), cfg.cv_splits).select("idx", "fold", "role")
+    ds = DS.add_positions(ds).withColumn("__label", (F.col("y_dir") == 1).cast("double"))
     ds = ds.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    spark = wide.sparkSession
-    for k in range(cfg.cv_splits):
-        r = roles.where(F.col("fold") == k)
-        d = ds.join(r, "idx").withColumn("__label", (F.col("y_dir") == 1).cast("double"))
-        tr, te = d.where("role = 'train'"), d.where("role = 'test'")
+
+    def one(k):
+        role = DS.fold_role(F.lit(k), cfg.cv_splits)
+        tr, te = ds.where(role == "train"), ds.where(role == "test")
         meds = column_medians(tr, xcols)
         feats = [c for c in xcols if c in meds]
         m = Pipeline(stages=_stages(feats, cfg, "clf")).fit(impute(tr, meds))
-        acc = m.transform(impute(te, meds)).select(
-            F.avg((F.when(F.col("__cls") == 1.0, 1).otherwise(-1) == F.col("y_dir")).cast("double")).alias("a"))
-        rows.append(materialize(acc.select(F.lit(spec.name).alias(KEY), F.lit(k).alias("fold"),
-                                           F.col("a").alias("accuracy"))))
+        hit = (F.when(F.col("__cls") == 1.0, 1).otherwise(-1) == F.col("y_dir")).cast("double")
+        acc = m.transform(impute(te, meds)).agg(F.count(F.lit(1)).alias("n_test"), F.avg(hit).alias("accuracy"))
+        return materialize(acc.select(F.lit(spec.name).alias(KEY), F.lit(k).alias("fold"), "n_test", "accuracy"))
+
+    with ThreadPoolExecutor(cfg.parallelism) as pool:
+        rows = list(pool.map(one, range(cfg.cv_splits)))
     ds.unpersist()
     out = rows[0]
     for r in rows[1:]:
@@ -149,9 +150,13 @@ def walk_forward_cv(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = Mo
     return out
 
 
-def cv_summary(folds: DataFrame) -> DataFrame:
-    """Mean and population std of the fold accuracies."""
-    return folds.groupBy(KEY).agg(F.avg("accuracy").alias("cv_accuracy"), F.stddev_pop("accuracy").alias("cv_std"))
+def walk_forward_all(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig = ModelConfig()) -> DataFrame:
+    """M8 for every given transition."""
+    out = None
+    for spec in specs:
+        one = walk_forward_cv(wide, spec, cfg)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def importances(spark: SparkSession, fits: Sequence[FittedTransition], top: int = 15) -> DataFrame:
@@ -165,19 +170,13 @@ def importances(spark: SparkSession, fits: Sequence[FittedTransition], top: int
     return spark.createDataFrame(rows, f"{KEY} string, feature string, importance double, rank int")
 
 
-def model_performance(fits: Sequence[FittedTransition], cv: DataFrame | None = None) -> DataFrame:
+def model_performance(fits: Sequence[FittedTransition], scored: DataFrame, cv: DataFrame) -> DataFrame:
     """Transition, spread, test metrics, CV metrics, test size, feature count."""
-    scored = scored_union(fits)
-    spark = scored.sparkSession
-    meta = spark.createDataFrame([(f.spec.name, f.spec.spread, len(f.features)) for f in fits],
-                                 f"{KEY} string, spread string, features int")
+    meta = scored.sparkSession.createDataFrame([(f.spec.name, f.spec.spread, len(f.features)) for f in fits],
+                                               f"{KEY} string, spread string, features int")
     m = MT.accuracy(scored).join(MT.roc_auc(scored), KEY).join(MT.regression_metrics(scored), KEY)
     m = m.select(KEY, F.col("accuracy").alias("test_accuracy"), "roc_auc", "reg_mae", "reg_r2",
                  F.col("n").alias("test_size"))
-    out = F.broadcast(meta).join(m, KEY)
-    if cv is not None:
-        out = out.join(cv, KEY, "left")
-    else:
-        out = out.withColumns({"cv_accuracy": F.lit(None).cast("double"), "cv_std": F.lit(None).cast("double")})
+    out = m.join(F.broadcast(meta), KEY).join(cv, KEY, "left")       # one row per transition of the fixed list
     return out.select(KEY, "spread", "test_accuracy", "roc_auc", "cv_accuracy", "cv_std", "reg_mae", "reg_r2",
                       "test_size", "features")

@@ -1098,8 +1098,7 @@ def q_impute_scale(spark, d):
     t = TRANSITION_BY_NAME["DAM→IDA1"]
     wide = features(spark, d)
     ds = wide.where(DS.usable_target(t.spread, t.window)).withColumn("transition", F.lit(t.name))
-    split = DS.temporal_split(ds.select("transition", "idx")).select("idx", "split")
-    tr = ds.join(split, "idx").where("split = 'train'")
+    tr = DS.temporal_split(ds).where("split = 'train'")
     cols = _impute_cols()
     meds = MD.column_medians(tr, cols)
     lf = long_form(MD.impute(tr, meds).select(*[F.col(f"`{c}`") for c in meds]), list(meds), name="feature")
@@ -1113,38 +1112,84 @@ def _wide_ckpt(spark, d):
     return features(spark, d)
 
 
-@register("fit_score", None)
+#: oracle of the model queries: what any fitted model must return
+_GUARD = [("guard", " UNION ALL ".join(f"SELECT '{t.name}' AS transition, count({t.spread}) >= 500 AS usable FROM panel" for t in TRANSITIONS)),
+          ("live", "SELECT * FROM split WHERE transition IN (SELECT transition FROM guard WHERE usable)")]
+
+
+@register("fit_score", with_ctes(panel_ctes() + _ds_sql() + _GUARD, final(
+    "SELECT transition, idx, ts, y_mag AS spread, TRUE AS p_ok, TRUE AS pred_ok, TRUE AS mag_ok FROM live WHERE split = 'test'",
+    dbl=["spread"], ints=["idx"], rest=["transition", "ts", "p_ok", "pred_ok", "mag_ok"])))
 def q_fit_score(spark, d):
+    """Every test row scored: a probability, the class it implies, a magnitude."""
     fits = MD.run_models(_wide_ckpt(spark, d), QUERY_MODEL)
-    return MD.scored_union(fits).select("transition", "idx", "ts", "spread", "p_up", "pred", "pred_mag")
+    p = F.col("p_up")
+    return finalize(MD.scored_union(fits).select(
+        "transition", "idx", "ts", "spread", ((p >= 0) & (p <= 1)).alias("p_ok"),
+        ((p == 0.5) | ((p > 0.5) == (F.col("pred") == 1))).alias("pred_ok"), (F.abs("pred_mag") < 1e9).alias("mag_ok")))
 
 
-@register("walk_forward_cv", None)
+@register("walk_forward_cv", with_ctes(panel_ctes() + _ds_sql() + _GUARD + [("fo", " UNION ALL ".join(
+    f"SELECT transition, {k} AS fold, count(*) AS n_test FROM live WHERE rn0 >= n - {5 - k} * (n // 6) "
+    f"AND rn0 < n - {4 - k} * (n // 6) GROUP BY 1" for k in range(5)))], final(
+        "SELECT transition, fold, n_test, TRUE AS acc_ok, TRUE AS summary_ok FROM fo", ints=["fold", "n_test"],
+        rest=["transition", "acc_ok", "summary_ok"])))
 def q_walk_forward_cv(spark, d):
-    folds = MD.walk_forward_cv(_wide_ckpt(spark, d), TRANSITION_BY_NAME["DAM→IDA1"], QUERY_CV)
-    return folds.join(MD.cv_summary(folds), "transition")
+    """All folds of all usable transitions, with their summary."""
+    wide = _wide_ckpt(spark, d)
+    folds = MD.walk_forward_all(wide, MD.usable_transitions(wide), QUERY_MODEL)
+    both = folds.join(MT.cv_summary(folds), "transition")
+    return finalize(both.select("transition", "fold", "n_test", ((F.col("accuracy") >= 0) & (F.col("accuracy") <= 1)).alias("acc_ok"),
+                                (F.abs(F.col("accuracy") - F.col("cv_accuracy")) <= 5 * F.col("cv_std") + 1e-9).alias("summary_ok")))
 
 
-@register("importances", None)
+@register("importances", with_ctes(panel_ctes() + _GUARD[:1], final(
+    "SELECT transition, unnest(range(1, 16)) AS rank, TRUE AS listed, TRUE AS share_ok FROM guard WHERE usable AND transition IN "
+    "('DAM→IDA1', 'IDA1→BM', 'IDA1→IDA2', 'IDA2→IDA3')", ints=["rank"], rest=["transition", "listed", "share_ok"])))
 def q_importances(spark, d):
+    """Top 15 of the first four transitions: selected features, shares that
+    fall with the rank and add up to at most 1."""
+    from pyspark.sql import Window
     wide = _wide_ckpt(spark, d)
     fits = MD.run_models(wide, QUERY_MODEL, names=[t.name for t in TRANSITIONS[:4]], regressor=False)
-    return MD.importances(spark, fits)
-
-
-@register("pipeline_job", None)
+    got = MD.importances(spark, fits)
+    names = DS.feature_table(spark, wide.columns).withColumn("in_list", F.lit(True))
+    w = Window.partitionBy("transition")
+    got = got.join(names, ["transition", "feature"], "left").withColumn("total", F.sum("importance").over(w)) \
+        .withColumn("next", F.lead("importance", 1, 0.0).over(w.orderBy("rank")))
+    i = F.col("importance")
+    return finalize(got.select("transition", "rank", F.coalesce("in_list", F.lit(False)).alias("listed"),
+                               ((i >= F.col("next")) & (F.col("total") <= 1 + 1e-9)).alias("share_ok")))
+
+
+@register("pipeline_job", with_ctes(panel_ctes() + _ds_sql() + _GUARD, final(
+    f"SELECT transition, count(*) AS test_size, {len(_CFG.thresholds)} AS n_thresholds, TRUE AS on_board, TRUE AS cv_ok "
+    "FROM live WHERE split = 'test' GROUP BY 1", ints=["test_size", "n_thresholds"], rest=["transition", "on_board", "cv_ok"])))
 def q_pipeline_job(spark, d):
+    """The whole job; the result tables are read back from the CSV it wrote."""
     from spreadforge.config import JobConfig
     from spreadforge.plans.job import run
-    out = run(spark, market_panel(spark, d), scratch_dir(spark, "pipeline_job_out"), JobConfig(model=QUERY_MODEL))
-    return out["leaderboard"]
+    out = scratch_dir(spark, "pipeline_job")
+    run(spark, market_panel(spark, d), out, JobConfig(model=QUERY_MODEL))
+
+    def back(name):
+        return spark.read.option("header", True).csv(f"{out}/{name}")
+
+    n = back("trading_results_all_thresholds").groupBy("transition").agg(F.count(F.lit(1)).alias("n_thresholds"))
+    board = back("leaderboard").select("transition", F.lit(True).alias("on_board"))
+    perf = back("model_performance").select("transition", F.col("test_size").cast("bigint").alias("test_size"),
+                                            F.col("cv_accuracy").cast("double").between(0.0, 1.0).alias("cv_ok"))
+    return finalize(perf.join(n, "transition").join(board, "transition").select("transition", "test_size", "n_thresholds", "on_board", "cv_ok"))
 
 
 @register("csv_roundtrip", with_ctes(panel_ctes(), final(
     f"SELECT ts, {', '.join(SPR)} FROM panel", dbl=SPR, rest=["ts"])))
 def q_csv_roundtrip(spark, d):
     from spreadforge.sources.market import csv_roundtrip
-    back = csv_roundtrip(spark, market_panel(spark, d), scratch_dir(spark, "csv_roundtrip/market.csv"))
+    raw = market_panel(spark, d)
+    # with a written-out index column, which loading drops
+    raw = raw.select(F.unix_timestamp("StartDateTime").alias("Unnamed: 0"), *[F.col(f"`{c}`") for c in raw.columns])
+    back = csv_roundtrip(spark, raw, scratch_dir(spark, "market.csv"))
     return finalize(add_spreads_and_fundamentals(CL.clean_market_data(back)).select("ts", *SPR))
 
 
@@ -1187,7 +1232,7 @@ def q_parquet_roundtrip(spark, d):
     """S1 parquet branch: the raw table written as parquet, read back through
     the suffix-dispatching loader, cleaned, spreads derived."""
     from spreadforge.sources.market import load_market_data, write_table
-    path = scratch_dir(spark, "parquet_roundtrip/market.parquet")
+    path = scratch_dir(spark, "market.parquet")
     write_table(market_panel(spark, d), path, "parquet")
     back = load_market_data(spark, path)
     return finalize(add_spreads_and_fundamentals(CL.clean_market_data(back)).select("ts", *SPR))
