@@ -211,7 +211,7 @@ def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
 def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, min_words: int = MIN_WORDS) -> DataFrame:
     """Links between the contents of similar lines."""
     hit = lines.select(F.explode("bands").alias("band"), "ca")
-    shared = hit.groupBy("band").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x != y").select("band")
+    shared = materialize(hit.groupBy("band").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x != y").select("band"))
     member = materialize(hit.join(shuffled(shared), "band", "left_semi").distinct())
     size = member.groupBy("band").count().withColumn("n", F.ceil(F.col("count") / block).cast("int")).select("band", "n")
     own = F.pmod(F.col("ca"), F.col("n")).cast("int")
@@ -237,7 +237,8 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK
     named = lines.drop("bands").join(shuffled(root), ["ca", "cb"], "left").select(
         F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"), "doc_id", "row", "lo", "hi")
     every = named.unionByName(occurrences(docs, "piece", **opt))
-    first = every.groupBy("ca", "cb").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f != l").select("ca", "cb", "f")
+    # a table of its own: a join whose two sides are plain shuffles can split a hot paragraph
+    first = materialize(every.groupBy("ca", "cb").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f != l").select("ca", "cb", "f"))
     return (every.withColumn("at", at).join(shuffled(first), ["ca", "cb"]).where("at != f")
             .select("doc_id", "row", "lo", "hi", F.col("f.doc_id").alias("kept_in")))
 
