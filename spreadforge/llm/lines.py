@@ -47,8 +47,9 @@ def occurrences(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``row`` and ``spans`` (first and last line of each later occurrence)."""
     every = occurrences(docs, window)
-    repeated = (every.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-                .where("first != last").select("w1", "w2", "first"))
+    # a table of its own: a join whose two sides are plain shuffles can split a hot window
+    repeated = materialize(every.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+                           .where("first != last").select("w1", "w2", "first"))
     later = every.join(shuffled(repeated), ["w1", "w2"]).where("at != first")
     inside = F.col("at.row") == F.col("first.row")
     lo = F.when(inside, F.greatest(F.col("at.line"), F.col("first.line") + window)).otherwise(F.col("at.line"))
