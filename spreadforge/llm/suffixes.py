@@ -117,8 +117,9 @@ def _samples(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated(df: DataFrame, *names: str) -> DataFrame:
-    """Names that have an equal neighbour in sorted order."""
-    return df.groupBy(*names).count().where("count > 1").select(*names)
+    """Names that have an equal neighbour in sorted order, as a table of its
+    own: a join whose two sides are plain shuffles can split a hot name."""
+    return materialize(df.groupBy(*names).count().where("count > 1").select(*names))
 
 
 def _stretches(texts: DataFrame, length: int, stretch: int) -> DataFrame:
@@ -200,7 +201,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, stretch: int = STRETCH) -> D
     every = _stretches(texts, length, stretch)
     at = F.struct("d", "r", "lo", "n")
     entry = materialize(every.groupBy("core", "e1", "e2").agg(F.count("*").alias("copies"), F.min(at).alias("at")))
-    mixed = entry.groupBy("core").agg(F.count("*").alias("m"), F.min("copies").alias("least")).where("m > 1 and least = 1").select("core")
+    mixed = materialize(entry.groupBy("core").agg(F.count("*").alias("m"), F.min("copies").alias("least")).where("m > 1 and least = 1").select("core"))
     # one entry of each extent of the mixed cores, resolved start by start
     parts = (entry.join(shuffled(mixed), "core", "left_semi").groupBy("at.d", "at.r")
              .agg(F.collect_list(F.struct("e1", "e2", "at.lo", "at.n")).alias("parts")))
