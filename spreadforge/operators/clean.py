@@ -1,6 +1,8 @@
 """Cleaning stage: F1, P1-P3, A1/J1, P6-P10, F2."""
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ def _order_key(df: DataFrame, order_col: str | None) -> Column:
 
 
 def collapse_duplicate_ts(df: DataFrame, ts: str = "ts", flow: str = FLOW,
-                          order_col: str | None = None) -> DataFrame:
-    """A1: one row per ``ts``: the first non-missing value of every column (order
+                          order_col: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """A1: one row per ``ts`` (and series key ``by``): the first non-missing value of every column (order
     given by ``order_col``), and the mean of ``flow``.  Rows without a
     timestamp are dropped.  One aggregate replaces the reference's two
     group-bys plus self-join (J1); every aggregate merges map-side."""
@@ -34,12 +36,12 @@ def collapse_duplicate_ts(df: DataFrame, ts: str = "ts", flow: str = FLOW,
         return df
     ordk = _order_key(df, order_col)
     d = df.where(col(ts).isNotNull()).withColumn("__ord", ordk)
-    base_cols = [c for c in df.columns if c not in (ts, flow, order_col)]
+    base_cols = [c for c in df.columns if c not in (ts, flow, order_col, *by)]
     aggs = [F.min_by(col(c), F.when(col(c).isNotNull(), F.col("__ord"))).alias(c)
             for c in base_cols]
     aggs.append(F.avg(col(flow)).alias(flow))
-    out = d.groupBy(col(ts).alias(ts)).agg(*aggs)
-    return out.select(ts, *base_cols, flow)
+    out = d.groupBy(*[col(b).alias(b) for b in by], col(ts).alias(ts)).agg(*aggs)
+    return out.select(*by, ts, *base_cols, flow)
 
 
 def collapse_via_join(df: DataFrame, ts: str = "ts", flow: str = FLOW,
@@ -107,16 +109,17 @@ def must_have_filter(df: DataFrame) -> DataFrame:
     return df.dropna("any", subset=must_have_columns(df.columns))
 
 
-def clean_market_data(df: DataFrame, order_col: str | None = None, stop: str | None = None) -> DataFrame:
-    """Whole cleaning stage, in the reference's order; returns one row per ``ts``
-    (order is carried by ``ts``, no global sort).  ``stop`` ('parsed',
+def clean_market_data(df: DataFrame, order_col: str | None = None, stop: str | None = None,
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Whole cleaning stage, in the published order; returns one row per ``ts``
+    and series key ``by`` (order is carried by ``ts``, no global sort).  ``stop`` ('parsed',
     'collapse', 'must_have') returns an intermediate stage."""
     df = dedup_rows(df)
     df = parse_market_time(df)
     df = add_clock_parts(df)
     if stop == "parsed":
         return df
-    df = collapse_duplicate_ts(df, order_col=order_col)
+    df = collapse_duplicate_ts(df, order_col=order_col, by=by)
     if order_col and order_col in df.columns:
         df = df.drop(order_col)
     if stop == "collapse":

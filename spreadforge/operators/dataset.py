@@ -14,6 +14,7 @@ from spreadforge.config import LAG_BURNIN, TEST_FRACTION, TRANSITIONS, Transitio
 from spreadforge.functions.scalar import col
 from spreadforge.functions.selection import build_xcols
 from spreadforge.operators.ordered import row_index
+from spreadforge.operators.quantiles import _join
 
 KEY = "transition"
 
@@ -51,28 +52,28 @@ def long_dataset(df: DataFrame, transitions: Sequence[TransitionSpec] = TRANSITI
         .select(*by, "e.transition", idx, ts, "e.y_dir", "e.y_mag")
 
 
-def add_positions(ds: DataFrame, idx: str = "idx", chunk: int = 20_000) -> DataFrame:
-    """Position ``rn0`` of each row inside its transition (ordered by ``idx``) and
-    the transition size ``n``; numbering is bucketed by ``idx`` so a big
-    transition is never numbered in one task."""
-    r = row_index(ds, idx, by=KEY, bucket=F.floor(col(idx) / F.lit(chunk)), name="rn0")
-    n = ds.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return r.join(n, KEY)
+def add_positions(ds: DataFrame, idx: str = "idx", chunk: int = 20_000, by: Sequence[str] = ()) -> DataFrame:
+    """Position ``rn0`` of each row inside its transition and series (ordered by
+    ``idx``) and their size ``n``; numbering is bucketed by ``idx``, with two
+    levels of offsets, so a big transition is never numbered in one task."""
+    r = row_index(ds, idx, by=[KEY, *by], bucket=F.floor(col(idx) / F.lit(chunk)), name="rn0")
+    n = ds.groupBy(KEY, *by).agg(F.count(F.lit(1)).alias("n"))
+    return _join(r, n, [KEY, *by])
 
 
-def temporal_split(ds: DataFrame, frac: float = TEST_FRACTION, idx: str = "idx") -> DataFrame:
-    """First floor(n * (1 - frac)) rows of each transition train, rest test."""
-    p = add_positions(ds, idx)
+def temporal_split(ds: DataFrame, frac: float = TEST_FRACTION, idx: str = "idx", by: Sequence[str] = ()) -> DataFrame:
+    """First floor(n * (1 - frac)) rows of each transition (and series) train, rest test."""
+    p = add_positions(ds, idx, by=by)
     cut = F.floor(F.col("n").cast("double") * F.lit(1 - frac))
     return p.withColumn("split", F.when(F.col("rn0") < cut, F.lit("train")).otherwise(F.lit("test")))
 
 
-def walk_forward_roles(ds: DataFrame, splits: int = 5, idx: str = "idx") -> DataFrame:
+def walk_forward_roles(ds: DataFrame, splits: int = 5, idx: str = "idx", by: Sequence[str] = ()) -> DataFrame:
     """Expanding-window folds over all rows of a transition: test size
     m = n div (splits + 1); fold k tests [n - (splits - k) m, n - (splits - k - 1) m)
     and trains on everything before.  Rows get (fold, role) per fold they take
     part in (explode over at most ``splits`` folds)."""
-    p = add_positions(ds, idx)
+    p = add_positions(ds, idx, by=by)
     folds = F.sequence(F.lit(0), F.lit(splits - 1))
     p = p.withColumn("fold", F.explode(folds))
     return p.withColumn("role", fold_role(F.col("fold"), splits)).where(F.col("role").isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spreadforge.config import GB_PRICES, HORIZONS, LAG_BASES, LAG_FEATURES, REVISIONS, WIND_PROVIDERS
 from spreadforge.functions.calendar import add_calendar, add_cyclical
 from spreadforge.functions.scalar import col, row_mean, row_range, row_std, safe_div
-from spreadforge.operators.ordered import DEFAULT_CHUNK, halo_rolling, halo_windows, lag_expr, row_index, shifted_rolling
+from spreadforge.operators.ordered import DEFAULT_CHUNK, halo_rolling, row_index
 
 LAG_REACH = max(shift + (rows or 0) - 1 if rows else shift for _, shift, _, rows, _ in LAG_FEATURES)
 
@@ -59,17 +59,6 @@ def renewables_cross_border(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def lag_window_exprs(bases: list[str]) -> dict:
-    exprs = {}
-    for base in bases:
-        for sfx, shift, kind, rows, minp in LAG_FEATURES:
-            if kind == "lag":
-                exprs[f"{base}{sfx}"] = lag_expr(base, shift)
-            else:
-                exprs[f"{base}{sfx}"] = shifted_rolling(base, shift, rows, minp, kind)
-    return exprs
-
-
 def add_lag_features(df: DataFrame, idx: str = "idx", by=None, bases: list[str] | None = None,
                      spread_lags: bool = False, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """W1-W3 by row position: lags 48/96/336, shifted 336-row mean and sample std

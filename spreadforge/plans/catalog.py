@@ -126,7 +126,7 @@ def q_trading_table(spark, d):
 from spreadforge.operators import clean as CL  # noqa: E402
 from spreadforge.operators import quality as QA  # noqa: E402
 from spreadforge.functions.calendar import add_calendar, add_cyclical  # noqa: E402
-from spreadforge.plans.oracle import clean_sql, holed_sql, raw_panel_sql, spreads_sql  # noqa: E402
+from spreadforge.plans.oracle import REVISION_SQL, clean_sql, holed_sql, raw_panel_sql, spreads_sql, zone_sql  # noqa: E402
 from spreadforge.sources.fixtures import dirty_panel, event_bins  # noqa: E402
 from spreadforge.sources.market import table_profile  # noqa: E402
 
@@ -638,7 +638,7 @@ _REV = [f"demand_disagreement_{s}" for s in HORIZONS] + [n for n, _, _ in REVISI
 
 @register("revisions", with_ctes(panel_ctes(), final(
     "SELECT ts, " + ", ".join([f"Meteo_ISEMDEMAND_{s} - EirGridDemandFc_{s} AS demand_disagreement_{s}" for s in HORIZONS]
-                              + [f"{a} - {b} AS {n}" for n, a, b in REVISIONS]) + " FROM panel",
+                              + list(REVISION_SQL)) + " FROM panel",
     dbl=_REV, rest=["ts"])))
 def q_revisions(spark, d):
     return finalize(FE.disagreement_and_revisions(panel(spark, d)).select("ts", *_REV))
@@ -1063,7 +1063,7 @@ def _feature_ctes():
            "sin(2 * pi() * (isodow(ts) - 1) / 7e0) AS dow_sin", "cos(2 * pi() * (isodow(ts) - 1) / 7e0) AS dow_cos",
            "sin(2 * pi() * month(ts) / 12e0) AS month_sin", "cos(2 * pi() * month(ts) / 12e0) AS month_cos"]
     rev = ([f"Meteo_ISEMDEMAND_{s} - EirGridDemandFc_{s} AS demand_disagreement_{s}" for s in HORIZONS]
-           + [f"{a} - {b} AS {n}" for n, a, b in REVISIONS])
+           + list(REVISION_SQL))
     ren = ([f"(EirGridWindFc_{s} + ISEMSOLAR_{s}) / (EirGridDemandFc_{s} + 1e0) AS ren_pct_{s}" for s in HORIZONS]
            + [f"{q(g)} - PriceDAM AS GB_vs_IRL_{g.replace(' ', '_')}" for g in GB_PRICES])
     body = ", ".join(cal + _ens_sql() + rev + ["row_number() OVER w - 1 AS idx"] + _lag_sql(["lag", "mean", "std"]) + ren)
@@ -1236,3 +1236,62 @@ def q_parquet_roundtrip(spark, d):
     write_table(market_panel(spark, d), path, "parquet")
     back = load_market_data(spark, path)
     return finalize(add_spreads_and_fundamentals(CL.clean_market_data(back)).select("ts", *SPR))
+
+
+# --------------------------------------------------------------------------- many series (one market per zone)
+_ZONE_SPREADS = [("zp", "SELECT *, hour(ts) + minute(ts) / 60e0 AS hod, PriceIDA1 - PriceDAM AS spr_IDA1_DAM, "
+                        "PriceImbalance - PriceIDA1 AS spr_BM_IDA1, PriceImbalance - PriceDAM AS spr_BM_DAM, "
+                        "row_number() OVER (PARTITION BY zone ORDER BY ts) - 1 AS idx FROM zone_day")]
+
+
+def zone_panel(spark, d):
+    """One parsed row per (zone, half-hour) with spreads and positions."""
+    from spreadforge.session import materialize
+    raw = materialize(market_panel(spark, d, zones=True))
+    p = CL.clean_market_data(raw, stop="collapse", by=["zone"])
+    return row_index(add_spreads_and_fundamentals(p), "ts", by="zone")
+
+
+@register("zone_collapse", with_ctes(zone_sql(dirty=True), final(
+    "SELECT zone, ts, hour(ts) + minute(ts) / 60e0 AS hod, arg_min(PriceDAM, seq) AS PriceDAM, arg_min(PriceIDA1, seq) AS PriceIDA1, "
+    "avg(PredictedICFlow) AS PredictedICFlow FROM zone_rows GROUP BY zone, ts",
+    dbl=["hod", "PriceDAM", "PriceIDA1", "PredictedICFlow"], ints=["zone"], rest=["ts"])))
+def q_zone_collapse(spark, d):
+    """A1 with a series key: equal timestamps of different zones stay apart."""
+    p = CL.clean_market_data(dirty_panel(spark, d, zones=True), order_col="seq", stop="collapse", by=["zone"])
+    return finalize(p.select("zone", "ts", "hod", "PriceDAM", "PriceIDA1", "PredictedICFlow"))
+
+
+_ZONE_ROLL = ["PriceDAM_lag1d", "PriceDAM_ma7d", "PriceDAM_std7d", "PriceDAM_ma14d"]
+
+
+@register("zone_rolling", with_ctes(zone_sql(), final(
+    "SELECT zone, ts, lag(PriceDAM, 48) OVER w AS PriceDAM_lag1d, "
+    "CASE WHEN count(PriceDAM) OVER f7 >= 24 THEN avg(PriceDAM) OVER f7 END AS PriceDAM_ma7d, "
+    "CASE WHEN count(PriceDAM) OVER f7 >= 24 THEN stddev_samp(PriceDAM) OVER f7 END AS PriceDAM_std7d, "
+    "CASE WHEN count(PriceDAM) OVER f14 >= 48 THEN avg(PriceDAM) OVER f14 END AS PriceDAM_ma14d FROM zone_day "
+    "WINDOW w AS (PARTITION BY zone ORDER BY ts), f7 AS (PARTITION BY zone ORDER BY ts ROWS BETWEEN 383 PRECEDING AND 48 PRECEDING), "
+    "f14 AS (PARTITION BY zone ORDER BY ts ROWS BETWEEN 719 PRECEDING AND 48 PRECEDING)",
+    dbl=_ZONE_ROLL, ints=["zone"], rest=["ts"], digits=4)))
+def q_zone_rolling(spark, d):
+    """W1-W3 per zone; every series crosses several chunks of 800 rows."""
+    p = FE.add_lag_features(zone_panel(spark, d), by=["zone"], bases=["PriceDAM"], chunk=800)
+    return finalize(p.select("zone", "ts", *_ZONE_ROLL), 4)
+
+
+_ZONE_T = [t for t in TRANSITIONS if t.spread in ("spr_IDA1_DAM", "spr_BM_IDA1", "spr_BM_DAM")]
+
+
+@register("zone_split", with_ctes(zone_sql() + _ZONE_SPREADS + [
+    ("zd", " UNION ALL ".join(f"SELECT zone, '{t.name}' AS transition, idx FROM zp WHERE idx >= {LAG_BURNIN} AND sign({t.spread}) <> 0"
+                              for t in _ZONE_T)),
+    ("zn", "SELECT *, row_number() OVER (PARTITION BY zone, transition ORDER BY idx) - 1 AS rn0, "
+           "count(*) OVER (PARTITION BY zone, transition) AS n FROM zd")], final(
+    "SELECT zone, transition, CASE WHEN rn0 < floor(n * 0.8e0) THEN 'train' ELSE 'test' END AS split, count(*) AS n_rows, "
+    "min(idx) AS idx_min, max(idx) AS idx_max FROM zn GROUP BY 1, 2, 3", ints=["zone", "n_rows", "idx_min", "idx_max"],
+    rest=["transition", "split"])))
+def q_zone_split(spark, d):
+    """W9 per zone and transition."""
+    ds = DS.long_dataset(zone_panel(spark, d), _ZONE_T, by=["zone"])
+    return finalize(DS.temporal_split(ds, by=["zone"]).groupBy("zone", "transition", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("idx").alias("idx_min"), F.max("idx").alias("idx_max")))

@@ -2,7 +2,7 @@
 independent correctness oracle of the driver queries."""
 from __future__ import annotations
 
-from spreadforge.config import HORIZONS, MUST_HAVE, MUST_HAVE_PRICES, SPREADS
+from spreadforge.config import HORIZONS, MUST_HAVE, MUST_HAVE_PRICES
 from spreadforge.sources.fixtures import PANEL_COLUMNS, WINDOWS, panel_spec
 
 
@@ -30,6 +30,29 @@ def raw_panel_sql(dirty: bool = False) -> list[tuple[str, str]]:
     return ctes
 
 
+#: forecast revisions, written out
+REVISION_SQL = (
+    "EirGridWindFc_DAM - EirGridWindFc_IDA1 AS wind_revision_IDA1_DAM",
+    "EirGridWindFc_IDA1 - EirGridWindFc_IDA2 AS wind_revision_IDA2_IDA1",
+    "EirGridWindFc_IDA2 - EirGridWindFc_IDA3 AS wind_revision_IDA3_IDA2",
+    "EirGridDemandFc_IDA1 - EirGridDemandFc_DAM AS demand_revision_IDA1_DAM",
+    "EirGridDemandFc_IDA1 - EirGridDemandFc_IDA2 AS demand_revision_IDA2_IDA1",
+    "EirGridDemandFc_IDA2 - EirGridDemandFc_IDA3 AS demand_revision_IDA3_IDA2",
+)
+
+
+def zone_sql(dirty: bool = False) -> list[tuple[str, str]]:
+    """The raw panel per zone (supplier number modulo 7), times parsed."""
+    (_, daily), (_, raw), *_ = raw_panel_sql()
+    daily = daily.replace("SELECT day, TIMESTAMP", "SELECT l_suppkey % 7 AS zone, day, TIMESTAMP").replace("GROUP BY day", "GROUP BY l_suppkey % 7, day")
+    raw = raw.replace("SELECT strftime", "SELECT zone, ts, strftime", 1).replace("FROM panel_daily", "FROM zone_daily")
+    ctes = [("zone_daily", daily), ("zone_day", raw)]
+    if dirty:
+        ctes.append(("zone_rows", "SELECT *, 0 AS seq FROM zone_day UNION ALL SELECT * REPLACE (PredictedICFlow + 2e0 AS PredictedICFlow), "
+                                  "1 AS seq FROM zone_day WHERE day % 31 = 0"))
+    return ctes
+
+
 def holed_sql() -> list[tuple[str, str]]:
     """The panel with holes as the operators should see it: NaN and blanks
     already missing.  Written out, not derived from the Spark side."""
@@ -93,8 +116,12 @@ def clean_sql(src: str = "panel_raw", out: str = "panel_clean", seq: str | None
 
 
 def spreads_sql(src: str = "panel_clean", out: str = "panel") -> list[tuple[str, str]]:
-    spr = [f"{later} - {earlier} AS {name}" for name, later, earlier in SPREADS]
-    dirs = [f"CASE WHEN {name} >= 0 THEN 1 ELSE -1 END AS dir_{name}" for name, _, _ in SPREADS]
+    # written out, so a wrong pair in the configuration shows
+    spr = ["PriceIDA1 - PriceDAM AS spr_IDA1_DAM", "PriceImbalance - PriceIDA1 AS spr_BM_IDA1",
+           "PriceImbalance - PriceDAM AS spr_BM_DAM", "PriceIDA2 - PriceIDA1 AS spr_IDA2_IDA1",
+           "PriceIDA3 - PriceIDA2 AS spr_IDA3_IDA2", "PriceImbalance - PriceIDA2 AS spr_BM_IDA2",
+           "PriceImbalance - PriceIDA3 AS spr_BM_IDA3"]
+    dirs = [f"CASE WHEN {s.split()[-1]} >= 0 THEN 1 ELSE -1 END AS dir_{s.split()[-1]}" for s in spr]
     nd = [f"EirGridDemandFc_{s} - EirGridWindFc_{s} - ISEMSOLAR_{s} AS NetDemand_{s}" for s in HORIZONS]
     return [(f"{out}_s", f"SELECT *, {', '.join(spr)} FROM {src}"),
             (out, f"SELECT *, {', '.join(dirs)}, {', '.join(nd)} FROM {out}_s")]

@@ -97,10 +97,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def market_panel(spark: SparkSession, sf_dir: str, with_day: bool = False) -> DataFrame:
+ZONES = 7
+
+
+def market_panel(spark: SparkSession, sf_dir: str, with_day: bool = False, zones: bool = False) -> DataFrame:
     """Raw half-hourly market table: text ``TradeDate``/``Time``/``StartDateTime``
     and 48 numeric columns; day d of ``lineitem`` becomes half-hour d after
-    2022-01-01 00:00."""
+    2022-01-01 00:00.  ``zones`` adds a series key: one market per supplier
+    group, so the panel has many series."""
     li = _read(spark, sf_dir, "lineitem")
     spec = panel_spec()
     needed = ["l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -108,11 +112,13 @@ def market_panel(spark: SparkSession, sf_dir: str, with_day: bool = False) -> Da
     daily = (
         li.select(*needed)
         .withColumn("day", F.expr("datediff(CAST(l_shipdate AS DATE), DATE'1995-01-01')"))
-        .groupBy("day")
+        .withColumn("zone", F.col("l_suppkey") % ZONES)
+        .groupBy("day", *(["zone"] if zones else []))
         .agg(*[F.expr(sql).alias(name) for name, sql, _ in spec])
         .withColumn("ts", F.expr("timestampadd(MINUTE, day * 30, TIMESTAMP_NTZ'2022-01-01 00:00:00')"))
     )
     out = [
+        *([F.col("zone")] if zones else []),
         F.date_format("ts", "yyyy-MM-dd").alias("TradeDate"),
         F.date_format("ts", "HH:mm:ss").alias("Time"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("StartDateTime"),
@@ -127,11 +133,11 @@ def market_panel(spark: SparkSession, sf_dir: str, with_day: bool = False) -> Da
     return daily.select(*out)
 
 
-def dirty_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_panel(spark: SparkSession, sf_dir: str, zones: bool = False) -> DataFrame:
     """Panel plus (a) exact copies of days d % 29 = 0 and (b) colliding copies of
     days d % 31 = 0 with ``PredictedICFlow + 2``; ``seq`` (0 original, 1 copy) is
     the deterministic 'first' order."""
-    base = market_panel(spark, sf_dir, with_day=True).withColumn("seq", F.lit(0))
+    base = market_panel(spark, sf_dir, with_day=True, zones=zones).withColumn("seq", F.lit(0))
     exact = base.where(F.col("day") % 29 == 0)
     coll = (base.where(F.col("day") % 31 == 0)
             .withColumn("PredictedICFlow", F.col("PredictedICFlow") + F.lit(2.0))

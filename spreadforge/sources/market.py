@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from spreadforge.functions.scalar import col, normalise_missing
 
 TEXT_COLUMNS = ("TradeDate", "Time", "StartDateTime")
-INDEX_COLUMNS = ("Unnamed: 0", "_c0")
 
 
 def drop_index_column(df: DataFrame) -> DataFrame:

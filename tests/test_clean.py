@@ -88,3 +88,11 @@ def test_csv_index_column_dropped(spark, tmp_path):
     assert df.columns == ["TradeDate", "Time", "StartDateTime", "PriceDAM", "TotalPN"]
     r = df.first()
     assert r["PriceDAM"] is None and r["TotalPN"] == 12.5
+
+
+def test_collapse_keeps_series_apart(spark):
+    from spreadforge.operators.clean import collapse_duplicate_ts
+    rows = [("a", 1, 10.0, 1.0, 0), ("a", 1, 12.0, 3.0, 1), ("b", 1, 20.0, 5.0, 0), (None, 1, 30.0, 7.0, 0)]
+    df = spark.createDataFrame(rows, "zone string, ts long, price double, PredictedICFlow double, seq int")
+    got = {r["zone"]: (r["price"], r["PredictedICFlow"]) for r in collapse_duplicate_ts(df, order_col="seq", by=["zone"]).collect()}
+    assert got == {"a": (10.0, 2.0), "b": (20.0, 5.0), None: (30.0, 7.0)}
