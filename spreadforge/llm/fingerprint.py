@@ -17,15 +17,15 @@ of fewer than five words is one shingle.
 
 Defined results: null and wordless texts have a fingerprint of their own (all
 ``-``), alike to each other (1) and to nothing else (0); repeated ids are one
-document each, followed by one of the documents with the next id (the smallest
-text); rows without an id have no next document, their own text is the edit's
+document each, followed by the documents with the next id (the smallest head
+and the smallest fingerprint among them); rows without an id have no next document, their own text is the edit's
 donor; a table of one document is its own next; other columns are ignored."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadforge.llm.tables import materialize, shuffled
+from spreadforge.llm.tables import materialize, row_id, shuffled
 
 BINS = 256
 BITS = 4
@@ -157,24 +157,27 @@ def edited(text: Column, head: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Per document row: ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    key = row_id("doc_id", "text")
+    d = docs.select("doc_id", key["a"].alias("a"), key["b"].alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    # one fingerprint per text; without the text the table is small
+    own = materialize(d.select("doc_id", "a", "b", F.length("text").alias("n"), fingerprint(F.col("text")).alias("fp")))
     known = d.where("doc_id is not null")
-    link = successors(docs)
     # how much each document takes of the next one's text: one row per id
-    need = known.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4).cast("int")).alias("need"))
-    want = materialize(link.join(shuffled(need), "doc_id").select(F.col("doc_id").alias("before"), "next_id", "need"))
+    need = own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.col("n") / 4).cast("int")).alias("need"))
+    want = materialize(successors(own).join(shuffled(need), "doc_id").select(F.col("doc_id").alias("before"), "next_id", "need"))
     # both joins take the texts dealt out by id, so these are shuffled once
     donor = known.join(shuffled(want), F.col("doc_id") == F.col("next_id")).select(
-        "before", F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), fingerprint(F.col("text")).alias("fp")).alias("m"))
-    donor = donor.groupBy("before").agg(F.min("m").alias("m")).select("before", "m.head", F.col("m.fp").alias("next_fp"))
-    both = known.join(shuffled(donor), F.col("doc_id") == F.col("before")).select("doc_id", "text", "head", "next_fp")
-    alone = d.where("doc_id is null").select("doc_id", "text", F.col("text").alias("head"), F.lit(None).cast("string").alias("next_fp"))
-    both = both.unionByName(alone)
+        "before", "next_id", F.substring("text", F.lit(1), F.col("need")).alias("head"))
+    donor = donor.groupBy("before").agg(F.min("head").alias("head"), F.first("next_id").alias("next_id"))
+    both = known.join(shuffled(donor), F.col("doc_id") == F.col("before")).select("doc_id", "a", "b", "text", "head", "next_id")
+    alone = d.where("doc_id is null").select("doc_id", "a", "b", "text", F.col("text").alias("head"), F.lit(None).cast("bigint").alias("next_id"))
     edit = edited(F.col("text"), F.substring("head", F.lit(1), F.floor(F.length("text") / 4).cast("int")))
-    both = both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), edit.alias("edit"),
-                       fingerprint(F.col("text")).alias("fingerprint"), "next_fp")
-    both = both.select("doc_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"), "fingerprint",
-                       fingerprint(F.col("edit")).alias("edited_fingerprint"), F.coalesce("next_fp", "fingerprint").alias("next_fp"))
+    both = both.unionByName(alone).select("doc_id", "a", "b", "next_id", F.length("text").cast("bigint").alias("n_chars"), edit.alias("edit"))
+    both = both.select("doc_id", "a", "b", "next_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"),
+                       fingerprint(F.col("edit")).alias("edited_fingerprint"))
+    mine = own.groupBy("a", "b").agg(F.first("fp").alias("fingerprint"))
+    after = own.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fp").alias("next_fp"))
+    both = both.join(shuffled(mine), ["a", "b"]).join(shuffled(after), "next_id", "left")
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                       likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
+                       likeness(F.col("fingerprint"), F.coalesce("next_fp", "fingerprint")).alias("near_next"))
