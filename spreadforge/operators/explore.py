@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadforge.functions.scalar import col
-from spreadforge.operators.quantiles import exact_percentiles
+from spreadforge.operators.quantiles import attach, exact_percentiles
 
 DESCRIBE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -159,14 +159,23 @@ def qcut_bins(df: DataFrame, x: str, q: int = 5, label: str | None = None) -> Da
     return j.withColumn(label, lab.cast("bigint")).drop("__inner")
 
 
-def qcut_means(df: DataFrame, x: str, spreads: Sequence[str], q: int = 5) -> DataFrame:
-    """Mean spread per quantile bin of a driver ``x``; long ``(driver, bin,
-    spread, mean, n)``."""
-    lab = f"{x}_q"
-    binned = qcut_bins(df, x, q, lab).where(F.col(lab).isNotNull())
-    lf = long_form(binned, spreads, keep=[lab], name="spread")
-    return lf.groupBy(F.col(lab).alias("bin"), "spread").agg(
-        F.avg("value").alias("mean"), F.count("value").alias("n")).withColumn("driver", F.lit(x))
+def qcut_means(df: DataFrame, drivers: dict[str, Sequence[str]], q: int = 5) -> DataFrame:
+    """Mean spread per quantile bin of every driver; long ``(driver, bin,
+    spread, mean, n)``.  The drivers are unpivoted once, their edges are one
+    keyed percentile job, joined back on the driver's name."""
+    probs = [i / q for i in range(q + 1)]
+    spreads = list(dict.fromkeys(s for ss in drivers.values() for s in ss))
+    lf = long_form(df, list(drivers), keep=spreads, name="driver", value="x").where(F.col("x").isNotNull())
+    names = [f"e{i}" for i in range(q + 1)]
+    e = exact_percentiles(lf, "x", probs, by="driver", names=names).drop("n")
+    edges = F.array_sort(F.array_distinct(F.array(*[F.col(n) for n in names])))
+    e = e.select("driver", F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))).alias("__inner"))
+    b = attach(lf, e, ["driver"]).withColumn("bin", F.size(F.filter("__inner", lambda v: v < F.col("x"))).cast("bigint"))
+    b = b.unpivot(["driver", "bin"], spreads, "spread", "value")
+    wanted = F.lit(False)
+    for x, ss in drivers.items():
+        wanted = wanted | ((F.col("driver") == x) & F.col("spread").isin(list(ss)))
+    return b.where(wanted).groupBy("driver", "bin", "spread").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
 def line_fit(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -526,12 +526,7 @@ def _qcut_sql():
 @register("qcut_means", with_ctes(panel_ctes() + [("qm", _qcut_sql())], final(
     "SELECT * FROM qm", dbl=["mean"], ints=["bin", "n"], rest=["driver", "spread"])))
 def q_qcut_means(spark, d):
-    p = panel(spark, d)
-    out = None
-    for x, spreads in _QCUT:
-        r = EX.qcut_means(p, x, spreads)
-        out = r if out is None else out.unionByName(r)
-    return finalize(out)
+    return finalize(EX.qcut_means(panel(spark, d), dict(_QCUT)))
 
 
 #: fixed values: drivers and targets of the scatter plots
