@@ -7,14 +7,23 @@ non-ASCII bytes after lower-casing A-Z):
   ``BANDS`` bands of ``ROWS`` rows (at a similarity of 0.8 a pair collides with
   probability ``1 - (1 - 0.8**2)**5`` = 99.4 %); colliding lines are verified
   by exact Jaccard similarity of their shingle sets (0.8 or more);
-* pieces of ``PIECE`` words inside longer texts, which begin at words that the
-  surrounding words choose (minimizers over ``CHOICE`` positions).  Any passage
-  of more than 50 words holds a whole piece wherever it is embedded, and equal
-  passages choose equal pieces; pieces link when all their words are equal.
-
-Linked lines form components; of each component, and of each set of equal
-pieces, the first occurrence (lowest document, then position) stays and the
-others are removed, overlapping removals merged.
+* passages of at least ``MIN_WORDS`` words inside longer texts.  Their seeds are
+  pieces of ``PIECE`` words which begin at words that the surrounding words
+  choose (minimizers over ``CHOICE`` positions): equal passages choose equal
+  pieces, and every passage of ``PIECE + CHOICE - 1`` words (19) holds one.
+  A later piece is compared word by word with its first occurrence and
+  ``CONTEXT`` words on both sides; neighbouring pieces overlap, so the equal
+  stretches found make up the maximal equal stretch.  Stretches of one first
+  document that follow each other in both texts join, with the words between,
+  as long as the shingles they share give a Jaccard similarity of 0.8 or more.
+  What then has ``MIN_WORDS`` words is removed as a whole.
+
+Linked lines form components; of each component the first occurrence (lowest
+document, then position) stays and the others are removed, as are all later
+passages; overlapping removals are merged.  A passage is compared with the
+first occurrence of its pieces, and inside one document the first occurrence of
+a piece always stays.  Words of passages are compared by 31 bits of their
+hashes.
 
 Texts of equal content are one node, so thousands of copies are one entry.
 Buckets are verified by comparing a hub with all others at once, then every
@@ -42,8 +51,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 20
 BANDS, ROWS = 5, 2
-PIECE = 20
-CHOICE = 29
+PIECE = 10
+CHOICE = 10
+CONTEXT = 10
 BLOCK = 1024
 
 
@@ -107,10 +117,10 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
-    """``ca, cb`` (content), ``doc_id, row, lo, hi`` (bytes) of every line or
-    piece; for lines also ``bands``."""
+    """``ca`` (content), ``doc_id, row, lo`` (byte) of every line or piece; for
+    lines also ``cb, hi, bands``."""
     min_words, piece, choice = opt.get("min_words", MIN_WORDS), opt.get("piece", PIECE), opt.get("choice", CHOICE)
-    schema = "ca bigint, cb bigint, doc_id bigint, row bigint, lo int, hi int" + (", bands array<bigint>" if kind == "line" else "")
+    schema = "ca bigint, doc_id bigint, row bigint, lo int" + (", cb bigint, hi int, bands array<bigint>" if kind == "line" else "")
 
     def run(batches):
         for batch in batches:
@@ -123,12 +133,12 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
                 ca, cb = _content(p["h"], a, b, kind == "piece")
                 t = p["text"][a]
                 at = pa.array(first + t)
-                cols = [pa.array(ca), pa.array(cb), ids.take(at), rows.take(at),
-                        pa.array((p["start"][a] - off[t]).astype(np.int32)), pa.array((p["end"][b - 1] - off[t]).astype(np.int32))]
+                cols = [pa.array(ca), ids.take(at), rows.take(at), pa.array((p["start"][a] - off[t]).astype(np.int32))]
                 if kind == "line":
+                    cols += [pa.array(cb), pa.array((p["end"][b - 1] - off[t]).astype(np.int32))]
                     bands = _bands(_shingles(p["h"], SHINGLE), a, b - SHINGLE + 1, BANDS, ROWS)
                     cols.append(pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64))))
-                names = ["ca", "cb", "doc_id", "row", "lo", "hi", "bands"][:len(cols)]
+                names = ["ca", "doc_id", "row", "lo", "cb", "hi", "bands"][:len(cols)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return _source(docs).mapInArrow(run, schema)
@@ -223,37 +233,150 @@ def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY
     return _verified(dealt.join(shuffled(sets), "ca"), similarity)
 
 
-def removals(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, **opt) -> DataFrame:
-    """``doc_id, row, lo, hi`` of every removed paragraph and ``kept_in``, the
+def _at():
+    return F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "lo")
+
+
+def line_removals(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, **opt) -> DataFrame:
+    """``doc_id, row, lo, hi`` of every removed line and ``kept_in``, the
     document that holds the occurrence that stays."""
-    docs = docs.select("doc_id", "text")
     lines = materialize(occurrences(docs, "line", **opt))
     links = line_links(docs, lines, similarity, block, opt.get("min_words", MIN_WORDS))
     node = links.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"),
                         F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v"))
     root = components(node, "u", "v")
-    at = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "lo")
     root = materialize(root.select(F.col("node.a").alias("ca"), F.col("node.b").alias("cb"), F.col("root.a").alias("ra"), F.col("root.b").alias("rb")))
-    named = lines.drop("bands").join(shuffled(root), ["ca", "cb"], "left").select(
+    every = lines.drop("bands").join(shuffled(root), ["ca", "cb"], "left").select(
         F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"), "doc_id", "row", "lo", "hi")
-    every = named.unionByName(occurrences(docs, "piece", **opt))
     # a table of its own: a join whose two sides are plain shuffles can split a hot paragraph
-    first = materialize(every.groupBy("ca", "cb").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f != l").select("ca", "cb", "f"))
-    return (every.withColumn("at", at).join(shuffled(first), ["ca", "cb"]).where("at != f")
+    first = materialize(every.groupBy("ca", "cb").agg(F.min(_at()).alias("f"), F.max(_at()).alias("l")).where("f != l").select("ca", "cb", "f"))
+    return (every.withColumn("at", _at()).join(shuffled(first), ["ca", "cb"]).where("at != f")
             .select("doc_id", "row", "lo", "hi", F.col("f.doc_id").alias("kept_in")))
 
 
+def _signs(h: np.ndarray) -> np.ndarray:
+    """31 bits of each word's hash, never 0."""
+    return ((h >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
+
+
+def _surroundings(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Signs of the pieces at words ``at`` with ``CONTEXT`` words on both
+    sides, 0 beyond the text (pieces x words)."""
+    pad = np.zeros(CONTEXT, np.uint32)
+    own = np.concatenate([pad, _signs(h), pad])
+    return own[at[:, None] + np.arange(2 * CONTEXT + PIECE)]
+
+
+def _first_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """``ca, f`` with the word ``at`` which the first occurrence of the piece
+    begins and the ``words`` around it."""
+    wanted = first.groupBy(F.col("f.row").alias("row")).agg(F.collect_list(F.struct("ca", F.col("f.lo").alias("lo"))).alias("pieces"))
+    texts = _source(docs).select("row", "text").join(shuffled(wanted), "row")
+
+    def run(batches):
+        for batch in batches:
+            pieces = batch.column("pieces")
+            for text, found in zip(batch.column("text"), pieces):
+                h, start, _, _ = tokens_at(*_bytes(text))
+                at = np.searchsorted(start, found.values.field("lo").to_numpy())
+                words = _surroundings(h, at).tobytes()
+                size = len(words) // len(at)
+                yield pa.RecordBatch.from_arrays([found.values.field("ca"), pa.array(at.astype(np.int32)), pa.array(
+                    [words[k:k + size] for k in range(0, len(words), size)], pa.binary())], names=["ca", "at", "words"])
+
+    # repeated rows hold the same words
+    found = texts.select("text", "pieces").mapInArrow(run, "ca bigint, at int, words binary").dropDuplicates(["ca"])
+    return found.join(shuffled(first), "ca")
+
+
+def _bytes(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(text.as_py().encode(), np.uint8)
+    return data, np.array([0, len(data)], np.int64)
+
+
+def passage_seeds(docs: DataFrame, **opt) -> DataFrame:
+    """Every later occurrence of a piece: ``doc_id, row, lo``, the document
+    ``kept_in``, row ``src`` and word ``at`` of the first one and the ``words``
+    around that."""
+    pieces = occurrences(docs, "piece", **opt)
+    place = F.xxhash64("row", "lo")
+    first = materialize(pieces.groupBy("ca").agg(F.min(_at()).alias("f"), F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("ca", "f"))
+    # a table of its own: a join whose two sides are plain shuffles can split a hot piece
+    known = materialize(_first_pieces(docs, first))
+    return (pieces.join(shuffled(known), "ca").where(_at() != F.col("f"))
+            .select("doc_id", "row", "lo", F.col("f.doc_id").alias("kept_in"), F.col("f.row").alias("src"), "at", "words"))
+
+
+def stretches(h: np.ndarray, start: np.ndarray, row: int, seeds: dict, similarity: float) -> list[tuple[int, int, int | None]]:
+    """``first, last`` (words) and ``kept_in`` of the passages of one text that
+    its seeds (columns of ``passage_seeds``) show to be repeated."""
+    w = np.searchsorted(start, seeds["lo"])
+    theirs = np.frombuffer(b"".join(seeds["words"]), np.uint32).reshape(len(w), -1)
+    same = (_surroundings(h, w) == theirs) & (theirs != 0)
+    ok = same[:, CONTEXT:CONTEXT + PIECE].all(1)
+    left = np.logical_and.accumulate(same[:, :CONTEXT][:, ::-1], 1).sum(1)
+    right = np.logical_and.accumulate(same[:, CONTEXT + PIECE:], 1).sum(1)
+    at, src = np.asarray(seeds["at"], np.int64), np.asarray(seeds["src"], np.int64)
+    lo, hi = w - left, w + PIECE + right
+    lo = np.where(src == row, np.maximum(lo, at + PIECE), lo)       # inside one text the first occurrence stays
+    ok &= lo < hi
+    groups: dict = {}
+    for k in np.flatnonzero(ok).tolist():
+        groups.setdefault((int(src[k]), seeds["kept_in"][k]), []).append((int(w[k] - at[k]), int(lo[k]), int(hi[k])))
+    out = []
+    for (source, kept), found in groups.items():
+        # equal stretches: one offset between the texts, overlapping
+        equal = []
+        for shift, a, b in sorted(found):
+            if equal and equal[-1][0] == shift and a <= equal[-1][2]:
+                equal[-1][2] = max(equal[-1][2], b)
+            else:
+                equal.append([shift, a, b])
+        # near copies: a, b in this text, x, y in the other, shingles they share
+        near = []
+        for shift, a, b in sorted(equal, key=lambda e: e[1:]):
+            n = max(b - a - SHINGLE + 1, 0)
+            if near:
+                c, _, x, _, m = near[-1]
+                mine, others = b - c - SHINGLE + 1, b - shift - x - SHINGLE + 1
+                if a >= near[-1][1] and a - shift >= near[-1][3] and m + n >= similarity * (mine + others - m - n) - 1e-9:
+                    near[-1] = [c, b, x, b - shift, m + n]
+                    continue
+            near.append([a, b, a - shift, b - shift, n])
+        out += [(a, b, kept) for a, b, *_ in near if b - a >= MIN_WORDS]
+    return out
+
+
 def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
     """The documents, all columns, with ``n_paragraphs`` (lines of enough
     words), ``n_removed`` (bytes), ``n_spans``, ``kept`` (the text that is
     left) and ``kept_in`` (documents that hold what was removed here)."""
     names = [fresh(docs, x) for x in ("n_paragraphs", "n_removed", "n_spans", "kept", "kept_in")]
-    d, r, sp, src = (fresh(docs, x) for x in ("removed_doc", "removed_row", "removed_spans", "removed_src"))
-    gone = materialize(removals(docs, **opt).groupBy(F.coalesce("doc_id", F.lit(0)).alias(d), F.col("row").alias(r)).agg(
-        F.collect_list(F.struct("lo", "hi")).alias(sp), F.sort_array(F.collect_set("kept_in")).alias(src)))
+    d, r, sp = (fresh(docs, x) for x in ("removed_doc", "removed_row", "removed_spans"))
+    similarity = opt.get("similarity", SIMILARITY)
+    plain = docs.select("doc_id", "text")
+    own = F.coalesce("doc_id", F.lit(0)).alias(d), F.col("row").alias(r)
+    none = F.lit(None)
+    lines = line_removals(plain, **opt).select(*own, "lo", "hi", "kept_in", none.cast("bigint").alias("src"), none.cast("int").alias("at"), none.cast("binary").alias("words"))
+    seeds = passage_seeds(plain, **opt).select(*own, "lo", none.cast("int").alias("hi"), "kept_in", "src", "at", "words")
+    gone = materialize(lines.unionByName(seeds).groupBy(d, r).agg(F.collect_list(F.struct("lo", "hi", "kept_in", "src", "at", "words")).alias(sp)))
     keyed = docs.withColumn(d, F.coalesce("doc_id", F.lit(0))).withColumn(r, row_id("doc_id", "text")["a"])
-    joined = keyed.join(shuffled(gone), [d, r], "left").select(*docs.columns, sp, src)
-    text_at, span_at = docs.columns.index("text"), len(docs.columns)
+    joined = keyed.join(shuffled(gone), [d, r], "left").select(*docs.columns, r, sp)
+    text_at, row_at = docs.columns.index("text"), len(docs.columns)
+
+    def spans(text: pa.Scalar, row: int, found: pa.Scalar) -> tuple[list[tuple[int, int]], list[int]]:
+        """Removed bytes of a text, and the documents that keep them."""
+        c = {name: x for name, x in zip(("lo", "hi", "kept_in", "src", "at", "words"), found.values.flatten())}
+        seed = np.flatnonzero(c["src"].is_valid())
+        line = np.flatnonzero(c["src"].is_null())
+        lo, hi, src = (c[k].take(pa.array(line)).to_pylist() for k in ("lo", "hi", "kept_in"))
+        out = list(zip(lo, hi))
+        if len(seed):
+            h, start, end, _ = tokens_at(*_bytes(text))
+            for a, b, kept in stretches(h, start, row, {k: x.take(pa.array(seed)).to_pylist() for k, x in c.items()}, similarity):
+                out.append((int(start[a]), int(end[b - 1])))
+                src.append(kept)
+        return sorted(out), sorted({x for x in src if x is not None})
     min_words = opt.get("min_words", MIN_WORDS)
 
     def cut(batches):
@@ -263,16 +386,18 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
             for first, end, data, off in B.chunks(texts):
                 p = _paragraphs(data, off, min_words, 1 << 30, 1)
                 count.append(np.bincount(p["text"][p["line"][0]], minlength=end - first))
-            removed, spans, kept = [], [], []
-            for text, found in zip(texts, batch.column(span_at)):
-                if not found.is_valid:
+            removed, number, kept, sources = [], [], [], []
+            for text, row, found in zip(texts, batch.column(row_at), batch.column(row_at + 1)):
+                gone, src = spans(text, row.as_py(), found) if found.is_valid else ([], [])
+                sources.append(src)
+                if not gone:
                     removed.append(0)
-                    spans.append(0)
+                    number.append(0)
                     kept.append(text.as_py())
                     continue
                 data, parts, pos, n, runs = text.as_py().encode(), [], 0, 0, 0
                 reach = -1
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in found.as_py()):
+                for lo, hi in gone:
                     if lo > reach:
                         runs += 1
                         parts.append(data[pos:lo])
@@ -283,11 +408,11 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
                         pos = reach = hi
                 parts.append(data[pos:])
                 removed.append(n)
-                spans.append(runs)
+                number.append(runs)
                 kept.append(b"".join(parts).decode())
-            more = [pa.array(np.concatenate(count)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string()),
-                    pa.array([x or [] for x in batch.column(span_at + 1).to_pylist()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:span_at] + more, names=batch.schema.names[:span_at] + names)
+            more = [pa.array(np.concatenate(count)), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.string()),
+                    pa.array(sources, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:row_at] + more, names=batch.schema.names[:row_at] + names)
 
     schema = joined.select(*docs.columns).schema
     for name, kind in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.ArrayType(T.LongType()))):

@@ -85,3 +85,33 @@ def test_odd_rows(spark):
     sha = P.report(docs).where("doc_id = 3").first().kept_sha256
     assert sha == hashlib.sha256(b"").hexdigest()
     assert P.report(docs.limit(0)).count() == 0
+
+
+def test_embedded_passages_are_removed_whole(spark):
+    """Passages of 20 words or more inside longer lines, equal or with one word
+    changed in the middle, against all 20-word windows that stood before."""
+    rnd = random.Random(12)
+    rows, near = [], {}
+    for i in range(60):
+        p = text(rnd, rnd.randrange(20, 130))
+        for k in range(3):
+            rows.append((3 * i + k, f"{text(rnd, rnd.randrange(1, 90))} {p} {text(rnd, rnd.randrange(1, 90))}"))
+    for i in range(20):
+        w = text(rnd, 60).split()
+        changed = w[:30] + [f"edit{i}"] + w[31:]
+        rows += [(500 + 2 * i, f"{text(rnd, 40)} {' '.join(w)} {text(rnd, 40)}"), (501 + 2 * i, f"{text(rnd, 40)} {' '.join(changed)} {text(rnd, 40)}")]
+        near[501 + 2 * i] = " ".join(changed)
+    seen, want = set(), {}
+    for i, t in rows:
+        w, gone, bytes_gone = t.split(), set(), 0
+        windows = [tuple(w[k:k + 20]) for k in range(len(w) - 19)]
+        for k, window in enumerate(windows):
+            if window in seen:
+                gone |= set(range(k, k + 20))
+        seen |= set(windows)
+        runs = [k for k in gone if k - 1 not in gone]
+        want[i] = sum(len(w[k]) for k in gone) + len(gone) - len(runs)
+        if i in near:
+            want[i] = len(near[i])
+    got = {r.doc_id: r.n_removed for r in P.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(n > 0 for n in want.values()) == 140
