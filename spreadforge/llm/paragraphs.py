@@ -3,17 +3,19 @@
 Paragraphs come in two kinds, both over normalised words (``[0-9a-z]`` and
 non-ASCII bytes after lower-casing A-Z):
 
-* lines of at least ``MIN_WORDS`` words: MinHash over their five-word shingles,
-  ``BANDS`` bands of ``ROWS`` rows (at a similarity of 0.8 a pair collides with
-  probability ``1 - (1 - 0.8**2)**5`` = 99.4 %); colliding lines are verified
-  by exact Jaccard similarity of their shingle sets (0.8 or more);
+* lines, and blocks of several lines between lines without words: equal words
+  link them; those of at least ``SHINGLE`` words are also compared by MinHash
+  over their five-word shingles, ``BANDS`` bands of ``ROWS`` rows (at a similarity of 0.8 a pair collides with
+  probability ``1 - (1 - 0.8**2)**5`` = 99.4 %); colliding ones are verified
+  by exact Jaccard similarity of their shingle sets (0.8 or more); a line or
+  block that overlaps the occurrence that stays, in its own text, stays too;
 * passages of at least ``MIN_WORDS`` words inside longer texts.  Their seeds are
   pieces of ``PIECE`` words which begin at words that the surrounding words
   choose (minimizers over ``CHOICE`` positions): equal passages choose equal
-  pieces, and every passage of ``PIECE + CHOICE - 1`` words (19) holds one.
-  A later piece is compared word by word with its first occurrence and
-  ``CONTEXT`` words on both sides; neighbouring pieces overlap, so the equal
-  stretches found make up the maximal equal stretch.  Stretches of one first
+  pieces, and every passage of ``PIECE + CHOICE - 1`` words (20) holds one.
+  ``CONTEXT`` words on both sides of a later piece are compared with those of
+  its first occurrence; neighbouring pieces are at most ``CHOICE`` words apart,
+  so the equal stretches found make up the maximal equal stretch.  Stretches of one first
   document that follow each other in both texts join, with the words between,
   as long as the shingles they share give a Jaccard similarity of 0.8 or more.
   What then has ``MIN_WORDS`` words is removed as a whole.
@@ -51,24 +53,26 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_WORDS = 20
 BANDS, ROWS = 5, 2
-PIECE = 10
-CHOICE = 10
-CONTEXT = 10
+PIECE = 8
+CHOICE = 13
+CONTEXT = 13
 BLOCK = 1024
 
 
-def _paragraphs(data: np.ndarray, off: np.ndarray, min_words: int, piece: int, choice: int) -> dict:
-    """Lines and pieces of a run of texts, as arrays."""
+def _paragraphs(data: np.ndarray, off: np.ndarray, piece: int, choice: int) -> dict:
+    """Lines (with blocks) and pieces of a run of texts, as arrays."""
     h, start, end, text = tokens_at(data, off)
     n = len(h)
     newline = np.flatnonzero(data == 10)
     line = np.searchsorted(newline, start)                       # a word's line, counted over the run
-    key = line + text                                            # a text's end ends its last line
-    cut = B.group_slices(key)
+    cut = B.group_slices(line + text)                            # a text's end ends its last line
     first, last = cut[:-1], cut[1:]
-    long = last - first >= min_words
-    first, last = first[long], last[long]
-    out = {"line": (first, last)}
+    # blocks: lines of one text that follow each other
+    ends = np.concatenate([[True], (line[first[1:]] - line[first[:-1]] > 1) | (text[first[1:]] != text[first[:-1]]), [True]])[-len(cut):]
+    edge = np.flatnonzero(ends)
+    many = np.diff(edge) > 1
+    blocks = cut[edge[:-1][many]], cut[edge[1:][many]]
+    out = {"line": (np.concatenate([first, blocks[0]]), np.concatenate([last, blocks[1]])), "lines": len(first)}
     # pieces: minimizers over three-word hashes, within each text
     at = np.searchsorted(text, np.arange(len(off)))
     grams = np.zeros(max(n - 2, 0), np.uint64)
@@ -119,14 +123,14 @@ def _source(docs: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
     """``ca`` (content), ``doc_id, row, lo`` (byte) of every line or piece; for
     lines also ``cb, hi, bands``."""
-    min_words, piece, choice = opt.get("min_words", MIN_WORDS), opt.get("piece", PIECE), opt.get("choice", CHOICE)
+    piece, choice = opt.get("piece", PIECE), opt.get("choice", CHOICE)
     schema = "ca bigint, doc_id bigint, row bigint, lo int" + (", cb bigint, hi int, bands array<bigint>" if kind == "line" else "")
 
     def run(batches):
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
             for first, end, data, off in B.chunks(batch.column(2)):
-                p = _paragraphs(data, off, min_words, piece, choice)
+                p = _paragraphs(data, off, piece, choice)
                 a, b = p[kind]
                 if len(a) == 0:
                     continue
@@ -136,30 +140,37 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
                 cols = [pa.array(ca), ids.take(at), rows.take(at), pa.array((p["start"][a] - off[t]).astype(np.int32))]
                 if kind == "line":
                     cols += [pa.array(cb), pa.array((p["end"][b - 1] - off[t]).astype(np.int32))]
-                    bands = _bands(_shingles(p["h"], SHINGLE), a, b - SHINGLE + 1, BANDS, ROWS)
-                    cols.append(pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64))))
+                    near = b - a >= SHINGLE
+                    bands = _bands(_shingles(p["h"], SHINGLE), a[near], b[near] - SHINGLE + 1, BANDS, ROWS)
+                    cut = np.concatenate([[0], np.cumsum(near * BANDS)]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(cut, pa.array(bands.ravel().view(np.int64))))
                 names = ["ca", "doc_id", "row", "lo", "cb", "hi", "bands"][:len(cols)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return _source(docs).mapInArrow(run, schema)
 
 
-def _line_sets(docs: DataFrame, min_words: int) -> DataFrame:
-    """``ca, cb`` and the sorted distinct shingle hashes of every line."""
+def _line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``ca, cb`` and the sorted distinct shingle hashes of the contents of
+    ``lines``, each read from one of its texts."""
+    one = lines.groupBy("ca", "cb").agg(F.min(F.struct("row", "lo", "hi")).alias("f"))
+    wanted = one.groupBy("f.row").agg(F.collect_list(F.struct("ca", "cb", "f.lo", "f.hi")).alias("lines"))
+    texts = _source(docs).select("row", "text").join(shuffled(wanted), "row").dropDuplicates(["row"])
+
     def run(batches):
         for batch in batches:
-            for first, end, data, off in B.chunks(batch.column(0)):
-                p = _paragraphs(data, off, min_words, 1 << 30, 1)
-                a, b = p["line"]
-                if len(a) == 0:
-                    continue
-                ca, cb = _content(p["h"], a, b, 0)
-                s = (_shingles(p["h"], SHINGLE) >> np.uint64(16)).astype(np.int64)
+            out = []
+            for text, found in zip(batch.column("text"), batch.column("lines")):
+                h, start, end, _ = tokens_at(*_bytes(text))
+                ca, cb, lo, hi = found.values.flatten()
+                a, b = np.searchsorted(start, lo.to_numpy()), np.searchsorted(end, hi.to_numpy()) + 1
+                s = (_shingles(h, SHINGLE) >> np.uint64(16)).astype(np.int64)
                 sets = [np.unique(s[x:y - SHINGLE + 1]) for x, y in zip(a.tolist(), b.tolist())]
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ca), pa.array(cb), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets)))],
-                                                 names=["ca", "cb", "s"])
-    return docs.select("text").mapInArrow(run, "ca bigint, cb bigint, s array<bigint>")
+                out.append(pa.RecordBatch.from_arrays([ca, cb, pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets)))], names=["ca", "cb", "s"]))
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+
+    return texts.select("text", "lines").mapInArrow(run, "ca bigint, cb bigint, s array<bigint>")
 
 
 def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
@@ -218,7 +229,7 @@ def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
             .mapInArrow(run, "ua bigint, ub bigint, va bigint, vb bigint"))
 
 
-def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, min_words: int = MIN_WORDS) -> DataFrame:
+def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Links between the contents of similar lines."""
     hit = lines.select(F.explode("bands").alias("band"), "ca")
     shared = materialize(hit.groupBy("band").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x != y").select("band"))
@@ -229,19 +240,20 @@ def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY
     dealt = dealt.select(F.when(F.col("n") == 1, F.col("band")).otherwise(
         F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))).alias("g"), "ca")
     wanted = member.select("ca").distinct()
-    sets = materialize(_line_sets(docs, min_words).join(shuffled(wanted), "ca", "left_semi").dropDuplicates(["ca", "cb"]))
+    known = lines.where(F.size("bands") > 0).select("ca", "cb", "row", "lo", "hi").join(shuffled(wanted), "ca", "left_semi")
+    sets = materialize(_line_sets(docs, known))
     return _verified(dealt.join(shuffled(sets), "ca"), similarity)
 
 
-def _at():
-    return F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "lo")
+def _at(*more: str):
+    return F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "lo", *more)
 
 
 def line_removals(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, **opt) -> DataFrame:
     """``doc_id, row, lo, hi`` of every removed line and ``kept_in``, the
     document that holds the occurrence that stays."""
     lines = materialize(occurrences(docs, "line", **opt))
-    links = line_links(docs, lines, similarity, block, opt.get("min_words", MIN_WORDS))
+    links = line_links(docs, lines, similarity, block)
     node = links.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"),
                         F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v"))
     root = components(node, "u", "v")
@@ -249,8 +261,10 @@ def line_removals(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     every = lines.drop("bands").join(shuffled(root), ["ca", "cb"], "left").select(
         F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"), "doc_id", "row", "lo", "hi")
     # a table of its own: a join whose two sides are plain shuffles can split a hot paragraph
-    first = materialize(every.groupBy("ca", "cb").agg(F.min(_at()).alias("f"), F.max(_at()).alias("l")).where("f != l").select("ca", "cb", "f"))
-    return (every.withColumn("at", _at()).join(shuffled(first), ["ca", "cb"]).where("at != f")
+    place = _at("hi")
+    first = materialize(every.groupBy("ca", "cb").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("ca", "cb", "f"))
+    # a block and a line inside it may be alike
+    return (every.join(shuffled(first), ["ca", "cb"]).where(~F.col("doc_id").eqNullSafe(F.col("f.doc_id")) | (F.col("row") != F.col("f.row")) | (F.col("lo") >= F.col("f.hi")))
             .select("doc_id", "row", "lo", "hi", F.col("f.doc_id").alias("kept_in")))
 
 
@@ -260,33 +274,33 @@ def _signs(h: np.ndarray) -> np.ndarray:
 
 
 def _surroundings(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Signs of the pieces at words ``at`` with ``CONTEXT`` words on both
-    sides, 0 beyond the text (pieces x words)."""
+    """Signs of ``CONTEXT`` words on both sides of the pieces at words ``at``, 0
+    beyond the text (pieces x words)."""
     pad = np.zeros(CONTEXT, np.uint32)
     own = np.concatenate([pad, _signs(h), pad])
-    return own[at[:, None] + np.arange(2 * CONTEXT + PIECE)]
+    return own[at[:, None] + np.concatenate([np.arange(CONTEXT), np.arange(CONTEXT) + CONTEXT + PIECE])]
 
 
 def _first_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``ca, f`` with the word ``at`` which the first occurrence of the piece
     begins and the ``words`` around it."""
     wanted = first.groupBy(F.col("f.row").alias("row")).agg(F.collect_list(F.struct("ca", F.col("f.lo").alias("lo"))).alias("pieces"))
-    texts = _source(docs).select("row", "text").join(shuffled(wanted), "row")
+    texts = _source(docs).select("row", "text").join(shuffled(wanted), "row").dropDuplicates(["row"])
 
     def run(batches):
         for batch in batches:
-            pieces = batch.column("pieces")
-            for text, found in zip(batch.column("text"), pieces):
+            out = []
+            for text, found in zip(batch.column("text"), batch.column("pieces")):
                 h, start, _, _ = tokens_at(*_bytes(text))
-                at = np.searchsorted(start, found.values.field("lo").to_numpy())
+                at = np.searchsorted(start, found.values.flatten()[1].to_numpy())
                 words = _surroundings(h, at).tobytes()
                 size = len(words) // len(at)
-                yield pa.RecordBatch.from_arrays([found.values.field("ca"), pa.array(at.astype(np.int32)), pa.array(
-                    [words[k:k + size] for k in range(0, len(words), size)], pa.binary())], names=["ca", "at", "words"])
+                ca, _ = found.values.flatten()
+                out.append(pa.RecordBatch.from_arrays([ca, pa.array(at.astype(np.int32)), pa.array(
+                    [words[k:k + size] for k in range(0, len(words), size)], pa.binary())], names=["ca", "at", "words"]))
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
 
-    # repeated rows hold the same words
-    found = texts.select("text", "pieces").mapInArrow(run, "ca bigint, at int, words binary").dropDuplicates(["ca"])
-    return found.join(shuffled(first), "ca")
+    return texts.select("text", "pieces").mapInArrow(run, "ca bigint, at int, words binary").join(shuffled(first), "ca")
 
 
 def _bytes(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +313,7 @@ def passage_seeds(docs: DataFrame, **opt) -> DataFrame:
     ``kept_in``, row ``src`` and word ``at`` of the first one and the ``words``
     around that."""
     pieces = occurrences(docs, "piece", **opt)
-    place = F.xxhash64("row", "lo")
-    first = materialize(pieces.groupBy("ca").agg(F.min(_at()).alias("f"), F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("ca", "f"))
+    first = materialize(pieces.groupBy("ca").agg(F.min(_at()).alias("f"), F.count("*").alias("n")).where("n > 1").select("ca", "f"))
     # a table of its own: a join whose two sides are plain shuffles can split a hot piece
     known = materialize(_first_pieces(docs, first))
     return (pieces.join(shuffled(known), "ca").where(_at() != F.col("f"))
@@ -313,15 +326,13 @@ def stretches(h: np.ndarray, start: np.ndarray, row: int, seeds: dict, similarit
     w = np.searchsorted(start, seeds["lo"])
     theirs = np.frombuffer(b"".join(seeds["words"]), np.uint32).reshape(len(w), -1)
     same = (_surroundings(h, w) == theirs) & (theirs != 0)
-    ok = same[:, CONTEXT:CONTEXT + PIECE].all(1)
     left = np.logical_and.accumulate(same[:, :CONTEXT][:, ::-1], 1).sum(1)
-    right = np.logical_and.accumulate(same[:, CONTEXT + PIECE:], 1).sum(1)
+    right = np.logical_and.accumulate(same[:, CONTEXT:], 1).sum(1)
     at, src = np.asarray(seeds["at"], np.int64), np.asarray(seeds["src"], np.int64)
     lo, hi = w - left, w + PIECE + right
     lo = np.where(src == row, np.maximum(lo, at + PIECE), lo)       # inside one text the first occurrence stays
-    ok &= lo < hi
     groups: dict = {}
-    for k in np.flatnonzero(ok).tolist():
+    for k in np.flatnonzero(lo < hi).tolist():
         groups.setdefault((int(src[k]), seeds["kept_in"][k]), []).append((int(w[k] - at[k]), int(lo[k]), int(hi[k])))
     out = []
     for (source, kept), found in groups.items():
@@ -384,8 +395,9 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
             texts = batch.column(text_at)
             count = [np.empty(0, np.int64)]
             for first, end, data, off in B.chunks(texts):
-                p = _paragraphs(data, off, min_words, 1 << 30, 1)
-                count.append(np.bincount(p["text"][p["line"][0]], minlength=end - first))
+                p = _paragraphs(data, off, 1 << 30, 1)
+                a, b = (x[:p["lines"]] for x in p["line"])
+                count.append(np.bincount(p["text"][a[b - a >= min_words]], minlength=end - first))
             removed, number, kept, sources = [], [], [], []
             for text, row, found in zip(texts, batch.column(row_at), batch.column(row_at + 1)):
                 gone, src = spans(text, row.as_py(), found) if found.is_valid else ([], [])

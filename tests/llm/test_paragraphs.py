@@ -115,3 +115,23 @@ def test_embedded_passages_are_removed_whole(spark):
             want[i] = len(near[i])
     got = {r.doc_id: r.n_removed for r in P.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and sum(n > 0 for n in want.values()) == 140
+
+
+def test_short_lines_and_blocks(spark):
+    """Lines under 20 words (near copies from five words on, equal ones below)
+    and hard-wrapped blocks, none of which holds a repeated 20-word passage."""
+    rnd = random.Random(15)
+    line = text(rnd, 19)
+    edited = line.rsplit(" ", 1)[0] + " edit"                     # 14 of 16 shingles
+    short = text(rnd, 3)
+    words_ = text(rnd, 120).split()
+    wrapped = "\n".join(" ".join(words_[k:k + 12]) for k in range(0, 120, 12))
+    changed = words_[:8] + ["one"] + words_[9:]
+    other = "\n".join(" ".join(changed[k:k + 17]) for k in range(0, 120, 17))    # 110 of 120 shingles, wrapped anew
+    title, long = text(rnd, 2), text(rnd, 60)
+    rows = [(0, f"{text(rnd, 15)}\n\n{line}\n\n{text(rnd, 15)}"), (1, f"{text(rnd, 15)}\n\n{edited}\n\n{text(rnd, 15)}"),
+            (2, f"{short}\n\n{text(rnd, 15)}"), (3, f"{text(rnd, 15)}\n\n{short.upper()}"), (4, f"{text(rnd, 15)}\n\n{wrapped}\n\n{text(rnd, 15)}"),
+            (5, f"{text(rnd, 15)}\n\n{other}\n\n{text(rnd, 15)}"), (6, f"{title}\n{long}")]    # a block like the line inside it
+    got = {r.doc_id: r for r in P.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == {0: 0, 1: len(edited), 2: 0, 3: len(short), 4: 0, 5: len(other), 6: 0}
+    assert [got[i].kept_in for i in (1, 3, 5)] == [[0], [2], [4]]
