@@ -126,9 +126,9 @@ class BacktestConfig:
 @dataclass(frozen=True)
 class ModelConfig:
     """Spark ML stand-in for the published boosting settings.  ``max_iter`` is
-    one setting for the job and the driver queries alike; it is far below the
+    one setting for the job and the driver queries alike; it is below the
     published 800 rounds because each boosting round is a distributed job."""
-    max_iter: int = 5
+    max_iter: int = 50
     step_size: float = MODEL_PARAMS["learning_rate"]
     max_depth: int = MODEL_PARAMS["max_depth"]
     min_instances_per_node: int = MODEL_PARAMS["min_child_samples"]
