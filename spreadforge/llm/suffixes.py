@@ -1,25 +1,27 @@
 """Exact substring dedup: every byte covered by a string of ``LENGTH`` bytes
 that also starts somewhere else.
 
-The method is the difference-cover suffix sort, bounded to the first ``LENGTH``
-bytes of each suffix, which is all that equal strings need:
+The method follows the difference-cover suffix sort, bounded to the first
+``LENGTH`` bytes of each suffix, which is all that equal strings need, but its
+sort is replaced: positions are sampled by content and repeats are found by
+grouped counts of hashed names.  No suffix array and no ranks are made:
 
 * names: a prefix of 3 bytes is its packed triple; a prefix of 9, 27, 81, ...
   bytes is named by the triple of names of its thirds (two 64-bit seeds where
   a name decides, so 128 bits); any other length by three overlapping names.
-* cover: as in the difference-cover method only sampled suffixes are sorted
+* cover: as in the difference-cover method only sampled suffixes are looked at
   first, and any two equal strings hold a sampled suffix at the same place.
   Fixed residues (2 of 3 positions) would shuffle 0.67 rows per byte; the cover
   here is chosen by content (the first smallest name among the first positions
-  of each string), about one position in 60 bytes, named by 81 bytes.  Sampled names are sorted,
-  and suffixes whose name has no equal neighbour are done.
+  of each string), about one position in 60 bytes, named by 81 bytes.  Sampled names are
+  counted, and suffixes whose name occurs once are done.
 * recursion on longer names: the starts that share a sampled position are taken
   in aligned stretches of ``STRETCH``.  A stretch whose core (the bytes common
   to all its strings) has no equal is done; one whose whole extent (all its
   strings) has an equal is removed as a whole.
 * merge of the remaining suffixes: stretches that share a core but differ in
   extent are resolved start by start by the names of all their
-  ``LENGTH``-byte prefixes; equal neighbours are repeats.  Equal extents are
+  ``LENGTH``-byte prefixes; equal names are repeats.  Equal extents are
   one entry, so copies are not expanded.
 
 Every step is a grouped count with map-side merging and a join on the name, so
