@@ -4,9 +4,10 @@ Each function applies its operator with production parameters to the whole
 table; the SQL computes the same rows in DuckDB where SQL can express them."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from spreadforge.llm import decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, suffixes, urls
+from spreadforge.llm import bpe, decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, suffixes, urls
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -183,3 +184,10 @@ def op5(spark, sf_dir):
 def op8(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return urls.judge(pages, urls.labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
+# ---------------------------------------------------------------- op13
+
+@query("op13_bpe")
+def op13(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
