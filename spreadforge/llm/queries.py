@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spreadforge.llm import bpe, decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, suffixes, urls
+from spreadforge.llm import bpe, decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, spelling, suffixes, urls
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -191,3 +191,10 @@ def op8(spark, sf_dir):
 @query("op13_bpe")
 def op13(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# ---------------------------------------------------------------- op12
+
+@query("op12_spelling")
+def op12(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
