@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spreadforge.llm import bpe, decontaminate, fingerprint, lines, mix, paragraphs, quality, secrets, simhash, spelling, suffixes, urls
+from spreadforge.llm import bpe, decontaminate, fingerprint, lines, mix, paragraphs, quality, ranked, secrets, simhash, spelling, suffixes, urls
 from spreadforge.llm.tables import table
 
 QUERIES: dict = {}
@@ -198,3 +198,30 @@ def op13(spark, sf_dir):
 @query("op12_spelling")
 def op12(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op11
+
+SQL_RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT CAST(count(*) FILTER (WHERE len(t) > 0) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT rid, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, g WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, text, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), g GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+@query("op11_ranked", SQL_RANKED)
+def op11(spark, sf_dir):
+    return ranked.ranking(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
