@@ -158,21 +158,21 @@ def report(docs: DataFrame) -> DataFrame:
     """Per document row: ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``."""
     key = row_id("doc_id", "text")
-    d = docs.select("doc_id", key["a"].alias("a"), key["b"].alias("b"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # one fingerprint per text; without the text the table is small
-    own = materialize(d.select("doc_id", "a", "b", F.length("text").alias("n"), fingerprint(F.col("text")).alias("fp")))
-    known = d.where("doc_id is not null")
+    own = materialize(d.select("doc_id", key["a"].alias("a"), key["b"].alias("b"), F.length("text").alias("n"), fingerprint(F.col("text")).alias("fp")))
     # how much each document takes of the next one's text: one row per id
     need = own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.col("n") / 4).cast("int")).alias("need"))
     want = materialize(successors(own).join(shuffled(need), "doc_id").select(F.col("doc_id").alias("before"), "next_id", "need"))
-    # both joins take the texts dealt out by id, so these are shuffled once
+    # both joins take the same two columns of the texts, dealt out by id: one exchange, read twice
+    known = d.where("doc_id is not null")
     donor = known.join(shuffled(want), F.col("doc_id") == F.col("next_id")).select(
         "before", "next_id", F.substring("text", F.lit(1), F.col("need")).alias("head"))
     donor = donor.groupBy("before").agg(F.min("head").alias("head"), F.first("next_id").alias("next_id"))
-    both = known.join(shuffled(donor), F.col("doc_id") == F.col("before")).select("doc_id", "a", "b", "text", "head", "next_id")
-    alone = d.where("doc_id is null").select("doc_id", "a", "b", "text", F.col("text").alias("head"), F.lit(None).cast("bigint").alias("next_id"))
+    both = known.join(shuffled(donor), F.col("doc_id") == F.col("before")).select("doc_id", "text", "head", "next_id")
+    alone = d.where("doc_id is null").select("doc_id", "text", F.col("text").alias("head"), F.lit(None).cast("bigint").alias("next_id"))
     edit = edited(F.col("text"), F.substring("head", F.lit(1), F.floor(F.length("text") / 4).cast("int")))
-    both = both.unionByName(alone).select("doc_id", "a", "b", "next_id", F.length("text").cast("bigint").alias("n_chars"), edit.alias("edit"))
+    both = both.unionByName(alone).select("doc_id", key["a"].alias("a"), key["b"].alias("b"), "next_id", F.length("text").cast("bigint").alias("n_chars"), edit.alias("edit"))
     both = both.select("doc_id", "a", "b", "next_id", "n_chars", F.sha2("edit", 256).alias("edited_sha256"),
                        fingerprint(F.col("edit")).alias("edited_fingerprint"))
     mine = own.groupBy("a", "b").agg(F.first("fp").alias("fingerprint"))
