@@ -125,19 +125,22 @@ class BacktestConfig:
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Spark ML stand-in for the published boosting settings.  ``max_iter`` is
-    one setting for the job and the driver queries alike; it is below the
-    published 800 rounds because each boosting round is a distributed job."""
+    """Boosting as published, but for the rounds: ``max_iter`` is one setting
+    for the job and the driver queries alike, below the published 800 because a
+    round is ``max_depth`` distributed jobs.  Published row sampling takes no
+    effect without a sampling frequency, so there is none."""
     max_iter: int = 50
     step_size: float = MODEL_PARAMS["learning_rate"]
     max_depth: int = MODEL_PARAMS["max_depth"]
+    leaves: int = MODEL_PARAMS["num_leaves"]
     min_instances_per_node: int = MODEL_PARAMS["min_child_samples"]
-    subsampling_rate: float = MODEL_PARAMS["subsample"]
-    feature_subset: str = str(MODEL_PARAMS["colsample_bytree"])
+    column_share: float = MODEL_PARAMS["colsample_bytree"]
+    l1: float = MODEL_PARAMS["reg_alpha"]
+    l2: float = MODEL_PARAMS["reg_lambda"]
+    bins: int = 64
     seed: int = RANDOM_STATE
     test_fraction: float = TEST_FRACTION
     cv_splits: int = CV_SPLITS
-    parallelism: int = 4
     burn_in: int = LAG_BURNIN
     min_rows: int = MIN_SPREAD_ROWS
 

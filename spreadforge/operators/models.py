@@ -1,30 +1,26 @@
-"""Model stage on Spark ML: M1-M8, A29.
-
-Per transition: feature names by token rule (P23) -> usable rows (F5-F7) ->
-temporal split (W9) -> exact medians of the training rows (M1) -> assembler
-(M3) + standard scaler (M2) -> GBT classifier (M4) and regressor (M5) ->
-scored test rows (M6).  The driver only loops over <= 7 transitions and holds
-model parameters (medians, trees); all data work is distributed.
+"""Model stage: M1-M8, A29.
+
+Feature names by token rule (P23) -> usable rows (F5-F7) -> temporal split (W9)
+and walk-forward folds (W10) -> exact medians of each model's own training rows
+(M1) -> boosted trees (M4, M5; ``operators/boost.py``) -> scored test rows (M6).
+Every transition, target and fold is one model of one pool that is fitted together
+(M7, M8).  Trees only compare values, so the published scaling step (M2) changes
+nothing in them and is not run here.  The driver holds model parameters (medians,
+cuts, trees) and the first and last index of each part.
 """
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadforge.config import TRANSITIONS, ModelConfig, TransitionSpec
 from spreadforge.functions.scalar import col
 from spreadforge.functions.selection import build_xcols
+from spreadforge.operators import boost as BO
 from spreadforge.operators import dataset as DS
 from spreadforge.operators import metrics as MT
 from spreadforge.operators.quantiles import exact_percentiles
@@ -46,57 +42,106 @@ def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(col(c).cast("double"), F.lit(float(v))) for c, v in medians.items()})
 
 
-def _stages(features: list[str], cfg: ModelConfig, kind: str):
-    asm = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="keep")
-    scl = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True)
-    common = dict(featuresCol="__x", maxIter=cfg.max_iter, stepSize=cfg.step_size, maxDepth=cfg.max_depth,
-                  minInstancesPerNode=cfg.min_instances_per_node, subsamplingRate=cfg.subsampling_rate,
-                  featureSubsetStrategy=cfg.feature_subset, seed=cfg.seed, checkpointInterval=10)
-    if kind == "clf":
-        est = GBTClassifier(labelCol="__label", predictionCol="__cls", **common)
-        est.setProbabilityCol("__prob").setRawPredictionCol("__rawp")
-    else:
-        est = GBTRegressor(labelCol="y_mag", predictionCol="pred_mag", **common)
-    return [asm, scl, est]
-
-
 @dataclass
 class FittedTransition:
     spec: TransitionSpec
     features: list[str]
-    medians: dict[str, float]
-    clf: PipelineModel
-    reg: PipelineModel | None
+    columns: list[str]
+    clf: BO.Model
+    reg: BO.Model | None
     scored: DataFrame
+    #: mean training losses of the classifier (log loss) and the regressor (squared), and those of constants
+    losses: dict[str, float]
+
+
+@dataclass
+class Study:
+    """Fitted transitions, and the folds' accuracies (``transition, fold,
+    n_test, accuracy``; None if no folds were asked for)."""
+    fits: list[FittedTransition]
+    folds: DataFrame | None
 
 
-def fit_transition(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = ModelConfig(),
-                   strict_gate: bool = False, regressor: bool = True) -> FittedTransition:
-    """Fit and score one transition on the engineered table ``wide`` (with ``idx``);
-    ``regressor=False`` fits the direction classifier only (``pred_mag`` NULL)."""
-    horizon = spec.name.split("→")[0] if strict_gate else None
-    xcols = build_xcols(wide.columns, spec.tokens, spec.always, strict_gate_horizon=horizon)
-    ds = wide.where(DS.usable_target(spec.spread, spec.window, "idx", cfg.burn_in)).select(
-        "idx", "ts", F.lit(spec.name).alias(KEY), F.signum(col(spec.spread)).cast("int").alias("y_dir"),
-        col(spec.spread).cast("double").alias("y_mag"), *[col(c) for c in xcols])
-    ds = DS.temporal_split(ds, cfg.test_fraction).withColumn("__label", (F.col("y_dir") == 1).cast("double"))
-    # medians, scaler and both boosters read the same rows: keep them once
-    ds = ds.persist(StorageLevel.MEMORY_AND_DISK)
-    train, test = ds.where("split = 'train'"), ds.where("split = 'test'")
-    meds = column_medians(train, xcols)
-    feats = [c for c in xcols if c in meds]
-    train_i, test_i = impute(train, meds), impute(test, meds)
-    clf = Pipeline(stages=_stages(feats, cfg, "clf")).fit(train_i)
-    reg = Pipeline(stages=_stages(feats, cfg, "reg")).fit(train_i) if regressor else None
-    sc = clf.transform(test_i).select("idx", "ts", KEY, "y_dir", "y_mag",
-                                      vector_to_array("__prob")[1].alias("p_up"),
-                                      F.when(F.col("__cls") == 1.0, 1).otherwise(-1).alias("pred"), *feats)
-    sc = reg.transform(sc) if reg is not None else sc.withColumn("pred_mag", F.lit(None).cast("double"))
-    sc = sc.select("idx", "ts", KEY, F.col("y_mag").alias("spread"), F.col("y_dir").alias("y"),
-                   "pred", "p_up", "pred_mag", F.col("y_mag"))
-    sc = materialize(sc)          # test rows only; releases the training cache
-    ds.unpersist()
-    return FittedTransition(spec, feats, meds, clf, reg, sc)
+def settings(cfg: ModelConfig) -> BO.Settings:
+    return BO.Settings(rounds=cfg.max_iter, rate=cfg.step_size, depth=cfg.max_depth, leaves=cfg.leaves,
+                       min_rows=cfg.min_instances_per_node, columns=cfg.column_share, l1=cfg.l1, l2=cfg.l2,
+                       bins=cfg.bins, seed=cfg.seed)
+
+
+def _parts(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig, split: bool, folds: bool) -> list[dict]:
+    """Training and test ranges of ``idx`` of every model's rows: a few per
+    transition.  Positions are numbered on a table without features."""
+    at = materialize(DS.add_positions(DS.long_dataset(wide, specs, burn_in=cfg.burn_in)).select(KEY, "idx", "rn0", "n"))
+    size = {r[KEY]: r["n"] for r in at.groupBy(KEY).agg(F.max("n").alias("n")).collect()}
+    parts = []
+    for spec in specs:
+        n = size.get(spec.name, 0)
+        if split and n:
+            parts.append({"spec": spec, "fold": None, "first": int(n * (1 - cfg.test_fraction)), "end": n})
+        m = n // (cfg.cv_splits + 1)
+        parts += [{"spec": spec, "fold": k, "first": n - (cfg.cv_splits - k) * m, "end": n - (cfg.cv_splits - k - 1) * m}
+                  for k in range(cfg.cv_splits) if folds and m]
+    wanted = F.lit(False)
+    for p in parts:
+        wanted = wanted | ((F.col(KEY) == p["spec"].name) & F.col("rn0").isin(p["first"], p["end"] - 1))
+    index = {(r[KEY], r["rn0"]): r["idx"] for r in at.where(wanted).select(KEY, "rn0", "idx").collect()}
+    for p in parts:
+        p["from"], p["to"] = index[p["spec"].name, p["first"]], index[p["spec"].name, p["end"] - 1]
+    return parts
+
+
+def fit_all(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig = ModelConfig(), strict_gate: bool = False,
+            split: bool = True, regressor: bool = True, folds: bool = False) -> Study:
+    """M1, M4-M8 on the engineered table ``wide`` (with ``idx``): the models of
+    the temporal split and of the walk-forward folds, in one pool."""
+    names = {t.name: build_xcols(wide.columns, t.tokens, t.always, strict_gate_horizon=t.name.split("→")[0] if strict_gate else None) for t in specs}
+    columns = [c for c in wide.columns if any(c in x for x in names.values())]
+    parts = _parts(wide, specs, cfg, split, folds)
+    idx = F.col("idx")
+
+    def member(g, p):
+        spread = col(p["spec"].spread).cast("double")
+        here = DS.usable_target(p["spec"].spread, p["spec"].window, "idx", cfg.burn_in) & (idx <= p["to"])
+        return F.when(here, F.struct(F.lit(g).alias("group"), (idx < p["from"]).alias("train"), (spread > 0).cast("double").alias("y"), spread.alias("size")))
+
+    each = F.explode(F.filter(F.array(*[member(g, p) for g, p in enumerate(parts)]), lambda e: e.isNotNull()))
+    x = F.array(*[col(c).cast("double") for c in columns]).alias("x")
+    rows = wide.select("idx", "ts", x, each.alias("e")).select("idx", "ts", "x", "e.group", "e.train", "e.y", "e.size")
+    width = max(2, int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # by group, large ones over several partitions: a task meets few models, and holds few sums
+    dealt = BO.binned_rows(rows, len(columns), cfg.bins).repartitionByRange(width, "group", "idx")
+    binned = materialize(dealt)
+    models = []
+    for g, p in enumerate(parts):
+        allowed = [k for k, c in enumerate(columns) if c in names[p["spec"].name]]
+        models.append(BO.Model(g, "up", allowed))
+        if p["fold"] is None and regressor:
+            models.append(BO.Model(g, "size", allowed))
+    if not models:
+        return Study([], None)
+    state = BO.fit(binned, models, settings(cfg))
+    every = BO.predictions(state, models)
+    told = materialize(every.where("NOT train"))
+    p, share = F.col("up"), F.avg("y")
+    loss = {r["group"]: r for r in every.where("train").groupBy("group").agg(
+        F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log1p(-p))).alias("log_loss"),
+        (-share * F.log(share) - (1 - share) * F.log1p(-share)).alias("log_loss_of_share"),
+        F.avg(F.pow(F.col("value") - F.col("size"), F.lit(2.0))).alias("squared"), F.var_pop("size").alias("squared_of_mean")).collect()}
+    state.unpersist()
+    by = {(m.group, m.target): m for m in models}
+    up = F.when(F.col("up") > 0.5, 1).otherwise(-1)
+    fits = []
+    for g, p in enumerate(parts):
+        if p["fold"] is None:
+            scored = told.where(F.col("group") == g).select(
+                "idx", "ts", F.lit(p["spec"].name).alias(KEY), F.col("size").alias("spread"), F.signum("size").cast("int").alias("y"),
+                up.alias("pred"), F.col("up").alias("p_up"), F.col("value").alias("pred_mag"), F.col("size").alias("y_mag"))
+            fits.append(FittedTransition(p["spec"], names[p["spec"].name], columns, by[g, "up"], by.get((g, "size")), scored,
+                                         {k: v for k, v in loss[g].asDict().items() if k != "group"}))
+    name = F.coalesce(*[F.when(F.col("group") == g, F.struct(F.lit(p["spec"].name).alias(KEY), F.lit(p["fold"]).cast("int").alias("fold"))) for g, p in enumerate(parts)])
+    hit = (up == F.signum("size").cast("int")).cast("double")
+    table = told.groupBy("group").agg(F.count(F.lit(1)).alias("n_test"), F.avg(hit).alias("accuracy")).select(name.alias("p"), "n_test", "accuracy")
+    return Study(fits, materialize(table.where("p.fold IS NOT NULL").select(f"p.{KEY}", "p.fold", "n_test", "accuracy")) if folds else None)
 
 
 def usable_transitions(wide: DataFrame, names: Sequence[str] | None = None, min_rows: int = 500):
@@ -107,11 +152,8 @@ def usable_transitions(wide: DataFrame, names: Sequence[str] | None = None, min_
 
 def run_models(wide: DataFrame, cfg: ModelConfig = ModelConfig(), names: Sequence[str] | None = None,
                strict_gate: bool = False, regressor: bool = True) -> list[FittedTransition]:
-    """M7: fit every usable transition, a few at a time (each fit is a chain of
-    small jobs that leave executors idle)."""
-    specs = usable_transitions(wide, names, cfg.min_rows)
-    with ThreadPoolExecutor(cfg.parallelism) as pool:
-        return list(pool.map(lambda t: fit_transition(wide, t, cfg, strict_gate, regressor), specs))
+    """M7: every usable transition fitted and scored, without folds."""
+    return fit_all(wide, usable_transitions(wide, names, cfg.min_rows), cfg, strict_gate, regressor=regressor).fits
 
 
 def scored_union(fits: Sequence[FittedTransition]) -> DataFrame:
@@ -121,52 +163,20 @@ def scored_union(fits: Sequence[FittedTransition]) -> DataFrame:
     return out
 
 
-def walk_forward_cv(wide: DataFrame, spec: TransitionSpec, cfg: ModelConfig = ModelConfig()) -> DataFrame:
-    """M8: expanding folds over all usable rows, preprocessing refitted per
-    fold; one row per fold: sizes of its parts and its accuracy."""
-    xcols = build_xcols(wide.columns, spec.tokens, spec.always)
-    ds = wide.where(DS.usable_target(spec.spread, spec.window, "idx", cfg.burn_in)).select(
-        "idx", F.lit(spec.name).alias(KEY), F.signum(col(spec.spread)).cast("int").alias("y_dir"),
-        col(spec.spread).cast("double").alias("y_mag"), *[col(c) for c in xcols])
-    ds = DS.add_positions(ds).withColumn("__label", (F.col("y_dir") == 1).cast("double"))
-    ds = ds.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def one(k):
-        role = DS.fold_role(F.lit(k), cfg.cv_splits)
-        tr, te = ds.where(role == "train"), ds.where(role == "test")
-        meds = column_medians(tr, xcols)
-        feats = [c for c in xcols if c in meds]
-        m = Pipeline(stages=_stages(feats, cfg, "clf")).fit(impute(tr, meds))
-        hit = (F.when(F.col("__cls") == 1.0, 1).otherwise(-1) == F.col("y_dir")).cast("double")
-        acc = m.transform(impute(te, meds)).agg(F.count(F.lit(1)).alias("n_test"), F.avg(hit).alias("accuracy"))
-        return materialize(acc.select(F.lit(spec.name).alias(KEY), F.lit(k).alias("fold"), "n_test", "accuracy"))
-
-    with ThreadPoolExecutor(cfg.parallelism) as pool:
-        rows = list(pool.map(one, range(cfg.cv_splits)))
-    ds.unpersist()
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
 def walk_forward_all(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig = ModelConfig()) -> DataFrame:
-    """M8 for every given transition."""
-    out = None
-    for spec in specs:
-        one = walk_forward_cv(wide, spec, cfg)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """M8: expanding folds over all usable rows of every transition, medians
+    and cuts of each fold's own training rows; one row per transition and fold."""
+    return fit_all(wide, specs, cfg, split=False, folds=True).folds
 
 
 def importances(spark: SparkSession, fits: Sequence[FittedTransition], top: int = 15) -> DataFrame:
-    """Classifier feature importances, top ``top`` per transition."""
+    """How often the classifier splits on a feature, as a share of its
+    splits; the ``top`` most frequent per transition."""
     rows = []
     for f in fits:
-        imp = np.asarray(f.clf.stages[-1].featureImportances.toArray())
-        order = np.argsort(-imp, kind="stable")[:top]
-        for rank, i in enumerate(order, start=1):
-            rows.append((f.spec.name, f.features[int(i)], float(imp[int(i)]), rank))
+        used = f.clf.split_counts(len(f.columns))
+        order = sorted((k for k, c in enumerate(f.columns) if c in f.features), key=lambda k: (-used[k], k))[:top]
+        rows += [(f.spec.name, f.columns[k], float(used[k] / max(used.sum(), 1)), rank) for rank, k in enumerate(order, start=1)]
     return spark.createDataFrame(rows, f"{KEY} string, feature string, importance double, rank int")
 
 

@@ -1113,15 +1113,20 @@ _GUARD = [("guard", " UNION ALL ".join(f"SELECT '{t.name}' AS transition, count(
 
 
 @register("fit_score", with_ctes(panel_ctes() + _ds_sql() + _GUARD, final(
-    "SELECT transition, idx, ts, y_mag AS spread, TRUE AS p_ok, TRUE AS pred_ok, TRUE AS mag_ok FROM live WHERE split = 'test'",
-    dbl=["spread"], ints=["idx"], rest=["transition", "ts", "p_ok", "pred_ok", "mag_ok"])))
+    "SELECT transition, idx, ts, y_mag AS spread, TRUE AS p_ok, TRUE AS pred_ok, TRUE AS mag_ok, TRUE AS learned "
+    "FROM live WHERE split = 'test'",
+    dbl=["spread"], ints=["idx"], rest=["transition", "ts", "p_ok", "pred_ok", "mag_ok", "learned"])))
 def q_fit_score(spark, d):
-    """Every test row scored: a probability, the class it implies, a magnitude."""
+    """Every test row scored: a probability, the class it implies, a magnitude;
+    ``learned``: both training losses are below nine tenths of those of constants."""
     fits = MD.run_models(_wide_ckpt(spark, d), QUERY_MODEL)
     p = F.col("p_up")
+    good = [f.spec.name for f in fits if f.losses["log_loss"] < 0.9 * f.losses["log_loss_of_share"]
+            and f.losses["squared"] < 0.9 * f.losses["squared_of_mean"]]
     return finalize(MD.scored_union(fits).select(
         "transition", "idx", "ts", "spread", ((p >= 0) & (p <= 1)).alias("p_ok"),
-        ((p == 0.5) | ((p > 0.5) == (F.col("pred") == 1))).alias("pred_ok"), (F.abs("pred_mag") < 1e9).alias("mag_ok")))
+        ((p == 0.5) | ((p > 0.5) == (F.col("pred") == 1))).alias("pred_ok"), (F.abs("pred_mag") < 1e9).alias("mag_ok"),
+        F.col("transition").isin(good).alias("learned")))
 
 
 @register("walk_forward_cv", with_ctes(panel_ctes() + _ds_sql() + _GUARD + [("fo", " UNION ALL ".join(

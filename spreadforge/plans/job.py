@@ -32,9 +32,10 @@ def run(spark: SparkSession, raw: DataFrame | str, out_dir: str | None = None,
     if isinstance(raw, str):
         raw = load_market_data(spark, raw)
     wide = materialize(build_features(raw))
-    fits = M.run_models(wide, cfg.model, names=cfg.transitions, strict_gate=cfg.strict_gate)
-    scored = materialize(M.scored_union(fits))
-    cv = MT.cv_summary(M.walk_forward_all(wide, [f.spec for f in fits], cfg.model))
+    specs = M.usable_transitions(wide, cfg.transitions, cfg.model.min_rows)
+    study = M.fit_all(wide, specs, cfg.model, cfg.strict_gate, folds=True)
+    fits, scored = study.fits, M.scored_union(study.fits)
+    cv = MT.cv_summary(study.folds)
     perf = materialize(M.model_performance(fits, scored, cv))
     metrics = perf.select("transition", BT.F.bround("test_accuracy", 4).alias("test_accuracy"),
                           BT.F.bround("roc_auc", 4).alias("roc_auc"), BT.F.bround("cv_accuracy", 4).alias("cv_accuracy"),
