@@ -62,3 +62,27 @@ def test_battery_accepts_uniform_and_rejects_repetition(spark):
     got = secrets._with_battery(df).collect()
     assert sum(r.p < 0.05 for r in got if r.kind == "u") < 25
     assert all(r.p < 0.01 for r in got if r.kind == "r")
+
+
+def test_planted_keys_of_every_encoding(spark):
+    """Keys of 40 characters planted in the given documents, letters alone and
+    behind paths too, are found to nine tenths; what else is reported stays a
+    small share; a very long token costs no more than its length."""
+    rnd = random.Random(11)
+    kinds = {"HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+             "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "path": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    planted = {}
+    for n, kind in enumerate(k for k in kinds for _ in range(40)):
+        key, (doc_id, text) = "".join(rnd.choice(kinds[kind]) for _ in range(40)), docs[n]
+        mark = f" /my_bucket/{key} " if kind == "path" else f" ({key}) "
+        docs[n] = doc_id, text + mark
+        planted[doc_id, len(text) + mark.index(key)] = kind
+    docs.append((10**9, "ab" * 50_000 + " " + "x7Q" * 40_000))
+    got = secrets.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = [(r.doc_id, int(s.split(":")[1]), int(s.split(":")[2])) for r in got for s in r.spans.split(",") if s.startswith("random:")]
+    caught = {p for p in planted if any(d == p[0] and a <= p[1] and p[1] + 40 <= b for d, a, b in found)}
+    share = {k: sum(planted[p] == k for p in caught) / 40 for k in kinds}
+    assert all(v >= 0.85 for v in share.values()) and len(caught) >= 0.9 * len(planted), share
+    false = [f for f in found if not any(f[0] == p[0] and f[1] <= p[1] < f[2] for p in planted)]
+    assert len(false) <= 0.1 * len(found)
