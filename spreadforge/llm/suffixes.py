@@ -80,10 +80,15 @@ def _name(names: np.ndarray, q: int, at: np.ndarray, size: int | np.ndarray) ->
                  + names[at + size - q] + size.astype(np.uint64))
 
 
+def cover_power(length: int) -> int:
+    return _power(max(3, length * 9 // 20))
+
+
 def cover(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Sampled positions of a run of texts: ``(text, position, first start,
-    last start, name)``; the starts are those whose string chose it."""
-    q = _power(max(3, length * 9 // 20))
+    last start, all names)``; the starts are those whose string chose it, the
+    names (of ``cover_power(length)`` bytes) those of every position."""
+    q = cover_power(length)
     width = length - q + 1
     empty = np.empty(0, np.int64)
     if len(data) < length:
@@ -96,10 +101,10 @@ def cover(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     ok = start + length <= off[text + 1]
     start, text, low = start[ok], text[ok], low[ok].astype(np.int64)
     if len(start) == 0:
-        return empty, empty, empty, empty, np.empty(0, np.uint64)
+        return empty, empty, empty, empty, names
     head = np.concatenate([[0], np.flatnonzero((low[1:] != low[:-1]) | (text[1:] != text[:-1])) + 1])
     tail = np.concatenate([head[1:] - 1, [len(start) - 1]])
-    return text[head], low[head], start[head], start[tail], names[low[head]]
+    return text[head], low[head], start[head], start[tail], names
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -110,9 +115,9 @@ def _samples(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for first, end, data, off in B.chunks(batch.column(2)):
-                text, at, _, _, name = cover(data, off, length)
+                text, at, _, _, names = cover(data, off, length)
                 row = pa.array(first + text)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row),
+                yield pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row),
                                                   pa.array((at - off[text]).astype(np.int32))], names=["name", "d", "r", "at"])
 
     return _keyed(docs).mapInArrow(run, "name bigint, d bigint, r bigint, at int")
@@ -134,7 +139,7 @@ def _stretches(texts: DataFrame, length: int, stretch: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for first, end, data, off in B.chunks(batch.column(2)):
-                text, at, lo, hi, _ = cover(data, off, length)
+                text, at, lo, hi, names = cover(data, off, length)
                 hits = batch.column(3).slice(first, end - first)
                 h_text = np.repeat(np.arange(end - first), np.diff(hits.offsets.to_numpy()[:end - first + 1]))
                 h_at = hits.flatten().to_numpy() + off[h_text]
@@ -149,7 +154,8 @@ def _stretches(texts: DataFrame, length: int, stretch: int) -> DataFrame:
                 a = at[row]
                 top = a - k * stretch                                    # the last start of the aligned stretch
                 s_lo, s_hi = np.maximum(lo[row], top - stretch + 1), np.minimum(hi[row], top)
-                one, two = (triple_names(data, q, s) for s in _SEEDS)
+                one = names if q == cover_power(length) else triple_names(data, q, _SEEDS[0])
+                two = triple_names(data, q, _SEEDS[1])
                 core = _name(one, q, top, length - stretch + 1)
                 size = s_hi - s_lo + length
                 t = pa.array(first + text[row])
@@ -246,26 +252,31 @@ def _cut(docs: DataFrame, rows: DataFrame, spans: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            size, gone, count, kept, merged = [], [], [], [], []
-            for text, found in zip(batch.column(text_at), batch.column(n_cols)):
+            found = batch.column(n_cols)
+            offsets, (los, his) = found.offsets.to_numpy(), (c.to_numpy() for c in found.values.flatten())
+            size, gone, count, kept, starts, ends = [], [], [], [], [], []
+            for k, text in enumerate(batch.column(text_at)):
                 data = (text.as_py() or "").encode()
-                out, parts, pos = [], [], 0
-                if found.is_valid:
-                    for lo, hi in sorted((x["lo"], x["hi"]) for x in found.as_py()):
-                        if out and lo <= out[-1]["hi"]:
-                            out[-1]["hi"] = max(hi, out[-1]["hi"])
-                        else:
-                            out.append({"lo": lo, "hi": hi})
-                for x in out:
-                    parts.append(data[pos:x["lo"]])
-                    pos = x["hi"]
-                parts.append(data[pos:])
+                a, b = offsets[k], offsets[k + 1]
+                lo, hi = los[a:b], his[a:b]
+                if b > a:
+                    order = np.argsort(lo, kind="stable")
+                    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+                    first = np.flatnonzero(np.r_[True, lo[1:] > reach[:-1]])       # what touches is one run
+                    lo, hi = lo[first], reach[np.r_[first[1:] - 1, len(reach) - 1]]
+                    edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(data)]
+                    kept.append(b"".join([data[x:y] for x, y in zip(edges[::2], edges[1::2])]))
+                else:
+                    kept.append(data)
                 size.append(len(data))
-                gone.append(sum(x["hi"] - x["lo"] for x in out))
-                count.append(len(out))
-                kept.append(b"".join(parts))
-                merged.append(out)
-            more = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(merged, kind)]
+                gone.append(int((hi - lo).sum()))
+                count.append(len(lo))
+                starts.append(lo)
+                ends.append(hi)
+            at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int32()) for x in (starts, ends)], fields=list(kind.value_type))
+            merged = pa.ListArray.from_arrays(at, flat)
+            more = [pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), merged]
             yield pa.RecordBatch.from_arrays(batch.columns[:n_cols] + more, names=batch.schema.names[:n_cols] + names)
 
     schema = rows.select(*docs.columns).schema
