@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadforge.functions.scalar import col
-from spreadforge.operators.quantiles import _join
+from spreadforge.operators.quantiles import _join, attach
 
 DEFAULT_CHUNK = 20_000
 
@@ -199,13 +199,44 @@ def halo_rolling(df: DataFrame, idx: str, lags: dict[str, tuple[str, int]],
     return out.where(F.col("__chunk") == F.col("__home")).drop("__home", "__chunk", *helpers)
 
 
+def _starts(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
+    """Rows that have a time, with the first time of their series (``__lo``)."""
+    d = df.where(col(ts).isNotNull())
+    return attach(d, d.groupBy(*by).agg(F.min(col(ts)).alias("__lo")), by)
+
+
+def missing_slots(df: DataFrame, ts: str = "ts", by=None, step_minutes: int = 30, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Columns ``by`` and ``ts``: the slots of every series' calendar (first
+    time plus multiples of the step, up to the last time) that have no row.
+
+    Gaps, not calendars: each time is compared with the one before it, inside
+    chunks of ``chunk`` slots and, for the first time of a chunk, with the last
+    one of the chunk before; a gap emits only its own slots, ``chunk`` at a time."""
+    by = _by(by)
+    step = int(step_minutes) * 60_000_000
+    d = _starts(df, ts, by).select(*by, col(ts).alias(ts), "__lo").distinct()
+    d = d.withColumn("__at", F.expr(f"timestampdiff(MICROSECOND, __lo, `{ts}`)"))
+    d = d.withColumn("__c", F.floor(F.col("__at") / F.lit(step * chunk)))
+    inside = Window.partitionBy(*by, "__c").orderBy("__at")
+    last = d.groupBy(*by, "__c").agg(F.max("__at").alias("__end"))           # a row per chunk that has rows
+    across = Window.partitionBy(*by).orderBy("__c")
+    last = last.select(*by, "__c", F.lag("__end").over(across).alias("__end"))
+    d = _join(d.withColumn("__prev", F.lag("__at").over(inside)), last, [*by, "__c"])
+    prev = F.coalesce("__prev", "__end")
+    first, stop = F.floor(prev / F.lit(step)) + 1, F.ceil(F.col("__at") / F.lit(step)) - 1
+    gaps = d.select(*by, "__lo", first.cast("bigint").alias("__a"), stop.cast("bigint").alias("__b")).where("__a <= __b")
+    gaps = gaps.withColumn("__k", F.explode(F.sequence("__a", "__b", F.lit(chunk).cast("bigint"))))
+    slot = F.explode(F.sequence("__k", F.least(F.col("__k") + (chunk - 1), F.col("__b")))).alias("__k")
+    minutes = (F.col("__k") * int(step_minutes)).cast("int")
+    return gaps.select(*by, "__lo", slot).select(*by, (F.col("__lo") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias(ts))
+
+
 def regular_calendar(df: DataFrame, ts: str = "ts", by=None, step_minutes: int = 30) -> DataFrame:
-    """Left-join every series onto its complete ``step_minutes`` calendar
-    (min..max ``ts`` per series) so that position-based lags equal clock lags;
-    missing slots become all-NULL rows.  The calendar grows with the time span
-    of each series, not with the number of rows."""
+    """Every series on its complete ``step_minutes`` calendar (first to last
+    ``ts``), so that position-based lags equal clock lags: the rows on it, and an
+    all-NULL row for each missing slot.  No calendar is built or joined."""
     by = _by(by)
-    rng = df.groupBy(*by).agg(F.min(col(ts)).alias("__lo"), F.max(col(ts)).alias("__hi"))
-    cal = rng.select(*by, F.explode(F.sequence("__lo", "__hi", F.expr(f"INTERVAL {int(step_minutes)} MINUTES")))
-                     .alias(ts))
-    return cal.join(df, [*by, ts], "left")
+    on = F.expr(f"timestampdiff(MICROSECOND, __lo, `{ts}`)") % F.lit(int(step_minutes) * 60_000_000) == 0
+    rest = [c for c in df.columns if c not in (*by, ts)]
+    rows = _starts(df, ts, by).where(on).select(*by, ts, *[F.col(f"`{c}`") for c in rest])
+    return rows.unionByName(missing_slots(df, ts, by, step_minutes), allowMissingColumns=True)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from spreadforge.config import IDA2_WINDOW, IDA3_WINDOW, VALIDITY_EXCLUDE, VALIDITY_INCLUDE
 from spreadforge.functions.scalar import col
 from spreadforge.operators.clean import must_have_columns
-from spreadforge.operators.ordered import halo_windows, row_index
+from spreadforge.operators.ordered import halo_windows, missing_slots, row_index
 from spreadforge.operators.quantiles import exact_percentiles
 
 _NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.DecimalType)
@@ -164,14 +164,10 @@ def inf_count(df: DataFrame) -> DataFrame:
     return _long_counts(df, cols, {"n_inf": lambda c: F.count(F.when(F.abs(c) == F.lit(float("inf")), 1))})
 
 
-def missing_intervals(df: DataFrame, ts: str = "ts", step_minutes: int = 30) -> DataFrame:
-    """Expected half-hours between min and max ``ts`` that are absent.
-    The calendar grows with the time span, not with the data."""
-    rng = df.agg(F.min(col(ts)).alias("lo"), F.max(col(ts)).alias("hi"))
-    cal = rng.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {int(step_minutes)} MINUTES")))
-                     .alias("ts"))
-    observed = df.select(col(ts).alias("ts")).where(F.col("ts").isNotNull())
-    return cal.join(observed, "ts", "left_anti")
+def missing_intervals(df: DataFrame, ts: str = "ts", step_minutes: int = 30, by=None) -> DataFrame:
+    """Expected half-hours between min and max ``ts`` (of each series)
+    that are absent, from the gaps between neighbouring times."""
+    return missing_slots(df.withColumnRenamed(ts, "ts") if ts != "ts" else df, "ts", by, step_minutes)
 
 
 def order_check(df: DataFrame, ts: str, order: str) -> DataFrame:
