@@ -64,10 +64,13 @@ class Settings:
 @dataclass
 class Model:
     """``group``: whose rows it learns from; ``target``: ``up`` (a probability)
-    or ``size`` (a value); ``allowed``: the features it may use."""
+    or ``size`` (a value); ``allowed``: the features it may use; ``key``: what
+    its draws of features depend on beside the seed, so that they are the same
+    in any pool."""
     group: int
     target: str
     allowed: list[int]
+    key: int = 0
     start: float = 0.0
     trees: list[dict] = field(default_factory=list)
 
@@ -251,8 +254,8 @@ def fit(binned: DataFrame, models: list[Model], s: Settings = Settings()) -> Dat
     state = binned.withColumns({"up": F.lit(0.0), "value": F.lit(0.0)}).persist(StorageLevel.MEMORY_AND_DISK)
     kept = 0
     for r in range(s.rounds):
-        columns = [np.sort(np.random.default_rng([s.seed, r, k]).choice(m.allowed, max(1, round(s.columns * len(m.allowed))), replace=False))
-                   for k, m in enumerate(models)]
+        columns = [np.sort(np.random.default_rng([s.seed, r, m.key]).choice(m.allowed, max(1, round(s.columns * len(m.allowed))), replace=False))
+                   for m in models]
         growing, nodes = [_empty_tree(s.depth) for _ in models], [[1] for _ in models]
         splits: list[dict[int, tuple]] = [{} for _ in models]
         for _ in range(s.depth):

@@ -10,6 +10,7 @@ cuts, trees) and the first and last index of each part.
 """
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -114,9 +115,9 @@ def fit_all(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig =
     models = []
     for g, p in enumerate(parts):
         allowed = [k for k, c in enumerate(columns) if c in names[p["spec"].name]]
-        models.append(BO.Model(g, "up", allowed))
-        if p["fold"] is None and regressor:
-            models.append(BO.Model(g, "size", allowed))
+        for target in ("up", "size"):
+            if target == "up" or (p["fold"] is None and regressor):
+                models.append(BO.Model(g, target, allowed, zlib.crc32(f"{p['spec'].name}:{p['fold']}:{target}".encode())))
     if not models:
         return Study([], None)
     state = BO.fit(binned, models, settings(cfg))

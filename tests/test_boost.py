@@ -86,6 +86,19 @@ def test_pool_of_models_learns_every_round_and_equals_each_model_alone(spark):
         assert r.value == pytest.approx(size.start + B.apply_trees(size.trees, x)[0])
 
 
+def test_a_model_does_not_depend_on_its_pool(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(i, g, True, float(rnd.random() < 0.5 + 0.3 * np.sign(x[g])), 0.0, [float(v) for v in x])
+            for g in range(2) for i in range(200) for x in [rnd.normal(size=6)]]
+    binned, s = B.binned_rows(frame(spark, rows), 6, 8), B.Settings(rounds=3, min_rows=5, columns=0.5)
+    alone, pool = [B.Model(1, "up", list(range(6)), 77)], [B.Model(0, "up", list(range(6)), 5), B.Model(1, "up", list(range(6)), 77)]
+    B.fit(binned, alone, s)
+    B.fit(binned, pool, s)
+    for a, b in zip(alone[0].trees, pool[1].trees):
+        assert a["feature"].tolist() == b["feature"].tolist() and a["bin"].tolist() == b["bin"].tolist()
+        assert a["value"] == pytest.approx(b["value"])
+
+
 def test_bins_and_medians(spark):
     rows = [(i, 0, True, 0.0, 0.0, [float(i), None, float("nan") if i % 2 else 7.0]) for i in range(101)]
     rows += [(200, 0, False, 0.0, 0.0, [None, 1.0, None]), (201, 0, False, 0.0, 0.0, [-5.0, None, 8.0]), (202, 0, False, 0.0, 0.0, [1e9, None, 7.0])]
