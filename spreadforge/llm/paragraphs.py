@@ -13,9 +13,10 @@ non-ASCII bytes after lower-casing A-Z):
   pieces of ``PIECE`` words which begin at words that the surrounding words
   choose (minimizers over ``CHOICE`` positions): equal passages choose equal
   pieces, and every passage of ``PIECE + CHOICE - 1`` words (20) holds one.
-  ``CONTEXT`` words on both sides of a later piece are compared with those of
-  its first occurrence; neighbouring pieces are at most ``CHOICE`` words apart,
-  so the equal stretches found make up the maximal equal stretch.  Stretches of one first
+  Later pieces that follow each other as their first occurrences do, with the
+  same words between (a 64-bit hash), form a run; ``CONTEXT`` words before and
+  after a run are compared with those there; neighbouring pieces are at most
+  ``CHOICE`` words apart, so the equal stretches found make up the maximal equal stretch.  Stretches of one first
   document that follow each other in both texts join, with the words between,
   as long as the shingles they share give a Jaccard similarity of 0.8 or more.
   What then has ``MIN_WORDS`` words is removed as a whole.
@@ -40,14 +41,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadforge.llm import bytetext as B
 from spreadforge.llm.components import components
 from spreadforge.llm.decontaminate import tokens_at
-from spreadforge.llm.tables import fresh, materialize, row_id, shuffled
+from spreadforge.llm.tables import fresh, materialize, release, row_id, shuffled
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -121,10 +122,11 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
-    """``ca`` (content), ``doc_id, row, lo`` (byte) of every line or piece; for
-    lines also ``cb, hi, bands``."""
+    """``ca`` (content), ``doc_id, row`` of every line or piece; for lines also
+    the bytes ``lo, hi``, ``cb`` and ``bands``, for pieces the word ``at`` and
+    ``chain``, a hash of all words from the piece before to this one (0: none)."""
     piece, choice = opt.get("piece", PIECE), opt.get("choice", CHOICE)
-    schema = "ca bigint, doc_id bigint, row bigint, lo int" + (", cb bigint, hi int, bands array<bigint>" if kind == "line" else "")
+    schema = "ca bigint, doc_id bigint, row bigint, " + ("lo int, cb bigint, hi int, bands array<bigint>" if kind == "line" else "at int, chain bigint")
 
     def run(batches):
         for batch in batches:
@@ -137,24 +139,30 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
                 ca, cb = _content(p["h"], a, b, kind == "piece")
                 t = p["text"][a]
                 at = pa.array(first + t)
-                cols = [pa.array(ca), ids.take(at), rows.take(at), pa.array((p["start"][a] - off[t]).astype(np.int32))]
-                if kind == "line":
-                    cols += [pa.array(cb), pa.array((p["end"][b - 1] - off[t]).astype(np.int32))]
+                cols = [pa.array(ca), ids.take(at), rows.take(at)]
+                names = ["ca", "doc_id", "row", "at", "chain"]
+                if kind == "piece":
+                    before = np.concatenate([a[:1], a[:-1]])
+                    begun = np.concatenate([[False], t[1:] == t[:-1]])
+                    chain = B.sequence_hash(p["h"], np.where(begun, before, a), b, 0x165667B19E3779F9) | np.uint64(1)
+                    word = a - np.searchsorted(p["text"], t)
+                    cols += [pa.array(word.astype(np.int32)), pa.array(np.where(begun, chain, np.uint64(0)).view(np.int64))]
+                else:
+                    names = ["ca", "doc_id", "row", "lo", "cb", "hi", "bands"]
+                    cols += [pa.array((p["start"][a] - off[t]).astype(np.int32)), pa.array(cb), pa.array((p["end"][b - 1] - off[t]).astype(np.int32))]
                     near = b - a >= SHINGLE
                     bands = _bands(_shingles(p["h"], SHINGLE), a[near], b[near] - SHINGLE + 1, BANDS, ROWS)
                     cut = np.concatenate([[0], np.cumsum(near * BANDS)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(cut, pa.array(bands.ravel().view(np.int64))))
-                names = ["ca", "doc_id", "row", "lo", "cb", "hi", "bands"][:len(cols)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return _source(docs).mapInArrow(run, schema)
 
 
-def _line_sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``ca, cb`` and the sorted distinct shingle hashes of the contents of
-    ``lines``, each read from one of its texts."""
-    one = lines.groupBy("ca", "cb").agg(F.min(F.struct("row", "lo", "hi")).alias("f"))
-    wanted = one.groupBy("f.row").agg(F.collect_list(F.struct("ca", "cb", "f.lo", "f.hi")).alias("lines"))
+def _line_sets(docs: DataFrame, contents: DataFrame) -> DataFrame:
+    """``ca, cb`` and the sorted distinct shingle hashes of ``contents``, each
+    read from one of its texts (``f``)."""
+    wanted = contents.groupBy("f.row").agg(F.collect_list(F.struct("ca", "cb", "f.lo", "f.hi")).alias("lines"))
     texts = _source(docs).select("row", "text").join(shuffled(wanted), "row").dropDuplicates(["row"])
 
     def run(batches):
@@ -231,22 +239,29 @@ def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
 
 def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Links between the contents of similar lines."""
-    hit = lines.select(F.explode("bands").alias("band"), "ca")
-    shared = materialize(hit.groupBy("band").agg(F.min("ca").alias("x"), F.max("ca").alias("y")).where("x != y").select("band"))
-    member = materialize(hit.join(shuffled(shared), "band", "left_semi").distinct())
-    size = member.groupBy("band").count().withColumn("n", F.ceil(F.col("count") / block).cast("int")).select("band", "n")
-    own = F.pmod(F.col("ca"), F.col("n")).cast("int")
-    dealt = member.join(shuffled(size), "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    place = F.min(F.struct("row", "lo", "hi", "bands"))
+    contents = materialize(lines.where(F.size("bands") > 0).groupBy("ca", "cb").agg(place.alias("f")))
+    hit = contents.select(F.explode("f.bands").alias("band"), "ca", "cb")
+    # buckets of the same members are verified once
+    own = [F.bit_xor(F.xxhash64(F.lit(k), "ca", "cb")).alias(f"x{k}") for k in (1, 2)]
+    shared = hit.groupBy("band").agg(F.count("*").alias("count"), *own).where("count > 1")
+    shared = materialize(shared.groupBy("count", "x1", "x2").agg(F.min("band").alias("band"))
+                         .select("band", F.ceil(F.col("count") / block).cast("int").alias("n")))
+    member = materialize(hit.join(shuffled(shared), "band"))
+    mine = F.pmod(F.col("ca"), F.col("n")).cast("int")
+    dealt = member.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(F.when(F.col("n") == 1, F.col("band")).otherwise(
-        F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))).alias("g"), "ca")
-    wanted = member.select("ca").distinct()
-    known = lines.where(F.size("bands") > 0).select("ca", "cb", "row", "lo", "hi").join(shuffled(wanted), "ca", "left_semi")
-    sets = materialize(_line_sets(docs, known))
-    return _verified(dealt.join(shuffled(sets), "ca"), similarity)
+        F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))).alias("g"), "ca", "cb")
+    wanted = member.select("ca", "cb").distinct()
+    known = contents.select("ca", "cb", "f.row", "f.lo", "f.hi").select("ca", "cb", F.struct("row", "lo", "hi").alias("f"))
+    sets = materialize(_line_sets(docs, known.join(shuffled(wanted), ["ca", "cb"], "left_semi")))
+    links = materialize(_verified(dealt.join(shuffled(sets), ["ca", "cb"]), similarity))
+    release(contents, shared, member, sets)
+    return links
 
 
 def _at(*more: str):
-    return F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "lo", *more)
+    return F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", *more)
 
 
 def line_removals(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, **opt) -> DataFrame:
@@ -261,7 +276,7 @@ def line_removals(docs: DataFrame, similarity: float = SIMILARITY, block: int =
     every = lines.drop("bands").join(shuffled(root), ["ca", "cb"], "left").select(
         F.coalesce("ra", "ca").alias("ca"), F.coalesce("rb", "cb").alias("cb"), "doc_id", "row", "lo", "hi")
     # a table of its own: a join whose two sides are plain shuffles can split a hot paragraph
-    place = _at("hi")
+    place = _at("lo", "hi")
     first = materialize(every.groupBy("ca", "cb").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("ca", "cb", "f"))
     # a block and a line inside it may be alike
     return (every.join(shuffled(first), ["ca", "cb"]).where(~F.col("doc_id").eqNullSafe(F.col("f.doc_id")) | (F.col("row") != F.col("f.row")) | (F.col("lo") >= F.col("f.hi")))
@@ -282,25 +297,23 @@ def _surroundings(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _first_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """``ca, f`` with the word ``at`` which the first occurrence of the piece
-    begins and the ``words`` around it."""
-    wanted = first.groupBy(F.col("f.row").alias("row")).agg(F.collect_list(F.struct("ca", F.col("f.lo").alias("lo"))).alias("pieces"))
+    """``ca`` with the words ``before`` and ``after`` the first occurrence of the
+    piece."""
+    wanted = first.groupBy(F.col("f.row").alias("row")).agg(F.collect_list(F.struct("ca", F.col("f.at").alias("at"))).alias("pieces"))
     texts = _source(docs).select("row", "text").join(shuffled(wanted), "row").dropDuplicates(["row"])
 
     def run(batches):
         for batch in batches:
             out = []
             for text, found in zip(batch.column("text"), batch.column("pieces")):
-                h, start, _, _ = tokens_at(*_bytes(text))
-                at = np.searchsorted(start, found.values.flatten()[1].to_numpy())
-                words = _surroundings(h, at).tobytes()
-                size = len(words) // len(at)
-                ca, _ = found.values.flatten()
-                out.append(pa.RecordBatch.from_arrays([ca, pa.array(at.astype(np.int32)), pa.array(
-                    [words[k:k + size] for k in range(0, len(words), size)], pa.binary())], names=["ca", "at", "words"]))
+                h, _, _, _ = tokens_at(*_bytes(text))
+                ca, at = found.values.flatten()
+                words, size = _surroundings(h, at.to_numpy()).tobytes(), 4 * CONTEXT
+                sides = [pa.array([words[k:k + size] for k in range(s, len(words), 2 * size)], pa.binary()) for s in (0, size)]
+                out.append(pa.RecordBatch.from_arrays([ca, *sides], names=["ca", "before", "after"]))
             yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
 
-    return texts.select("text", "pieces").mapInArrow(run, "ca bigint, at int, words binary").join(shuffled(first), "ca")
+    return texts.select("text", "pieces").mapInArrow(run, "ca bigint, before binary, after binary")
 
 
 def _bytes(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -309,31 +322,50 @@ def _bytes(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passage_seeds(docs: DataFrame, **opt) -> DataFrame:
-    """Every later occurrence of a piece: ``doc_id, row, lo``, the document
-    ``kept_in``, row ``src`` and word ``at`` of the first one and the ``words``
-    around that."""
+    """Runs of later pieces that follow each other in their text as in the text
+    of their first occurrences, with the same words between: ``doc_id, row``, the
+    words ``lo`` and ``hi`` at which the first and the last piece begin, the
+    document ``kept_in`` and row ``src`` of the first occurrences, ``shift``
+    (words between both places) and the words ``before`` and ``after`` there."""
     pieces = occurrences(docs, "piece", **opt)
-    first = materialize(pieces.groupBy("ca").agg(F.min(_at()).alias("f"), F.count("*").alias("n")).where("n > 1").select("ca", "f"))
+    place = F.min(_at("at", "chain"))
+    first = materialize(pieces.groupBy("ca").agg(place.alias("f"), F.count("*").alias("n")).where("n > 1").select("ca", "f"))
     # a table of its own: a join whose two sides are plain shuffles can split a hot piece
-    known = materialize(_first_pieces(docs, first))
-    return (pieces.join(shuffled(known), "ca").where(_at() != F.col("f"))
-            .select("doc_id", "row", "lo", F.col("f.doc_id").alias("kept_in"), F.col("f.row").alias("src"), "at", "words"))
-
-
-def stretches(h: np.ndarray, start: np.ndarray, row: int, seeds: dict, similarity: float) -> list[tuple[int, int, int | None]]:
+    later = pieces.join(shuffled(first), "ca").where(_at("at", "chain") != F.col("f")).select(
+        "doc_id", "row", "at", "ca", F.col("f.doc_id").alias("kept_in"), F.col("f.row").alias("src"),
+        (F.col("at") - F.col("f.at")).alias("shift"), ((F.col("chain") != 0) & (F.col("chain") == F.col("f.chain"))).alias("follows"))
+    # the pieces of one text: equal words since the piece before, and that piece first found in the same place
+    text = Window.partitionBy("doc_id", "row").orderBy("at", "src", "shift")
+    goes_on = F.col("follows") & F.lag("src").over(text).eqNullSafe(F.col("src")) & F.lag("shift").over(text).eqNullSafe(F.col("shift"))
+    number = F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(text)
+    runs = later.withColumn("goes_on", goes_on).withColumn("run", number).groupBy("doc_id", "row", "run").agg(
+        F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("kept_in").alias("kept_in"), F.min("src").alias("src"), F.min("shift").alias("shift"),
+        F.min_by("ca", "at").alias("left"), F.max_by("ca", "at").alias("right"))
+    runs = materialize(runs.drop("run"))
+    ends = runs.select(F.explode(F.array("left", "right")).alias("ca")).distinct()
+    known = materialize(_first_pieces(docs, first.join(shuffled(ends), "ca", "left_semi")))
+    release(first)
+    left, right = known.select(F.col("ca").alias("left"), "before"), known.select(F.col("ca").alias("right"), "after")
+    return runs.join(shuffled(left), "left").join(shuffled(right), "right").drop("left", "right")
+
+
+def stretches(h: np.ndarray, row: int, seeds: dict, similarity: float) -> list[tuple[int, int, int | None]]:
     """``first, last`` (words) and ``kept_in`` of the passages of one text that
     its seeds (columns of ``passage_seeds``) show to be repeated."""
-    w = np.searchsorted(start, seeds["lo"])
-    theirs = np.frombuffer(b"".join(seeds["words"]), np.uint32).reshape(len(w), -1)
-    same = (_surroundings(h, w) == theirs) & (theirs != 0)
-    left = np.logical_and.accumulate(same[:, :CONTEXT][:, ::-1], 1).sum(1)
-    right = np.logical_and.accumulate(same[:, CONTEXT:], 1).sum(1)
-    at, src = np.asarray(seeds["at"], np.int64), np.asarray(seeds["src"], np.int64)
-    lo, hi = w - left, w + PIECE + right
-    lo = np.where(src == row, np.maximum(lo, at + PIECE), lo)       # inside one text the first occurrence stays
+    w, last, shift = (np.asarray(seeds[k], np.int64) for k in ("lo", "hi", "shift"))
+
+    def equal_words(at, theirs, side):
+        theirs = np.frombuffer(b"".join(theirs), np.uint32).reshape(len(w), -1)
+        return (_surroundings(h, at)[:, side] == theirs) & (theirs != 0)
+
+    left = np.logical_and.accumulate(equal_words(w, seeds["before"], slice(None, CONTEXT))[:, ::-1], 1).sum(1)
+    right = np.logical_and.accumulate(equal_words(last, seeds["after"], slice(CONTEXT, None)), 1).sum(1)
+    src = np.asarray(seeds["src"], np.int64)
+    lo, hi = w - left, last + PIECE + right
+    lo = np.where(src == row, np.maximum(lo, w - shift + PIECE), lo)       # inside one text the first occurrence stays
     groups: dict = {}
     for k in np.flatnonzero(lo < hi).tolist():
-        groups.setdefault((int(src[k]), seeds["kept_in"][k]), []).append((int(w[k] - at[k]), int(lo[k]), int(hi[k])))
+        groups.setdefault((int(src[k]), seeds["kept_in"][k]), []).append((int(shift[k]), int(lo[k]), int(hi[k])))
     out = []
     for (source, kept), found in groups.items():
         # equal stretches: one offset between the texts, overlapping
@@ -367,24 +399,25 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
     similarity = opt.get("similarity", SIMILARITY)
     plain = docs.select("doc_id", "text")
     own = F.coalesce("doc_id", F.lit(0)).alias(d), F.col("row").alias(r)
-    none = F.lit(None)
-    lines = line_removals(plain, **opt).select(*own, "lo", "hi", "kept_in", none.cast("bigint").alias("src"), none.cast("int").alias("at"), none.cast("binary").alias("words"))
-    seeds = passage_seeds(plain, **opt).select(*own, "lo", none.cast("int").alias("hi"), "kept_in", "src", "at", "words")
-    gone = materialize(lines.unionByName(seeds).groupBy(d, r).agg(F.collect_list(F.struct("lo", "hi", "kept_in", "src", "at", "words")).alias(sp)))
+    more = "src bigint, shift int, before binary, after binary"
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in more.split(", "))]
+    lines = line_removals(plain, **opt).select(*own, "lo", "hi", "kept_in", *none)
+    seeds = passage_seeds(plain, **opt).select(*own, "lo", "hi", "kept_in", "src", "shift", "before", "after")
+    gone = materialize(lines.unionByName(seeds).groupBy(d, r).agg(F.collect_list(F.struct("lo", "hi", "kept_in", "src", "shift", "before", "after")).alias(sp)))
     keyed = docs.withColumn(d, F.coalesce("doc_id", F.lit(0))).withColumn(r, row_id("doc_id", "text")["a"])
     joined = keyed.join(shuffled(gone), [d, r], "left").select(*docs.columns, r, sp)
     text_at, row_at = docs.columns.index("text"), len(docs.columns)
 
     def spans(text: pa.Scalar, row: int, found: pa.Scalar) -> tuple[list[tuple[int, int]], list[int]]:
         """Removed bytes of a text, and the documents that keep them."""
-        c = {name: x for name, x in zip(("lo", "hi", "kept_in", "src", "at", "words"), found.values.flatten())}
+        c = {name: x for name, x in zip(("lo", "hi", "kept_in", "src", "shift", "before", "after"), found.values.flatten())}
         seed = np.flatnonzero(c["src"].is_valid())
         line = np.flatnonzero(c["src"].is_null())
         lo, hi, src = (c[k].take(pa.array(line)).to_pylist() for k in ("lo", "hi", "kept_in"))
         out = list(zip(lo, hi))
         if len(seed):
             h, start, end, _ = tokens_at(*_bytes(text))
-            for a, b, kept in stretches(h, start, row, {k: x.take(pa.array(seed)).to_pylist() for k, x in c.items()}, similarity):
+            for a, b, kept in stretches(h, row, {k: x.take(pa.array(seed)).to_pylist() for k, x in c.items()}, similarity):
                 out.append((int(start[a]), int(end[b - 1])))
                 src.append(kept)
         return sorted(out), sorted({x for x in src if x is not None})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spreadforge.session import materialize
 
-__all__ = ["fresh", "materialize", "row_id", "table", "shuffled"]
+__all__ = ["fresh", "materialize", "release", "row_id", "table", "shuffled"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +34,14 @@ def row_id(*columns: str | Column) -> Column:
     cols = [F.col(c) if isinstance(c, str) else c for c in columns]
     parts = [x for c in cols for x in (c, c.isNull())]
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(7), *parts).alias("b"))
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables; whatever was made from them must have been
+    written by now."""
+    for df in tables:
+        spark = df.sparkSession
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path.getParent(), True)
