@@ -57,25 +57,33 @@ BANDS, ROWS = 5, 2
 PIECE = 8
 CHOICE = 13
 CONTEXT = 13
+PACKED = 5
 BLOCK = 1024
 
 
-def _paragraphs(data: np.ndarray, off: np.ndarray, piece: int, choice: int) -> dict:
-    """Lines (with blocks) and pieces of a run of texts, as arrays."""
-    h, start, end, text = tokens_at(data, off)
-    n = len(h)
+def _lines(text: np.ndarray, start: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lines of a run of texts begin, counted in words, and their end;
+    each word's line."""
     newline = np.flatnonzero(data == 10)
     line = np.searchsorted(newline, start)                       # a word's line, counted over the run
     cut = B.group_slices(line + text)                            # a text's end ends its last line
-    first, last = cut[:-1], cut[1:]
-    # blocks: lines of one text that follow each other
+    return cut, line
+
+
+def _blocks(cut: np.ndarray, line: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of lines of one text that follow each other, two or more."""
+    first = cut[:-1]
     ends = np.concatenate([[True], (line[first[1:]] - line[first[:-1]] > 1) | (text[first[1:]] != text[first[:-1]]), [True]])[-len(cut):]
     edge = np.flatnonzero(ends)
     many = np.diff(edge) > 1
-    blocks = cut[edge[:-1][many]], cut[edge[1:][many]]
-    out = {"line": (np.concatenate([first, blocks[0]]), np.concatenate([last, blocks[1]])), "lines": len(first)}
-    # pieces: minimizers over three-word hashes, within each text
-    at = np.searchsorted(text, np.arange(len(off)))
+    return cut[edge[:-1][many]], cut[edge[1:][many]]
+
+
+def _pieces(h: np.ndarray, text: np.ndarray, n_texts: int, piece: int, choice: int) -> np.ndarray:
+    """First words of the pieces: minimizers over three-word hashes, within
+    each text."""
+    n = len(h)
+    at = np.searchsorted(text, np.arange(n_texts + 1))
     grams = np.zeros(max(n - 2, 0), np.uint64)
     if n > 2:
         grams = B.mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))
@@ -84,9 +92,7 @@ def _paragraphs(data: np.ndarray, off: np.ndarray, piece: int, choice: int) -> d
         a, b = int(at[t]), int(at[t + 1])
         p = B.minimizers(grams[a:b - 2], choice) + a
         found.append(p[p + piece <= b])
-    p = np.concatenate(found) if found else np.empty(0, np.int64)
-    out["piece"] = (p, p + piece)
-    return out | {"h": h, "start": start, "end": end, "text": text}
+    return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
 def _content(h: np.ndarray, first: np.ndarray, last: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,26 +138,32 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
             for first, end, data, off in B.chunks(batch.column(2)):
-                p = _paragraphs(data, off, piece, choice)
-                a, b = p[kind]
+                h, start, stop, text = tokens_at(data, off)
+                if kind == "piece":
+                    a = _pieces(h, text, len(off) - 1, piece, choice)
+                    b = a + piece
+                else:
+                    lines, line = _lines(text, start, data)
+                    more = _blocks(lines, line, text)
+                    a, b = np.concatenate([lines[:-1], more[0]]), np.concatenate([lines[1:], more[1]])
                 if len(a) == 0:
                     continue
-                ca, cb = _content(p["h"], a, b, kind == "piece")
-                t = p["text"][a]
+                ca, cb = _content(h, a, b, kind == "piece")
+                t = text[a]
                 at = pa.array(first + t)
                 cols = [pa.array(ca), ids.take(at), rows.take(at)]
                 names = ["ca", "doc_id", "row", "at", "chain"]
                 if kind == "piece":
                     before = np.concatenate([a[:1], a[:-1]])
                     begun = np.concatenate([[False], t[1:] == t[:-1]])
-                    chain = B.sequence_hash(p["h"], np.where(begun, before, a), b, 0x165667B19E3779F9) | np.uint64(1)
-                    word = a - np.searchsorted(p["text"], t)
+                    chain = B.sequence_hash(h, np.where(begun, before, a), b, 0x165667B19E3779F9) | np.uint64(1)
+                    word = a - np.searchsorted(text, t)
                     cols += [pa.array(word.astype(np.int32)), pa.array(np.where(begun, chain, np.uint64(0)).view(np.int64))]
                 else:
                     names = ["ca", "doc_id", "row", "lo", "cb", "hi", "bands"]
-                    cols += [pa.array((p["start"][a] - off[t]).astype(np.int32)), pa.array(cb), pa.array((p["end"][b - 1] - off[t]).astype(np.int32))]
+                    cols += [pa.array((start[a] - off[t]).astype(np.int32)), pa.array(cb), pa.array((stop[b - 1] - off[t]).astype(np.int32))]
                     near = b - a >= SHINGLE
-                    bands = _bands(_shingles(p["h"], SHINGLE), a[near], b[near] - SHINGLE + 1, BANDS, ROWS)
+                    bands = _bands(_shingles(h, SHINGLE), a[near], b[near] - SHINGLE + 1, BANDS, ROWS)
                     cut = np.concatenate([[0], np.cumsum(near * BANDS)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(cut, pa.array(bands.ravel().view(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -159,10 +171,11 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
     return _source(docs).mapInArrow(run, schema)
 
 
-def _line_sets(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """``ca, cb`` and the sorted distinct shingle hashes of ``contents``, each
-    read from one of its texts (``f``)."""
-    wanted = contents.groupBy("f.row").agg(F.collect_list(F.struct("ca", "cb", "f.lo", "f.hi")).alias("lines"))
+def _line_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``g, ca, cb`` of ``members`` with ``s``, the sorted distinct shingle hashes
+    of the content (40 bits each, packed), read from one of its texts (``row, lo,
+    hi``)."""
+    wanted = members.groupBy("row").agg(F.collect_list(F.struct("g", "ca", "cb", "lo", "hi")).alias("lines"))
     texts = _source(docs).select("row", "text").join(shuffled(wanted), "row").dropDuplicates(["row"])
 
     def run(batches):
@@ -170,15 +183,18 @@ def _line_sets(docs: DataFrame, contents: DataFrame) -> DataFrame:
             out = []
             for text, found in zip(batch.column("text"), batch.column("lines")):
                 h, start, end, _ = tokens_at(*_bytes(text))
-                ca, cb, lo, hi = found.values.flatten()
+                g, ca, cb, lo, hi = found.values.flatten()
                 a, b = np.searchsorted(start, lo.to_numpy()), np.searchsorted(end, hi.to_numpy()) + 1
-                s = (_shingles(h, SHINGLE) >> np.uint64(16)).astype(np.int64)
-                sets = [np.unique(s[x:y - SHINGLE + 1]) for x, y in zip(a.tolist(), b.tolist())]
-                cut = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                out.append(pa.RecordBatch.from_arrays([ca, cb, pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets)))], names=["ca", "cb", "s"]))
+                s = _shingles(h, SHINGLE) >> np.uint64(24)
+                sets: dict = {}
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if (x, y) not in sets:
+                        sets[x, y] = np.unique(s[x:y - SHINGLE + 1]).view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
+                packed = pa.array([sets[k] for k in zip(a.tolist(), b.tolist())], pa.binary())
+                out.append(pa.RecordBatch.from_arrays([g, ca, cb, packed], names=["g", "ca", "cb", "s"]))
             yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
 
-    return texts.select("text", "lines").mapInArrow(run, "ca bigint, cb bigint, s array<bigint>")
+    return texts.select("text", "lines").mapInArrow(run, "g bigint, ca bigint, cb bigint, s binary")
 
 
 def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
@@ -211,9 +227,11 @@ def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
         g = t.column("g").to_numpy()
         cut = B.group_slices(g)
         ca, cb = t.column("ca").to_numpy(), t.column("cb").to_numpy()
-        s = t.column("s").combine_chunks()
-        s = s.chunk(0) if isinstance(s, pa.ChunkedArray) else s
-        off, values = s.offsets.to_numpy(), s.values.to_numpy()
+        s = t.column("s").to_pylist()
+        off = np.concatenate([[0], np.cumsum([len(x) // PACKED for x in s])])
+        values = np.zeros((off[-1], 8), np.uint8)
+        values[:, :PACKED] = np.frombuffer(b"".join(s), np.uint8).reshape(-1, PACKED)
+        values = values.view(np.int64).ravel()
         out = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a > 1:
@@ -241,7 +259,7 @@ def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY
     """Links between the contents of similar lines."""
     place = F.min(F.struct("row", "lo", "hi", "bands"))
     contents = materialize(lines.where(F.size("bands") > 0).groupBy("ca", "cb").agg(place.alias("f")))
-    hit = contents.select(F.explode("f.bands").alias("band"), "ca", "cb")
+    hit = contents.select(F.explode("f.bands").alias("band"), "ca", "cb", "f.row", "f.lo", "f.hi")
     # buckets of the same members are verified once
     own = [F.bit_xor(F.xxhash64(F.lit(k), "ca", "cb")).alias(f"x{k}") for k in (1, 2)]
     shared = hit.groupBy("band").agg(F.count("*").alias("count"), *own).where("count > 1")
@@ -251,12 +269,9 @@ def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY
     mine = F.pmod(F.col("ca"), F.col("n")).cast("int")
     dealt = member.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(F.when(F.col("n") == 1, F.col("band")).otherwise(
-        F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))).alias("g"), "ca", "cb")
-    wanted = member.select("ca", "cb").distinct()
-    known = contents.select("ca", "cb", "f.row", "f.lo", "f.hi").select("ca", "cb", F.struct("row", "lo", "hi").alias("f"))
-    sets = materialize(_line_sets(docs, known.join(shuffled(wanted), ["ca", "cb"], "left_semi")))
-    links = materialize(_verified(dealt.join(shuffled(sets), ["ca", "cb"]), similarity))
-    release(contents, shared, member, sets)
+        F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))).alias("g"), "ca", "cb", "row", "lo", "hi")
+    links = materialize(_verified(_line_sets(docs, dealt), similarity))
+    release(contents, shared, member)
     return links
 
 
@@ -428,9 +443,9 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
             texts = batch.column(text_at)
             count = [np.empty(0, np.int64)]
             for first, end, data, off in B.chunks(texts):
-                p = _paragraphs(data, off, 1 << 30, 1)
-                a, b = (x[:p["lines"]] for x in p["line"])
-                count.append(np.bincount(p["text"][a[b - a >= min_words]], minlength=end - first))
+                _, start, _, text = tokens_at(data, off)
+                lines, _ = _lines(text, start, data)
+                count.append(np.bincount(text[lines[:-1][np.diff(lines) >= min_words]], minlength=end - first))
             removed, number, kept, sources = [], [], [], []
             for text, row, found in zip(texts, batch.column(row_at), batch.column(row_at + 1)):
                 gone, src = spans(text, row.as_py(), found) if found.is_valid else ([], [])
