@@ -423,15 +423,16 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
     joined = keyed.join(shuffled(gone), [d, r], "left").select(*docs.columns, r, sp)
     text_at, row_at = docs.columns.index("text"), len(docs.columns)
 
-    def spans(text: pa.Scalar, row: int, found: pa.Scalar) -> tuple[list[tuple[int, int]], list[int]]:
-        """Removed bytes of a text, and the documents that keep them."""
+    def spans(words: tuple, row: int, found: pa.Scalar) -> tuple[list[tuple[int, int]], list[int]]:
+        """Removed bytes of a text of ``words`` (hashes, first and last bytes),
+        and the documents that keep them."""
         c = {name: x for name, x in zip(("lo", "hi", "kept_in", "src", "shift", "before", "after"), found.values.flatten())}
         seed = np.flatnonzero(c["src"].is_valid())
         line = np.flatnonzero(c["src"].is_null())
         lo, hi, src = (c[k].take(pa.array(line)).to_pylist() for k in ("lo", "hi", "kept_in"))
         out = list(zip(lo, hi))
         if len(seed):
-            h, start, end, _ = tokens_at(*_bytes(text))
+            h, start, end = words
             for a, b, kept in stretches(h, row, {k: x.take(pa.array(seed)).to_pylist() for k, x in c.items()}, similarity):
                 out.append((int(start[a]), int(end[b - 1])))
                 src.append(kept)
@@ -441,14 +442,20 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
     def cut(batches):
         for batch in batches:
             texts = batch.column(text_at)
-            count = [np.empty(0, np.int64)]
-            for first, end, data, off in B.chunks(texts):
-                _, start, _, text = tokens_at(data, off)
+            rows, every = batch.column(row_at), batch.column(row_at + 1)
+            count, hits = [np.empty(0, np.int64)], {}
+            for first, last, data, off in B.chunks(texts):
+                h, start, end, text = tokens_at(data, off)
                 lines, _ = _lines(text, start, data)
-                count.append(np.bincount(text[lines[:-1][np.diff(lines) >= min_words]], minlength=end - first))
+                count.append(np.bincount(text[lines[:-1][np.diff(lines) >= min_words]], minlength=last - first))
+                at = np.searchsorted(text, np.arange(last - first + 1))
+                for k in range(last - first):
+                    if every[first + k].is_valid:
+                        own = slice(at[k], at[k + 1])
+                        hits[first + k] = spans((h[own], start[own] - off[k], end[own] - off[k]), rows[first + k].as_py(), every[first + k])
             removed, number, kept, sources = [], [], [], []
-            for text, row, found in zip(texts, batch.column(row_at), batch.column(row_at + 1)):
-                gone, src = spans(text, row.as_py(), found) if found.is_valid else ([], [])
+            for k, text in enumerate(texts):
+                gone, src = hits.get(k, ([], []))
                 sources.append(src)
                 if not gone:
                     removed.append(0)
