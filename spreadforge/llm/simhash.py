@@ -10,9 +10,10 @@ link when they differ in at most ``max_bits`` bits:
   next eight bits; pairs of child nodes carry the differences of their patterns
   and are dropped as soon as these add up to more than ``max_bits``.  Splitting
   goes on until every group is small, so no group gathers in one task.
-* leaf groups: entries are sorted by Gray rank (neighbours share most bits);
-  runs of entries become nodes with the pattern of their shared bits, and pairs
-  of nodes whose shared bits differ too much are pruned as a whole.
+* leaf groups, of any size: entries are sorted by Gray rank (neighbours share
+  most bits); runs of 256 and, under them, of 32 entries become nodes with the
+  pattern of their shared bits, and pairs of nodes whose shared bits differ too
+  much are pruned as a whole.  All links come from this descent.
 
 Only spanning links leave a leaf.  Every pruned pair has more than ``max_bits``
 differing bits, so the links are exact.
@@ -107,47 +108,80 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _nodes(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pattern and mask of shared bits of each run of ``size`` entries."""
-    cut = np.arange(0, len(x), size)
-    every, some = np.bitwise_and.reduceat(x, cut), np.bitwise_or.reduceat(x, cut)
+#: entries under an upper and a lower node of a leaf group
+SIZES = (256, 32)
+#: pairs looked at together
+AT_ONCE = 1 << 22
+
+
+def _cut(part: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of nodes of at most ``size`` entries, none across parts."""
+    edge = B.group_slices(part)
+    k = -(-np.diff(edge) // size)
+    first = np.repeat(edge[:-1], k) + size * (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
+    return first, np.minimum(first + size, np.repeat(edge[1:], k))
+
+
+def _shared(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pattern and mask of the bits that all entries of a node share."""
+    every, some = np.bitwise_and.reduceat(x, first), np.bitwise_or.reduceat(x, first)
     return every, ~(every ^ some)
 
 
+def _products(left, right):
+    """Index pairs of the products of ranges ``left[k] x right[k]``, in blocks
+    of about ``AT_ONCE`` pairs, each with the number of its range pair."""
+    (la, lb), (ra, rb) = left, right
+    n = (lb - la) * (rb - ra)
+    block = (np.cumsum(n) - n) // AT_ONCE
+    edge = B.group_slices(block)
+    for s, e in zip(edge[:-1], edge[1:]):
+        m = n[s:e]
+        which = np.repeat(np.arange(s, e), m)
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        width = (rb - ra)[which]
+        yield la[which] + at // width, ra[which] + at % width, which
+
+
+def descend(x: np.ndarray, group: np.ndarray, side: np.ndarray, max_bits: int):
+    """Index pairs within the distance, in blocks.  Entries are sorted by
+    (group, side, Gray rank); a group with two sides gives pairs across them
+    only, other groups give each pair once.  Node pairs whose shared bits
+    differ too much are left out whole, first of upper, then of lower nodes."""
+    if len(x) == 0:
+        return
+    top, top_end = _cut(group * 2 + side, SIZES[0])
+    low, low_end = _cut(np.repeat(np.arange(len(top)), top_end - top), SIZES[1])
+    child, child_end = np.searchsorted(low, top), np.searchsorted(low, top_end)
+    pattern, mask = _shared(x, top)
+    low_pattern, low_mask = _shared(x, low)
+    # upper nodes of a group: with those of the other side, or with itself and those behind it
+    edge = B.group_slices(group[top])
+    last = np.repeat(edge[1:], np.diff(edge))
+    ones = np.add.reduceat(side[top], edge[:-1])
+    cross = np.repeat((ones > 0) & (ones < np.diff(edge)), np.diff(edge))
+    second = last - np.repeat(ones, np.diff(edge))
+    me = np.arange(len(top))
+    start = np.where(cross, np.where(side[top] == 0, second, last), np.where(side[top] == 0, me, last))
+    for i, j, _ in _products((me, me + 1), (start, last)):
+        ok = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= max_bits
+        i, j = i[ok], j[ok]
+        for c, d, _ in _products((child[i], child_end[i]), (child[j], child_end[j])):
+            ok = (c <= d) & (np.bitwise_count((low_pattern[c] ^ low_pattern[d]) & low_mask[c] & low_mask[d]) <= max_bits)
+            c, d = c[ok], d[ok]
+            for u, v, _ in _products((low[c], low_end[c]), (low[d], low_end[d])):
+                ok = (u < v) & (np.bitwise_count(x[u] ^ x[v]) <= max_bits)
+                yield u[ok], v[ok]
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray | None, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within the distance: between two Gray-sorted arrays, or
     within one (``b`` None, first index smaller)."""
-    inner = b is None
-    b = a if inner else b
-    pairs = None
-    for size in (256, 32):
-        (pa_, ma), (pb, mb) = _nodes(a, size), _nodes(b, size)
-        if pairs is None:
-            i, j = np.divmod(np.arange(len(pa_) * len(pb)), len(pb))
-        else:                                                       # children of the node pairs that are left
-            i = (pairs[0][:, None] * 8 + np.arange(64)[None, :] // 8).ravel()
-            j = (pairs[1][:, None] * 8 + np.arange(64)[None, :] % 8).ravel()
-            ok = (i < len(pa_)) & (j < len(pb))
-            i, j = i[ok], j[ok]
-        if inner:
-            ok = i <= j
-            i, j = i[ok], j[ok]
-        ok = np.bitwise_count((pa_[i] ^ pb[j]) & ma[i] & mb[j]) <= max_bits
-        pairs = i[ok], j[ok]
-    left, right = [], []
-    for k in range(0, len(pairs[0]), 512):                          # at most 512 * 1024 entry pairs at once
-        i = (pairs[0][k:k + 512, None] * 32 + np.arange(1024)[None, :] // 32).ravel()
-        j = (pairs[1][k:k + 512, None] * 32 + np.arange(1024)[None, :] % 32).ravel()
-        ok = (i < len(a)) & (j < len(b))
-        if inner:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        ok = np.bitwise_count(a[i] ^ b[j]) <= max_bits
-        left.append(i[ok])
-        right.append(j[ok])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+    x = a if b is None else np.concatenate([a, b])
+    side = np.repeat([0, 1], [len(a), len(x) - len(a)])
+    z = [(np.empty(0, np.int64),) * 2]
+    i, j = (np.concatenate(v) for v in zip(*z, *descend(x, np.zeros(len(x), np.int64), side, max_bits)))
+    return (i, j) if b is None else (i, j - len(a))
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -164,39 +198,15 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _leaf_links(fp: np.ndarray, side: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [p[np.argsort(gray_rank(p), kind="stable")] for p in (fp[side == 0], fp[side == 1])]
-    a, b = parts
-    if len(b) == 0:
-        i, j = near_pairs(a, None, max_bits)
-        every = a
-    elif len(a) == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    else:
-        i, j = near_pairs(a, b, max_bits)
-        every, j = np.concatenate([a, b]), j + len(a)
-    label = spanning(len(every), i, j)
-    own = np.flatnonzero(label != np.arange(len(every)))
-    return every[own], every[label[own]]
-
-
-def _small_links(g: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: int, most: int):
-    """Links within many small groups at once: entry against the next 1, 2, ...
-    of its group."""
-    cross = np.zeros(len(g), bool)                                  # groups that have two sides
-    cut = B.group_slices(g)
-    two = np.maximum.reduceat(side, cut[:-1]) > 0
-    cross = np.repeat(two, np.diff(cut))
-    left, right = [], []
-    for d in range(1, most):
-        i = np.flatnonzero(g[d:] == g[:-d])
-        if len(i) == 0:
-            break
-        ok = (np.bitwise_count(fp[i] ^ fp[i + d]) <= max_bits) & (~cross[i] | (side[i] != side[i + d]))
-        left.append(fp[i[ok]])
-        right.append(fp[i[ok] + d])
-    z = [np.empty(0, np.uint64)]
-    return np.concatenate(left + z), np.concatenate(right + z)
+def _leaf_links(group: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of all groups of a stretch: Gray order, then descent."""
+    order = np.lexsort((gray_rank(fp), side, group))
+    x = fp[order]
+    label = np.arange(len(x))
+    for i, j in descend(x, np.cumsum(np.diff(group[order], prepend=group[order][:1]) != 0), side[order].astype(np.int64), max_bits):
+        label = spanning(len(x), np.concatenate([i, np.arange(len(x))]), np.concatenate([j, label]))
+    own = np.flatnonzero(label != np.arange(len(x)))
+    return x[own], x[label[own]]
 
 
 def _pop(c: Column) -> Column:
@@ -248,24 +258,10 @@ def links(entries: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> Dat
 
 def _leaves(leaves: DataFrame, max_bits: int) -> DataFrame:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    small = 48
 
     def work(g, side, fp):
         """All groups of a sorted stretch."""
-        cut = B.group_slices(g)
-        n = np.diff(cut)
-        u, v = [], []
-        few = np.repeat(n <= small, n)
-        if few.any():
-            a, b = _small_links(g[few], side[few], fp[few], max_bits, small)
-            u.append(a)
-            v.append(b)
-        for k in np.flatnonzero(n > small):
-            a, b = _leaf_links(fp[cut[k]:cut[k + 1]], side[cut[k]:cut[k + 1]], max_bits)
-            u.append(a)
-            v.append(b)
-        z = [np.empty(0, np.uint64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x + z).view(np.int64)) for x in (u, v)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in _leaf_links(g, side, fp, max_bits)], schema=schema)
 
     def run(batches):
         rest = [np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint64)]

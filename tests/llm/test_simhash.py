@@ -96,3 +96,49 @@ def test_edge_cases(spark):
     assert one.columns == docs.columns
     assert sorted(r.doc_id for r in one.collect()) == [1, 5, 6, 7]
     assert simhash.groups(docs.limit(0)).count() == 0
+
+
+def test_descent_over_many_groups_and_sides():
+    """Groups of one to hundreds of entries, with one side or two, in one
+    stretch; all pairs within the distance and no others, whatever the sizes."""
+    rng = np.random.default_rng(3)
+    g, side, fp = [], [], []
+    for k, n in enumerate([1, 2, 3, 40, 49, 1, 700, 300, 2, 260]):
+        base = rng.integers(0, 2**63, dtype=np.uint64)
+        x = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)))
+        two = rng.integers(0, 2, len(x)) if k % 3 == 2 or k == 7 else np.zeros(len(x), int) + (k == 4)
+        x, two = x[np.lexsort((simhash.gray_rank(x), two))], np.sort(two)
+        g += [k] * len(x)
+        side += two.tolist()
+        fp += x.tolist()
+    g, side, fp = np.array(g), np.array(side), np.array(fp, np.uint64)
+    got = [(int(a), int(b)) for i, j in simhash.descend(fp, g, side, 3) for a, b in zip(i, j)]
+    want = set()
+    for k in set(g.tolist()):
+        at = np.flatnonzero(g == k)
+        if (side[at] == 1).all():
+            continue                                        # one side of a pair of nodes, nothing to compare it with
+        two = side[at].any()
+        d = np.bitwise_count(fp[at][:, None] ^ fp[at][None, :]) <= 3
+        want |= {(int(at[a]), int(at[b])) for a, b in zip(*np.nonzero(d)) if a < b and (not two or side[at[a]] != side[at[b]])}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 1000
+
+
+def test_every_link_of_the_table_comes_from_descent(spark, monkeypatch):
+    """All fingerprints of the table: the same components as brute force, and
+    none without the descent, as no group takes another way."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).collect()], np.int64).view(np.uint64))
+    # groups as the index makes them: equal 16-bit segments
+    g = np.concatenate([(fps >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64) + (k << 16) for k in range(4)])
+    x, side = np.tile(fps, 4), np.zeros(4 * len(fps), np.int64)
+
+    def labels(u, v):
+        return simhash.spanning(len(fps), np.searchsorted(fps, u), np.searchsorted(fps, v))
+
+    want = brute_groups([(i, int(f)) for i, f in enumerate(fps)])
+    assert labels(*simhash._leaf_links(g, side, x, 3)).tolist() == want
+    assert any(i != w for i, w in enumerate(want))
+    monkeypatch.setattr(simhash, "descend", lambda *a: iter(()))
+    assert len(simhash._leaf_links(g, side, x, 3)[0]) == 0
