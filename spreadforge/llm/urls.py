@@ -5,8 +5,13 @@ lower-cased; its path goes on up to ``? #`` or the end.  A rule (host and path
 prefix) fits its host and all subdomains; the longest fitting rule decides.
 
 For all other URLs, FP-growth mines combinations of URL tokens that go with a
-label: frequent enough (``MIN_SUPPORT``) and mostly of one label
-(``MIN_CONFIDENCE``).  A rule whose tokens contain another rule's tokens for
+label: on at least ``MIN_PAGES`` labelled pages, and mostly of one label, so
+that the lower end of the share's Wilson interval (``Z`` standard deviations)
+is at least ``MIN_CONFIDENCE``.  The least support is a number of pages, so a
+rule that the labels bear out is found whatever else the table holds.  Mining
+fits on at most about ``SAMPLE`` labelled pages, chosen by hash; that also
+bounds the frequent tokens, which FP-growth keeps in the driver, by
+``SAMPLE`` times the tokens of a URL over ``MIN_PAGES``.  A rule whose tokens contain another rule's tokens for
 the same label without a higher confidence is pruned.  Of the rules whose
 tokens a URL all has, the one of highest confidence (then support, then fewest
 tokens, then the tokens' order) decides; a URL that no rule fits is allowed.
@@ -15,8 +20,7 @@ Matching goes through an inverted index: a rule is filed under its rarest
 token, URLs look up their tokens, and only the rules found are checked.  URLs
 are first reduced to distinct token sets.
 
-JVM functions only (FP-growth runs distributed in Spark ML).  The number of
-rules is bounded by the support, not by the data.
+JVM functions only (FP-growth runs distributed in Spark ML).
 
 Defined results: null URLs and URLs without ``://`` have empty host and path,
 fit no rule, and have no tokens; without labelled URLs all rests are allowed;
@@ -38,8 +42,13 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DEFAULT = "allow"
-MIN_SUPPORT = 0.01
+#: labelled pages a rule needs, its least share of one label, and the
+#: standard deviations that share is lowered by
+MIN_PAGES = 20
 MIN_CONFIDENCE = 0.6
+Z = 1.96
+#: labelled pages that rules are mined from
+SAMPLE = 1_000_000
 _LABEL = "label="
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,19 +90,33 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.contains("://"), every).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def wilson_low(share: Column, n: Column, z: float) -> Column:
+    """Lower end of the Wilson interval of a share of ``n`` pages."""
+    z2 = z * z
+    return (share + z2 / (2 * n) - z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def mine(labelled: DataFrame, min_support: float | None = None, min_confidence: float = MIN_CONFIDENCE,
+         min_pages: int = MIN_PAGES, z: float = 0.0, sample: int = SAMPLE) -> DataFrame:
     """``tokens, verdict, confidence, support``: pruned association rules from
-    ``url, verdict``."""
-    items = materialize(labelled.where("url is not null and verdict is not null").select(
-        F.concat(tokens_of(F.col("url")), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items")))
+    ``url, verdict``.  ``min_support``, a share of the labelled pages, stands
+    in for ``min_pages`` where given."""
+    known = labelled.where("url is not null and verdict is not null")
+    rate = min(1.0, sample / max(known.count(), 1))
+    drawn = F.pmod(F.xxhash64(*known.columns), F.lit(1 << 32)) < int(rate * (1 << 32))
+    items = materialize(known.where(drawn).select(F.concat(tokens_of(F.col("url")), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items")))
     empty = labelled.sparkSession.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
-    if items.isEmpty():
+    n = items.count()
+    # FP-growth rounds support * n up: half a page less is safe from rounding
+    least = min_support if min_support is not None else (min_pages - 0.5) / max(n, 1)
+    if n == 0 or least > 1:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(items)
     label = F.get("consequent", F.lit(0))
     rules = materialize(model.associationRules.where(
         label.startswith(_LABEL) & ~F.exists("antecedent", lambda x: x.startswith(_LABEL))).select(
-        F.array_sort("antecedent").alias("tokens"), F.substring(label, F.lit(len(_LABEL) + 1), F.length(label)).alias("verdict"), "confidence", "support"))
+        F.array_sort("antecedent").alias("tokens"), F.substring(label, F.lit(len(_LABEL) + 1), F.length(label)).alias("verdict"), "confidence", "support")
+        .where(wilson_low(F.col("confidence"), F.col("support") * n / F.col("confidence"), z) >= min_confidence))
     # a longer rule must be more certain than every shorter one inside it; both are filed under the shorter one's first token
     r, s = rules.alias("r"), rules.alias("s")
     inner = (r.withColumn("token", F.explode("r.tokens"))
@@ -125,21 +148,22 @@ def _few(df: DataFrame, most: int = 10_000) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, min_support: float | None = None, min_confidence: float = MIN_CONFIDENCE,
+          min_pages: int = MIN_PAGES, z: float = Z, sample: int = SAMPLE) -> DataFrame:
     """Per page row: ``page_id, host, path, rule, verdict``."""
     url = F.col("url")
     rows = pages.select("page_id", "url").select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
                                                  F.coalesce(tokens_of(url), F.array().cast("array<string>")).alias("set"))
     rows = materialize(rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules)))
-    found = match(rows.where("own is null"), mine(labelled, min_support, min_confidence))
+    found = match(rows.where("own is null"), mine(labelled, min_support, min_confidence, min_pages, z, sample))
     return rows.join(found, "set", "left").select("page_id", "host", "path", F.col("own.rule").alias("rule"),
                                                   F.coalesce("own.verdict", "mined", F.lit(DEFAULT)).alias("verdict"))
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``url, verdict`` of pages whose document (the number in the path) has a
+    """``page_id, url, verdict`` of pages whose document (the number in the path) has a
     quality label: block for 0, allow for 1."""
     number = F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/(?:[^?#]*/)?([0-9]{1,18})(?:[.][A-Za-z0-9]+)?/?(?:[?#]|$)', 1) AS BIGINT)")
-    p = pages.select("url", number.alias("number")).where("number is not null")
+    p = pages.select("page_id", "url", number.alias("number")).where("number is not null")
     known = labels.where("quality is not null").select("doc_id", F.when(F.col("quality") == 0, "block").otherwise("allow").alias("verdict"))
-    return p.join(shuffled(known), p["number"] == known["doc_id"]).select("url", "verdict")
+    return p.join(shuffled(known), p["number"] == known["doc_id"]).select("page_id", "url", "verdict")

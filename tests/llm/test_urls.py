@@ -73,3 +73,31 @@ def test_mined_rules(spark):
     pages = spark.createDataFrame([(1, "http://spam1.net/buy/77"), (2, "http://news.net/buy/1?ref=a"), (3, "http://other.io/x")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in urls.judge(pages, labelled, (), 0.05, 0.7).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_support_is_a_number_of_pages_with_a_confidence_bound(spark):
+    """A blocked host with 25 labels is found among a hundred thousand others
+    (its share is far below any fixed one); three blocked pages prove nothing."""
+    rows = [(f"http://bad.net/x/{i}", "block") for i in range(25)] + [(f"http://few.net/x/{i}", "block") for i in range(3)]
+    rows += [(f"http://mixed.net/x/{i}", "block" if i % 3 else "allow") for i in range(30)]
+    many = spark.range(100_000).selectExpr("concat('http://h', id % 500, '.org/p/', id) AS url", "IF(id % 7 = 0, 'block', 'allow') AS verdict")
+    labelled = spark.createDataFrame(rows, "url string, verdict string").unionByName(many)
+    pages = spark.createDataFrame([(1, "http://bad.net/y"), (2, "http://few.net/y"), (3, "http://mixed.net/y"), (4, "http://h3.org/p/1"), (5, "http://sub.bad.net/q")],
+                                  "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labelled, ()).collect()}
+    # two thirds of 30 pages: the lower end of the share is 0.49
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block"}
+
+
+def test_sample_bounds_the_pages_mined(spark):
+    labelled = spark.range(20_000).selectExpr("concat('http://bad.net/', id) AS url", "'block' AS verdict", "id AS page_id")
+    r = urls.mine(labelled, sample=1000).collect()
+    assert r and all(x.verdict == "block" and x.support <= 1 for x in r)
+    assert urls.mine(labelled.limit(19), min_pages=20).count() == 0
+    assert urls.mine(labelled.limit(20), min_pages=20).count() > 0
+
+
+def test_wilson_low(spark):
+    row = spark.range(1).select(urls.wilson_low(F.lit(1.0), F.lit(20.0), 1.96).alias("a"), urls.wilson_low(F.lit(0.6), F.lit(50.0), 1.96).alias("b"),
+                                urls.wilson_low(F.lit(0.7), F.lit(9.0), 0.0).alias("c")).first()
+    assert (round(row.a, 4), round(row.b, 4), round(row.c, 4)) == (0.8389, 0.4618, 0.7)
