@@ -4,7 +4,6 @@ per-column groups are hot by construction and are handled by map-side
 partial aggregation and the distributed exact percentiles."""
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -42,19 +41,28 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A10: pairwise-complete Pearson r for every pair (one aggregate), long
-    ``(x, y, r)`` with both orders and the diagonal."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)],
-                 *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    items = []
-    for i, (a, b) in enumerate(pairs):
-        items += [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{i}").alias("r")),
-                  F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"r{i}").alias("r"))]
-    for i, c in enumerate(columns):
-        items.append(F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"),
-                              F.when(F.col(f"n{i}") > 1, F.lit(1.0)).alias("r")))
-    return row.select(F.explode(F.array(*items)).alias("e")).select("e.*")
+    """A10: pairwise-complete Pearson r for every pair, long ``(x, y, r)`` with
+    both orders and the diagonal.  Rows are dealt to their pairs and one keyed
+    aggregate, merged map-side, serves all of them, however many columns there
+    are.  NULL with fewer than two complete rows, NaN where a side is constant in them."""
+    k = len(columns)
+    v = df.select(F.array(*[col(c).cast("double") for c in columns]).alias("v"))
+    cells = (v.select("v", F.posexplode("v").alias("i", "a")).where(F.col("a").isNotNull())
+             .select("i", "a", F.posexplode("v").alias("j", "b")).where((F.col("j") >= F.col("i")) & F.col("b").isNotNull()))
+
+    def constant(c):
+        # by its ends: a merged variance of equal values need not be exactly zero
+        lo, hi = F.min(c), F.max(c)
+        return (lo == hi) & ~F.isnan(hi) & (F.abs(hi) < float("inf"))
+
+    r = F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))
+    r = F.when(constant("a") | constant("b"), F.lit(float("nan"))).otherwise(F.coalesce(r, F.lit(float("nan"))))
+    found = cells.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 1, r).alias("r"))
+    # k * k rows, from the column list alone
+    names = df.sparkSession.createDataFrame([(min(i, j), max(i, j), columns[i], columns[j]) for i in range(k) for j in range(k)],
+                                            "i int, j int, x string, y string")
+    one = F.when(F.col("n") > 1, F.lit(1.0))
+    return names.join(found, ["i", "j"], "left").select("x", "y", F.when(F.col("i") == F.col("j"), one).otherwise(F.col("r")).alias("r"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 80) -> DataFrame:

@@ -45,3 +45,19 @@ def test_extremes_inclusive(spark):
     r = EX.extremes(df, ["spr_X"]).first()
     assert r["q01"] == 1.0 and r["q99"] == 99.0
     assert r["n_extreme_low"] == 2 and r["n_extreme_high"] == 2
+
+
+def test_correlations_with_constant_columns(spark):
+    """A side that is constant over the pair's complete rows has no r; the other pairs keep theirs."""
+    rows = [(1.0, 0.1, 5.0, 2.0, None), (2.0, 0.1, 3.0, 2.0, None), (4.0, 0.1, 8.0, None, 7.0), (3.0, 0.1, None, 3.0, None)]
+    df = spark.createDataFrame(rows * 5, "`a b` double, c double, d double, e double, f double").repartition(7)
+    got = {(r.x, r.y): r.r for r in EX.correlations(df, df.columns).collect()}
+    assert len(got) == 25 and all(got[x, y] == got[y, x] or got[x, y] != got[x, y] for x, y in got)
+    want = df.toPandas().corr()
+    for x, y in [("a b", "d"), ("a b", "e"), ("a b", "a b"), ("c", "c")]:
+        assert abs(got[x, y] - (1.0 if x == y else want[x][y])) < 1e-9
+    for x, y in [("a b", "c"), ("c", "d"), ("c", "e"), ("a b", "f"), ("d", "e")]:
+        assert got[x, y] != got[x, y]                 # e is constant where d is present
+    assert got["e", "f"] is None                      # no complete row
+    one = {(r.x, r.y): r.r for r in EX.correlations(df.limit(1), ["c", "d", "f"]).collect()}
+    assert set(one.values()) == {None} and len(one) == 9
