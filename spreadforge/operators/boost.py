@@ -5,12 +5,12 @@ job handles one level of one tree of every model, so the number of jobs is round
 times depth, whatever the number of models.
 
 * ``binned_rows`` cuts every feature into bins at quantiles of the model's own
-  training rows (missing values at their median), once.
-* A job reads the binned rows, works out each row's score and node from the trees
-  so far, sums gradients, hessians and counts per (model, node, feature, bin) and
-  emits one dense vector per (model, node); the vectors are added up by a merged
-  aggregate (partial sums per task before the shuffle), and every node's best
-  split is chosen where its sum lies.  Only the splits reach the driver.
+  training rows (missing values at their exact median), once.
+* The training rows lie in blocks of one group, cached, with their scores; a round's
+  trees are added to the scores once.  A job works out each row's node in the tree
+  that grows, sums gradients, hessians and counts per (model, node, feature, bin),
+  adds up the parts of a (model, node) where its best split is then chosen.  Only
+  the splits reach the driver.
 * Gains are second order with L1 and L2 terms: ``T(G)^2 / (H + l2)``,
   ``T(G)`` being ``G`` drawn towards zero by ``l1``; a leaf is ``-T(G) / (H + l2)``
   times the learning rate.
@@ -18,8 +18,8 @@ times depth, whatever the number of models.
   ``depth`` levels.  A node's gain does not depend on the order, so the levels are
   evaluated in full and the order is applied to them afterwards.
 
-Scores are written out every ``KEEP`` rounds: jobs in between apply those rounds'
-trees only, and a lost executor repeats no more than that."""
+The blocks are written to the checkpoint folder every ``KEEP`` rounds, so a lost
+executor repeats no more than those."""
 from __future__ import annotations
 
 import heapq
@@ -32,18 +32,19 @@ import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadforge.operators.quantiles import exact_percentiles
-from spreadforge.session import materialize
+from spreadforge.session import ensure_checkpoint_dir, materialize
 
 # functions of this module run in Python workers: they are sent by value, so executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEEP = 10
-NODE_SCHEMA = ("model int, node int, feature int, bin int, gain double, gl double, hl double, nl double, "
-               "gr double, hr double, nr double")
+#: rows of a block
+BLOCK = 16_384
+#: bytes of training rows that a task of a level should meet
+PART_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -79,11 +80,81 @@ class Model:
         return np.bincount(used, minlength=n_features)
 
 
-def medians(train: DataFrame, n_features: int) -> DataFrame:
-    """``group, column, median`` of the feature arrays ``x``: one keyed job for
-    all groups and features; missing everywhere: no row."""
-    long = train.select("group", F.posexplode("x").alias("column", "value")).where("value IS NOT NULL AND NOT isnan(value)")
-    return exact_percentiles(long, "value", [0.5], by=["group", "column"], names=["median"])
+def _matrix(x, rows: int, n_features: int) -> np.ndarray:
+    return np.array(x.flatten().fill_null(np.nan), np.float64).reshape(rows, n_features)
+
+
+def cut_points(train: DataFrame, n_features: int, bins: int) -> dict[int, list[np.ndarray]]:
+    """The different cuts of every group and feature: quantiles (rank error
+    1/1000) of the present values."""
+    clean = [F.when(~F.isnan(F.get("x", F.lit(j))), F.get("x", F.lit(j))) for j in range(n_features)]
+    probs = [(k + 1) / bins for k in range(bins - 1)]
+    cuts = train.groupBy("group").agg(F.array(*[F.coalesce(F.percentile_approx(c, probs, 1000), F.array().cast("array<double>")) for c in clean]).alias("cuts"))
+    # a row per group of the pool, a number per feature and cut: the pool's size, not the table's
+    return {r["group"]: [np.unique(np.array(c)) for c in r["cuts"]] for r in cuts.collect()}
+
+
+def medians(train: DataFrame, n_features: int, cuts: dict[int, list[np.ndarray]]) -> dict[int, dict[int, float]]:
+    """Exact median by group and feature; missing everywhere: none.  The values
+    between neighbouring cuts are counted, and only those of the parts that
+    hold a middle rank are exchanged, equal ones once a task."""
+    width = 1 + max((len(e) for edges in cuts.values() for e in edges), default=0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            groups = np.array(batch.column(0))
+            x = _matrix(batch.column(1), len(groups), n_features)
+            for g in np.unique(groups).tolist():
+                mine = x[groups == g]
+                part = found.setdefault(g, np.zeros((n_features, width)))
+                for j in range(n_features):
+                    v = mine[:, j]
+                    part[j] += np.bincount(np.searchsorted(cuts[g][j], v[~np.isnan(v)], side="left"), minlength=width)
+        for g, part in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([part.ravel()], pa.list_(pa.float64()))], names=["group", "counts"])
+
+    rows = train.select(F.col("group").cast("int").alias("group"), "x")
+    parts = rows.mapInArrow(count, "group int, counts array<double>")
+    added = parts.select("group", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("group", "at").agg(F.sum("n").alias("n"))
+    counts: dict[int, np.ndarray] = {g: np.zeros((n_features, width)) for g in cuts}
+    for r in added.collect():                                   # the pool's size again
+        counts[r["group"]][divmod(r["at"], width)] = r["n"]
+    first, last, ranks = {}, {}, []
+    for g, c in counts.items():
+        total, upto = c.sum(1), np.cumsum(c, axis=1)
+        low, high = np.floor((total - 1) / 2), np.ceil((total - 1) / 2)
+        first[g], last[g] = (upto <= low[:, None]).sum(1), (upto <= high[:, None]).sum(1)
+        for j in np.flatnonzero(total):
+            below = upto[j, first[g][j] - 1] if first[g][j] else 0.0
+            ranks.append((int(g), int(j), int(low[j] - below), int(high[j] - below)))
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = np.array(batch.column(0))
+            x = _matrix(batch.column(1), len(groups), n_features)
+            for g in np.unique(groups).tolist():
+                mine = x[groups == g]
+                for j in range(n_features):
+                    v = mine[:, j]
+                    v = v[~np.isnan(v)]
+                    at = np.searchsorted(cuts[g][j], v, side="left")
+                    value, n = np.unique(v[(at >= first[g][j]) & (at <= last[g][j])], return_counts=True)
+                    if len(value):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), g), pa.int32()), pa.array(np.full(len(value), j), pa.int32()),
+                                                          pa.array(value), pa.array(n, pa.int64())], names=["group", "column", "value", "n"])
+
+    if not ranks:
+        return {}
+    values = rows.mapInArrow(inside, "group int, column int, value double, n long").groupBy("group", "column", "value").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("group", "column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wanted = train.sparkSession.createDataFrame(ranks, "group int, column int, low long, high long")
+    ends = values.withColumn("upto", upto).join(wanted, ["group", "column"]).groupBy("group", "column").agg(
+        F.min(F.when(F.col("upto") > F.col("low"), F.col("value"))).alias("lo"), F.min(F.when(F.col("upto") > F.col("high"), F.col("value"))).alias("hi"))
+    out: dict[int, dict[int, float]] = {}
+    for r in ends.collect():
+        out.setdefault(r["group"], {})[r["column"]] = r["lo"] if r["lo"] == r["hi"] else r["lo"] + (r["hi"] - r["lo"]) * 0.5
+    return out
 
 
 def binned_rows(rows: DataFrame, n_features: int, bins: int) -> DataFrame:
@@ -93,27 +164,22 @@ def binned_rows(rows: DataFrame, n_features: int, bins: int) -> DataFrame:
     if not 2 <= bins <= 256:
         raise ValueError("2 to 256 bins")
     train = rows.where("train")
-    clean = [F.when(~F.isnan(F.get("x", F.lit(j))), F.get("x", F.lit(j))) for j in range(n_features)]
-    probs = [(k + 1) / bins for k in range(bins - 1)]
-    cuts = train.groupBy("group").agg(F.array(*[F.coalesce(F.percentile_approx(c, probs, 1000), F.array().cast("array<double>")) for c in clean]).alias("cuts"))
-    middle = medians(train, n_features).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("column", "median"))).alias("middle"))
-    # a row per group of the pool, a number per feature and cut: the pool's size, not the table's
-    known = {r["group"]: ([np.unique(np.array(c)) for c in r["cuts"]], r["middle"]) for r in cuts.join(middle, "group", "left").collect()}
+    cuts = cut_points(train, n_features, bins)
+    middle = medians(train, n_features, cuts)
     out = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = np.array(batch.column("group"))
-            x = batch.column("x")
-            flat = np.array(x.flatten().fill_null(np.nan), np.float64).reshape(len(groups), n_features)
+            flat = _matrix(batch.column("x"), len(groups), n_features)
             made = np.zeros(flat.shape, np.uint8)
-            for g in np.unique(groups):
-                at = groups == g
-                edges, middle = known[int(g)]
+            for g in np.unique(groups).tolist():
+                at = np.flatnonzero(groups == g)
+                known = middle.get(g, {})
                 for j in range(n_features):
                     v = flat[at, j]
-                    v = np.where(np.isnan(v), (middle or {}).get(j, 0.0), v)
-                    made[at, j] = np.searchsorted(edges[j], v, side="left")
+                    v = np.where(np.isnan(v), known.get(j, 0.0), v)
+                    made[at, j] = np.searchsorted(cuts[g][j], v, side="left")
             data = [pa.array([r.tobytes() for r in made], pa.binary()) if n == "x" else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(data, names=batch.schema.names)
 
@@ -189,70 +255,112 @@ def _gradients(target: str, score: np.ndarray, y: np.ndarray, size: np.ndarray)
     return score - size, np.ones(len(score))
 
 
-def _level(state: DataFrame, models: list[Model], since: int, growing: list[dict], columns: list[np.ndarray],
-           nodes: list[list[int]], s: Settings) -> list:
-    """Best splits of the given nodes of every model: one job."""
-    by_group: dict[int, list[int]] = {}
-    for m, model in enumerate(models):
-        if nodes[m]:
-            by_group.setdefault(model.group, []).append(m)
-    recent = [m.trees[since:] for m in models]
-    targets, starts = [m.target for m in models], [m.start for m in models]
+def _blocks(binned: DataFrame, starts: dict[tuple[int, str], float]):
+    """The training rows as an RDD of blocks ``(group, x, y, size, scores)``: rows
+    of one group, ``x`` by feature and row, scores by target.  Large groups lie in
+    several tasks, and a task meets few groups."""
+    sc = binned.sparkSession.sparkContext
+    schema = "group int, n int, x binary, y binary, size binary"
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], np.ndarray] = {}
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = np.array(batch.column(0))
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(groups), -1) if len(groups) else np.empty((0, 1), np.uint8)
-            y, size, up, value = (np.array(batch.column(k), np.float64) for k in range(2, 6))
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(groups), -1) if len(groups) else None
+            y, size = (np.array(batch.column(k), np.float64) for k in (2, 3))
             for g in np.unique(groups).tolist():
-                mine = np.flatnonzero(groups == g)
-                for m in by_group.get(g, ()):
-                    xm, rows = x[mine], np.arange(len(mine))
-                    score = (up if targets[m] == "up" else value)[mine] + starts[m] + apply_trees(recent[m], xm)
-                    grad, hess = _gradients(targets[m], score, y[mine], size[mine])
-                    node, cols = node_of(growing[m], xm, rows), columns[m]
-                    for k in nodes[m]:
-                        at = np.flatnonzero(node == k)
-                        if not len(at):
-                            continue
-                        cell = (xm[at][:, cols] + s.bins * np.arange(len(cols))[None, :]).ravel()
-                        n = len(cols) * s.bins
-                        part = np.stack([np.bincount(cell, np.repeat(w, len(cols)), n) for w in (grad[at], hess[at], np.ones(len(at)))], 1)
-                        key = m, k
-                        found[key] = found[key] + part if key in found else part
-        for (m, k), part in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([k], pa.int32()), pa.array([part.ravel()], pa.list_(pa.float64()))],
-                                             names=["model", "node", "sums"])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for m, k, data in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2)):
-                got = best_split(np.array(data.values).reshape(len(columns[m]), s.bins, 3), s)
-                if got:
-                    f, b, gain, left, right = got
-                    out.append((m, k, int(columns[m][f]), b, gain, *map(float, left), *map(float, right)))
-            if out:
-                kinds = [pa.int32()] * 4 + [pa.float64()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
+                at = np.flatnonzero(groups == g)
+                cells = [[g], [len(at)], [x[at].tobytes()], [y[at].tobytes()], [size[at].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.int32()] * 2 + [pa.binary()] * 3)], names=["group", "n", "x", "y", "size"])
+
+    def merged(rows):
+        held = []
+
+        def block():
+            g = held[0]["group"]
+            x = np.concatenate([np.frombuffer(bytes(r["x"]), np.uint8).reshape(r["n"], -1) for r in held])
+            y, size = (np.concatenate([np.frombuffer(bytes(r[c]), np.float64) for r in held]) for c in ("y", "size"))
+            return (g, np.ascontiguousarray(x.T), y, size, {t: np.full(len(y), starts[g, t]) for t in ("up", "size") if (g, t) in starts})
+
+        for r in rows:
+            if held and (held[0]["group"] != r["group"] or sum(h["n"] for h in held) + r["n"] > BLOCK):
+                yield block()
+                held = []
+            held.append(r)
+        if held:
+            yield block()
+
+    train = binned.where("train").where(F.col("group").isin([g for g, _ in starts])).select(F.col("group").cast("int").alias("group"), "x", F.col("y").cast("double").alias("y"), F.col("size").cast("double").alias("size"))
+    weight = train.agg(F.sum(F.length("x") + 40)).head()[0] or 0
+    parts = max(sc.defaultParallelism, weight // PART_BYTES + 1)
+    dealt = train.repartitionByRange(parts, "group", F.xxhash64("x", "y", "size")).sortWithinPartitions("group")
+    return dealt.mapInArrow(pack, schema).rdd.mapPartitions(merged)
+
+
+def histograms(x: np.ndarray, columns: np.ndarray, slot: np.ndarray, slots: int, grad: np.ndarray, hess: np.ndarray, bins: int) -> np.ndarray:
+    """(slot, column, bin, [G, H, n]) of the rows, whose node is ``slot``."""
+    out = np.empty((slots, len(columns), bins, 3))
+    base = slot * bins
+    for j, c in enumerate(columns):
+        cell = base + x[c]
+        for k, weight in enumerate((grad, hess, None)):
+            out[:, j, :, k] = np.bincount(cell, weight, slots * bins).reshape(slots, bins)
+    return out
+
+
+def _level(state, models: list[Model], growing: list[dict], columns: list[np.ndarray], nodes: list[list[int]], s: Settings, parts: int) -> list:
+    """Best splits of the given nodes of every model: one job."""
+    # only what the tasks need, pickled once for all of them
+    work: dict[int, list[tuple]] = {}
+    for m, model in enumerate(models):
+        if nodes[m]:
+            work.setdefault(model.group, []).append((m, model.target, growing[m], columns[m], np.array(sorted(nodes[m]))))
+    chosen = {m: columns[m] for m in range(len(models)) if nodes[m]}
 
-    parts = state.where("train").select("group", "x", "y", "size", "up", "value").mapInArrow(sums, "model int, node int, sums array<double>")
-    added = parts.groupBy("model", "node").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-    return added.mapInArrow(choose, NODE_SCHEMA).collect()          # a row for each node of the level
+    def sums(blocks):
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for group, x, y, size, score in blocks:
+            rows = np.arange(len(y))
+            for m, target, tree, cols, active in work.get(group, ()):
+                place = np.full(len(tree["feature"]), -1, np.int64)
+                place[active] = np.arange(len(active))
+                slot = place[node_of(tree, x.T, rows)]
+                at = np.flatnonzero(slot >= 0)
+                if not len(at):
+                    continue
+                grad, hess = _gradients(target, score[target][at], y[at], size[at])
+                part = histograms(x if len(at) == len(rows) else x[:, at], cols, slot[at], len(active), grad, hess, s.bins)
+                for k in np.unique(slot[at]).tolist():
+                    key = m, int(active[k])
+                    if key in found:
+                        found[key] += part[k]
+                    else:
+                        found[key] = part[k].copy()
+        return found.items()
+
+    def choose(added):
+        for (m, k), part in added:
+            got = best_split(part, s)
+            if got:
+                f, b, gain, left, right = got
+                yield m, k, int(chosen[m][f]), b, gain, tuple(map(float, left)), tuple(map(float, right))
+
+    return state.mapPartitions(sums).reduceByKey(np.add, parts).mapPartitions(choose).collect()          # a row for each node of the level
 
 
 def fit(binned: DataFrame, models: list[Model], s: Settings = Settings()) -> DataFrame:
     """Grow ``s.rounds`` trees of every model (in place).  Returns the rows with
-    their scores ``up`` and ``value`` so far."""
+    their scores ``up`` and ``value``."""
+    spark = binned.sparkSession
+    ensure_checkpoint_dir(spark)
     starts = {r["group"]: r for r in binned.where("train").groupBy("group").agg(
         F.avg("y").alias("y"), F.avg("size").alias("size")).collect()}
     for m in models:
         row = starts[m.group]
         share = min(max(row["y"], 1e-15), 1 - 1e-15)
         m.start = float(np.log(share / (1 - share))) if m.target == "up" else float(row["size"])
-    state = binned.withColumns({"up": F.lit(0.0), "value": F.lit(0.0)}).persist(StorageLevel.MEMORY_AND_DISK)
-    kept = 0
+    blocks = _blocks(binned, {(m.group, m.target): m.start for m in models}).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = min(blocks.getNumPartitions(), max(spark.sparkContext.defaultParallelism, 2 * len(models)))
+    state, before = blocks, None
     for r in range(s.rounds):
         columns = [np.sort(np.random.default_rng([s.seed, r, m.key]).choice(m.allowed, max(1, round(s.columns * len(m.allowed))), replace=False))
                    for m in models]
@@ -261,13 +369,14 @@ def fit(binned: DataFrame, models: list[Model], s: Settings = Settings()) -> Dat
         for _ in range(s.depth):
             if not any(nodes):
                 break
-            rows = _level(state, models, kept, growing, columns, nodes, s)
+            rows = _level(state, models, growing, columns, nodes, s, parts)
+            if before is not None:                  # the blocks of this round are kept now
+                before.unpersist()
+                before = None
             nodes = [[] for _ in models]
-            for x in rows:
-                m, k = x["model"], x["node"]
-                left, right = (x["gl"], x["hl"], x["nl"]), (x["gr"], x["hr"], x["nr"])
-                splits[m][k] = x["gain"], x["feature"], x["bin"], left, right
-                growing[m]["feature"][k], growing[m]["bin"][k] = x["feature"], x["bin"]
+            for m, k, feature, at, gain, left, right in rows:
+                splits[m][k] = gain, feature, at, left, right
+                growing[m]["feature"][k], growing[m]["bin"][k] = feature, at
                 nodes[m] += [c for c, side in ((2 * k, left), (2 * k + 1, right)) if side[2] >= 2 * s.min_rows]
         for m, model in enumerate(models):
             tree, taken = _empty_tree(s.depth), leaf_first(splits[m], s.leaves)
@@ -277,11 +386,27 @@ def fit(binned: DataFrame, models: list[Model], s: Settings = Settings()) -> Dat
                 for child, (g, h, _) in ((2 * k, left), (2 * k + 1, right)):
                     tree["value"][child] = -s.rate * shrunk(g, s) / (h + s.l2)
             model.trees.append(tree)
-        if (r + 1) % KEEP == 0 or r + 1 == s.rounds:
-            new = materialize(_scored(state, models, kept)).persist(StorageLevel.MEMORY_AND_DISK)
-            state.unpersist()
-            state, kept = new, r + 1
-    return state
+        if r + 1 < s.rounds:
+            before, state = state, _grown(state, models).persist(StorageLevel.MEMORY_AND_DISK)
+            if (r + 1) % KEEP == 0:
+                state.checkpoint()
+    state.unpersist()
+    if before is not None:
+        before.unpersist()
+    return materialize(_scored(binned.withColumns({"up": F.lit(0.0), "value": F.lit(0.0)}), models, 0))
+
+
+def _grown(state, models: list[Model]):
+    """The blocks with the last round's trees added to their scores."""
+    last: dict[int, list[tuple]] = {}
+    for m in models:
+        last.setdefault(m.group, []).append((m.target, m.trees[-1]))
+
+    def run(block):
+        group, x, y, size, score = block
+        return group, x, y, size, {t: score[t] + apply_trees([tree], x.T) for t, tree in last[group]}
+
+    return state.map(run)
 
 
 def _scored(state: DataFrame, models: list[Model], since: int) -> DataFrame:

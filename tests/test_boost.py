@@ -128,3 +128,34 @@ def test_folds_by_hand(spark):
     assert test == usable[int(n * 0.8):]
     assert all(r.accuracy > 0.8 for r in study.folds.collect())
     assert study.fits[0].losses["log_loss"] < 0.7 * study.fits[0].losses["log_loss_of_share"]
+
+
+def test_exact_medians_and_few_values_exchanged(spark):
+    """Medians of each group's training rows, from even and odd numbers of rows, heavy values and missing ones."""
+    rnd = np.random.default_rng(7)
+    rows = []
+    for g, n in ((0, 1001), (3, 500), (5, 1)):
+        x = np.stack([rnd.normal(size=n), rnd.integers(0, 3, n).astype(float), np.where(rnd.random(n) < 0.4, np.nan, rnd.random(n)),
+                      np.full(n, np.nan), rnd.integers(0, 2, n) * 100.0], 1)
+        rows += [(i, g, True, 0.0, 0.0, [None if np.isnan(v) and i % 2 else float(v) for v in r]) for i, r in enumerate(x)]
+    train = frame(spark, rows).repartition(6)
+    got = B.medians(train, 5, B.cut_points(train, 5, 16))
+    for g in (0, 3, 5):
+        x = np.array([[np.nan if v is None else v for v in r[5]] for r in rows if r[1] == g])
+        for j in range(5):
+            mine = x[:, j][~np.isnan(x[:, j])]
+            assert (j not in got[g]) if not len(mine) else got[g][j] == pytest.approx(np.median(mine), abs=1e-12)
+
+
+def test_a_round_passes_its_trees_once(spark, monkeypatch):
+    """The rows' scores are kept from round to round: a level's job takes along the tree that grows, not those before."""
+    rnd = np.random.default_rng(2)
+    rows = [(i, 0, True, float(x[0] > 0), float(x[0]), [float(v) for v in x]) for i in range(300) for x in [rnd.normal(size=3)]]
+    seen, level = [], B._level
+    monkeypatch.setattr(B, "_level", lambda state, *a: seen.append(state) or level(state, *a))
+    models = [B.Model(0, "up", [0, 1, 2])]
+    B.fit(B.binned_rows(frame(spark, rows), 3, 8), models, B.Settings(rounds=12, rate=0.3, depth=2, min_rows=10, columns=1.0))
+    for state, r in [(seen[0], 0), (seen[-1], 11)]:
+        for group, x, y, size, score in state.collect():
+            assert score["up"] == pytest.approx(models[0].start + B.apply_trees(models[0].trees[:r], x.T))
+    assert len({id(s) for s in seen}) == 12 and seen[-1].getStorageLevel().useMemory is False
