@@ -105,13 +105,13 @@ def fit_all(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig =
         here = DS.usable_target(p["spec"].spread, p["spec"].window, "idx", cfg.burn_in) & (idx <= p["to"])
         return F.when(here, F.struct(F.lit(g).alias("group"), (idx < p["from"]).alias("train"), (spread > 0).cast("double").alias("y"), spread.alias("size")))
 
-    each = F.explode(F.filter(F.array(*[member(g, p) for g, p in enumerate(parts)]), lambda e: e.isNotNull()))
     x = F.array(*[col(c).cast("double") for c in columns]).alias("x")
-    rows = wide.select("idx", "ts", x, each.alias("e")).select("idx", "ts", "x", "e.group", "e.train", "e.y", "e.size")
-    width = max(2, int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # by group, large ones over several partitions: a task meets few models, and holds few sums
-    dealt = BO.binned_rows(rows, len(columns), cfg.bins).repartitionByRange(width, "group", "idx")
-    binned = materialize(dealt)
+    members = F.filter(F.array(*[member(g, p) for g, p in enumerate(parts)]), lambda e: e.isNotNull()).alias("e")
+    # a stored table may be a few files of one row group each; its rows are binned by all cores
+    spread = max(2 * wide.sparkSession.sparkContext.defaultParallelism, wide.count() // 20_000)
+    rows = (wide.select("idx", "ts", x, members).repartition(spread, "idx").withColumn("e", F.explode("e"))
+            .select("idx", "ts", "x", "e.group", "e.train", "e.y", "e.size"))
+    binned = materialize(BO.binned_rows(rows, len(columns), cfg.bins))
     models = []
     for g, p in enumerate(parts):
         allowed = [k for k, c in enumerate(columns) if c in names[p["spec"].name]]
@@ -128,7 +128,6 @@ def fit_all(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig =
         F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log1p(-p))).alias("log_loss"),
         (-share * F.log(share) - (1 - share) * F.log1p(-share)).alias("log_loss_of_share"),
         F.avg(F.pow(F.col("value") - F.col("size"), F.lit(2.0))).alias("squared"), F.var_pop("size").alias("squared_of_mean")).collect()}
-    state.unpersist()
     by = {(m.group, m.target): m for m in models}
     up = F.when(F.col("up") > 0.5, 1).otherwise(-1)
     fits = []
