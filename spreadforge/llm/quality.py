@@ -9,8 +9,9 @@ this quantile lies at ``CUT`` on the logistic scale.
 
 Features are read from the whole text alone (shares of character classes, word
 lengths, repetition of words, word triples and lines).  Labels are learnt from
-rows whose ``crc32(doc_id) mod 4`` is not 2, at most ``SAMPLE`` of them in hash
-order (a documented bound; scoring covers all rows).
+rows whose ``crc32(doc_id) mod 4`` is not 2, all of them: each row of the more
+frequent label meets ``PAIRS`` rows of the other, dealt in turn, so that every
+labelled row is in a pair.
 
 Defined results: null and empty texts have the features of no text and get a
 score like any other; rows without an id are scored and never learnt from;
@@ -24,15 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadforge.llm import bytetext as B
 from spreadforge.llm.tables import materialize, shuffled
+from spreadforge.operators.ordered import DEFAULT_CHUNK, row_index
+from spreadforge.operators.quantiles import exact_percentiles
 
 CUT = 0.7
-SAMPLE = 20_000
 PAIRS = 8
 REGULARIZATION = 1e-3
 CLIP = 6.0
@@ -114,16 +116,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def pairs(sample: DataFrame, per_good: int = PAIRS) -> DataFrame:
-    """``good, bad`` feature vectors: every good row of the bounded sample
-    against ``per_good`` bad ones chosen by hash."""
-    number = F.row_number().over(Window.orderBy("h", "doc_id")) - 1          # of at most SAMPLE rows
-    bad = materialize(sample.where("quality = 0").select(number.alias("k"), F.col("x").alias("bad")))
-    m = bad.count()
-    if m == 0:
-        return sample.select(F.col("x").alias("good"), F.col("x").alias("bad")).where("false")
-    good = sample.where("quality = 1").select(F.col("x").alias("good"), "h").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(per_good))))
-    return good.withColumn("k", F.pmod(F.xxhash64("h", "t"), F.lit(m)).cast("int")).join(bad, "k").select("good", "bad")
+def pairs(known: DataFrame, n_good: int, n_bad: int, each: int = PAIRS) -> DataFrame:
+    """``good, bad, t`` feature vectors: every row of the more frequent label
+    against ``each`` rows of the other one, dealt in turn in hash order, the
+    ``t``-th of its pairs."""
+    many, few = ("good", "bad") if n_good >= n_bad else ("bad", "good")
+    buckets = max(n_good, n_bad) // DEFAULT_CHUNK + 1
+    known = known.where("quality IN (0, 1)").select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("side"), "h", "doc_id", "x")
+    at = F.floor((F.col("h") / float(2 ** 64) + 0.5) * buckets)
+    rows = materialize(row_index(known, ["h", "doc_id"], by="side", bucket=at, name="k").select("side", "k", "x"))
+    dealt = (rows.where(F.col("side") == many).select("k", F.col("x").alias(many), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("t"))
+             .withColumn("k", F.pmod(F.col("k") * each + F.col("t"), F.lit(min(n_good, n_bad)))))
+    return dealt.join(rows.where(F.col("side") == few).select("k", F.col("x").alias(few)), "k").select("good", "bad", "t")
 
 
 class Ranker:
@@ -143,48 +147,49 @@ class Ranker:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-(raw + F.lit(float(shift)))))
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
-    """Learn from ``rows`` (``doc_id, x``) and ``labels`` (``doc_id,
+def fit(rows: DataFrame, labels: DataFrame) -> Ranker:
+    """Learn from all ``rows`` (``doc_id, x``) with ``labels`` (``doc_id,
     quality``), held-out rows left aside."""
     k = len(NAMES)
     known = (rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .join(shuffled(labels.where("quality is not null").select("doc_id", "quality")), "doc_id")
-             .withColumn("h", F.xxhash64("doc_id", F.lit(11))).orderBy("h", "doc_id").limit(sample))
+             .withColumn("h", F.xxhash64("doc_id", "x", F.lit(11))))
     known = materialize(known)
-    got = known.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.when(F.col("quality") == 0, 1.0).otherwise(0.0)), F.lit(0.0)).alias("bad"),
+    got = known.agg(F.count("*").alias("n"), *[F.count(F.when(F.col("quality") == q, 1)).alias(n) for q, n in ((1, "n_good"), (0, "n_bad"))], F.coalesce(F.avg(F.when(F.col("quality") == 0, 1.0).otherwise(0.0)), F.lit(0.0)).alias("bad"),
                     *[f(F.get("x", F.lit(i))).alias(f"{a}{i}") for i in range(k) for a, f in (("m", F.avg), ("s", F.stddev_pop))]).head()
     mean = np.array([got[f"m{i}"] or 0.0 for i in range(k)])
     scale = np.array([got[f"s{i}"] or 0.0 for i in range(k)])
     scale[scale < 1e-9] = 1.0
-    if not 0.0 < got["bad"] < 1.0:
+    if not (got["n_bad"] and got["n_good"]):
         return Ranker(mean, scale, np.zeros(k), 0.0)
     centre, width = (F.array(*[F.lit(float(v)) for v in a]) for a in (mean, scale))
     z = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.greatest(
         F.lit(-CLIP), F.least(F.lit(CLIP), (F.get("x", i) - F.get(centre, i)) / F.get(width, i))))
     known = materialize(known.withColumn("x", z))
-    won = pairs(known).select(F.zip_with("good", "bad", lambda a, b: a - b).alias("d"))
-    both = won.select("d", F.lit(1.0).alias("label")).unionByName(
-        won.select(F.transform("d", lambda v: -v).alias("d"), F.lit(0.0).alias("label")))
-    train = materialize(both).select(array_to_vector("d").alias("features"), "label")
+    # a won pair and the same pair lost have one loss: every other pair is turned, so that both labels occur
+    turned = F.col("t") % 2 == 1
+    won = pairs(known, got["n_good"], got["n_bad"]).select(F.zip_with("good", "bad", lambda a, b: F.when(turned, b - a).otherwise(a - b)).alias("d"),
+                                                           F.when(turned, 0.0).otherwise(1.0).alias("label"))
+    train = materialize(won).select(array_to_vector("d").alias("features"), "label")
     model = LogisticRegression(fitIntercept=False, standardization=False, regParam=REGULARIZATION, maxIter=100).fit(train)
     weight = model.coefficients.toArray()
     raw = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weight]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    ranked = np.sort(np.array([r["raw"] for r in known.select(raw.alias("raw")).collect()]))      # at most SAMPLE numbers
-    at = int(round(got["bad"] * len(ranked)))
-    threshold = (ranked[at - 1] + ranked[at]) / 2 if 0 < at < len(ranked) else ranked[min(at, len(ranked) - 1)]
+    # halfway between the last of the rejected and the first of the kept
+    at = min(max(int(round(got["bad"] * got["n"])), 1), got["n"] - 1)
+    threshold = exact_percentiles(known.select(raw.alias("raw")), "raw", [(at - 0.5) / (got["n"] - 1)], names=["cut"]).head()["cut"]
     return Ranker(mean, scale, weight, float(threshold))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document row: ``doc_id, held_out, score, predicted``."""
     rows = materialize(featurize(docs, "doc_id"))
-    score = fit(rows, labels, sample).score(F.col("x"))
+    score = fit(rows, labels).score(F.col("x"))
     return (rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
             .withColumn("predicted", F.when(F.col("score") >= CUT, 1).otherwise(0)))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, all columns kept."""
-    ranker = fit(materialize(featurize(docs, "doc_id")), labels, sample)
+    ranker = fit(materialize(featurize(docs, "doc_id")), labels)
     scored = featurize(docs.select(F.struct(*docs.columns).alias("whole"), F.col("text").alias("text")), "whole")
     return scored.where(ranker.score(F.col("x")) >= CUT).select("whole.*")

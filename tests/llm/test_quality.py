@@ -50,3 +50,32 @@ def test_features_of_single_texts_equal_features_of_a_batch():
     for i, t in enumerate(texts):
         (_, _, data, off), = bytetext.chunks(pa.array([t]))
         np.testing.assert_allclose(quality.features(data, off)[0], every[i])
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """More rows than the sample of 20,000 that was taken before: each of them is in a pair, of either label."""
+    n = 30_000
+    known = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(1).alias("quality"),
+                                  F.xxhash64("id").alias("h"), F.array(F.col("id").cast("double")).alias("x"))
+    for rows, good, bad in [(known, 20_000, 10_000), (known.withColumn("quality", 1 - F.col("quality")), 10_000, 20_000)]:
+        got = quality.pairs(rows, good, bad).agg(F.count("*").alias("n"), F.countDistinct("good").alias("good"), F.countDistinct("bad").alias("bad")).head()
+        assert got.n == 20_000 * quality.PAIRS and got.good == good and got.bad == bad
+    few = quality.pairs(known.where("doc_id < 4"), 2, 2).collect()
+    assert len(few) == 2 * quality.PAIRS and {r.good[0] for r in few} == {1.0, 2.0} and {r.bad[0] for r in few} == {0.0, 3.0}
+
+
+def test_threshold_and_scale_come_from_all_rows(spark):
+    """Means, and the threshold between the shares of the labels, over more than 20,000 rows."""
+    n = 32_000
+    x = F.array(*[(F.xxhash64("id", F.lit(j)) % 1000 / 1000.0 + F.when((F.lit(j) == 0) & (F.col("id") % 4 == 0), -2.5).otherwise(0.0)).alias(str(j))
+                  for j in range(len(quality.NAMES))])
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), x.alias("x")).cache()
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, 0).otherwise(1).alias("quality"))
+    learnt = rows.where(~quality.held_out(F.col("doc_id")))
+    assert learnt.count() > 20_000
+    ranker = quality.fit(rows, labels)
+    mean = learnt.agg(*[F.avg(F.get("x", F.lit(j))).alias(str(j)) for j in range(len(quality.NAMES))]).head()
+    np.testing.assert_allclose(ranker.mean, list(mean), atol=1e-9)
+    both = learnt.join(labels, "doc_id").agg(F.avg((ranker.score(F.col("x")) < quality.CUT).cast("double")).alias("rejected"),
+                                             F.avg((F.col("quality") == 0).cast("double")).alias("bad")).head()
+    assert abs(both.rejected - both.bad) < 1e-9
