@@ -31,11 +31,13 @@ from pyspark.sql import types as T
 
 from spreadforge.llm import bytetext as B
 from spreadforge.llm.tables import materialize, shuffled
-from spreadforge.operators.ordered import DEFAULT_CHUNK, row_index
+from spreadforge.operators.ordered import row_index
 from spreadforge.operators.quantiles import exact_percentiles
 
 CUT = 0.7
 PAIRS = 8
+#: rows that are numbered together
+PIECE = 1_000
 REGULARIZATION = 1e-3
 CLIP = 6.0
 
@@ -121,7 +123,7 @@ def pairs(known: DataFrame, n_good: int, n_bad: int, each: int = PAIRS) -> DataF
     against ``each`` rows of the other one, dealt in turn in hash order, the
     ``t``-th of its pairs."""
     many, few = ("good", "bad") if n_good >= n_bad else ("bad", "good")
-    buckets = max(n_good, n_bad) // DEFAULT_CHUNK + 1
+    buckets = max(n_good, n_bad) // PIECE + 1
     known = known.where("quality IN (0, 1)").select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("side"), "h", "doc_id", "x")
     at = F.floor((F.col("h") / float(2 ** 64) + 0.5) * buckets)
     rows = materialize(row_index(known, ["h", "doc_id"], by="side", bucket=at, name="k").select("side", "k", "x"))
