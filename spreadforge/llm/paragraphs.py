@@ -39,6 +39,8 @@ repeated rows (same id, same text) count as one document and all get its
 result; null ids come last in order; other columns are kept or ignored."""
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -59,6 +61,8 @@ CHOICE = 13
 CONTEXT = 13
 PACKED = 5
 BLOCK = 1024
+#: bytes of text, or of results, that a Python worker holds at once besides the Arrow batch it reads
+CHUNK = 1 << 18
 
 
 def _lines(text: np.ndarray, start: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +127,19 @@ def _bands(s: np.ndarray, first: np.ndarray, last: np.ndarray, bands: int, rows:
     return out
 
 
+def _together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to some of about ``CHUNK`` bytes."""
+    have, size = [], 0
+    for part in parts:
+        have.append(part)
+        size += part.nbytes
+        if size >= CHUNK:
+            yield from pa.Table.from_batches(have).combine_chunks().to_batches()
+            have, size = [], 0
+    if have:
+        yield from pa.Table.from_batches(have).combine_chunks().to_batches()
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_id("doc_id", "text")["a"].alias("row"), "text")
 
@@ -137,7 +154,7 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
-            for first, end, data, off in B.chunks(batch.column(2)):
+            for first, end, data, off in B.chunks(batch.column(2), CHUNK):
                 h, start, stop, text = tokens_at(data, off)
                 if kind == "piece":
                     a = _pieces(h, text, len(off) - 1, piece, choice)
@@ -178,9 +195,8 @@ def _line_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     wanted = members.groupBy("row").agg(F.collect_list(F.struct("g", "ca", "cb", "lo", "hi")).alias("lines"))
     texts = _source(docs).select("row", "text").join(shuffled(wanted), "row").dropDuplicates(["row"])
 
-    def run(batches):
+    def sets_of(batches):
         for batch in batches:
-            out = []
             for text, found in zip(batch.column("text"), batch.column("lines")):
                 h, start, end, _ = tokens_at(*_bytes(text))
                 g, ca, cb, lo, hi = found.values.flatten()
@@ -191,8 +207,10 @@ def _line_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                     if (x, y) not in sets:
                         sets[x, y] = np.unique(s[x:y - SHINGLE + 1]).view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
                 packed = pa.array([sets[k] for k in zip(a.tolist(), b.tolist())], pa.binary())
-                out.append(pa.RecordBatch.from_arrays([g, ca, cb, packed], names=["g", "ca", "cb", "s"]))
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+                yield pa.RecordBatch.from_arrays([g, ca, cb, packed], names=["g", "ca", "cb", "s"])
+
+    def run(batches):
+        return _together(sets_of(batches))
 
     return texts.select("text", "lines").mapInArrow(run, "g bigint, ca bigint, cb bigint, s binary")
 
@@ -227,15 +245,16 @@ def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
         g = t.column("g").to_numpy()
         cut = B.group_slices(g)
         ca, cb = t.column("ca").to_numpy(), t.column("cb").to_numpy()
-        s = t.column("s").to_pylist()
-        off = np.concatenate([[0], np.cumsum([len(x) // PACKED for x in s])])
-        values = np.zeros((off[-1], 8), np.uint8)
-        values[:, :PACKED] = np.frombuffer(b"".join(s), np.uint8).reshape(-1, PACKED)
-        values = values.view(np.int64).ravel()
+        s = t.column("s").combine_chunks()
+        _, ends, packed = s.buffers()
+        ends = np.frombuffer(ends, np.int32, len(s) + 1, s.offset * 4)
         out = []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if b - a > 1:
-                out += links(ca[a:b], cb[a:b], values[off[a]:off[b]], off[a:b + 1] - off[a])
+            if b - a > 1:                                        # one bucket at a time is unpacked
+                mine = np.frombuffer(packed, np.uint8, ends[b] - ends[a], ends[a]).reshape(-1, PACKED)
+                values = np.zeros((len(mine), 8), np.uint8)
+                values[:, :PACKED] = mine
+                out += links(ca[a:b], cb[a:b], values.view(np.int64).ravel(), (ends[a:b + 1] - ends[a]) // PACKED)
         return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in out], pa.int64()) for k in range(4)], names=names)
 
     def run(batches):
@@ -317,16 +336,17 @@ def _first_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
     wanted = first.groupBy(F.col("f.row").alias("row")).agg(F.collect_list(F.struct("ca", F.col("f.at").alias("at"))).alias("pieces"))
     texts = _source(docs).select("row", "text").join(shuffled(wanted), "row").dropDuplicates(["row"])
 
-    def run(batches):
+    def words_of(batches):
         for batch in batches:
-            out = []
             for text, found in zip(batch.column("text"), batch.column("pieces")):
                 h, _, _, _ = tokens_at(*_bytes(text))
                 ca, at = found.values.flatten()
                 words, size = _surroundings(h, at.to_numpy()).tobytes(), 4 * CONTEXT
                 sides = [pa.array([words[k:k + size] for k in range(s, len(words), 2 * size)], pa.binary()) for s in (0, size)]
-                out.append(pa.RecordBatch.from_arrays([ca, *sides], names=["ca", "before", "after"]))
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+                yield pa.RecordBatch.from_arrays([ca, *sides], names=["ca", "before", "after"])
+
+    def run(batches):
+        return _together(words_of(batches))
 
     return texts.select("text", "pieces").mapInArrow(run, "ca bigint, before binary, after binary")
 
@@ -441,45 +461,43 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(text_at)
             rows, every = batch.column(row_at), batch.column(row_at + 1)
-            count, hits = [np.empty(0, np.int64)], {}
-            for first, last, data, off in B.chunks(texts):
+            for first, last, data, off in B.chunks(batch.column(text_at), CHUNK):
                 h, start, end, text = tokens_at(data, off)
                 lines, _ = _lines(text, start, data)
-                count.append(np.bincount(text[lines[:-1][np.diff(lines) >= min_words]], minlength=last - first))
+                count = np.bincount(text[lines[:-1][np.diff(lines) >= min_words]], minlength=last - first)
                 at = np.searchsorted(text, np.arange(last - first + 1))
-                for k in range(last - first):
+                part = batch.slice(first, last - first)
+                removed, number, kept, sources = [], [], [], []
+                for k, whole in enumerate(part.column(text_at)):
+                    gone, src = [], []
                     if every[first + k].is_valid:
                         own = slice(at[k], at[k + 1])
-                        hits[first + k] = spans((h[own], start[own] - off[k], end[own] - off[k]), rows[first + k].as_py(), every[first + k])
-            removed, number, kept, sources = [], [], [], []
-            for k, text in enumerate(texts):
-                gone, src = hits.get(k, ([], []))
-                sources.append(src)
-                if not gone:
-                    removed.append(0)
-                    number.append(0)
-                    kept.append(text.as_py())
-                    continue
-                data, parts, pos, n, runs = text.as_py().encode(), [], 0, 0, 0
-                reach = -1
-                for lo, hi in gone:
-                    if lo > reach:
-                        runs += 1
-                        parts.append(data[pos:lo])
-                        n += hi - lo
-                        pos = reach = hi
-                    elif hi > reach:
-                        n += hi - reach
-                        pos = reach = hi
-                parts.append(data[pos:])
-                removed.append(n)
-                number.append(runs)
-                kept.append(b"".join(parts).decode())
-            more = [pa.array(np.concatenate(count)), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.string()),
-                    pa.array(sources, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:row_at] + more, names=batch.schema.names[:row_at] + names)
+                        gone, src = spans((h[own], start[own] - off[k], end[own] - off[k]), rows[first + k].as_py(), every[first + k])
+                    sources.append(src)
+                    if not gone:
+                        removed.append(0)
+                        number.append(0)
+                        kept.append(whole.as_py())
+                        continue
+                    own, parts, pos, n, runs = data[off[k]:off[k + 1]].tobytes(), [], 0, 0, 0
+                    reach = -1
+                    for lo, hi in gone:
+                        if lo > reach:
+                            runs += 1
+                            parts.append(own[pos:lo])
+                            n += hi - lo
+                            pos = reach = hi
+                        elif hi > reach:
+                            n += hi - reach
+                            pos = reach = hi
+                    parts.append(own[pos:])
+                    removed.append(n)
+                    number.append(runs)
+                    kept.append(b"".join(parts).decode())
+                more = [pa.array(count), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.string()),
+                        pa.array(sources, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(part.columns[:row_at] + more, names=batch.schema.names[:row_at] + names)
 
     schema = joined.select(*docs.columns).schema
     for name, kind in zip(names, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.ArrayType(T.LongType()))):

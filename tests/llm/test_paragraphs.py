@@ -1,7 +1,9 @@
 """Paragraph dedup against brute force and planted passages."""
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spreadforge.llm import paragraphs as P
@@ -135,3 +137,26 @@ def test_short_lines_and_blocks(spark):
     got = {r.doc_id: r for r in P.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.n_removed for i, r in got.items()} == {0: 0, 1: len(edited), 2: 0, 3: len(short), 4: 0, 5: len(other), 6: 0}
     assert [got[i].kept_in for i in (1, 3, 5)] == [[0], [2], [4]]
+
+
+def test_tasks_hold_small_parts_of_a_batch(spark, monkeypatch):
+    """Python workers work on a small part of an Arrow batch at a time and hand
+    results on in pieces, so they need a few MB and not a multiple of the batch."""
+    rnd = random.Random(18)
+    texts = [text(rnd, 300) for _ in range(500)] * 10
+    docs = spark.createDataFrame(list(enumerate(texts[480:520])), "doc_id long, text string")
+    made, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema, *more: made.append(run) or plain(df, run, schema, *more))
+    for kind in ("line", "piece"):
+        P.occurrences(docs, kind)
+    P.dedup_paragraphs(docs)
+    ids, spans = pa.array(range(len(texts))), pa.array([None] * len(texts), pa.list_(pa.struct([(x, pa.int64()) for x in ("lo", "hi", "kept_in", "src")])))
+    found = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["doc_id", "row", "text"])
+    cut = pa.RecordBatch.from_arrays([ids, pa.array(texts), ids, spans], names=["doc_id", "text", "row", "spans"])
+    for run, batch, n in ((made[0], found, len(texts)), (made[1], found, None), (made[-1], cut, len(texts))):
+        tracemalloc.start()
+        rows = [(out.num_rows, out.nbytes) for out in run(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 32 << 20 and max(size for _, size in rows) < 2 << 20
+        assert n is None or sum(k for k, _ in rows) == n
