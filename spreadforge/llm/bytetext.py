@@ -133,6 +133,20 @@ def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return x
 
 
+def first_smallest(key: np.ndarray, width: int) -> np.ndarray:
+    """Position of the first smallest value of every full window of ``width``
+    values."""
+    low, at = key, np.arange(len(key), dtype=np.int32)
+    have = 1
+    while have < width and len(low):
+        step = min(have, width - have)
+        later = low[step:] < low[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        low = np.minimum(low[step:], low[:-step])
+        have += step
+    return at
+
+
 def minimizers(key: np.ndarray, width: int) -> np.ndarray:
     """Positions that are the first smallest of some window of ``width``
     positions.  Equal windows choose equal positions, and every window has

@@ -43,6 +43,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,20 +84,17 @@ def _blocks(cut: np.ndarray, line: np.ndarray, text: np.ndarray) -> tuple[np.nda
     return cut[edge[:-1][many]], cut[edge[1:][many]]
 
 
-def _pieces(h: np.ndarray, text: np.ndarray, n_texts: int, piece: int, choice: int) -> np.ndarray:
+def _pieces(h: np.ndarray, text: np.ndarray, piece: int, choice: int) -> np.ndarray:
     """First words of the pieces: minimizers over three-word hashes, within
     each text."""
     n = len(h)
-    at = np.searchsorted(text, np.arange(n_texts + 1))
-    grams = np.zeros(max(n - 2, 0), np.uint64)
-    if n > 2:
-        grams = B.mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))
-    found = []
-    for t in np.flatnonzero(np.diff(at) >= piece):
-        a, b = int(at[t]), int(at[t + 1])
-        p = B.minimizers(grams[a:b - 2], choice) + a
-        found.append(p[p + piece <= b])
-    return np.concatenate(found) if found else np.empty(0, np.int64)
+    if n < choice + 2:
+        return np.empty(0, np.int64)
+    low = B.first_smallest(B.mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)), choice)
+    chosen = np.zeros(n, bool)
+    chosen[low[text[:len(low)] == text[choice + 1:]]] = True     # windows that end in the text they begin in
+    p = np.flatnonzero(chosen[:max(n - piece + 1, 0)])
+    return p[text[p] == text[p + piece - 1]]
 
 
 def _content(h: np.ndarray, first: np.ndarray, last: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +142,17 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_id("doc_id", "text")["a"].alias("row"), "text")
 
 
+def _entries(found: pa.ListArray) -> tuple[list[pa.Array], np.ndarray]:
+    """Fields of all structs of a list column, and the row of each."""
+    size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    return found.flatten().flatten(), np.repeat(np.arange(len(found)), size)
+
+
+def _binary(data: np.ndarray, cut: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:
+    """A column of the values that lie between the offsets ``cut`` of ``data``."""
+    return pa.Array.from_buffers(kind, len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
     """``ca`` (content), ``doc_id, row`` of every line or piece; for lines also
     the bytes ``lo, hi``, ``cb`` and ``bands``, for pieces the word ``at`` and
@@ -157,7 +166,7 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
             for first, end, data, off in B.chunks(batch.column(2), CHUNK):
                 h, start, stop, text = tokens_at(data, off)
                 if kind == "piece":
-                    a = _pieces(h, text, len(off) - 1, piece, choice)
+                    a = _pieces(h, text, piece, choice)
                     b = a + piece
                 else:
                     lines, line = _lines(text, start, data)
@@ -188,6 +197,21 @@ def occurrences(docs: DataFrame, kind: str, **opt) -> DataFrame:
     return _source(docs).mapInArrow(run, schema)
 
 
+def _packed_sets(s: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The sorted distinct values (40 bits) of the ranges ``first..last`` of
+    ``s``, packed, and the bytes of each."""
+    out, sizes = [], []
+    for x in range(0, len(first), 4096):
+        a, n = first[x:x + 4096], (last - first)[x:x + 4096]
+        at = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+        owner = np.repeat(np.arange(len(a), dtype=np.uint64), n)
+        key = np.unique(s[at] | owner << np.uint64(8 * PACKED))
+        out.append(key.view(np.uint8).reshape(-1, 8)[:, :PACKED].ravel())
+        sizes.append(np.bincount((key >> np.uint64(8 * PACKED)).astype(np.int64), minlength=len(a)) * PACKED)
+    size = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
+    return _binary(np.concatenate(out) if out else np.empty(0, np.uint8), np.concatenate([[0], np.cumsum(size)])), size
+
+
 def _line_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``g, ca, cb`` of ``members`` with ``s``, the sorted distinct shingle hashes
     of the content (40 bits each, packed), read from one of its texts (``row, lo,
@@ -197,17 +221,22 @@ def _line_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def sets_of(batches):
         for batch in batches:
-            for text, found in zip(batch.column("text"), batch.column("lines")):
-                h, start, end, _ = tokens_at(*_bytes(text))
-                g, ca, cb, lo, hi = found.values.flatten()
-                a, b = np.searchsorted(start, lo.to_numpy()), np.searchsorted(end, hi.to_numpy()) + 1
+            for first, last, data, off in B.chunks(batch.column(0), CHUNK):
+                (g, ca, cb, lo, hi), t = _entries(batch.column(1).slice(first, last - first))
+                h, start, end, _ = tokens_at(data, off)
+                a, b = np.searchsorted(start, lo.to_numpy() + off[t]), np.searchsorted(end, hi.to_numpy() + off[t]) + 1
                 s = _shingles(h, SHINGLE) >> np.uint64(24)
-                sets: dict = {}
-                for x, y in zip(a.tolist(), b.tolist()):
-                    if (x, y) not in sets:
-                        sets[x, y] = np.unique(s[x:y - SHINGLE + 1]).view(np.uint8).reshape(-1, 8)[:, :PACKED].tobytes()
-                packed = pa.array([sets[k] for k in zip(a.tolist(), b.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([g, ca, cb, packed], names=["g", "ca", "cb", "s"])
+                # a set is made once for all the buckets that hold its line
+                order = np.lexsort((b, a))
+                begins = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])[:len(order)]
+                number = np.empty(len(order), np.int64)
+                number[order] = np.cumsum(begins) - 1
+                packed, size = _packed_sets(s, a[order][begins], b[order][begins] - SHINGLE + 1)
+                edge = np.searchsorted(np.cumsum(size[number]), np.arange(CHUNK, int(size[number].sum()) + CHUNK, CHUNK))
+                edge = np.unique(np.concatenate([[0], np.minimum(edge + 1, len(order))]))
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    sets = packed.take(pa.array(number[x:y]))
+                    yield pa.RecordBatch.from_arrays([g.slice(x, y - x), ca.slice(x, y - x), cb.slice(x, y - x), sets], names=["g", "ca", "cb", "s"])
 
     def run(batches):
         return _together(sets_of(batches))
@@ -215,47 +244,88 @@ def _line_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return texts.select("text", "lines").mapInArrow(run, "g bigint, ca bigint, cb bigint, s binary")
 
 
+def _similar(values: np.ndarray, ends: np.ndarray, cut: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between the similar ones of the sets (``values`` between
+    ``ends``) of each bucket (sets between ``cut``)."""
+    size, members = np.diff(ends), np.diff(cut)
+    bucket = np.repeat(np.arange(len(members)), members)
+    first = cut[:-1][bucket]                                     # the first set of a bucket against all of it
+    owner = np.repeat(np.arange(len(size)), size)
+    key = values | bucket[owner].astype(np.uint64) << np.uint64(8 * PACKED)
+    hub = key[owner == first[owner]]
+    common = np.bincount(owner, weights=hub[np.minimum(np.searchsorted(hub, key), len(hub) - 1)] == key, minlength=len(size)) if len(hub) else np.zeros(len(size))
+    near = common >= similarity * (size + size[first] - common) - 1e-9
+    near[cut[:-1]] = True
+    v = np.flatnonzero(near & (first != np.arange(len(size))))
+    left, right = [first[v]], [v]
+    for k in np.unique(bucket[~near]).tolist():
+        a, b = int(cut[k]), int(cut[k + 1])
+        if b - a > 2:
+            u, v = _others(values[ends[a]:ends[b]], size[a:b], near[a:b], similarity)
+            left.append(u + a)
+            right.append(v + a)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _others(values: np.ndarray, size: np.ndarray, near: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of one bucket's sets that are not ``near`` its first one,
+    with all others: shared values counted by products of 0/1 matrices, some
+    values at a time."""
+    n, todo = len(size), np.flatnonzero(~near)
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
+    order = np.argsort(values, kind="stable")
+    value, owner = values[order], owner[order]
+    begins = np.concatenate([[True], value[1:] != value[:-1]])[:len(value)]
+    number = np.cumsum(begins) - 1
+    held = np.bincount(number) > 1                               # values of one set only are not shared
+    column = (np.cumsum(held) - 1)[number]
+    owner, column = owner[held[number]], column[held[number]]
+    kind = np.float32 if size.max() < 1 << 24 else np.float64    # counts are exact
+    common = np.zeros((len(todo), n), kind)
+    width = max(64, CHUNK // n)
+    for x in range(0, int(held.sum()), width):
+        i, j = np.searchsorted(column, (x, x + width))
+        has = np.zeros((n, min(width, int(held.sum()) - x)), kind)
+        has[owner[i:j], column[i:j] - x] = 1
+        common += has[todo] @ has.T
+    label = np.where(near, 0, np.arange(n))
+    left, right = [], []
+    for at, one in enumerate(todo.tolist()):
+        mine = common[at].astype(np.float64)
+        for other in np.flatnonzero((mine >= similarity * (size[one] + size - mine) - 1e-9) & (label != label[one])).tolist():
+            if label[other] != label[one]:
+                left.append(one)
+                right.append(other)
+                label[label == label[other]] = label[one]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def _verified(buckets: DataFrame, similarity: float) -> DataFrame:
     """Spanning links of each bucket (``g``): lines with similar shingle sets."""
     names = ["ua", "ub", "va", "vb"]
 
-    def links(ca, cb, values, cut):
-        n, size = len(ca), np.diff(cut)
-        owner = np.repeat(np.arange(n), size)
-        label, todo, out = np.arange(n), [0], []
-        done = np.zeros(n, bool)
-        while todo:
-            hub = todo.pop()
-            if done[hub] or (label == label[0]).all():
-                continue
-            done[hub] = True
-            mine = values[cut[hub]:cut[hub + 1]]
-            at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
-            common = np.bincount(owner, weights=mine[at] == values, minlength=n)
-            near = common >= similarity * (size + len(mine) - common) - 1e-9
-            for k in np.flatnonzero(near).tolist():
-                if label[k] != label[hub]:
-                    out.append((hub, k))
-                    label[label == label[k]] = label[hub]
-            if hub == 0:
-                todo += np.flatnonzero(~near).tolist()
-        return [(ca[i], cb[i], ca[j], cb[j]) for i, j in out]
-
     def work(t: pa.Table):
         g = t.column("g").to_numpy()
         cut = B.group_slices(g)
         ca, cb = t.column("ca").to_numpy(), t.column("cb").to_numpy()
         s = t.column("s").combine_chunks()
         _, ends, packed = s.buffers()
-        ends = np.frombuffer(ends, np.int32, len(s) + 1, s.offset * 4)
-        out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if b - a > 1:                                        # one bucket at a time is unpacked
+        ends = np.frombuffer(ends, np.int32, len(s) + 1, s.offset * 4).astype(np.int64)
+        left, right = [], []
+        at = 0
+        while at < len(cut) - 1:                                 # some buckets at a time are unpacked
+            stop = max(int(np.searchsorted(ends[cut], ends[cut[at]] + CHUNK, side="right")) - 1, at + 1)
+            a, b = int(cut[at]), int(cut[stop])
+            if b - a > stop - at:
                 mine = np.frombuffer(packed, np.uint8, ends[b] - ends[a], ends[a]).reshape(-1, PACKED)
                 values = np.zeros((len(mine), 8), np.uint8)
                 values[:, :PACKED] = mine
-                out += links(ca[a:b], cb[a:b], values.view(np.int64).ravel(), (ends[a:b + 1] - ends[a]) // PACKED)
-        return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in out], pa.int64()) for k in range(4)], names=names)
+                u, v = _similar(values.view(np.uint64).ravel(), (ends[a:b + 1] - ends[a]) // PACKED, cut[at:stop + 1] - a, similarity)
+                left.append(u + a)
+                right.append(v + a)
+            at = stop
+        u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ca[u], cb[u], ca[v], cb[v])], names=names)
 
     def run(batches):
         rest = None
@@ -322,12 +392,12 @@ def _signs(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 
 
-def _surroundings(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Signs of ``CONTEXT`` words on both sides of the pieces at words ``at``, 0
-    beyond the text (pieces x words)."""
-    pad = np.zeros(CONTEXT, np.uint32)
-    own = np.concatenate([pad, _signs(h), pad])
-    return own[at[:, None] + np.concatenate([np.arange(CONTEXT), np.arange(CONTEXT) + CONTEXT + PIECE])]
+def _surroundings(h: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Signs of ``CONTEXT`` words on both sides of the pieces at words ``at`` of
+    a run of texts, 0 beyond the text (pieces x words)."""
+    own = np.zeros(len(h) + CONTEXT * (int(text[-1]) + 2 if len(text) else 1), np.uint32)
+    own[np.arange(len(h)) + CONTEXT * (text + 1)] = _signs(h)
+    return own[(at + CONTEXT * text[at])[:, None] + np.concatenate([np.arange(CONTEXT), np.arange(CONTEXT) + CONTEXT + PIECE])]
 
 
 def _first_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -338,11 +408,12 @@ def _first_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
 
     def words_of(batches):
         for batch in batches:
-            for text, found in zip(batch.column("text"), batch.column("pieces")):
-                h, _, _, _ = tokens_at(*_bytes(text))
-                ca, at = found.values.flatten()
-                words, size = _surroundings(h, at.to_numpy()).tobytes(), 4 * CONTEXT
-                sides = [pa.array([words[k:k + size] for k in range(s, len(words), 2 * size)], pa.binary()) for s in (0, size)]
+            for first, last, data, off in B.chunks(batch.column(0), CHUNK):
+                (ca, at), t = _entries(batch.column(1).slice(first, last - first))
+                h, _, _, text = tokens_at(data, off)
+                words = _surroundings(h, text, at.to_numpy() + np.searchsorted(text, t))
+                cut = np.arange(len(words) + 1) * 4 * CONTEXT
+                sides = [_binary(words[:, k:k + CONTEXT], cut) for k in (0, CONTEXT)]
                 yield pa.RecordBatch.from_arrays([ca, *sides], names=["ca", "before", "after"])
 
     def run(batches):
@@ -351,11 +422,6 @@ def _first_pieces(docs: DataFrame, first: DataFrame) -> DataFrame:
     return texts.select("text", "pieces").mapInArrow(run, "ca bigint, before binary, after binary")
 
 
-def _bytes(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(text.as_py().encode(), np.uint8)
-    return data, np.array([0, len(data)], np.int64)
-
-
 def passage_seeds(docs: DataFrame, **opt) -> DataFrame:
     """Runs of later pieces that follow each other in their text as in the text
     of their first occurrences, with the same words between: ``doc_id, row``, the
@@ -384,25 +450,32 @@ def passage_seeds(docs: DataFrame, **opt) -> DataFrame:
     return runs.join(shuffled(left), "left").join(shuffled(right), "right").drop("left", "right")
 
 
-def stretches(h: np.ndarray, row: int, seeds: dict, similarity: float) -> list[tuple[int, int, int | None]]:
-    """``first, last`` (words) and ``kept_in`` of the passages of one text that
-    its seeds (columns of ``passage_seeds``) show to be repeated."""
-    w, last, shift = (np.asarray(seeds[k], np.int64) for k in ("lo", "hi", "shift"))
+def stretches(words: tuple, row: np.ndarray, seeds: dict, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int | None]]:
+    """Text, ``first`` and ``last`` (words) and ``kept_in`` of the passages of a
+    run of texts that their seeds (columns of ``passage_seeds`` and the number
+    ``text``) show to be repeated.  ``words``: hashes and text numbers of the
+    run's words; ``row``: of each text."""
+    h, text = words
+    t, w, last, shift, src = (np.asarray(seeds[k], np.int64) for k in ("text", "lo", "hi", "shift", "src"))
+    begin = np.searchsorted(text, t)
 
     def equal_words(at, theirs, side):
-        theirs = np.frombuffer(b"".join(theirs), np.uint32).reshape(len(w), -1)
-        return (_surroundings(h, at)[:, side] == theirs) & (theirs != 0)
+        theirs = theirs.cast(pa.binary())
+        ends = np.frombuffer(theirs.buffers()[1], np.int32, len(theirs) + 1, theirs.offset * 4)
+        theirs = np.frombuffer(theirs.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.uint32).reshape(len(w), -1)
+        return (_surroundings(h, text, begin + at)[:, side] == theirs) & (theirs != 0)
 
     left = np.logical_and.accumulate(equal_words(w, seeds["before"], slice(None, CONTEXT))[:, ::-1], 1).sum(1)
     right = np.logical_and.accumulate(equal_words(last, seeds["after"], slice(CONTEXT, None)), 1).sum(1)
-    src = np.asarray(seeds["src"], np.int64)
     lo, hi = w - left, last + PIECE + right
-    lo = np.where(src == row, np.maximum(lo, w - shift + PIECE), lo)       # inside one text the first occurrence stays
+    lo = np.where(src == row[t], np.maximum(lo, w - shift + PIECE), lo)    # inside one text the first occurrence stays
+    some = lo < hi
+    columns = [x[some].tolist() for x in (t, src, shift, lo, hi)]
     groups: dict = {}
-    for k in np.flatnonzero(lo < hi).tolist():
-        groups.setdefault((int(src[k]), seeds["kept_in"][k]), []).append((int(shift[k]), int(lo[k]), int(hi[k])))
+    for one, source, *place, kept in zip(*columns, seeds["kept_in"].filter(pa.array(some)).to_pylist()):
+        groups.setdefault((one, source, kept), []).append(place)
     out = []
-    for (source, kept), found in groups.items():
+    for (one, source, kept), found in groups.items():
         # equal stretches: one offset between the texts, overlapping
         equal = []
         for shift, a, b in sorted(found):
@@ -421,8 +494,9 @@ def stretches(h: np.ndarray, row: int, seeds: dict, similarity: float) -> list[t
                     near[-1] = [c, b, x, b - shift, m + n]
                     continue
             near.append([a, b, a - shift, b - shift, n])
-        out += [(a, b, kept) for a, b, *_ in near if b - a >= MIN_WORDS]
-    return out
+        out += [(one, a, b, kept) for a, b, *_ in near if b - a >= MIN_WORDS]
+    found = np.array([x[:3] for x in out], np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1], found[:, 2], [x[3] for x in out]
 
 
 def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
@@ -443,60 +517,48 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
     joined = keyed.join(shuffled(gone), [d, r], "left").select(*docs.columns, r, sp)
     text_at, row_at = docs.columns.index("text"), len(docs.columns)
 
-    def spans(words: tuple, row: int, found: pa.Scalar) -> tuple[list[tuple[int, int]], list[int]]:
-        """Removed bytes of a text of ``words`` (hashes, first and last bytes),
-        and the documents that keep them."""
-        c = {name: x for name, x in zip(("lo", "hi", "kept_in", "src", "shift", "before", "after"), found.values.flatten())}
-        seed = np.flatnonzero(c["src"].is_valid())
-        line = np.flatnonzero(c["src"].is_null())
-        lo, hi, src = (c[k].take(pa.array(line)).to_pylist() for k in ("lo", "hi", "kept_in"))
-        out = list(zip(lo, hi))
-        if len(seed):
-            h, start, end = words
-            for a, b, kept in stretches(h, row, {k: x.take(pa.array(seed)).to_pylist() for k, x in c.items()}, similarity):
-                out.append((int(start[a]), int(end[b - 1])))
-                src.append(kept)
-        return sorted(out), sorted({x for x in src if x is not None})
     min_words = opt.get("min_words", MIN_WORDS)
 
+    def spans(words: tuple, off: np.ndarray, row: np.ndarray, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Removed bytes of a run of texts of ``words`` (``tokens_at``), each
+        with its text and the document that keeps them."""
+        c, t = _entries(found)
+        c = dict(zip(("lo", "hi", "kept_in", "src", "shift", "before", "after"), c))
+        line = pc.is_null(c["src"])
+        own = line.to_numpy(zero_copy_only=False)
+        text, lo, hi = t[own], *(c[k].filter(line).to_numpy() + off[t[own]] for k in ("lo", "hi"))
+        kept = c["kept_in"].filter(line)
+        if not own.all():
+            h, start, end, of = words
+            seeds = {k: x.filter(pc.invert(line)) for k, x in c.items()}
+            one, a, b, more = stretches((h, of), row, {**seeds, "text": t[~own]}, similarity)
+            begin = np.searchsorted(of, one)
+            text, lo, hi = np.concatenate([text, one]), np.concatenate([lo, start[a + begin]]), np.concatenate([hi, end[b + begin - 1]])
+            kept = pa.concat_arrays([kept, pa.array(more, kept.type)])
+        return text, lo, hi, kept
+
     def cut(batches):
         for batch in batches:
             rows, every = batch.column(row_at), batch.column(row_at + 1)
             for first, last, data, off in B.chunks(batch.column(text_at), CHUNK):
-                h, start, end, text = tokens_at(data, off)
+                words = tokens_at(data, off)
+                _, start, _, text = words
+                n = last - first
                 lines, _ = _lines(text, start, data)
-                count = np.bincount(text[lines[:-1][np.diff(lines) >= min_words]], minlength=last - first)
-                at = np.searchsorted(text, np.arange(last - first + 1))
-                part = batch.slice(first, last - first)
-                removed, number, kept, sources = [], [], [], []
-                for k, whole in enumerate(part.column(text_at)):
-                    gone, src = [], []
-                    if every[first + k].is_valid:
-                        own = slice(at[k], at[k + 1])
-                        gone, src = spans((h[own], start[own] - off[k], end[own] - off[k]), rows[first + k].as_py(), every[first + k])
-                    sources.append(src)
-                    if not gone:
-                        removed.append(0)
-                        number.append(0)
-                        kept.append(whole.as_py())
-                        continue
-                    own, parts, pos, n, runs = data[off[k]:off[k + 1]].tobytes(), [], 0, 0, 0
-                    reach = -1
-                    for lo, hi in gone:
-                        if lo > reach:
-                            runs += 1
-                            parts.append(own[pos:lo])
-                            n += hi - lo
-                            pos = reach = hi
-                        elif hi > reach:
-                            n += hi - reach
-                            pos = reach = hi
-                    parts.append(own[pos:])
-                    removed.append(n)
-                    number.append(runs)
-                    kept.append(b"".join(parts).decode())
-                more = [pa.array(count), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.string()),
-                        pa.array(sources, pa.list_(pa.int64()))]
+                count = np.bincount(text[lines[:-1][np.diff(lines) >= min_words]], minlength=n)
+                part = batch.slice(first, n)
+                row = rows.slice(first, n).fill_null(0).to_numpy()
+                t, lo, hi, src = spans(words, off, row, every.slice(first, n))
+                depth = np.bincount(lo, minlength=len(data) + 1) - np.bincount(hi, minlength=len(data) + 1)
+                gone = np.cumsum(depth[:-1]) > 0
+                a, b, of = B.runs(gone, off)
+                removed = np.bincount(of, weights=b - a, minlength=n).astype(np.int64)
+                kept = _binary(data[~gone], off - np.concatenate([[0], np.cumsum(removed)]), pa.string())
+                kept = pc.if_else(part.column(text_at).is_valid(), kept, pa.scalar(None, pa.string()))
+                known = src.is_valid().to_numpy(zero_copy_only=False)
+                sources = np.unique(np.stack([t[known], src.drop_null().to_numpy()], 1), axis=0)
+                sources = pa.ListArray.from_arrays(pa.array(np.searchsorted(sources[:, 0], np.arange(n + 1)).astype(np.int32)), pa.array(sources[:, 1]))
+                more = [pa.array(count), pa.array(removed), pa.array(np.bincount(of, minlength=n)), kept, sources]
                 yield pa.RecordBatch.from_arrays(part.columns[:row_at] + more, names=batch.schema.names[:row_at] + names)
 
     schema = joined.select(*docs.columns).schema

@@ -1,11 +1,14 @@
 """Paragraph dedup against brute force and planted passages."""
 import hashlib
 import random
+import sys
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from spreadforge.llm import bytetext as B
 from spreadforge.llm import paragraphs as P
 from tests.llm.test_decontaminate import words
 
@@ -160,3 +163,86 @@ def test_tasks_hold_small_parts_of_a_batch(spark, monkeypatch):
         tracemalloc.stop()
         assert peak < 32 << 20 and max(size for _, size in rows) < 2 << 20
         assert n is None or sum(k for k, _ in rows) == n
+
+
+def test_steps_take_many_texts_at_once(spark, monkeypatch):
+    """Python's work for a short text is a small part of what a run of texts
+    costs, in every step: few function calls a text."""
+    rnd = random.Random(21)
+    n = 600
+    texts = [text(rnd, 60) for _ in range(n)]
+    docs = spark.createDataFrame([(0, texts[0])], "doc_id long, text string")
+    made, plain = {}, type(docs).mapInArrow
+
+    def keep(df, run, schema, *more):
+        made[run.__qualname__.split(".")[0]] = run
+        return plain(df, run, schema, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", keep)
+    P.occurrences(docs, "piece")
+    P.dedup_paragraphs(docs)
+    ids, place = pa.array(range(n)), {"lo": 0, "hi": len(texts[0].split()[0])}
+    lines = pa.array([[{"g": k, "ca": k, "cb": k, "lo": 0, "hi": len(t)}] for k, t in enumerate(texts)], pa.list_(pa.struct(
+        [("g", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])))
+    pieces = pa.array([[{"ca": k, "at": 20}] for k in range(n)], pa.list_(pa.struct([("ca", pa.int64()), ("at", pa.int32())])))
+    spans = pa.array([[{**place, "kept_in": 7, "src": None, "shift": None, "before": None, "after": None}]] * n, pa.list_(pa.struct(
+        [("lo", pa.int32()), ("hi", pa.int32()), ("kept_in", pa.int64()), ("src", pa.int64()), ("shift", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])))
+    sets = pa.array([bytes(range(k % 200, k % 200 + 50)) for k in range(0, n, 2) for _ in range(2)], pa.binary())
+    batches = {"occurrences": [ids, ids, pa.array(texts)], "_line_sets": [pa.array(texts), lines], "_first_pieces": [pa.array(texts), pieces],
+               "dedup_paragraphs": [ids, pa.array(texts), ids, spans], "_verified": [pa.array([k // 2 for k in range(n)]), ids, ids, sets]}
+    names = {"occurrences": ["doc_id", "row", "text"], "_line_sets": ["text", "lines"], "_first_pieces": ["text", "pieces"],
+             "dedup_paragraphs": ["doc_id", "text", "row", "spans"], "_verified": ["g", "ca", "cb", "s"]}
+    for step, columns in batches.items():
+        calls = [0]
+
+        def count(frame, event, arg):
+            calls[0] += event in ("call", "c_call")
+
+        batch = pa.RecordBatch.from_arrays(columns, names=names[step])
+        list(made[step](iter([batch])))
+        sys.setprofile(count)
+        try:
+            rows = sum(out.num_rows for out in made[step](iter([batch])))
+        finally:
+            sys.setprofile(None)
+        assert rows >= n // 2 and calls[0] < 4 * n, (step, rows, calls[0])
+
+
+def test_pieces_of_a_run_are_those_of_each_text():
+    """Short, empty and repetitive texts: no piece depends on the texts beside it."""
+    rnd = np.random.default_rng(22)
+    for choice in (1, 4, 13):
+        texts = [rnd.integers(0, k, size, dtype=np.uint64) for size in (0, 1, 7, 8, 14, 15, 16, 40, 300) for k in (2, 1 << 40)] * 2
+        rnd.shuffle(texts := np.array(texts, object))
+        number = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        got = P._pieces(np.concatenate(list(texts)).astype(np.uint64), number, 8, choice).tolist()
+        want, begin = [], 0
+        for h in texts:
+            grams = B.mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)) if len(h) > 2 else h[:0]
+            want += [begin + k for k in B.minimizers(grams, choice).tolist() if k + 8 <= len(h)]
+            begin += len(h)
+        assert got == want and len(got) > 40
+
+
+def test_buckets_against_brute_force():
+    """Buckets of several groups of similar sets, of sets that share values but
+    are not similar, and of single sets."""
+    rnd = random.Random(23)
+    for similarity in (0.5, 0.8):
+        buckets = []
+        for _ in range(60):
+            groups = [rnd.sample(range(400), rnd.randrange(1, 40)) for _ in range(rnd.randrange(1, 5))]
+            buckets.append([set(g) ^ set(rnd.sample(g, min(len(g) - 1, rnd.randrange(4)))) for g in groups for _ in range(rnd.randrange(1, 6))])
+        sets = [s for b in buckets for s in b]
+        ends, cut = (np.concatenate([[0], np.cumsum([len(x) for x in xs])]) for xs in (sets, buckets))
+        u, v = P._similar(np.array([x for s in sets for x in sorted(s)], np.uint64), ends, cut, similarity)
+
+        def parts(links):
+            label = list(range(len(sets)))
+            for a, b in links:
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+            return label
+
+        own = np.repeat(np.arange(len(buckets)), np.diff(cut))
+        want = [(i, j) for i in range(len(sets)) for j in range(i) if own[i] == own[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+        assert all(own[u] == own[v]) and parts(zip(u.tolist(), v.tolist())) == parts(want)
