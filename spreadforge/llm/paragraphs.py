@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 from spreadforge.llm import bytetext as B
 from spreadforge.llm.components import components
 from spreadforge.llm.decontaminate import tokens_at
-from spreadforge.llm.tables import fresh, materialize, release, row_id, shuffled
+from spreadforge.llm.tables import fresh, materialize, release, row_id, shuffled, shuffles_dropped
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -355,12 +355,13 @@ def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY
     shared = materialize(shared.groupBy("count", "x1", "x2").agg(F.min("band").alias("band"))
                          .select("band", F.ceil(F.col("count") / block).cast("int").alias("n")))
     member = materialize(hit.join(shuffled(shared), "band"))
+    release(contents, shared)
     mine = F.pmod(F.col("ca"), F.col("n")).cast("int")
     dealt = member.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select(F.when(F.col("n") == 1, F.col("band")).otherwise(
         F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other"))).alias("g"), "ca", "cb", "row", "lo", "hi")
     links = materialize(_verified(_line_sets(docs, dealt), similarity))
-    release(contents, shared, member)
+    release(member)
     return links
 
 
@@ -510,9 +511,10 @@ def dedup_paragraphs(docs: DataFrame, **opt) -> DataFrame:
     own = F.coalesce("doc_id", F.lit(0)).alias(d), F.col("row").alias(r)
     more = "src bigint, shift int, before binary, after binary"
     none = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in more.split(", "))]
-    lines = line_removals(plain, **opt).select(*own, "lo", "hi", "kept_in", *none)
-    seeds = passage_seeds(plain, **opt).select(*own, "lo", "hi", "kept_in", "src", "shift", "before", "after")
-    gone = materialize(lines.unionByName(seeds).groupBy(d, r).agg(F.collect_list(F.struct("lo", "hi", "kept_in", "src", "shift", "before", "after")).alias(sp)))
+    with shuffles_dropped(docs.sparkSession):
+        lines = line_removals(plain, **opt).select(*own, "lo", "hi", "kept_in", *none)
+        seeds = passage_seeds(plain, **opt).select(*own, "lo", "hi", "kept_in", "src", "shift", "before", "after")
+        gone = materialize(lines.unionByName(seeds).groupBy(d, r).agg(F.collect_list(F.struct("lo", "hi", "kept_in", "src", "shift", "before", "after")).alias(sp)))
     keyed = docs.withColumn(d, F.coalesce("doc_id", F.lit(0))).withColumn(r, row_id("doc_id", "text")["a"])
     joined = keyed.join(shuffled(gone), [d, r], "left").select(*docs.columns, r, sp)
     text_at, row_at = docs.columns.index("text"), len(docs.columns)

@@ -1,12 +1,14 @@
 """Small Spark helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadforge.session import materialize
 
-__all__ = ["fresh", "materialize", "release", "row_id", "table", "shuffled"]
+__all__ = ["fresh", "materialize", "release", "row_id", "shuffles_dropped", "table", "shuffled"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +47,19 @@ def release(*tables: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path.getParent(), True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files go when the table that they were for is written, and not
+    when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

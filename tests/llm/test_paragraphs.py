@@ -2,6 +2,7 @@
 import hashlib
 import random
 import sys
+import time
 import tracemalloc
 
 import numpy as np
@@ -246,3 +247,23 @@ def test_buckets_against_brute_force():
         own = np.repeat(np.arange(len(buckets)), np.diff(cut))
         want = [(i, j) for i in range(len(sets)) for j in range(i) if own[i] == own[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
         assert all(own[u] == own[v]) and parts(zip(u.tolist(), v.tolist())) == parts(want)
+
+
+def test_shuffle_files_go_with_the_tables_they_were_for(spark):
+    """No shuffle file of the steps before is left when the result is written."""
+    jsc, name = spark.sparkContext._jsc.sc(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+
+    def blocks():
+        return sum(1 for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(jsc.env().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle())
+
+    rnd = random.Random(24)
+    line = text(rnd, 40)
+    have = blocks()
+    docs = spark.createDataFrame([(k, f"{text(rnd, 30)} {line}\n{line}") for k in range(20)], "doc_id long, text string")
+    P.dedup_paragraphs(docs)
+    for _ in range(50):
+        if blocks() <= have:
+            break
+        time.sleep(0.1)
+    assert blocks() <= have and spark.conf.get(name) == before
