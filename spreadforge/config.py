@@ -125,11 +125,11 @@ class BacktestConfig:
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Boosting as published, but for the rounds: ``max_iter`` is one setting
-    for the job and the driver queries alike, below the published 800 because a
-    round is ``max_depth`` distributed jobs.  Published row sampling takes no
-    effect without a sampling frequency, so there is none."""
-    max_iter: int = 50
+    """Boosting as published, all rounds of it, for the job and the driver queries
+    alike.  Published row sampling takes no effect without a sampling frequency,
+    so there is none.  A model of up to ``alone_rows`` training rows is grown by one
+    task, larger ones level by level over all tasks."""
+    max_iter: int = MODEL_PARAMS["n_estimators"]
     step_size: float = MODEL_PARAMS["learning_rate"]
     max_depth: int = MODEL_PARAMS["max_depth"]
     leaves: int = MODEL_PARAMS["num_leaves"]
@@ -143,6 +143,7 @@ class ModelConfig:
     cv_splits: int = CV_SPLITS
     burn_in: int = LAG_BURNIN
     min_rows: int = MIN_SPREAD_ROWS
+    alone_rows: int = 1 << 16
 
 
 @dataclass(frozen=True)

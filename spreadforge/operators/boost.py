@@ -1,16 +1,20 @@
 """Gradient boosting of many models at once, by histograms.
 
-All models of a pool (one per transition, target and fold) grow together: one
-job handles one level of one tree of every model, so the number of jobs is rounds
-times depth, whatever the number of models.
+A model whose training rows are few enough for one task (``Settings.alone``) is
+grown by that task, all rounds of it; the models of a pool are such tasks of one
+job.  Models of more rows grow together, level by level: one job handles one level
+of one tree of all of them, so the number of jobs is rounds times depth, whatever
+the number of models.  Both grow the same trees.
 
 * ``binned_rows`` cuts every feature into bins at quantiles of the model's own
   training rows (missing values at their exact median), once.
-* The training rows lie in blocks of one group, cached, with their scores; a round's
-  trees are added to the scores once.  A job works out each row's node in the tree
-  that grows, sums gradients, hessians and counts per (model, node, feature, bin),
-  adds up the parts of a (model, node) where its best split is then chosen.  Only
-  the splits reach the driver.
+* Level by level, the training rows lie in blocks of one group, cached, with their
+  scores; a round's trees are added to the scores once.  A job works out each row's
+  node in the tree that grows, sums gradients, hessians and counts per (model, node,
+  feature, bin), adds up the parts of a (model, node) where its best split is then
+  chosen.  Only the splits reach the driver.
+* In one task, the sums of a split node's larger child are the node's own without
+  those of the smaller one.
 * Gains are second order with L1 and L2 terms: ``T(G)^2 / (H + l2)``,
   ``T(G)`` being ``G`` drawn towards zero by ``l1``; a leaf is ``-T(G) / (H + l2)``
   times the learning rate.
@@ -19,7 +23,8 @@ times depth, whatever the number of models.
   evaluated in full and the order is applied to them afterwards.
 
 The blocks are written to the checkpoint folder every ``KEEP`` rounds, so a lost
-executor repeats no more than those."""
+executor repeats no more than those, or one model; the files of the rounds before
+are deleted, and so are a level's shuffle files."""
 from __future__ import annotations
 
 import heapq
@@ -45,10 +50,13 @@ KEEP = 10
 BLOCK = 16_384
 #: bytes of training rows that a task of a level should meet
 PART_BYTES = 32 << 20
+#: cells (rows times features) that are counted or scored at once
+CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
+    """``alone``: up to so many training rows, a model is grown by one task."""
     rounds: int = 50
     rate: float = 0.03
     depth: int = 6
@@ -60,6 +68,7 @@ class Settings:
     l2: float = 1.0
     bins: int = 64
     seed: int = 42
+    alone: int = 0
 
 
 @dataclass
@@ -187,11 +196,32 @@ def binned_rows(rows: DataFrame, n_features: int, bins: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def stacked(trees: Sequence[dict]) -> dict:
+    """The trees as one array a part, a row for each tree."""
+    return {k: np.stack([t[k] for t in trees]) for k in ("feature", "bin", "value")}
+
+
 def apply_trees(trees: Sequence[dict], x: np.ndarray) -> np.ndarray:
     """Sum of the leaves that the rows of bins ``x`` reach."""
+    return apply_stacked(stacked(trees), x) if len(trees) else np.zeros(len(x))
+
+
+def apply_stacked(forest: dict, x: np.ndarray) -> np.ndarray:
     out, rows = np.zeros(len(x)), np.arange(len(x))
-    for t in trees:
-        out += t["value"][node_of(t, x, rows)]
+    step = max(1, CELLS // max(len(x), 1))
+    for lo in range(0, len(forest["value"]), step):
+        feature, cut, value = (forest[k][lo:lo + step] for k in ("feature", "bin", "value"))
+        first = (np.arange(len(value)) * value.shape[1])[:, None]
+        feature, cut, value = feature.ravel(), cut.ravel(), value.ravel()
+        node = np.ones((len(first), len(x)), np.int64)
+        while True:
+            at = first + node
+            f = feature[at]
+            inner = f >= 0
+            if not inner.any():
+                break
+            node = np.where(inner, 2 * node + (x[rows, np.maximum(f, 0)] > cut[at]), node)
+        out += value[at].sum(0)
     return out
 
 
@@ -207,7 +237,7 @@ def node_of(tree: dict, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def _empty_tree(depth: int) -> dict:
     size = 2 << depth
-    return {"feature": np.full(size, -1, np.int64), "bin": np.zeros(size, np.int64), "value": np.zeros(size)}
+    return {"feature": np.full(size, -1, np.int32), "bin": np.zeros(size, np.uint8), "value": np.zeros(size)}
 
 
 def shrunk(g, s: Settings):
@@ -217,21 +247,30 @@ def shrunk(g, s: Settings):
 def best_split(sums: np.ndarray, s: Settings):
     """``sums``: (feature, bin, [G, H, n]) of one node.  The feature, bin, gain
     and both sides' sums of the best split, or None."""
-    total = sums[0].sum(0)
-    left = np.cumsum(sums[:, :-1], axis=1)
-    right = total - left
+    return best_splits(sums[None], s)[0]
+
+
+def best_splits(sums: np.ndarray, s: Settings) -> list:
+    """The best split of each node of (node, feature, bin, [G, H, n])."""
+    parts = [np.ascontiguousarray(sums[..., k]) for k in range(3)]
+    total = [p[:, :1].sum(2, keepdims=True) for p in parts]
+    left = [np.cumsum(p[..., :-1], axis=2) for p in parts]
+    right = [t - p for t, p in zip(total, left)]
 
     def score(part):
-        return shrunk(part[..., 0], s) ** 2 / (part[..., 1] + s.l2)
+        return np.maximum(np.abs(part[0]) - s.l1, 0.0) ** 2 / (part[1] + s.l2)
 
     gain = score(left) + score(right) - score(total)
-    ok = (left[..., 2] >= s.min_rows) & (right[..., 2] >= s.min_rows) & (left[..., 1] >= s.min_hessian) & (right[..., 1] >= s.min_hessian)
+    ok = (left[2] >= s.min_rows) & (right[2] >= s.min_rows) & (left[1] >= s.min_hessian) & (right[1] >= s.min_hessian)
     gain = np.where(ok & (gain > 1e-12), gain, -np.inf)
-    at = int(np.argmax(gain))
-    f, b = divmod(at, gain.shape[1])
-    if gain.size == 0 or gain[f, b] == -np.inf:
-        return None
-    return f, b, float(gain[f, b]), left[f, b], right[f, b]
+    out = []
+    for k in range(len(gain)):
+        if gain[k].size == 0 or gain[k].max() == -np.inf:
+            out.append(None)
+            continue
+        f, b = divmod(int(np.argmax(gain[k])), gain.shape[2])
+        out.append((f, b, float(gain[k, f, b]), np.array([p[k, f, b] for p in left]), np.array([p[k, f, b] for p in right])))
+    return out
 
 
 def leaf_first(splits: dict[int, tuple], leaves: int) -> set[int]:
@@ -248,11 +287,55 @@ def leaf_first(splits: dict[int, tuple], leaves: int) -> set[int]:
     return taken
 
 
-def _gradients(target: str, score: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _drawn(allowed: Sequence[int], key: int, r: int, s: Settings) -> np.ndarray:
+    """The features that a model's tree of round ``r`` may use."""
+    return np.sort(np.random.default_rng([s.seed, r, key]).choice(allowed, max(1, round(s.columns * len(allowed))), replace=False))
+
+
+def _finished(splits: dict[int, tuple], s: Settings) -> dict:
+    """The tree of ``splits`` (gain, feature, bin, both sides' sums by node)."""
+    tree, taken = _empty_tree(s.depth), leaf_first(splits, s.leaves)
+    for k in taken:
+        _, feature, at, left, right = splits[k]
+        tree["feature"][k], tree["bin"][k] = feature, at
+        for child, (g, h, _) in ((2 * k, left), (2 * k + 1, right)):
+            tree["value"][child] = -s.rate * shrunk(g, s) / (h + s.l2)
+    return tree
+
+
+def _gradients(target: str, score: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """First and second derivatives; no second ones: ones."""
     if target == "up":
         p = 1 / (1 + np.exp(-score))
         return p - y, p * (1 - p)
-    return score - size, np.ones(len(score))
+    return score - size, None
+
+
+#: rows of one group: ``x`` by row and feature
+PACKED = "group int, n int, x binary, y binary, size binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        groups = np.array(batch.column(0))
+        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(groups), -1) if len(groups) else None
+        y, size = (np.array(batch.column(k), np.float64) for k in (2, 3))
+        for g in np.unique(groups).tolist():
+            at = np.flatnonzero(groups == g)
+            cells = [[g], [len(at)], [x[at].tobytes()], [y[at].tobytes()], [size[at].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.int32()] * 2 + [pa.binary()] * 3)], names=["group", "n", "x", "y", "size"])
+
+
+def _joined(held) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The packed rows ``(n, x, y, size)``, ``x`` by feature and row."""
+    x = np.concatenate([np.frombuffer(bytes(x), np.uint8).reshape(n, -1) for n, x, _, _ in held])
+    y, size = (np.concatenate([np.frombuffer(bytes(h[c]), np.float64) for h in held]) for c in (2, 3))
+    return np.ascontiguousarray(x.T), y, size
+
+
+def _training(binned: DataFrame, groups: Sequence[int]) -> DataFrame:
+    return binned.where("train").where(F.col("group").isin(list(groups))).select(
+        F.col("group").cast("int").alias("group"), "x", F.col("y").cast("double").alias("y"), F.col("size").cast("double").alias("size"))
 
 
 def _blocks(binned: DataFrame, starts: dict[tuple[int, str], float]):
@@ -260,26 +343,14 @@ def _blocks(binned: DataFrame, starts: dict[tuple[int, str], float]):
     of one group, ``x`` by feature and row, scores by target.  Large groups lie in
     several tasks, and a task meets few groups."""
     sc = binned.sparkSession.sparkContext
-    schema = "group int, n int, x binary, y binary, size binary"
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups = np.array(batch.column(0))
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(groups), -1) if len(groups) else None
-            y, size = (np.array(batch.column(k), np.float64) for k in (2, 3))
-            for g in np.unique(groups).tolist():
-                at = np.flatnonzero(groups == g)
-                cells = [[g], [len(at)], [x[at].tobytes()], [y[at].tobytes()], [size[at].tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.int32()] * 2 + [pa.binary()] * 3)], names=["group", "n", "x", "y", "size"])
 
     def merged(rows):
         held = []
 
         def block():
             g = held[0]["group"]
-            x = np.concatenate([np.frombuffer(bytes(r["x"]), np.uint8).reshape(r["n"], -1) for r in held])
-            y, size = (np.concatenate([np.frombuffer(bytes(r[c]), np.float64) for r in held]) for c in ("y", "size"))
-            return (g, np.ascontiguousarray(x.T), y, size, {t: np.full(len(y), starts[g, t]) for t in ("up", "size") if (g, t) in starts})
+            x, y, size = _joined([(r["n"], r["x"], r["y"], r["size"]) for r in held])
+            return (g, x, y, size, {t: np.full(len(y), starts[g, t]) for t in ("up", "size") if (g, t) in starts})
 
         for r in rows:
             if held and (held[0]["group"] != r["group"] or sum(h["n"] for h in held) + r["n"] > BLOCK):
@@ -289,22 +360,103 @@ def _blocks(binned: DataFrame, starts: dict[tuple[int, str], float]):
         if held:
             yield block()
 
-    train = binned.where("train").where(F.col("group").isin([g for g, _ in starts])).select(F.col("group").cast("int").alias("group"), "x", F.col("y").cast("double").alias("y"), F.col("size").cast("double").alias("size"))
+    train = _training(binned, {g for g, _ in starts})
     weight = train.agg(F.sum(F.length("x") + 40)).head()[0] or 0
     parts = max(sc.defaultParallelism, weight // PART_BYTES + 1)
     dealt = train.repartitionByRange(parts, "group", F.xxhash64("x", "y", "size")).sortWithinPartitions("group")
-    return dealt.mapInArrow(pack, schema).rdd.mapPartitions(merged)
+    return dealt.mapInArrow(_pack, PACKED).rdd.mapPartitions(merged)
+
+
+def histograms(x: np.ndarray, columns: np.ndarray, at: np.ndarray | None, slot: np.ndarray, slots: int, grad: np.ndarray, hess: np.ndarray | None, bins: int) -> np.ndarray:
+    """(slot, column, bin, [G, H, n]) of the rows ``at`` (None: all), whose node is ``slot``; no ``hess``: ones."""
+    out = np.empty((3, slots, len(columns), bins))
+    first, width = slot * bins, slots * bins
+    step = max(1, CELLS // max(len(slot), 1))
+    for lo in range(0, len(columns), step):
+        some = columns[lo:lo + step]
+        cell = x[some] if at is None else x[some[:, None], at]
+        cell = (first + cell + (np.arange(len(some)) * width)[:, None]).ravel()
+        for k, weight in enumerate((grad, hess, None)):
+            if k != 1 or hess is not None:
+                weight = weight if weight is None else np.broadcast_to(weight, (len(some), len(slot))).ravel()
+                out[k, :, lo:lo + step] = np.bincount(cell, weight, len(some) * width).reshape(len(some), slots, bins).swapaxes(0, 1)
+    if hess is None:
+        out[1] = out[2]
+    return np.moveaxis(out, 0, -1)
 
 
-def histograms(x: np.ndarray, columns: np.ndarray, slot: np.ndarray, slots: int, grad: np.ndarray, hess: np.ndarray, bins: int) -> np.ndarray:
-    """(slot, column, bin, [G, H, n]) of the rows, whose node is ``slot``."""
-    out = np.empty((slots, len(columns), bins, 3))
-    base = slot * bins
-    for j, c in enumerate(columns):
-        cell = base + x[c]
-        for k, weight in enumerate((grad, hess, None)):
-            out[:, j, :, k] = np.bincount(cell, weight, slots * bins).reshape(slots, bins)
-    return out
+def _grow(x: np.ndarray, y: np.ndarray, size: np.ndarray, target: str, allowed: Sequence[int], key: int, start: float, s: Settings) -> list[dict]:
+    """All trees of a model from its training rows, ``x`` by feature and row."""
+    score, trees = np.full(len(y), start), []
+    for r in range(s.rounds):
+        columns, splits, tree = _drawn(allowed, key, r, s), {}, _empty_tree(s.depth)
+        grad, hess = _gradients(target, score, y, size)
+        node, nodes = np.ones(len(y), np.int64), [1]
+        sums = histograms(x, columns, None, node - 1, 1, grad, hess, s.bins)
+        for level in range(1, s.depth + 1):
+            # place of the split node, its smaller child, its larger one, whether the smaller one may be split too
+            below = []
+            for i, (k, got) in enumerate(zip(nodes, best_splits(sums, s))):
+                if got:
+                    f, b, gain, left, right = got
+                    tree["feature"][k], tree["bin"][k] = columns[f], b
+                    splits[k] = gain, int(columns[f]), b, left, right
+                    few, many = (2 * k, 2 * k + 1) if left[2] <= right[2] else (2 * k + 1, 2 * k)
+                    if max(left[2], right[2]) >= 2 * s.min_rows:
+                        below.append((i, few, many, min(left[2], right[2]) >= 2 * s.min_rows))
+            if not below or level == s.depth:
+                break
+            moved = np.flatnonzero(tree["feature"][node] >= 0)
+            k = node[moved]
+            node[moved] = 2 * k + (x[tree["feature"][k], moved] > tree["bin"][k])
+            place = np.full(len(tree["feature"]), -1, np.int64)
+            place[[few for _, few, _, _ in below]] = np.arange(len(below))
+            at = np.flatnonzero(place[node] >= 0)
+            fewer = histograms(x, columns, at, place[node[at]], len(below), grad[at], hess if hess is None else hess[at], s.bins)
+            both = [j for j, b in enumerate(below) if b[3]]
+            sums = np.concatenate([fewer[both], sums[[i for i, _, _, _ in below]] - fewer])
+            nodes = [below[j][1] for j in both] + [many for _, _, many, _ in below]
+        trees.append(_finished(splits, s))
+        score = score + apply_trees(trees[-1:], x.T)
+    return trees
+
+
+def _collected(rdd) -> list:
+    """The rows; the shuffle files that were written for them are deleted."""
+    rows = rdd.collect()
+    cleaner, left = rdd.ctx._jsc.sc().cleaner(), [rdd._jrdd.rdd()]
+    while left and cleaner.isDefined():
+        needs = left.pop().dependencies()
+        for need in (needs.apply(k) for k in range(needs.size())):
+            if need.getClass().getSimpleName() == "ShuffleDependency":
+                cleaner.get().doCleanupShuffle(need.shuffleId(), False)
+            else:
+                left.append(need.rdd())
+    return rows
+
+
+def _grow_alone(binned: DataFrame, models: Sequence[Model], s: Settings, rows: dict[int, int]) -> None:
+    """Every model in a task of its own (in place), those of most rows first."""
+    order = sorted(models, key=lambda m: -rows[m.group])
+    asked = [(m.target, m.allowed, m.key, m.start) for m in order]
+    of: dict[int, list[int]] = {}
+    for i, m in enumerate(order):
+        of.setdefault(m.group, []).append(i)
+
+    def dealt(r):
+        return [(i, (r["n"], bytes(r["x"]), bytes(r["y"]), bytes(r["size"]))) for i in of[r["group"]]]
+
+    def run(parts):
+        held: dict[int, list[tuple]] = {}
+        for i, part in parts:
+            held.setdefault(i, []).append(part)
+        for i in sorted(held):
+            # in one order, however they arrived
+            yield i, stacked(_grow(*_joined(sorted(held.pop(i))), *asked[i], s))
+
+    packed = _training(binned, of).mapInArrow(_pack, PACKED).rdd
+    for i, forest in _collected(packed.flatMap(dealt).partitionBy(len(order), int).mapPartitions(run)):     # the models themselves
+        order[i].trees += [{k: part[t] for k, part in forest.items()} for t in range(s.rounds)]
 
 
 def _level(state, models: list[Model], growing: list[dict], columns: list[np.ndarray], nodes: list[list[int]], s: Settings, parts: int) -> list:
@@ -328,7 +480,7 @@ def _level(state, models: list[Model], growing: list[dict], columns: list[np.nda
                 if not len(at):
                     continue
                 grad, hess = _gradients(target, score[target][at], y[at], size[at])
-                part = histograms(x if len(at) == len(rows) else x[:, at], cols, slot[at], len(active), grad, hess, s.bins)
+                part = histograms(x, cols, None if len(at) == len(rows) else at, slot[at], len(active), grad, hess, s.bins)
                 for k in np.unique(slot[at]).tolist():
                     key = m, int(active[k])
                     if key in found:
@@ -344,26 +496,36 @@ def _level(state, models: list[Model], growing: list[dict], columns: list[np.nda
                 f, b, gain, left, right = got
                 yield m, k, int(chosen[m][f]), b, gain, tuple(map(float, left)), tuple(map(float, right))
 
-    return state.mapPartitions(sums).reduceByKey(np.add, parts).mapPartitions(choose).collect()          # a row for each node of the level
+    return _collected(state.mapPartitions(sums).reduceByKey(np.add, parts).mapPartitions(choose))        # a row for each node of the level
 
 
 def fit(binned: DataFrame, models: list[Model], s: Settings = Settings()) -> DataFrame:
     """Grow ``s.rounds`` trees of every model (in place).  Returns the rows with
     their scores ``up`` and ``value``."""
-    spark = binned.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(binned.sparkSession)
     starts = {r["group"]: r for r in binned.where("train").groupBy("group").agg(
-        F.avg("y").alias("y"), F.avg("size").alias("size")).collect()}
+        F.avg("y").alias("y"), F.avg("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
     for m in models:
         row = starts[m.group]
         share = min(max(row["y"], 1e-15), 1 - 1e-15)
         m.start = float(np.log(share / (1 - share))) if m.target == "up" else float(row["size"])
+    rows = {g: r["n"] for g, r in starts.items()}
+    alone, level = ([m for m in models if (rows[m.group] <= s.alone) == small] for small in (True, False))
+    if alone:
+        _grow_alone(binned, alone, s, rows)
+    if level:
+        _grow_level(binned, level, s)
+    return materialize(_scored(binned.withColumns({"up": F.lit(0.0), "value": F.lit(0.0)}), models, 0))
+
+
+def _grow_level(binned: DataFrame, models: list[Model], s: Settings) -> None:
+    """All models level by level (in place)."""
+    spark = binned.sparkSession
     blocks = _blocks(binned, {(m.group, m.target): m.start for m in models}).persist(StorageLevel.MEMORY_AND_DISK)
     parts = min(blocks.getNumPartitions(), max(spark.sparkContext.defaultParallelism, 2 * len(models)))
-    state, before = blocks, None
+    state, before, kept = blocks, None, None
     for r in range(s.rounds):
-        columns = [np.sort(np.random.default_rng([s.seed, r, m.key]).choice(m.allowed, max(1, round(s.columns * len(m.allowed))), replace=False))
-                   for m in models]
+        columns = [_drawn(m.allowed, m.key, r, s) for m in models]
         growing, nodes = [_empty_tree(s.depth) for _ in models], [[1] for _ in models]
         splits: list[dict[int, tuple]] = [{} for _ in models]
         for _ in range(s.depth):
@@ -373,19 +535,16 @@ def fit(binned: DataFrame, models: list[Model], s: Settings = Settings()) -> Dat
             if before is not None:                  # the blocks of this round are kept now
                 before.unpersist()
                 before = None
+                if state.getCheckpointFile():
+                    _delete(spark, kept)
+                    kept = state.getCheckpointFile()
             nodes = [[] for _ in models]
             for m, k, feature, at, gain, left, right in rows:
                 splits[m][k] = gain, feature, at, left, right
                 growing[m]["feature"][k], growing[m]["bin"][k] = feature, at
                 nodes[m] += [c for c, side in ((2 * k, left), (2 * k + 1, right)) if side[2] >= 2 * s.min_rows]
         for m, model in enumerate(models):
-            tree, taken = _empty_tree(s.depth), leaf_first(splits[m], s.leaves)
-            for k in taken:
-                _, feature, at, left, right = splits[m][k]
-                tree["feature"][k], tree["bin"][k] = feature, at
-                for child, (g, h, _) in ((2 * k, left), (2 * k + 1, right)):
-                    tree["value"][child] = -s.rate * shrunk(g, s) / (h + s.l2)
-            model.trees.append(tree)
+            model.trees.append(_finished(splits[m], s))
         if r + 1 < s.rounds:
             before, state = state, _grown(state, models).persist(StorageLevel.MEMORY_AND_DISK)
             if (r + 1) % KEEP == 0:
@@ -393,7 +552,12 @@ def fit(binned: DataFrame, models: list[Model], s: Settings = Settings()) -> Dat
     state.unpersist()
     if before is not None:
         before.unpersist()
-    return materialize(_scored(binned.withColumns({"up": F.lit(0.0), "value": F.lit(0.0)}), models, 0))
+
+
+def _delete(spark, folder: str | None) -> None:
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _grown(state, models: list[Model]):
@@ -411,7 +575,7 @@ def _grown(state, models: list[Model]):
 
 def _scored(state: DataFrame, models: list[Model], since: int) -> DataFrame:
     """The rows with the trees from round ``since`` on added to their scores."""
-    recent = {(m.group, m.target): m.trees[since:] for m in models}
+    recent = {(m.group, m.target): stacked(m.trees[since:]) for m in models if len(m.trees) > since}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,7 +586,7 @@ def _scored(state: DataFrame, models: list[Model], since: int) -> DataFrame:
                 at = np.flatnonzero(groups == g)
                 for column, target in (("up", "up"), ("value", "size")):
                     if (g, target) in recent:
-                        score[column][at] += apply_trees(recent[g, target], x[at])
+                        score[column][at] += apply_stacked(recent[g, target], x[at])
             yield pa.RecordBatch.from_arrays([pa.array(score[n]) if n in score else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
     return state.mapInArrow(run, state.schema)

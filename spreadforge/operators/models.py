@@ -66,7 +66,7 @@ class Study:
 def settings(cfg: ModelConfig) -> BO.Settings:
     return BO.Settings(rounds=cfg.max_iter, rate=cfg.step_size, depth=cfg.max_depth, leaves=cfg.leaves,
                        min_rows=cfg.min_instances_per_node, columns=cfg.column_share, l1=cfg.l1, l2=cfg.l2,
-                       bins=cfg.bins, seed=cfg.seed)
+                       bins=cfg.bins, seed=cfg.seed, alone=cfg.alone_rows)
 
 
 def _parts(wide: DataFrame, specs: Sequence[TransitionSpec], cfg: ModelConfig, split: bool, folds: bool) -> list[dict]:

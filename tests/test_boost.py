@@ -159,3 +159,43 @@ def test_a_round_passes_its_trees_once(spark, monkeypatch):
         for group, x, y, size, score in state.collect():
             assert score["up"] == pytest.approx(models[0].start + B.apply_trees(models[0].trees[:r], x.T))
     assert len({id(s) for s in seen}) == 12 and seen[-1].getStorageLevel().useMemory is False
+
+
+def test_a_model_grown_by_one_task_is_the_one_grown_level_by_level(spark):
+    """Also where a pool has both kinds: the group of 150 rows is grown alone, that of 400 level by level."""
+    from dataclasses import replace
+    rnd = np.random.default_rng(13)
+    rows = []
+    for g, n in ((0, 400), (1, 150)):
+        for i in range(n):
+            x = rnd.normal(size=5)
+            size = 2 * x[g] + x[2] * (x[3] > 0) + 0.3 * rnd.normal()
+            rows.append((i, g, i % 10 > 0, float(size > 0), float(size), [None if rnd.random() < 0.1 else float(v) for v in x]))
+    binned = B.binned_rows(frame(spark, rows), 5, 16)
+    s = B.Settings(rounds=12, rate=0.2, depth=4, leaves=7, min_rows=5, columns=0.7)
+    # one feature is left out: it is not a draw's
+    pools = [[B.Model(g, t, [0, 1, 2, 3], 10 * g + len(t)) for g in (0, 1) for t in ("up", "size")] for _ in range(3)]
+    told = []
+    for pool, alone in zip(pools, (0, 400, 150)):
+        state = B.predictions(B.fit(binned, pool, replace(s, alone=alone)), pool)
+        told.append({(r.group, r.idx): (r.up, r.value) for r in state.collect()})
+    for pool in pools[1:]:
+        for a, b in zip(pools[0], pool):
+            assert len(a.trees) == len(b.trees) == 12 and any((t["feature"] >= 0).sum() == 6 for t in a.trees)
+            for t, u in zip(a.trees, b.trees):
+                assert t["feature"].tolist() == u["feature"].tolist() and t["bin"].tolist() == u["bin"].tolist()
+                assert t["value"] == pytest.approx(u["value"])
+    for k, v in told[0].items():
+        assert told[1][k] == pytest.approx(v) and told[2][k] == pytest.approx(v)
+
+
+def test_folders_of_earlier_rounds_are_deleted(spark):
+    """Level by level, the scores of every tenth round are kept on disk until the next ones are."""
+    import glob
+    rnd = np.random.default_rng(4)
+    rows = [(i, 0, True, float(x[0] > 0), float(x[0]), [float(v) for v in x]) for i in range(120) for x in [rnd.normal(size=2)]]
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/rdd-*"))
+    models = [B.Model(0, "up", [0, 1])]
+    B.fit(B.binned_rows(frame(spark, rows), 2, 8), models, B.Settings(rounds=32, depth=1, min_rows=10, columns=1.0))
+    assert len(models[0].trees) == 32 and len(set(glob.glob(f"{folder}/rdd-*")) - before) == 1

@@ -5,3 +5,24 @@ from spreadforge.plans import catalog
 
 def test_job_and_queries_boost_fifty_rounds():
     assert JobConfig().model.max_iter == ModelConfig().max_iter == catalog.QUERY_MODEL.max_iter >= 50
+
+
+def small_market(spark):
+    from pyspark.sql import functions as F
+    return spark.range(400).select(F.col("id").alias("idx"), F.expr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,30*id)").alias("ts"),
+                                   (F.sin("id") + F.col("id") % 3 - 1).alias("spr_IDA1_DAM"), (F.col("id") % 3).cast("double").alias("PriceDAM"),
+                                   F.sin("id").alias("wave_DAM"))
+
+
+def test_fit_score_grows_every_published_round(spark, monkeypatch):
+    from dataclasses import replace
+
+    from spreadforge.config import MODEL_PARAMS, TransitionSpec
+    from spreadforge.operators import models as M
+    spec = TransitionSpec("DAM→IDA1", "spr_IDA1_DAM", ("_DAM", "PRICEDAM"), ())
+    monkeypatch.setattr(M, "usable_transitions", lambda *a: [spec])
+    fits = M.run_models(small_market(spark), replace(catalog.QUERY_MODEL, burn_in=10))
+    assert MODEL_PARAMS["n_estimators"] == 800
+    for model in (fits[0].clf, fits[0].reg):
+        assert len(model.trees) == 800
+    assert fits[0].scored.count() == 78 and all(0 <= r.p_up <= 1 for r in fits[0].scored.collect())
