@@ -143,7 +143,7 @@ class ModelConfig:
     cv_splits: int = CV_SPLITS
     burn_in: int = LAG_BURNIN
     min_rows: int = MIN_SPREAD_ROWS
-    alone_rows: int = 1 << 16
+    alone_rows: int = 1 << 17
 
 
 @dataclass(frozen=True)
