@@ -58,3 +58,11 @@ def test_pipeline_job_grows_every_published_round(spark, monkeypatch):
     except Scored:
         pass
     assert [m.target for m in models].count("size") == 1 and [len(m.trees) for m in models] == [800] * 7
+
+
+def test_walk_forward_cv_grows_every_published_round(spark, monkeypatch):
+    models = grown(monkeypatch)
+    monkeypatch.setattr(catalog, "_wide_ckpt", lambda *a: small_market(spark, 1100))
+    rows = catalog.q_walk_forward_cv(spark, "").collect()
+    assert [len(m.trees) for m in models] == [800] * 5
+    assert sorted((r.fold, r.n_test) for r in rows) == [(k, 428 // 6) for k in range(5)] and all(r.acc_ok and r.summary_ok for r in rows)
