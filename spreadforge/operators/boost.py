@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import sys
+import zlib
 from dataclasses import dataclass, field
 from typing import Iterator, Sequence
 
@@ -71,6 +72,32 @@ class Settings:
     alone: int = 0
 
 
+def _frozen(tree: dict) -> bytes:
+    return zlib.compress(b"".join(tree[k].tobytes() for k in ("value", "feature", "bin")), 1)
+
+
+def _thawed(data: bytes) -> dict:
+    raw = zlib.decompress(data)
+    size = len(raw) // 13
+    return {"feature": np.frombuffer(raw, np.int32, size, 8 * size), "bin": np.frombuffer(raw, np.uint8, size, 12 * size), "value": np.frombuffer(raw, np.float64, size)}
+
+
+class Trees(Sequence):
+    """Trees, held and sent in few bytes."""
+
+    def __init__(self):
+        self.frozen: list[bytes] = []
+
+    def __len__(self):
+        return len(self.frozen)
+
+    def __getitem__(self, at):
+        return [_thawed(t) for t in self.frozen[at]] if isinstance(at, slice) else _thawed(self.frozen[at])
+
+    def append(self, tree: dict):
+        self.frozen.append(_frozen(tree))
+
+
 @dataclass
 class Model:
     """``group``: whose rows it learns from; ``target``: ``up`` (a probability)
@@ -82,7 +109,7 @@ class Model:
     allowed: list[int]
     key: int = 0
     start: float = 0.0
-    trees: list[dict] = field(default_factory=list)
+    trees: Trees = field(default_factory=Trees)
 
     def split_counts(self, n_features: int) -> np.ndarray:
         used = np.concatenate([t["feature"][t["feature"] >= 0] for t in self.trees]) if self.trees else np.empty(0, np.int64)
@@ -127,8 +154,10 @@ def medians(train: DataFrame, n_features: int, cuts: dict[int, list[np.ndarray]]
     parts = rows.mapInArrow(count, "group int, counts array<double>")
     added = parts.select("group", F.posexplode("counts").alias("at", "n")).where("n > 0").groupBy("group", "at").agg(F.sum("n").alias("n"))
     counts: dict[int, np.ndarray] = {g: np.zeros((n_features, width)) for g in cuts}
-    for r in added.collect():                                   # the pool's size again
-        counts[r["group"]][divmod(r["at"], width)] = r["n"]
+    found = added.toArrow()                                     # the pool's size again
+    group, at, n = (found.column(k).to_numpy() for k in ("group", "at", "n"))
+    for g in np.unique(group).tolist():
+        counts[g].ravel()[at[group == g]] = n[group == g]
     first, last, ranks = {}, {}, []
     for g, c in counts.items():
         total, upto = c.sum(1), np.cumsum(c, axis=1)
@@ -299,7 +328,8 @@ def _finished(splits: dict[int, tuple], s: Settings) -> dict:
         _, feature, at, left, right = splits[k]
         tree["feature"][k], tree["bin"][k] = feature, at
         for child, (g, h, _) in ((2 * k, left), (2 * k + 1, right)):
-            tree["value"][child] = -s.rate * shrunk(g, s) / (h + s.l2)
+            if child not in taken:
+                tree["value"][child] = -s.rate * shrunk(g, s) / (h + s.l2)
     return tree
 
 
@@ -385,8 +415,8 @@ def histograms(x: np.ndarray, columns: np.ndarray, at: np.ndarray | None, slot:
     return np.moveaxis(out, 0, -1)
 
 
-def _grow(x: np.ndarray, y: np.ndarray, size: np.ndarray, target: str, allowed: Sequence[int], key: int, start: float, s: Settings) -> list[dict]:
-    """All trees of a model from its training rows, ``x`` by feature and row."""
+def _grow(x: np.ndarray, y: np.ndarray, size: np.ndarray, target: str, allowed: Sequence[int], key: int, start: float, s: Settings) -> list[bytes]:
+    """All trees of a model (frozen) from its training rows, ``x`` by feature and row."""
     score, trees = np.full(len(y), start), []
     for r in range(s.rounds):
         columns, splits, tree = _drawn(allowed, key, r, s), {}, _empty_tree(s.depth)
@@ -416,8 +446,9 @@ def _grow(x: np.ndarray, y: np.ndarray, size: np.ndarray, target: str, allowed:
             both = [j for j, b in enumerate(below) if b[3]]
             sums = np.concatenate([fewer[both], sums[[i for i, _, _, _ in below]] - fewer])
             nodes = [below[j][1] for j in both] + [many for _, _, many, _ in below]
-        trees.append(_finished(splits, s))
-        score = score + apply_trees(trees[-1:], x.T)
+        tree = _finished(splits, s)
+        trees.append(_frozen(tree))
+        score = score + apply_trees([tree], x.T)
     return trees
 
 
@@ -452,11 +483,11 @@ def _grow_alone(binned: DataFrame, models: Sequence[Model], s: Settings, rows: d
             held.setdefault(i, []).append(part)
         for i in sorted(held):
             # in one order, however they arrived
-            yield i, stacked(_grow(*_joined(sorted(held.pop(i))), *asked[i], s))
+            yield i, _grow(*_joined(sorted(held.pop(i))), *asked[i], s)
 
     packed = _training(binned, of).mapInArrow(_pack, PACKED).rdd
-    for i, forest in _collected(packed.flatMap(dealt).partitionBy(len(order), int).mapPartitions(run)):     # the models themselves
-        order[i].trees += [{k: part[t] for k, part in forest.items()} for t in range(s.rounds)]
+    for i, trees in _collected(packed.flatMap(dealt).partitionBy(len(order), int).mapPartitions(run)):      # the models themselves
+        order[i].trees.frozen += trees
 
 
 def _level(state, models: list[Model], growing: list[dict], columns: list[np.ndarray], nodes: list[list[int]], s: Settings, parts: int) -> list:
@@ -575,9 +606,10 @@ def _grown(state, models: list[Model]):
 
 def _scored(state: DataFrame, models: list[Model], since: int) -> DataFrame:
     """The rows with the trees from round ``since`` on added to their scores."""
-    recent = {(m.group, m.target): stacked(m.trees[since:]) for m in models if len(m.trees) > since}
+    recent = {(m.group, m.target): m.trees.frozen[since:] for m in models if len(m.trees) > since}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: dict[tuple[int, str], dict] = {}
         for batch in batches:
             groups = np.array(batch.column("group"))
             x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(len(groups), -1) if len(groups) else None
@@ -586,7 +618,9 @@ def _scored(state: DataFrame, models: list[Model], since: int) -> DataFrame:
                 at = np.flatnonzero(groups == g)
                 for column, target in (("up", "up"), ("value", "size")):
                     if (g, target) in recent:
-                        score[column][at] += apply_stacked(recent[g, target], x[at])
+                        if (g, target) not in forest:
+                            forest[g, target] = stacked([_thawed(t) for t in recent[g, target]])
+                        score[column][at] += apply_stacked(forest[g, target], x[at])
             yield pa.RecordBatch.from_arrays([pa.array(score[n]) if n in score else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
     return state.mapInArrow(run, state.schema)
